@@ -6,6 +6,8 @@ A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, after A-Z became a-
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -42,24 +44,43 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts data[starts[i]:starts[i+1]], and where each text's words start among them."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, cut: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the texts data[starts[i]:starts[i+1]]: hashes, starts, ends, and where each text's words start among them.
+
+    cut(data, begins) may mark further places inside words where a new one begins.
+    """
     n = len(data)
     if n == 0:
-        return np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(starts), np.int64)
     solid = ~_SPACE[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[starts] = True
     begins = solid.copy()
     begins[1:] &= ~solid[:-1] | edge[1:n]
+    if cut is not None:
+        begins |= cut(data, begins) & solid
     ends = solid.copy()
-    ends[:-1] &= ~solid[1:] | edge[1:n]
+    ends[:-1] &= ~solid[1:] | edge[1:n] | begins[1:]
     s = np.flatnonzero(begins)
     e = np.flatnonzero(ends) + 1
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _power(_B, "b", n), out=total[1:])
     h = (total[e] - total[s]) * _power(_B_INVERSE, "inverse", n)[s]
-    return mix(h + (e - s).astype(np.uint64) * _C), np.searchsorted(s, starts)
+    return mix(h + (e - s).astype(np.uint64) * _C), s, e, np.searchsorted(s, starts)
+
+
+def chunks(texts: pa.Array):
+    """(first text, text after the last, bytes, offsets into them) for runs of texts of about CHUNK bytes; nulls are empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8) if len(texts) else np.empty(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
+        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
 
 
 def _distinct(words: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -90,21 +111,10 @@ def _distinct(words: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     """For each text its distinct shingle hashes, ascending (uint64)."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    if len(texts) == 0:
-        return []
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     out: list[np.ndarray] = []
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
-        part = data[offsets[i] : offsets[j]]
-        words, at = word_hashes(part, offsets[i : j + 1] - offsets[i])
+    for _, _, part, starts in chunks(texts):
+        words, _, _, at = word_hashes(part, starts)
         out += _distinct(words, at, width)
-        i = j
     return out
 
 
