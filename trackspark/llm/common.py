@@ -6,8 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -46,3 +49,25 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def range_cuts(df: DataFrame, key: str, rows: int) -> list[float]:
+    """Quantiles of a numeric column that cut df into ranges of about so many rows. Only the cuts come to the driver, at most 100,000."""
+    n = df.count()
+    parts = max(1, min(100_000, -(-n // rows)))
+    if parts == 1:
+        return []
+    return sorted(set(df.where(F.col(key).isNotNull()).approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts))))
+
+
+def range_of(key: str, cuts: list[float]) -> Column:
+    """The number of cuts at or below a value; nulls are in the first range."""
+    if not cuts:
+        return F.lit(0)
+    at = np.array(cuts)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, ids.fillna(-np.inf).to_numpy(), side="right")).astype("int32")
+
+    return place(F.col(key))

@@ -15,13 +15,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import map_batches
+from .common import map_batches, range_cuts, range_of
 from .shingles import shingle_sets
 
 K = 128
@@ -108,10 +107,8 @@ def followed(docs: DataFrame, rows: int = ROWS_A_RANGE) -> DataFrame:
     The texts are shuffled once; the first rows of the ranges are found by an aggregate of one row a range.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    parts = max(1, min(100_000, -(-n // rows)))
-    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    dealt = docs.withColumn("_range", _range_of(cuts)(F.col("doc_id")) if cuts else F.lit(0)).withColumn("_kind", F.lit(0))
+    cuts = range_cuts(docs, "doc_id", rows)
+    dealt = docs.withColumn("_range", range_of("doc_id", cuts)).withColumn("_kind", F.lit(0))
     firsts = dealt.groupBy("_range").agg(F.min("doc_id").alias("first"))
     w = Window.orderBy("_range")  # one row a range
     ends = firsts.select("_range", F.lead("first").over(w).alias("next"), F.lead("_range").over(w).alias("more"), F.first("first").over(w).alias("first"))
@@ -125,17 +122,6 @@ def followed(docs: DataFrame, rows: int = ROWS_A_RANGE) -> DataFrame:
     return dealt.unionByName(ends).repartitionById(len(cuts) + 1, F.col("_range")).sortWithinPartitions("_range", "_kind", F.col("doc_id").asc_nulls_first(), "text")
 
 
-def _range_of(cuts: list[float]):
-    """The number of cuts at or below an id; nulls are in the first range."""
-    at = np.array(sorted(cuts))
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, ids.fillna(-np.inf).to_numpy(), side="right")).astype("int32")
-
-    return place
-
-
 def fingerprint_with_edits(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     """For each document, in the order of doc_id: doc_id, n_chars, edited_sha256, the sketches of its text and of its edited text, and their likenesses.
 
