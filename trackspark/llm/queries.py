@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, fingerprint, packing, warc
+from . import additive, byte_bpe, chat, fingerprint, packing, warc
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
     return out.select(
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_nearest": op9_nearest,
     "op10_fingerprint": op10_fingerprint,
 }
 
