@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, byte_bpe, chat, fingerprint, packing, warc
+from . import additive, byte_bpe, chat, fingerprint, language, packing, quality, warc
 from .common import table
+from .folds import held_out
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,17 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs.select("doc_id", "text"), language.fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -65,6 +77,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
+    "op5_language": op5_language,
+    "op6_quality": op6_quality,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_nearest": op9_nearest,
     "op10_fingerprint": op10_fingerprint,
