@@ -23,7 +23,7 @@ from .common import map_batches
 from .html_blocks import leaf_blocks, names_of, text_names
 from .labelled_pages import labelled_pages
 
-TRAIN_PAGES = 800
+TRAIN_PAGES = 1200
 
 
 class Field:
@@ -61,7 +61,7 @@ class Field:
         return out[::-1]
 
 
-def fit(pages: list[tuple[str, list[tuple[str, bool]]]], rounds: int = 250, decay: float = 1e-4, rate: float = 0.1) -> Field:
+def fit(pages: list[tuple[str, list[tuple[str, bool]]]], rounds: int = 200, decay: float = 1e-5, rate: float = 0.15) -> Field:
     """Maximum likelihood on labelled pages: (html, [(text of a block, is article)])."""
     names: dict[str, int] = {}
     sequences, labels = [], []

@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, byte_bpe, chat, fingerprint, language, packing, quality, warc
+from . import additive, byte_bpe, chat, fingerprint, html_extract, language, packing, quality, warc
 from .common import table
 from .folds import held_out
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.train()).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     out = packing.pack(tokens)
@@ -74,6 +79,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
