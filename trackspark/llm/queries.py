@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, byte_bpe, chat, fingerprint, html_extract, language, packing, quality, warc
+from . import additive, byte_bpe, chat, fingerprint, html_extract, language, ngram_join, packing, quality, warc
 from .common import table
 from .folds import held_out
 
@@ -53,6 +53,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -85,6 +89,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op7_ngram_join": op7_ngram_join,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_nearest": op9_nearest,
     "op10_fingerprint": op10_fingerprint,

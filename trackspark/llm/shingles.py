@@ -123,5 +123,5 @@ def set_id(shingles: np.ndarray) -> int:
     if len(shingles) == 0:
         return 0
     spread = mix(shingles + _B)
-    one = mix(np.array([spread.sum(dtype=np.uint64) ^ (np.bitwise_xor.reduce(spread) * _C) ^ np.uint64(len(shingles))], dtype=np.uint64))
-    return int(one.view(np.int64)[0])
+    both = np.array([spread.sum(dtype=np.uint64)]) ^ (np.array([np.bitwise_xor.reduce(spread)]) * _C) ^ np.uint64(len(shingles))
+    return int(mix(both).view(np.int64)[0])
