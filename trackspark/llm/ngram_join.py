@@ -9,12 +9,11 @@ linked pair is found, whatever the sizes of groups. Linked pairs of n and m shin
    fewer than l of them has no partner. Of the others the l - 1 most frequent are set aside (the long lists): in the order of
    frequency, the first common hash of a linked pair is never among them. So passages that very many documents share join
    nothing by themselves.
-3. Classes that share a remaining hash are tied to its smallest class; connected classes are a cluster, and links never leave a
-   cluster.
-4. Clusters are searched in cells of bounded size: small ones together, large ones as pairs of blocks. In a cell the shingles of one block
-   are inverted lists, and every set of the other is a query by DivideSkip: short lists are merged and counted, the L longest are
-   probed by binary search for the rows that already have T - L. A cell returns, for each class, one class it is connected to,
-   not all pairs.
+3. Each remaining hash has a smallest class; a class is at home with the smallest of these. Classes of one home are cut into
+   blocks of bounded size, and a class visits the blocks in which another class lists one of its hashes: links never lead elsewhere.
+4. Two blocks that visit each other are a cell. In a cell the shingles of one block's visitors are inverted lists, and every set of the
+   other's is a query by DivideSkip: short lists are merged and counted, the L longest are probed by binary search for the rows
+   that already have T - L. A cell returns, for each class, one class it is connected to, not all pairs.
 5. Connected components of these over classes give the groups.
 
 Defined cases: a null or wordless text has no shingles and links with nothing, not even with another empty one; a text of
@@ -28,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ from .shingles import set_id, shingle_sets
 WIDTH = 5
 #: Share of a set's size by which its list is longer than a single common hash needs.
 SPARE = 0.08
-#: Classes of a block of a large cluster, and of the small clusters that are searched together.
+#: Classes of a block, and visits of the cells that one call of the search takes together, about.
 BLOCK, TOGETHER = 256, 2000
 
 
@@ -101,9 +101,8 @@ class _Lists:
             return np.empty(0, np.int64)
         need = -(-3 * (n + self.sizes) // 7)
         least = int(need[fit].min())
-        at = np.searchsorted(self.hashes, query)
-        at = at[at < len(self.hashes)]
-        at = at[np.isin(self.hashes[at], query)]
+        at = np.minimum(np.searchsorted(self.hashes, query), len(self.hashes) - 1)
+        at = at[self.hashes[at] == query]
         if len(at) < least:
             return np.empty(0, np.int64)
         starts, lengths = self.starts[at], self.ends[at] - self.starts[at]
@@ -124,32 +123,39 @@ class _Lists:
         return rows[100 * got >= 75 * (n + self.sizes[rows] - got)]
 
 
-def _cell(rows: pa.Table) -> pa.Table:
-    """For each class of a cell, the smallest class that the links of the cell connect it with."""
-    ids, block = rows.column("rep").to_numpy(), rows.column("block").to_numpy()
+def _search(rows: pa.Table) -> pa.Table:
+    """For each class of each cell, the smallest class that the links of the cell connect it with."""
+    order = pa.compute.sort_indices(rows, [("low", "ascending"), ("high", "ascending"), ("rep", "ascending")])
+    rows = rows.take(order).combine_chunks()
+    ids, block, low, high = (rows.column(c).to_numpy() for c in ("rep", "block", "low", "high"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles").combine_chunks()]
-    low, high = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    index_of = np.flatnonzero(block == high) if low != high else np.arange(len(ids))
-    queries = np.flatnonzero(block == low) if low != high else np.arange(len(ids))
-    up = list(range(len(ids)))
+    cuts = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
+    found: list[tuple[int, int]] = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = np.arange(a, b)
+        index_of, queries = (own, own) if low[a] == high[a] else (own[block[a:b] == high[a]], own[block[a:b] == low[a]])
+        if len(index_of) and len(queries) and len(own) > 1:
+            found += _links(ids, sets, index_of, queries)
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _links(ids: np.ndarray, sets: list[np.ndarray], index_of: np.ndarray, queries: np.ndarray) -> list[tuple[int, int]]:
+    up: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
         return x
 
-    if len(index_of) and len(queries):
-        lists = _Lists([sets[k] for k in index_of])
-        for q in queries.tolist():
-            for y in index_of[lists.search(sets[q])].tolist():
-                a, b = root(q), root(y)
-                if a != b:
-                    a, b = (a, b) if ids[a] < ids[b] else (b, a)
-                    up[b] = a
-    ends = [root(x) for x in range(len(ids))]
-    moved = [x for x, r in enumerate(ends) if r != x]
-    return pa.table({"a": pa.array(ids[moved]), "b": pa.array(ids[[ends[x] for x in moved]])})
+    lists = _Lists([sets[k] for k in index_of])
+    for q in queries.tolist():
+        for y in index_of[lists.search(sets[q])].tolist():
+            a, b = root(q), root(y)
+            if a != b:
+                a, b = (a, b) if ids[a] < ids[b] else (b, a)
+                up[b] = a
+    return [(int(ids[x]), int(ids[root(x)])) for x in list(up)]
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,32 +164,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     profile = written(map_batches(docs, _profile, "doc_id long, n long, c long"))
     classes = written(profile.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")))
     rare = written(_rare_lists(docs))
-    ties = rare.join(rare.groupBy("h").agg(F.min("c").alias("b")), "h").select(F.col("c").alias("a"), "b")
-    clusters = connected_components(ties).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = clusters.join(sizes, "cluster").join(classes, "c").where("rep is not null").select("rep", "cluster", blocks.alias("blocks"))
-    placed = written(placed.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), "blocks").cast("int")).otherwise(0)))
+    homes = rare.join(rare.groupBy("h").agg(F.min("c").alias("first")), "h").groupBy("c").agg(F.min("first").alias("home"))
+    sizes = homes.groupBy("home").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / BLOCK))
+    blocks = written(homes.join(sizes, "home").join(classes, "c").where("rep is not null").select("c", "rep", F.xxhash64("home", part).alias("block")))
+    listed_by = rare.join(blocks.select("c", "block"), "c")
+    there = listed_by.groupBy("h", "block").agg(F.min("c").alias("one"), F.max("c").alias("two")).withColumnRenamed("block", "other")
+    # a class visits its own block only if another class there lists the same hash
+    shared = listed_by.join(there, "h").where("block <> other OR one <> two")
+    visits = written(shared.select("c", "other").distinct().join(blocks, "c").select("rep", "block", "other"))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [s.tobytes() for s in shingle_sets(batch.column("text"), WIDTH)]
-        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("rep", "cluster", "blocks", "block")), pa.array(found, pa.binary())], names=["rep", "cluster", "blocks", "block", "shingles"])
-
-    texts = docs.join(placed, docs["doc_id"] == placed["rep"]).select("rep", "cluster", "blocks", "block", "text")
-    whole = map_batches(texts, sets, "rep long, cluster long, blocks int, block int, shingles binary")
-    groups = max(1, -(-placed.where("blocks = 1").count() // TOGETHER))
-    # cells: (group, 0, 0) for the small clusters of a group, (cluster, i, j) with i <= j for blocks of a large one
-    other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0))))
-    cells = whole.withColumn("other", other).select(
-        "rep",
-        "block",
-        "shingles",
-        (F.col("blocks") > 1).alias("large"),
-        F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(groups))).alias("g"),
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-    )
-    links = cells.groupBy("large", "g", "i", "j").applyInArrow(_cell, "a long, b long")
+        return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.binary())], names=["rep", "shingles"])
+
+    asked = visits.select("rep").distinct()
+    texts = docs.hint("merge").join(asked, docs["doc_id"] == asked["rep"]).select("rep", "text")
+    whole = map_batches(texts.dropDuplicates(["rep"]), sets, "rep long, shingles binary")
+    groups = max(1, -(-visits.count() // TOGETHER))
+    cells = whole.join(visits.hint("merge"), "rep").select("rep", "block", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    cells = cells.withColumn("g", F.pmod(F.xxhash64("low", "high"), F.lit(groups)))
+    links = cells.groupBy("g").applyInArrow(_search, "a long, b long")
     found = written(connected_components(links))
     named = profile.join(classes, "c", "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
