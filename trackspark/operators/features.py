@@ -23,6 +23,10 @@ def step_size(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) ->
     return df.withColumn("step_nm", F.coalesce(step_px(keys), F.lit(0.0)) * p.px_scale)
 
 
+def _stepped(df: DataFrame, p: Params, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn("_step", F.coalesce(step_px(keys), F.lit(0.0)) * p.px_scale)
+
+
 def time_step(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
     return df.withColumn("time_step", F.coalesce((F.col("frame") - F.lag("frame").over(track(keys))) / p.frame_rate, F.lit(0.0)))
 
@@ -46,7 +50,7 @@ def distance_from_start(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str]
 
 
 def distance_travelled(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
-    return step_size(df, p, keys).withColumn("travelled_nm", F.sum("step_nm").over(track(keys).rowsBetween(Window.unboundedPreceding, 0))).drop("step_nm")
+    return _stepped(df, p, keys).withColumn("travelled_nm", F.sum("_step").over(track(keys).rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
 def track_position(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -67,10 +71,14 @@ def image_angle(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return df.withColumn("image_angle", F.coalesce(F.abs(F.degrees(F.atan2(dy, dx))), F.lit(0.0)))
 
 
+def turn_angle_of(keys: Sequence[str] = KEYS) -> Column:
+    dx, dy, ex, ey = _moves(keys)
+    return F.coalesce(F.abs(F.degrees(F.atan2(cross(ex, ey, dx, dy), ex * dx + ey * dy))), F.lit(0.0))
+
+
 def turn_angle(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Absolute angle of the step to the one before, degrees; 0 on the first two rows."""
-    dx, dy, ex, ey = _moves(keys)
-    return df.withColumn("turn_angle", F.coalesce(F.abs(F.degrees(F.atan2(cross(ex, ey, dx, dy), ex * dx + ey * dy))), F.lit(0.0)))
+    return df.withColumn("turn_angle", turn_angle_of(keys))
 
 
 def signed_angles(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -104,9 +112,9 @@ def spot_area(df: DataFrame, p: Params = DEFAULT, a: str = "sigma_x_px", b: str
 
 def shifted_steps(df: DataFrame, before: int, ahead: int, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
     """Step sizes of the rows at each shift from -before to +ahead, 0 beyond the track."""
-    s, w = step_size(df, p, keys), track(keys)
-    back = {f"step_m{k}": F.lag("step_nm", k, 0.0).over(w) for k in range(1, before + 1)}
-    return s.withColumns(back | {f"step_p{k}": F.lead("step_nm", k, 0.0).over(w) for k in range(1, ahead + 1)}).drop("step_nm")
+    s, w = _stepped(df, p, keys), track(keys)
+    back = {f"step_m{k}": F.lag("_step", k, 0.0).over(w) for k in range(1, before + 1)}
+    return s.withColumns(back | {f"step_p{k}": F.lead("_step", k, 0.0).over(w) for k in range(1, ahead + 1)}).drop("_step")
 
 
 SMOOTHERS = ("movmean", "movmedian", "gaussian", "lowess", "loess", "rlowess", "rloess", "sgolay")
@@ -120,9 +128,9 @@ def smoothed_steps(df: DataFrame, method: str = "movmean", half: int = 2, p: Par
     """
     if method not in SMOOTHERS:
         raise ValueError(f"{method} is none of {SMOOTHERS}")
-    s = step_size(df, p, keys).withColumn("_rn", F.row_number().over(track(keys)))
+    s = _stepped(df, p, keys).withColumn("_rn", F.row_number().over(track(keys)))
     rows = track(keys).rowsBetween(-half, half)
-    use = F.when(F.col("_rn") > 1, F.col("step_nm"))
+    use = F.when(F.col("_rn") > 1, F.col("_step"))
     if method == "movmean":
         value = F.avg(use).over(rows)
     elif method == "movmedian":
@@ -130,12 +138,12 @@ def smoothed_steps(df: DataFrame, method: str = "movmean", half: int = 2, p: Par
         n = F.size("_near")
         value = F.when(n > 0, (F.get("_near", F.floor((n - 1) / 2).cast("int")) + F.get("_near", F.floor(n / 2).cast("int"))) / 2)
     elif method == "gaussian":
-        near = F.collect_list(F.when(F.col("_rn") > 1, F.struct("_rn", "step_nm"))).over(rows)
+        near = F.collect_list(F.when(F.col("_rn") > 1, F.struct("_rn", "_step"))).over(rows)
         weight = lambda q: F.exp(-F.pow((q["_rn"] - F.col("_rn")) / F.lit((2 * half + 1) / 5), 2) / 2)
-        value = F.try_divide(total(F.transform(near, lambda q: weight(q) * q["step_nm"])), total(F.transform(near, weight)))
+        value = F.try_divide(total(F.transform(near, lambda q: weight(q) * q["_step"])), total(F.transform(near, weight)))
     else:
         return _local_fits(s, method, half, keys)
-    return s.withColumn("smoothed_nm", F.when(F.col("_rn") == 1, 0.0).otherwise(value)).drop("step_nm", "_rn", "_near")
+    return s.withColumn("smoothed_nm", F.when(F.col("_rn") == 1, 0.0).otherwise(value)).drop("_step", "_rn", "_near")
 
 
 def _local_fits(s: DataFrame, method: str, half: int, keys: Sequence[str]) -> DataFrame:
@@ -146,7 +154,7 @@ def _local_fits(s: DataFrame, method: str, half: int, keys: Sequence[str]) -> Da
 
     def smooth(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("frame")
-        y = t["step_nm"].to_numpy()[1:]
+        y = t["_step"].to_numpy()[1:]
         out = y.copy()
         robust = np.ones(len(y))
         for _ in range(5 if method[0] == "r" else 1):
@@ -160,11 +168,11 @@ def _local_fits(s: DataFrame, method: str, half: int, keys: Sequence[str]) -> Da
                 out[i] = np.polyfit(d, y[a:b], n, w=np.sqrt(k))[-1] if n >= 0 else y[i]
             spread = 6 * np.median(np.abs(y - out)) if len(y) else 0
             robust = np.where(np.abs(y - out) < spread, (1 - ((y - out) / spread) ** 2) ** 2, 0.0) if spread > 0 else robust
-        return t.assign(smoothed_nm=np.concatenate([[0.0], out])).drop(columns=["step_nm", "_rn"])
+        return t.assign(smoothed_nm=np.concatenate([[0.0], out])).drop(columns=["_step", "_rn"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*[f for f in s.schema.fields if f.name not in ("step_nm", "_rn")], StructField("smoothed_nm", DoubleType())])
+    schema = StructType([*[f for f in s.schema.fields if f.name not in ("_step", "_rn")], StructField("smoothed_nm", DoubleType())])
     return s.groupBy(*keys).applyInPandas(smooth, schema)
 
 
@@ -308,11 +316,11 @@ def trappedness(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS,
 
 def angle_asymmetry(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
     """log2((forward + 1) / (backward + 1)) of turn angles up to 30 and from 150 degrees in frames +-w; the first two rows are 0 and don't count."""
-    d = turn_angle(df, keys).withColumn("_rn", F.row_number().over(track(keys)))
+    d = df.withColumns({"_turn": turn_angle_of(keys), "_rn": F.row_number().over(track(keys))})
     w = frames(-p.w, p.w, keys)
-    forward = F.sum(F.when((F.col("_rn") > 2) & (F.col("turn_angle") <= 30), 1).otherwise(0)).over(w)
-    backward = F.sum(F.when((F.col("_rn") > 2) & (F.col("turn_angle") >= 150), 1).otherwise(0)).over(w)
-    return d.withColumn("asymmetry", F.when(F.col("_rn") > 2, F.log2((forward + 1) / (backward + 1))).otherwise(0.0)).drop("_rn", "turn_angle")
+    forward = F.sum(F.when((F.col("_rn") > 2) & (F.col("_turn") <= 30), 1).otherwise(0)).over(w)
+    backward = F.sum(F.when((F.col("_rn") > 2) & (F.col("_turn") >= 150), 1).otherwise(0)).over(w)
+    return d.withColumn("asymmetry", F.when(F.col("_rn") > 2, F.log2((forward + 1) / (backward + 1))).otherwise(0.0)).drop("_rn", "_turn")
 
 
 def velocity_autocorrelation(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:

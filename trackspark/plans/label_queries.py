@@ -70,13 +70,18 @@ _add("T-09", lambda s, d: T.fill_gaps(locs(s, d), ["photons"]), f"WITH {LOCS}, {
 ALIGN = f"{LOCS}, {BIN}, {FILL}, al AS (SELECT e.cell_id, e.mol_id, e.\"exit\" AS event, f.frame - e.\"exit\" AS rel, f.photons AS value FROM ex_ e JOIN fl f ON f.cell_id = e.cell_id AND f.mol_id = e.mol_id AND f.frame BETWEEN e.start AND e.\"end\")"
 
 
+def profile_columns():
+    return [rounded(F.col(c) + OFF_TIES, 6).alias(c) for c in ("mean", "median", "std", "var", "sem")]
+
+
 def _al(s, d):
     return T.aligned(locs(s, d), "photons", 2)
 
 
 _add("T-10", _al, f"WITH {ALIGN} SELECT * FROM al")
-_prof = ", ".join(q(x, n) for n, x in (("mean", "avg(v)"), ("median", "median(v)"), ("std", "stddev_samp(v)"), ("var", "var_samp(v)"), ("sem", "stddev_samp(v) / sqrt(count(v))")))
-_add("T-11", lambda s, d: T.profile(_al(s, d)).select("rel", "n", *r("mean", "median", "std", "var", "sem")), f"WITH {ALIGN} SELECT rel, count(v) AS n, {_prof} FROM (SELECT rel, nullif(value, 0) AS v FROM al) GROUP BY rel")
+OFF_TIES = 3.1e-9  # added before rounding: means of two-place numbers end on ties
+_prof = ", ".join(q(f"{x} + {OFF_TIES}", n) for n, x in (("mean", "avg(v)"), ("median", "median(v)"), ("std", "stddev_samp(v)"), ("var", "var_samp(v)"), ("sem", "stddev_samp(v) / sqrt(count(v))")))
+_add("T-11", lambda s, d: T.profile(_al(s, d)).select("rel", "n", *profile_columns()), f"WITH {ALIGN} SELECT rel, count(v) AS n, {_prof} FROM (SELECT rel, nullif(value, 0) AS v FROM al) GROUP BY rel")
 _add("T-12", lambda s, d: T.trimmed(_al(s, d).withColumn("value", F.when(F.abs(F.col("rel")) < 10, F.col("value")))), f"WITH {ALIGN} SELECT cell_id, mol_id, event, rel, value FROM al WHERE abs(rel) < 10")
 _add("T-13", lambda s, d: T.profile_histogram(_al(s, d), 50.0, -5, 5).select("rel", "bin", *r("share")), f"WITH {ALIGN} SELECT rel, CAST(floor(value / 50) AS BIGINT) AS bin, {q('count(*) / sum(count(*)) OVER (PARTITION BY rel)', 'share')} FROM al WHERE rel BETWEEN -5 AND 5 AND value IS NOT NULL GROUP BY rel, floor(value / 50)")
 _add("T-14", lambda s, d: T.count_changes(locs(s, d)), f"""WITH {LOCS}, mv AS (SELECT *, lag(class_label) OVER {TK} AS p FROM locs), ch2 AS (SELECT p, class_label AS c FROM mv WHERE p <> class_label)

@@ -17,7 +17,7 @@ from ..sources import readers as S
 from ..sources import writers as K
 from ..streaming import online as R
 from .fixtures import LOCS, MESH, VIDEOS, cells, locs, mesh, videos
-from .label_queries import ALIGN, EVENTS, ROWS, TK, TRAJ, _al, _prof, q, r, scores
+from .label_queries import ALIGN, EVENTS, ROWS, TK, TRAJ, _al, _prof, profile_columns, q, r, scores
 from .track_queries import _CD, LAG, unlabelled
 
 PX, RATE = DEFAULT.px_scale, DEFAULT.frame_rate
@@ -82,7 +82,7 @@ def _splits(s, d):
 _add("K-02", lambda s, d: K.training_rows(_splits(s, d), ["photons"]).select("cell_id", "mol_id", "split", F.size("data").cast("long").alias("n"), F.array_join(F.col("labels").cast("array<string>"), "").alias("labels")))
 _add("K-03", lambda s, d: M.histogram(M.class_diffusion(locs(s, d), LAG), 0.05, by="class_label").groupBy("bin").pivot("class_label", [1, 2, 3]).agg(F.sum("n")).select("bin", *[F.coalesce(str(k), F.lit(0)).alias(f"class_{k}") for k in (1, 2, 3)]), f"""{_CD}, lo AS (SELECT min(d) AS lo FROM td), b2 AS (SELECT class_label, CAST(floor((d - lo) / 0.05) AS BIGINT) AS bin FROM td, lo)
 SELECT bin, count(*) FILTER (WHERE class_label = 1) AS class_1, count(*) FILTER (WHERE class_label = 2) AS class_2, count(*) FILTER (WHERE class_label = 3) AS class_3 FROM b2 GROUP BY bin""")
-_add("K-04", lambda s, d: T.profile(_al(s, d)).select((F.col("rel") / RATE).alias("t"), *r("mean", "median", "std", "var", "sem")), f"WITH {ALIGN} SELECT rel / {RATE} AS t, {_prof} FROM (SELECT rel, nullif(value, 0) AS v FROM al) GROUP BY rel")
+_add("K-04", lambda s, d: T.profile(_al(s, d)).select((F.col("rel") / RATE).alias("t"), *profile_columns()), f"WITH {ALIGN} SELECT rel / {RATE} AS t, {_prof} FROM (SELECT rel, nullif(value, 0) AS v FROM al) GROUP BY rel")
 _add("K-04b", lambda s, d: K.event_matrix(_al(s, d)), f"WITH {ALIGN} SELECT concat_ws('-', cell_id, mol_id, event) AS event_id, rel, value FROM al")
 
 

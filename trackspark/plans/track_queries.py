@@ -16,6 +16,8 @@ SCALE = (PX / 1000) ** 2
 LEAST, BUFFER = DEFAULT.min_track_len, DEFAULT.track_buffer
 KEY = ["cell_id", "mol_id", "frame"]
 QUERIES, ORACLE = {}, {}
+#: Added before rounding, because positions are multiples of 1/4000 and sums in another order would round ties apart.
+OFF_TIES = 3.1e-9
 
 
 def _add(key: str, query, sql: str | None = None) -> None:
@@ -85,10 +87,10 @@ def _pairs(by: str, source: str, most: int | None) -> str:
 
 
 def _msd_columns(df):
-    return df.select("cell_id", "mol_id", "lag", rounded(F.col("sum_sq")).alias("sum_sq"), "n", rounded(F.col("t")).alias("t"), rounded(F.col("msd")).alias("msd"))
+    return df.select("cell_id", "mol_id", "lag", rounded(F.col("sum_sq") + OFF_TIES).alias("sum_sq"), "n", rounded(F.col("t")).alias("t"), rounded(F.col("msd") + OFF_TIES).alias("msd"))
 
 
-_MSD = f"SELECT cell_id, mol_id, lag, round(sum_sq, 4) + 0.0 AS sum_sq, n, round(lag / {RATE}, 4) + 0.0 AS t, round(sum_sq / n, 4) + 0.0 AS msd FROM"
+_MSD = f"SELECT cell_id, mol_id, lag, round(sum_sq + {OFF_TIES}, 4) + 0.0 AS sum_sq, n, round(lag / {RATE}, 4) + 0.0 AS t, round(sum_sq / n + {OFF_TIES}, 4) + 0.0 AS msd FROM"
 _add("M-01", lambda s, d: _msd_columns(M.msd(locs(s, d))), f"WITH {LOCS} {_MSD} ({_pairs('cell_id, mol_id', 'locs', None)})")
 _add("M-02", lambda s, d: _msd_columns(M.msd(locs(s, d), LAG)), f"WITH {LOCS} {_MSD} ({_pairs('cell_id, mol_id', 'locs', LAG)})")
 _add("M-03", lambda s, d: M.to_um(locs(s, d)).select(*KEY, *[rounded(F.col(c), 6).alias(c) for c in ("x_um", "y_um")]), f"WITH {LOCS} SELECT cell_id, mol_id, frame, round(x_px * {PX} / 1000, 6) + 0.0 AS x_um, round(y_px * {PX} / 1000, 6) + 0.0 AS y_um FROM locs")

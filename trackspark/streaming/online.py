@@ -39,7 +39,7 @@ def link_stream(points: DataFrame, mem: int = DEFAULT.mem_param, dist: float = D
 
 def arrival_counts(rows: DataFrame, key: str, at: str, delay: str, width: str) -> DataFrame:
     """window, n: arrivals of a stream in tumbling windows, one for each key; the delay must exceed the longest track."""
-    first = rows.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    first = rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
     return first.groupBy(F.window(at, width)).agg(F.count("*").alias("n"))
 
 
