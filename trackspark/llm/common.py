@@ -51,23 +51,35 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
-def range_cuts(df: DataFrame, key: str, rows: int) -> list[float]:
-    """Quantiles of a numeric column that cut df into ranges of about so many rows. Only the cuts come to the driver, at most 100,000."""
-    n = df.count()
-    parts = max(1, min(100_000, -(-n // rows)))
-    if parts == 1:
+def range_cuts(df: DataFrame, key: str, rows: int) -> list[int]:
+    """The values of a whole-number column at every rows-th rank, which cut df into ranges of so many rows; ties stay together.
+
+    The ids are sorted once and written with their places, so the cuts depend on the ids alone, not on partitions. Only the cuts
+    and a count for each partition come to the driver.
+    """
+    ids = df.select(F.col(key).cast("long").alias("v")).where("v IS NOT NULL").sort("v")
+    placed = written(ids.select("v", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i")))
+    before, offsets = 0, []
+    for r in placed.groupBy("p").count().orderBy("p").collect():
+        offsets.append((r["p"], before))
+        before += r["count"]
+    rows = max(rows, -(-before // 100_000))
+    if before <= rows:
         return []
-    return sorted(set(df.where(F.col(key).isNotNull()).approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts))))
+    starts = df.sparkSession.createDataFrame(offsets, "p int, o long")  # a row a partition
+    rank = F.col("o") + F.col("i")
+    cuts = placed.join(F.broadcast(starts), "p").where((rank > 0) & (rank % rows == 0)).select("v").collect()
+    return sorted({r["v"] for r in cuts})
 
 
-def range_of(key: str, cuts: list[float]) -> Column:
+def range_of(key: str, cuts: list[int]) -> Column:
     """The number of cuts at or below a value; nulls are in the first range."""
     if not cuts:
         return F.lit(0)
-    at = np.array(cuts)
+    at = np.array(cuts, dtype=np.int64)
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, ids.fillna(-np.inf).to_numpy(), side="right")).astype("int32")
+        return pd.Series(np.searchsorted(at, ids.to_numpy(), side="right")).astype("int32")
 
-    return place(F.col(key))
+    return place(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))

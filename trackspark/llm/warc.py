@@ -1,6 +1,6 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are range-sorted by their id; the ranges are fixed by quantiles of the ids, and a task writes one range as a run of
+Records are range-sorted by their id; the ranges are cut at every so many ranks of the ids, and a task writes one range as a run of
 files, each closed once its compressed size passes a limit. Every record is one gzip member with regenerated headers (lengths,
 digests, ids derived from content) and a fixed date, so that bytes repeat exactly. A file is written under a temporary name of
 its task attempt and renamed when complete; its row of the manifest is committed with the task by Spark's own committer, and
