@@ -33,7 +33,7 @@ REVISIT_BYTES = 100
 #: Compressed bytes after which a file is closed and the next begun.
 FILE_BYTES = 64 << 20
 #: Rows of a range, about; ranges are what tasks write.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 4
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
