@@ -67,7 +67,6 @@ _lag("E-23", E.rolling_position_std, {
 _lag("E-25", E.centroid_shift, {"centroid_nm": f"coalesce(sqrt(power(avg(x_px) OVER r1 - avg(x_px) OVER l1, 2) + power(avg(y_px) OVER r1 - avg(y_px) OVER l1, 2)), 0) * {PX}"})
 _lag("E-32", E.angle_asymmetry, {"asymmetry": f"CASE WHEN row > 2 THEN log2((sum(CASE WHEN row > 2 AND coalesce({_TURN}, 0) <= 30 THEN 1 ELSE 0 END) OVER cw + 1) / (sum(CASE WHEN row > 2 AND coalesce({_TURN}, 0) >= 150 THEN 1 ELSE 0 END) OVER cw + 1)) ELSE 0 END"})
 
-_AXES = "ax"
 
 
 def _cell_angle(d: DataFrame) -> DataFrame:
