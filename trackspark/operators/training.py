@@ -64,12 +64,14 @@ def arrays(df: DataFrame, features: Sequence[str], label: str = "class_label") -
     return a.select(*KEYS, F.transform("a", lambda x: x["v"]).alias("x"), F.transform("a", lambda x: x["l"]).alias("y"))
 
 
-def padded(df: DataFrame, features: Sequence[str], length: int, label: str = "class_label") -> DataFrame:
-    """One row a track: x, y padded or cut to `length`, and a mask of 1 for real rows."""
+def padded(df: DataFrame, features: Sequence[str], length: int | None = None, label: str = "class_label") -> DataFrame:
+    """One row a track: x, y padded to the longest track, or padded or cut to `length`, and a mask of 1 for real rows."""
     zero = F.array(*[F.lit(0.0)] * len(features))
-    a = arrays(df, features, label)
-    pad = F.greatest(F.lit(length) - F.size("x"), F.lit(0))
-    return a.select(*KEYS, F.slice(F.concat("x", F.array_repeat(zero, pad)), 1, length).alias("x"), F.slice(F.concat("y", F.array_repeat(F.lit(0), pad)), 1, length).alias("y"), F.slice(F.concat(F.array_repeat(F.lit(1), F.size("x")), F.array_repeat(F.lit(0), pad)), 1, length).alias("mask"))
+    a, n = arrays(df, features, label), F.lit(length)
+    if length is None:
+        a, n = a.join(F.broadcast(longest(df)), F.lit(True)), F.col("longest").cast("int")
+    pad = F.greatest(n - F.size("x"), F.lit(0))
+    return a.select(*KEYS, F.slice(F.concat("x", F.array_repeat(zero, pad)), F.lit(1), n).alias("x"), F.slice(F.concat("y", F.array_repeat(F.lit(0), pad)), F.lit(1), n).alias("y"), F.slice(F.concat(F.array_repeat(F.lit(1), F.size("x")), F.array_repeat(F.lit(0), pad)), F.lit(1), n).alias("mask"))
 
 
 def longest(df: DataFrame) -> DataFrame:
@@ -155,8 +157,8 @@ def score_windows(df: DataFrame, features: Sequence[str], w: int, scorer: Scorer
     return annotate.consensus(scored)
 
 
-def score_tracks(df: DataFrame, features: Sequence[str], length: int, scorer: Callable[[pd.Series], list[list[int]]]) -> DataFrame:
-    """cell, mol, row, label from a scorer of whole tracks, cut or padded to `length`; padded rows are dropped."""
+def score_tracks(df: DataFrame, features: Sequence[str], length: int | None, scorer: Callable[[pd.Series], list[list[int]]]) -> DataFrame:
+    """cell, mol, row, label from a scorer of whole tracks, padded to the longest, or cut or padded to `length`; padded rows are dropped."""
     p = padded(df.withColumn("_y", F.lit(0)), features, length, "_y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -186,12 +186,13 @@ _add("L-03", lambda s, d: L.order_by_hash(locs(s, d), 3).groupBy("cell_id", "mol
 _add("L-04", lambda s, d: _splits(s, d).select(*KEY, "split"))
 
 
-def _pads(s, d):
-    p = L.padded(locs(s, d), ["photons"], 80)
+def _pads(s, d, length=80):
+    p = L.padded(locs(s, d), ["photons"], length)
     return p.select("cell_id", "mol_id", F.posexplode(F.arrays_zip("x", "y", "mask")).alias("i", "e")).select("cell_id", "mol_id", (F.col("i") + 1).alias("row"), F.col("e")["x"][0].alias("photons"), F.col("e")["y"].alias("label"), F.col("e")["mask"].alias("mask"))
 
 
 _add("L-05", _pads, f"WITH {ROWS}, gg AS (SELECT cell_id, mol_id, CAST(unnest(range(1, 81)) AS INT) AS row FROM (SELECT DISTINCT cell_id, mol_id FROM locs)) SELECT g.cell_id, g.mol_id, g.row, coalesce(photons, 0) AS photons, coalesce(class_label, 0) AS label, CAST(r.row IS NOT NULL AS INT) AS mask FROM gg g LEFT JOIN rw r USING (cell_id, mol_id, row)")
+_add("L-05-longest", lambda s, d: _pads(s, d, None), f"WITH {ROWS}, gg AS (SELECT cell_id, mol_id, CAST(unnest(range(1, most + 1)) AS INT) AS row FROM (SELECT DISTINCT cell_id, mol_id FROM locs), (SELECT max(n) AS most FROM rw)) SELECT g.cell_id, g.mol_id, g.row, coalesce(photons, 0) AS photons, coalesce(class_label, 0) AS label, CAST(r.row IS NOT NULL AS INT) AS mask FROM gg g LEFT JOIN rw r USING (cell_id, mol_id, row)")
 _add("L-06", lambda s, d: L.context_length(locs(s, d)), f"WITH {LOCS} SELECT min(n) - 9 AS context FROM (SELECT count(*) AS n FROM locs GROUP BY cell_id, mol_id)")
 _add("L-07", lambda s, d: L.spans(locs(s, d), 20), f"WITH {LOCS} SELECT cell_id, mol_id, CAST(unnest(range(1, n - 20 + 2, 20)) AS INT) AS start FROM (SELECT cell_id, mol_id, count(*) AS n FROM locs GROUP BY ALL HAVING count(*) >= 20)")
 _add("L-07-random", lambda s, d: L.spans(locs(s, d), 20, 5, 1))
@@ -227,7 +228,7 @@ def _window_scorer(x):
 
 _add("L-14", lambda s, d: L.score_windows(_f(s, d), ["step_nm"], DEFAULT.window, _window_scorer, 3))
 for _k in ("L-15", "L-15b"):
-    _add(_k, lambda s, d: L.score_tracks(_f(s, d), ["step_nm"], 99, lambda x: [[1 if v[0] < 30 else 2 if v[0] < 90 else 3 for v in t] for t in x]), f"WITH {FT} SELECT cell_id, mol_id, CAST(row_number() OVER {TK} AS INT) AS row, CASE WHEN step_nm < 30 THEN 1 WHEN step_nm < 90 THEN 2 ELSE 3 END AS label FROM ft")
+    _add(_k, lambda s, d: L.score_tracks(_f(s, d), ["step_nm"], None, lambda x: [[1 if v[0] < 30 else 2 if v[0] < 90 else 3 for v in t] for t in x]), f"WITH {FT} SELECT cell_id, mol_id, CAST(row_number() OVER {TK} AS INT) AS row, CASE WHEN step_nm < 30 THEN 1 WHEN step_nm < 90 THEN 2 ELSE 3 END AS label FROM ft")
 _add("L-16", lambda s, d: L.cross_validate(E.turn_angle(_f(s, d)), ["step_nm", "turn_angle"], 2, trees=5))
 _MET = """cl AS (SELECT c AS class, sum(CASE WHEN actual = c AND predicted = c THEN n ELSE 0 END) AS tp, sum(CASE WHEN actual = c THEN n ELSE 0 END) AS act, sum(CASE WHEN predicted = c THEN n ELSE 0 END) AS pre FROM cf, (SELECT DISTINCT actual AS c FROM cf UNION SELECT DISTINCT predicted FROM cf) GROUP BY c)"""
 _ms = f"SELECT {q('(SELECT sum(n) FILTER (WHERE actual = predicted) / sum(n) FROM cf)', 'accuracy')}, {q('avg(coalesce(tp / nullif(pre, 0), 0))', 'precision')}, {q('avg(coalesce(tp / nullif(act, 0), 0))', 'recall')}, {q('avg(coalesce(2 * tp / nullif(pre + act, 0), 0))', 'f1')}, {q('avg(coalesce(tp / nullif(pre + act - tp, 0), 0))', 'jaccard')} FROM cl"
