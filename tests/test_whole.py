@@ -44,3 +44,14 @@ def test_padding_is_to_the_longest_track(spark):
     d = spark.createDataFrame([(1, m, f, 1.0, 1) for m, n in ((1, 3), (2, 130)) for f in range(n)], "cell_id int, mol_id long, frame int, v double, class_label int")
     got = {r.mol_id: (len(r.x), len(r.y), sum(r["mask"])) for r in training.padded(d, ["v"]).collect()}
     assert got == {1: (130, 130, 3), 2: (130, 130, 130)}
+
+
+@pytest.mark.parametrize(("key", "column"), [("K-01-200", "traj_idx"), ("A-12-200", "label"), ("A-12-thresholds-200", "label")])
+def test_the_cap_is_200_rows(spark, long_tables, key, column):
+    d, con = long_tables
+    got, c = QUERIES[key](spark, d), con.execute(ORACLE[key])
+    columns = [x[0] for x in c.description]
+    found = [tuple(r) for r in got.collect()]
+    assert rows(got.columns, found) == rows(columns, c.fetchall())
+    events = con.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert sum(r[got.columns.index(column)] is not None for r in found) == events - 30

@@ -181,5 +181,7 @@ def segments(s, d):
 TRAJ = f"{LOCS}, tn AS (SELECT cell_id, mol_id, row_number() OVER (ORDER BY cell_id, mol_id) - 1 AS tj FROM (SELECT DISTINCT cell_id, mol_id FROM locs)), rw AS (SELECT *, row_number() OVER {TK} AS row FROM locs JOIN tn USING (cell_id, mol_id))"
 _add("A-12", lambda s, d: A.external_labels(locs(s, d), segments(s, d), cap=50).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), f"WITH {TRAJ} SELECT cell_id, mol_id, frame, CASE WHEN row <= 50 THEN 1 + (CASE WHEN row <= 15 THEN 1 WHEN row <= 30 THEN 2 ELSE 3 END + tj) % 3 END AS label FROM rw")
 _add("A-12-thresholds", lambda s, d: A.external_labels(locs(s, d), segments(s, d), [1.0, 2.0], 50).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), f"WITH {TRAJ}, kk AS (SELECT *, CASE WHEN row <= 15 THEN 0.5 WHEN row <= 30 THEN 1.5 ELSE 2.5 END + tj % 3 AS k FROM rw) SELECT cell_id, mol_id, frame, CAST(CASE WHEN row <= 50 THEN 1 + CASE WHEN k >= 1 THEN 1 ELSE 0 END + CASE WHEN k >= 2 THEN 1 ELSE 0 END END AS BIGINT) AS label FROM kk")
+_add("A-12-200", lambda s, d: A.external_labels(locs(s, d), segments(s, d)).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), ORACLE["A-12"].replace("row <= 50", "row <= 200"))
+_add("A-12-thresholds-200", lambda s, d: A.external_labels(locs(s, d), segments(s, d), [1.0, 2.0]).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), ORACLE["A-12-thresholds"].replace("row <= 50", "row <= 200"))
 _add("A-13", lambda s, d: A.initialise(locs(s, d)).select("cell_id", "mol_id", "rows", *r("duration"), "status", "sequence"), f"WITH {LOCS} SELECT cell_id, mol_id, count(*) AS rows, {q(f'count(*) / {RATE}', 'duration')}, 'pending' AS status, CAST(NULL AS VARCHAR) AS sequence FROM locs GROUP BY cell_id, mol_id")
 _add("A-15", lambda s, d: A.inspect(ann(s, d), locs(s, d), "photons", 1, 1, ["truth", "model"]).select("frame", *r("time"), "photons", "truth", "model"), f"WITH {LOCS} SELECT frame, {q(f'frame / {RATE}', 'time')}, photons, class_label AS truth, pred_label AS model FROM locs WHERE cell_id = 1 AND mol_id = 1")

@@ -73,6 +73,7 @@ _add("S-08", lambda s, d: S.find_frame(locs(s, d).select("mol_id", (F.col("frame
 _add("S-09", lambda s, d: S.union_datasets({"a": locs(s, d), "b": locs(s, d).where("mol_id % 2 = 0")}).select("dataset_id", *KEY, "x_px"), f"WITH {LOCS} SELECT 'a' AS dataset_id, cell_id, mol_id, frame, x_px FROM locs UNION ALL SELECT 'b', cell_id, mol_id, frame, x_px FROM locs WHERE mol_id % 2 = 0")
 # Sinks
 _add("K-01", lambda s, d: K.segmenter_input(locs(s, d), 50).select("traj_idx", "frame", *r("x", "y")), f"WITH {TRAJ} SELECT tj AS traj_idx, row - 1 AS frame, round(x_px - first_value(x_px) OVER {TK}, 6) + 0.0 AS x, round(y_px - first_value(y_px) OVER {TK}, 6) + 0.0 AS y FROM rw QUALIFY row <= 50")
+_add("K-01-200", lambda s, d: K.segmenter_input(locs(s, d)).select("traj_idx", "frame", *r("x", "y")), ORACLE["K-01"].replace("row <= 50", "row <= 200"))
 
 
 def _splits(s, d):
