@@ -96,7 +96,8 @@ def _coords(s, d):
 _lat = "CASE WHEN v = 0 THEN 0 ELSE v / half / 2 END"
 _csql = f"WITH {_COORDS} SELECT cell_id, mol_id, frame, {q('(tx - 2) / 40 - 0.5', 'longitude', 7)}, {q('tx - 22', 'longitude_px', 7)}, {q(_lat, 'latitude', 7)}, {q('v', 'latitude_px', 7)} FROM w3 WHERE {_mid_only}"
 for _k in ("G-10", "G-11b", "G-12", "G-13"):
-    _add(_k, lambda s, d: _coords(s, d).where(_mid_only).select(*KEY, *r(*_COORD, digits=7)), _csql)
+    # every row; the SQL has the rows of the straight midline only, and caps are held against geometry in tests/test_whole.py
+    _add(_k, lambda s, d: _coords(s, d).select(*KEY, *r(*_COORD, digits=7)), _csql)
 _add("G-14", lambda s, d: _coords(s, d).where("x_px < 2 OR x_px > 42").select(*KEY, *r("longitude_px", "longitude", digits=7)), f"WITH {LOCS} SELECT cell_id, mol_id, frame, {q('x_px - 22', 'longitude_px', 7)}, {q('(x_px - 2) / 40 - 0.5', 'longitude', 7)} FROM locs WHERE x_px < 2 OR x_px > 42")
 _add("G-15", lambda s, d: G.rotate(locs(s, d), 30.0).select(*KEY, *r("x_rot", "y_rot", digits=4)), f"WITH {LOCS} SELECT cell_id, mol_id, frame, {q('x_px * cos(radians(30)) - y_px * sin(radians(30))', 'x_rot', 4)}, {q('x_px * sin(radians(30)) + y_px * cos(radians(30))', 'y_rot', 4)} FROM locs")
 _add("G-16", lambda s, d: G.link_tracks(locs(s, d).withColumnRenamed("mol_id", "true_mol")).select("cell_id", "frame", "true_mol", "mol_id", "x_px", "y_px"))
