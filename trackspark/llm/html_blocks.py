@@ -7,14 +7,20 @@ import re
 from collections.abc import Callable
 
 #: Element names of the HTML standard by how a page's text treats them.
-RAW = frozenset("script style template noscript iframe object svg math canvas audio video textarea select option head title".split())
+RAW = frozenset("script style iframe textarea title".split())
+#: Elements inside a line that can hold blocks.
+EMBEDDED = frozenset("noscript object svg math canvas audio video select".split())
+#: What a head can hold; anything else ends it.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 ZONES = frozenset("article main nav aside footer header form section body dialog menu".split())
 #: Elements that a start tag of the same group ends.
 _ENDS = {t: frozenset(g.split()) for g in ("li", "dt dd", "tr", "td th", "option", "p") for t in g.split()}
 _P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_SCOPE = frozenset("article aside body div footer form header main nav ol section table td th ul dl".split())
+#: Elements of a drawing whose text stands alone.
+_DRAWN = frozenset("text title desc foreignobject".split())
+_SCOPE = frozenset("template object svg math select datalist article aside body div footer form header main nav ol section table td th ul dl".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*+>)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
@@ -24,10 +30,11 @@ _WORD = re.compile(r"[a-z]+")
 class Frame:
     """An open element: the names its blocks inherit, and their score."""
 
-    __slots__ = ("tag", "names", "zones", "link", "score", "inline")
+    __slots__ = ("tag", "names", "zones", "link", "score", "inline", "hidden", "foreign")
 
-    def __init__(self, tag: str, names: frozenset[str], zones: tuple[str, ...], link: bool, score: float, inline: bool):
+    def __init__(self, tag: str, names: frozenset[str], zones: tuple[str, ...], link: bool, score: float, inline: bool, hidden: bool = False, foreign: bool = False):
         self.tag, self.names, self.zones, self.link, self.score, self.inline = tag, names, zones, link, score, inline
+        self.hidden, self.foreign = hidden, foreign  # in a template; in a drawing or formula
 
 
 def tokens_of(attributes: str) -> set[str]:
@@ -64,7 +71,8 @@ def text_names(text: str, tag: str, linked: int, previous: int) -> list[str]:
 def leaf_blocks(page: str, weigh: Callable[[str], float] | None = None) -> list[tuple[str, Frame, str, int]]:
     """(text, frame, leaf tag, characters inside links) of each block with text, in page order.
 
-    weigh gives a feature's weight, so that scores of ancestors are summed once when an element opens.
+    weigh gives a feature's weight, so that scores of ancestors are summed once when an element opens. Scripts, styles, frames, fields, titles and
+    templates have no text; a head ends at the first thing that it can't hold.
     """
     value = weigh or (lambda _: 0.0)
     root = Frame("", frozenset(), (), False, 0.0, False)
@@ -86,8 +94,18 @@ def leaf_blocks(page: str, weigh: Callable[[str], float] | None = None) -> list[
             parts = []
         linked = 0
 
+    def end_head() -> None:
+        for i, f in enumerate(stack[:4]):
+            if f.tag == "head":
+                del stack[i:]
+                return
+
     def say(raw: str) -> None:
         nonlocal linked, home
+        if stack[-1].hidden:
+            return
+        if not raw.isspace():
+            end_head()
         if not parts:
             if raw.isspace():
                 return
@@ -111,24 +129,30 @@ def leaf_blocks(page: str, weigh: Callable[[str], float] | None = None) -> list[
             continue
         tag, closing = m[2].lower(), m[1] == "/"
         if closing:
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in EMBEDDED and not (stack[-1].foreign and stack[-1].tag == tag and stack[-1].inline):
                 flush()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    if not all(f.inline for f in stack[i:]):
+                        flush()
                     del stack[i:]
                     break
                 if tag in INLINE and not stack[i].inline:
                     break
             continue
-        if tag in RAW:
-            if tag == "head":  # ends at its end tag or the body
-                stop = re.compile(r"</head\s*>|(?=<body\b)", re.I).search(page, at)
-            else:
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+        if tag in RAW and not (tag == "title" and stack[-1].foreign):
+            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if not m[3].rstrip().endswith("/"):
                 at = stop.end() if stop else end
             continue
-        if tag not in INLINE:
+        if tag not in HEAD and not stack[-1].hidden:
+            end_head()
+        if stack[-1].foreign and (tag in _P_ENDERS or tag in ZONES or tag in _ENDS):
+            flush()
+            del stack[next(i for i, f in enumerate(stack) if f.foreign) :]
+        foreign = tag in ("svg", "math") or stack[-1].foreign and tag != "foreignobject"
+        inline = tag in INLINE or tag in EMBEDDED or tag == "template" or foreign and tag not in _DRAWN
+        if not inline:
             flush()
         if tag in VOID or m[3].endswith("/") and tag not in ZONES:
             continue
@@ -138,7 +162,7 @@ def leaf_blocks(page: str, weigh: Callable[[str], float] | None = None) -> list[
             _close(stack, _ENDS[tag])
         top = stack[-1]
         attributes = m[3]
-        names = {f"in={tag}"} if tag not in INLINE else set()
+        names = {f"in={tag}"} if not inline else set()
         if "=" in attributes:
             names.update("name=" + t for t in tokens_of(attributes))
         new = names - top.names
@@ -148,7 +172,7 @@ def leaf_blocks(page: str, weigh: Callable[[str], float] | None = None) -> list[
             zones = (*zones[-1:], tag)
             zone = "zones=" + ">".join(zones)
             score += value(zone) - (value("zones=" + ">".join(top.zones)) if top.zones else 0.0)
-        stack.append(Frame(tag, top.names | new if new else top.names, zones, top.link or tag == "a", score, tag in INLINE))
+        stack.append(Frame(tag, top.names | new if new else top.names, zones, top.link or tag == "a", score, inline, top.hidden or tag == "template", foreign))
     flush()
     return blocks
 

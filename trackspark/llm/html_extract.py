@@ -8,7 +8,8 @@ trained by maximum likelihood on labelled pages (forward-backward, gradient step
 The text of a page is its article blocks in page order, joined by one space. Character references are decoded; white space in
 a block is one space; nothing is cut.
 
-Defined cases: a null or empty html has an empty text; a page that ends inside a tag loses only that tag; unclosed elements end with their parent;
+Defined cases: a null or empty html has an empty text; a page that ends inside a tag loses only that tag; unclosed elements end with their parent,
+and unclosed scripts, styles, frames, text fields and titles with the page, as in browsers;
 a page without article blocks has an empty text; repeated rows are extracted each. Extra columns are kept.
 """
 
