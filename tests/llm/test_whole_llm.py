@@ -1,7 +1,11 @@
 """Nothing is dropped: markup that closes late or never, unusual rows, labels beyond the samples."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from trackspark.llm import quality
 from trackspark.llm.html_blocks import leaf_blocks
 
 
@@ -32,3 +36,24 @@ def words(page):
 )
 def test_html_text_reaches_the_field(page, text):
     assert words(page) == text
+
+
+def test_threshold_is_over_all_labels(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" + "!" * ((i * j) % 11 % (3 if i % 10 else 9)) for j in range(30))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(600)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, 20)  # a sample of as many bad as good ones; 10 % of all are bad
+    known = {r[0] for r in labels.where(~quality.held_out()).collect()}
+    s = np.sort(model.strength(quality.features(pa.array([t for i, t in rows if i in known]))).round(9))
+    first, last = quality.near_ranks(sum(i % 10 == 0 for i in known), len(known))
+    gaps = s[first : last + 1] - s[first - 1 : last]
+    k = first + int(np.argmax(gaps))
+    assert model.threshold == pytest.approx((s[k - 1] + s[k]) / 2, abs=1e-7)
+    low = quality.score(docs, model).join(labels.where(~quality.held_out()), "doc_id").where(F.col("score") < quality.CUT).count()
+    assert first <= low <= last
+
+
+def test_threshold_of_equal_strengths(spark):
+    docs = spark.createDataFrame([(i, "the same words") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    assert quality.score(docs, quality.fit(docs, labels)).select("score").distinct().count() == 1

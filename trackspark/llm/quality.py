@@ -2,11 +2,12 @@
 
 Every document has a strength w.x, linear in features of its whole text; that a good document is preferred to a bad one has
 probability sigmoid(w.(x_good - x_bad)). The weights minimise the logistic loss over pairs of differences. The threshold is a
-quantile of the strengths of the documents learned from, at the share of bad ones among them (the widest gap near it); the score is a sigmoid that
-takes the value CUT at this threshold.
+quantile of the strengths of all labelled documents that are not held out, at the share of bad ones among them (the widest gap near it); the score is a
+sigmoid that takes the value CUT at this threshold.
 
-Fitted on at most SAMPLE documents of each label (smallest hash of the id) that are not held out; their ids are bounded and
-may be broadcast, and only their feature rows come to the driver. Every document is scored.
+The weights are fitted on at most SAMPLE documents of each label (smallest hash of the id) that are not held out; their ids are bounded and
+may be broadcast, and only their feature rows come to the driver. Share and quantile are exact, over all that are not held out: Spark ranks their strengths,
+and a row a partition comes to the driver. Every document is scored.
 
 Defined cases: a null text counts as empty, and empty texts have features of zeros; null labels or ids are not learned from; with labels of
 one kind only, or none, every score is the share of good labels (0.5 without any); repeated rows are scored each. Extra columns are kept.
@@ -16,11 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import map_batches
+from .common import map_batches, written
 from .folds import held_out, sample_by
 from .shingles import _distinct, chunks, word_hashes
 
@@ -85,6 +86,11 @@ def _repeated_lines(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_ranks(bad: int, total: int) -> tuple[int, int]:
+    """The first and last number of documents below the threshold."""
+    return max(1, int(bad - NEAR * total)), min(total - 1, int(bad + NEAR * total) + 1)
+
+
 class Model:
     """Standardised features, weights, and the threshold of strengths; without weights a constant score."""
 
@@ -111,15 +117,18 @@ class Model:
         self.w = w
         strength = np.sort(z @ w)
         # The quantile is good to within NEAR of the ranks; the threshold is the widest gap there.
-        k, near = len(bad) / len(y) * len(strength), NEAR * len(strength)
-        ranks = np.arange(max(1, int(k - near)), min(len(strength) - 1, int(k + near) + 1) + 1)
+        first, last = near_ranks(len(bad), len(y))
+        ranks = np.arange(first, last + 1)
         k = ranks[np.argmax(strength[ranks] - strength[ranks - 1])]
         self.threshold = float((strength[k - 1] + strength[k]) / 2)
 
+    def strength(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -20, 20) @ self.w
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.w is None:
             return np.full(len(x), self.constant)
-        strength = np.clip((x - self.mean) / self.scale, -20, 20) @ self.w - self.threshold
+        strength = self.strength(x) - self.threshold
         return 1 / (1 + np.exp(-np.clip(strength + np.log(CUT / (1 - CUT)), -500, 500)))
 
 
@@ -131,7 +140,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, len(FEATURES)))
     y = np.array([r["quality"] for r in rows])
     order = np.lexsort([*x.T, y]) if len(y) else np.empty(0, int)  # the rows arrive in any order
-    return Model(x[order], y[order])
+    model = Model(x[order], y[order])
+    if model.w is not None:
+        model.threshold = threshold(docs, known, model)
+    return model
+
+
+def threshold(docs: DataFrame, known: DataFrame, model: Model) -> float:
+    """The middle of the widest gap near the quantile of the strengths of all docs with a label in known (doc_id, quality)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = model.strength(features(batch.column("text"))).round(9)  # alike in batches of any size
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "s"])
+
+    strengths = map_batches(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text"), run, f"doc_id {kind}, s double")
+    each = strengths.join(known, "doc_id").groupBy("doc_id").agg(F.min("s").alias("s"), F.min("quality").alias("quality"))
+    values = each.groupBy("s").agg(F.count("*").alias("n"), F.sum(1 - F.col("quality")).alias("bad"))
+    placed = written(values.sort("s").withColumn("p", F.spark_partition_id()))
+    parts = placed.groupBy("p").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("s").alias("low")).orderBy("p").collect()
+    first, last = near_ranks(sum(r["bad"] for r in parts), sum(r["n"] for r in parts))
+    starts, before = [], 0
+    for r, after in zip(parts, [*parts[1:], None], strict=True):
+        starts.append((r["p"], before, after and after["low"]))
+        before += r["n"]
+    w = Window.partitionBy("p").orderBy("s")
+    ranked = placed.join(F.broadcast(docs.sparkSession.createDataFrame(starts, "p int, o long, after double")), "p")
+    ranked = ranked.select("s", (F.col("o") + F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("rank"), F.coalesce(F.lead("s").over(w), "after").alias("next"))
+    best = ranked.agg(
+        F.max(F.when(F.col("rank").between(first, last), F.struct(F.col("next") - F.col("s"), -F.col("s"), "next"))).alias("gap"),
+        F.min(F.when(F.col("rank") >= first, F.col("s"))).alias("same"),  # where all of them are equal
+    ).first()
+    return float((best["gap"]["next"] - best["gap"][1]) / 2) if best["gap"] and best["gap"]["next"] is not None else float(best["same"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
