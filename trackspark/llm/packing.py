@@ -11,8 +11,12 @@ Documents are cut where a window ends or their queue's share of it does. Every w
 Steps: tokens are written once, with a running count a source within each partition; one small aggregate (a row for each
 partition and source) gives where each partition's part of a queue starts; then every document finds its windows alone.
 
-Defined cases: a null text is empty and gives the end token only; a null source is a queue of its own; repeated rows are
-packed each; an empty table gives no pieces. Weights must be positive; sources without a given weight raise an error.
+Without given weights the MAX_QUEUES - 1 largest sources are queues, and all smaller ones together are one more, of their share of the tokens:
+their documents follow each other by partition, then source. Only one number a queue comes to the driver.
+
+Defined cases: a null text is empty and gives the end token only; a null source is a queue of its own, and null ids are kept; repeated rows are
+packed each; a text of any length is cut into as many pieces as it needs; an empty table gives no pieces; columns beside id, text and source are ignored, whatever
+their names. Weights must be positive; sources without a given weight raise an error.
 """
 
 from __future__ import annotations
@@ -30,8 +34,6 @@ from .word_tokens import WordTokens
 
 WINDOW = 4096
 END_ID = 2
-#: Weights are whole numbers with about this sum, so that products with token counts stay exact.
-WEIGHT_UNITS = 65_536
 #: Queues are the components of a mixture; their lengths come to the driver, one number each.
 MAX_QUEUES = 10_000
 
@@ -69,12 +71,19 @@ class Shares:
             lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
         n = self._due(lo)
         left = goal - n.sum(axis=1)
-        while (rows := np.flatnonzero(left > 0)).size:
+        while (rows := np.flatnonzero(left > 0)).size:  # tokens due at one time: a token a queue, in their order
             key = np.where(n[rows] < self.lengths, (n[rows] + 0.5) / self.weights, np.inf)
-            n[rows, key.argmin(axis=1)] += 1
-            left[rows] -= 1
+            place = np.argsort(np.argsort(key, axis=1, kind="stable"), axis=1)
+            more = (place < left[rows, None]) & (key < np.inf)
+            n[rows] += more
+            left[rows] -= more.sum(axis=1)
         return n
 
+    def deficits(self, w: np.ndarray) -> np.ndarray:
+        """Tokens that each queue is owed after so many windows, by its share of all that were given, less what it got; below zero if it got more."""
+        got = self.after(w)
+        return got.sum(axis=1)[:, None] * (self.weights / self.weights.sum()) - got
+
     def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
         """Document, start in its queue, length, window and offset in the window of each piece; documents are given by queue, start and length."""
         empty = np.empty(0, np.int64)
@@ -150,34 +159,46 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
     return written(chosen.mapInArrow(run, "doc_id long, source string, part int, before long, n long, ids binary"))
 
 
-def pack(tokens: DataFrame, window: int = WINDOW, weights: dict[str | None, float] | None = None) -> DataFrame:
+def pack(tokens: DataFrame, window: int = WINDOW, weights: dict[str | None, float] | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
     """Pieces of the documents of tokenize(): doc_id, source, start, length, doc_tokens, sequence_id, offset, ids (of the piece).
 
     weights: target proportions of tokens by source; None takes the proportions of the table, so that all queues end together.
     """
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    totals = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_QUEUES + 1).collect()}
-    if len(totals) > MAX_QUEUES:
-        raise ValueError(f"more than {MAX_QUEUES} sources; group them into the components of a mixture first")
+    each = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    if weights is None:
+        top = each.orderBy(F.desc("n"), F.col("source").asc_nulls_first()).limit(max_queues).collect()
+    else:
+        top = each.limit(len(weights) + 1).collect()
+        if missing := [r["source"] for r in top if not weights.get(r["source"], 0) > 0]:
+            raise ValueError(f"no weight for {missing}")
+    totals = {r["source"]: r["n"] for r in top}
+    merged = weights is None and len(totals) == max_queues
+    if merged:  # the last one of these heads the merged queue
+        totals.popitem()
     queues = sorted(totals, key=lambda s: (s is not None, s))
-    target = {s: float(n) for s, n in totals.items()} if weights is None else weights
-    if missing := [s for s in queues if not target.get(s, 0) > 0]:
-        raise ValueError(f"no weight for {missing}")
-    whole = sum(target[s] for s in queues) or 1.0
-    units = np.array([max(1, round(WEIGHT_UNITS * target[s] / whole)) for s in queues])
-    lengths = np.array([totals[s] for s in queues], dtype=np.int64)
-    number = {s: i for i, s in enumerate(queues)}
-
-    base = sums.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).select(F.col("source").alias("_s"), F.col("part").alias("_p"), "base")
+    names = tokens.sparkSession.createDataFrame([(s, i) for i, s in enumerate(queues)], "_s string, queue int")
+    lengths = [totals[s] for s in queues]
+    if merged:
+        lengths.append((each.agg(F.sum("n")).first()[0] or 0) - sum(lengths))
+    lengths = np.array(lengths, dtype=np.int64)
+    units = lengths.astype(np.float64) if weights is None else np.array([float(weights[s]) for s in queues])
+
+    # where each run of a source in a partition starts in its queue: first within partitions, then over them
+    runs = sums.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("queue", F.coalesce("queue", F.lit(len(queues)))).drop("_s")
+    parts = runs.groupBy("queue", "part").agg(F.sum("n").alias("m"))
+    parts = parts.withColumn("ahead", F.sum("m").over(Window.partitionBy("queue").orderBy("part")) - F.col("m")).drop("m")
+    inner = F.sum("n").over(Window.partitionBy("queue", "part").orderBy(F.col("source").asc_nulls_first())) - F.col("n")
+    base = runs.withColumn("inner", inner).join(parts, ["queue", "part"]).select(F.col("source").alias("_s"), F.col("part").alias("_p"), "queue", (F.col("ahead") + F.col("inner")).alias("base"))
     placed = tokens.join(base, (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
-    placed = placed.select("doc_id", "source", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    placed = placed.select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = Shares(lengths, units, window)
         for batch in batches:
             for begin in range(0, batch.num_rows, 4000):
                 rows = batch.slice(begin, 4000)
-                queue = np.array([number[s] for s in rows.column("source").to_pylist()], dtype=np.int64)
+                queue = rows.column("queue").to_numpy().astype(np.int64)
                 at, n = rows.column("at").to_numpy(), rows.column("n").to_numpy()
                 doc, a, length, w, offset = shares.pieces(queue, at, n)
                 start = a - at[doc]

@@ -2,18 +2,19 @@
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, after A-Z became a-z. The shingles of a text are its runs of
 `width` words; a text of fewer words has one shingle, the whole sequence; a text without words, or a null, has none.
+
+Two different shingles of a table of n have equal hashes by chance only (n * n / 2**65 pairs to be expected).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
-_C = np.uint64(0xD1342543DE82EF95)
+_B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that are hashed at once; a longer text is a chunk of its own.
 CHUNK = 1 << 20
@@ -22,7 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
+#: Words of more bytes are hashed one by one, with a cryptographic hash.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,16 +34,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.empty(max(n, CHUNK + 1), dtype=np.uint64)
-        have[0] = 1
-        have[1:] = base
-        np.multiply.accumulate(have, out=have)
-        if n <= CHUNK + 1:
-            _powers[name] = have
-    return have[:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, A-Z as a-z; zeros follow the end."""
+    folded = np.zeros(len(data) + 8, dtype=np.uint8)
+    folded[: len(data)] = _LOWER[data]
+    return np.ndarray((len(data),), "<u8", folded, strides=(1,))
+
+
+def block(view: np.ndarray, s: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k to 8k+8 of the words that start at s and are longer than 8k; bytes behind a word are zero."""
+    beyond = np.maximum(0, 8 * (k + 1) - length).astype(np.uint64) * np.uint64(8)
+    return view[s + 8 * k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> beyond)
+
+
+def _hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of each word, a block of eight bytes after the other; different words of one length up to 8 never have the same."""
+    length = e - s
+    view = eights(data)
+    h = mix(length.astype(np.uint64) * _C)
+    rows = np.flatnonzero(length <= LONG)
+    for k in range(LONG // 8):
+        rows = rows[length[rows] > 8 * k]
+        if not len(rows):
+            break
+        h[rows] = mix((h[rows] + _B) ^ block(view, s[rows], length[rows], k))
+    for i in np.flatnonzero(length > LONG).tolist():
+        raw = _LOWER[data[s[i] : e[i]]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, cut: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,10 +83,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, cut: Callable[[np.ndarray,
     ends[:-1] &= ~solid[1:] | edge[1:n] | begins[1:]
     s = np.flatnonzero(begins)
     e = np.flatnonzero(ends) + 1
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _power(_B, "b", n), out=total[1:])
-    h = (total[e] - total[s]) * _power(_B_INVERSE, "inverse", n)[s]
-    return mix(h + (e - s).astype(np.uint64) * _C), s, e, np.searchsorted(s, starts)
+    return _hash(data, s, e), s, e, np.searchsorted(s, starts)
 
 
 def chunks(texts: pa.Array):

@@ -1,8 +1,8 @@
 """Token ids of a word-level BPE tokenizer (lower case, white space dropped), for whole columns.
 
 The tokenizer's splitter never joins text across white space, nor letters with digits or with other characters, so each such
-run has ids of its own. The distinct runs of a batch are found with numpy by hash; only those are encoded, with a bounded
-cache that lasts as long as the Python worker. Where these rules could fail, a run up to the next white space is kept whole and
+run has ids of its own. The distinct runs of a batch are found with numpy by hash, and every run is compared, byte by byte, with the one
+that stands for its hash, so ids never depend on chance; only distinct runs are encoded, with a bounded cache that lasts as long as the Python worker. Where these rules could fail, a run up to the next white space is kept whole and
 goes through the tokenizer's own pattern: with an apostrophe, or with characters beyond the common Latin letters.
 """
 
@@ -14,7 +14,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from .shingles import chunks, word_hashes
+from .shingles import block, chunks, eights, word_hashes
 
 #: Entries of the cache of runs; the first that come, the frequent ones, stay.
 CACHE = 400_000
@@ -48,6 +48,20 @@ def _cut(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
         new &= np.cumsum(inside[:-1]) == 0
     return new
 
+
+def _lead(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Length and first 16 bytes of each run."""
+    out = np.zeros((len(s), 3), np.uint64)
+    length = e - s
+    out[:, 0] = length
+    if len(s):
+        view = eights(data)
+        out[:, 1] = block(view, s, length, 0)
+        longer = np.flatnonzero(length > 8)
+        out[longer, 2] = block(view, s[longer], length[longer], 1)
+    return out
+
+
 _loaded: dict[str, WordTokens] = {}
 
 
@@ -102,29 +116,43 @@ class WordTokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's ids start (one more entry than texts)."""
-        hashes, spans, firsts = [], [], []
+        hashes, spans, firsts, leads = [], [], [], []
         known = self.runs.get
         words = 0
         for _, _, part, starts in chunks(texts):
             h, s, e, at = word_hashes(part, starts, _cut)
             hashes.append(h)
             firsts.append(at[:-1] + words)
-            spans.append((words, part, s, e))
+            spans.append((words, part.tobytes(), s, e))
+            leads.append(_lead(part, s, e))
             words += len(h)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-        order = np.argsort(first)
-        place = 0
+        bounds = np.array([x[0] for x in spans] + [words])
+
+        def raw_of(word: int) -> bytes:
+            begin, raw, s, e = spans[int(np.searchsorted(bounds, word, side="right")) - 1]
+            return raw[s[word - begin] : e[word - begin]]
+
         ids: list[array.array] = [None] * len(distinct)  # type: ignore[list-item]
-        bounds = [x[0] for x in spans] + [words]
+        order = np.argsort(first)
         of = first[order]
-        for k, (begin, part, s, e) in enumerate(spans):
+        place = 0
+        for k, (begin, view, s, e) in enumerate(spans):
             stop = int(np.searchsorted(of, bounds[k + 1]))
-            view = part.tobytes()
             for d, a, b in zip(order[place:stop].tolist(), s[of[place:stop] - begin].tolist(), e[of[place:stop] - begin].tolist(), strict=True):
                 raw = view[a:b]
                 ids[d] = known(raw) or self.run(raw)
             place = stop
+        if words:
+            lead = np.concatenate(leads)
+            stands = first[which]
+            differ = (lead != lead[stands]).any(axis=1)
+            for w in np.flatnonzero(~differ & (lead[:, 0] > 16) & (stands != np.arange(words))).tolist():
+                differ[w] = raw_of(w).lower() != raw_of(int(stands[w])).lower()
+            for w in np.flatnonzero(differ).tolist():  # another run has the same hash
+                which[w] = len(ids)
+                ids.append(self.run(raw_of(w)))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.frombuffer(b"".join(ids), dtype=f"<u{2 if self.kind == 'H' else 4}") if ids else np.empty(0, np.uint16)
         begins = np.cumsum(lengths) - lengths
