@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
-A text is halved until its parts are short; parts are encoded alone; neighbours are joined up the tree. A join re-encodes a
+A text of any length is halved until its parts have at most LEAF characters, some ten words; parts are encoded alone; neighbours are joined up the tree. A join re-encodes a
 window around the seam that grows on either side until what lies outside is proven to stay:
 
 * at a place where no match of the splitting pattern can reach across (text up to white space, a run of letters up to
@@ -9,14 +9,17 @@ window around the seam that grows on either side until what lies outside is prov
 * inside one long match (a run of one class without such a place), at tokens t, u that encode to themselves when joined:
   a sequence all of whose neighbours have this property is the encoding of its bytes.
 
-Decoding concatenates the bytes of the tokens up the same tree. Ids equal those of encoding the whole text at once.
+Decoding concatenates the bytes of the tokens up a tree of halves. Ids equal those of encoding the whole text at once.
 
-Defined cases: a null text is encoded as the empty text, which has no ids; null ids decode to no bytes; null entries of an id array are not allowed.
+Defined cases: a null text is encoded as the empty text, which has no ids; a null id array, and null entries of one, decode to no bytes; ids
+outside the vocabulary raise an error; very long texts and runs without any safe place are joined like others; repeated rows are encoded each; an
+empty table gives no rows. Extra columns are kept, except one of the name of the result, which the result replaces.
 """
 
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .common import map_batches
 
 #: Characters of a leaf, ids of a leaf, and the first width of a window.
-LEAF, LEAF_IDS, WINDOW = 16_384, 65_536, 64
+LEAF, LEAF_IDS, WINDOW = 96, 64, 64
+#: Width of a window from which the inside of a single match is tried.
+INSIDE = 512
 
 _loaded: dict[tuple[str, str], ByteBpe] = {}
 
@@ -41,6 +46,7 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.tokens = {i: b for b, i in ranks.items()}
+        self.bytes = {i: len(b) for b, i in ranks.items()}
         self.safe = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})")
 
     @classmethod
@@ -59,31 +65,42 @@ class ByteBpe:
         return self._join(text, a, mid, b, self._encode(text, a, mid, leaf), self._encode(text, mid, b, leaf))
 
     def _join(self, text: str, a: int, mid: int, b: int, left: list[int], right: list[int]) -> list[int]:
-        width = WINDOW
-        while True:
-            lo, hi = max(a, mid - width), min(b, mid + width)
-            # a safe place needs the character on either side of it, and must not be the seam itself
-            starts = [m.start() for m in self.safe.finditer(text, lo, mid) if lo < m.start() < mid]
-            ends = next((m.start() for m in self.safe.finditer(text, mid, hi) if mid < m.start() < hi), None)
-            if (starts or lo == a) and (ends is not None or hi == b):
-                break
-            if width >= 4096 and (found := self._inside(left, right, text, lo, mid, hi)) is not None:
-                return found
-            width *= 2
-        start, end = starts[-1] if starts else a, b if ends is None else ends
-        keep = self._without(left, len(text[start:mid].encode()), last=True)
-        skip = self._without(right, len(text[mid:end].encode()), last=False)
-        return left[:keep] + self.encoding.encode_ordinary(text[start:end]) + right[skip:]
-
-    def _without(self, ids: list[int], n: int, last: bool) -> int:
-        """How many ids stay before (last) or go (else) when n bytes are taken from the end or the start."""
-        k = 0
+        start, end = self._window(text, a, mid, b)
+        if start is None or end is None:
+            width = WINDOW
+            while True:
+                lo, hi = max(a, mid - width), min(b, mid + width)
+                # a safe place needs the character on either side of it, and must not be the seam itself
+                starts = [m.start() for m in self.safe.finditer(text, lo, mid) if lo < m.start() < mid]
+                ends = next((m.start() for m in self.safe.finditer(text, mid, hi) if mid < m.start() < hi), None)
+                if (starts or lo == a) and (ends is not None or hi == b):
+                    break
+                if width >= INSIDE and (found := self._inside(left, right, text, lo, mid, hi)) is not None:
+                    return found
+                width *= 2
+            start, end = starts[-1] if starts else a, b if ends is None else ends
+        keep, n = len(left), _size(text[start:mid])
         while n > 0:
-            k += 1
-            n -= len(self.tokens[ids[-k if last else k - 1]])
-        if n < 0:
+            keep -= 1
+            n -= self.bytes[left[keep]]
+        skip, m = 0, _size(text[mid:end])
+        while m > 0:
+            m -= self.bytes[right[skip]]
+            skip += 1
+        if n < 0 or m < 0:
             raise AssertionError("a safe place lies inside a token")
-        return len(ids) - k if last else k
+        return left[:keep] + self.encoding.encode_ordinary(text[start:end]) + right[skip:]
+
+    def _window(self, text: str, a: int, mid: int, b: int) -> tuple[int | None, int | None]:
+        """The nearest safe places within WINDOW before a space, which most texts have; the bounds of the parts where they are as near; else None."""
+        lo, hi = max(a, mid - WINDOW), min(b, mid + WINDOW)
+        start = text.rfind(" ", lo + 1, mid)
+        while start > lo and text[start - 1].isspace():
+            start = text.rfind(" ", lo + 1, start)
+        end = text.find(" ", mid + 1, hi)
+        while end >= 0 and text[end - 1].isspace():
+            end = text.find(" ", end + 1, hi)
+        return start if start > lo else a if lo == a else None, end if end >= 0 else b if hi == b else None
 
     def _inside(self, left: list[int], right: list[int], text: str, lo: int, mid: int, hi: int) -> list[int] | None:
         """The join within one match of letters that covers the whole window, or None if it isn't such a match."""
@@ -112,11 +129,15 @@ class ByteBpe:
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:
-            return self.encoding.decode_bytes(ids)
+            return b"".join([self.tokens[i] for i in ids])
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
+def _size(part: str) -> int:
+    return len(part) if part.isascii() else len(part.encode())
+
+
 def _others(df: DataFrame, drop: list[str], new: StructField) -> StructType:
     return StructType([f for f in df.schema.fields if f.name not in (*drop, new.name)] + [new])
 
@@ -133,7 +154,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
             part = batch.slice(at, 500)
             found = [bpe.encode(t or "", leaf) for t in part.column(text).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = np.fromiter((i for x in found for i in x), np.int32, int(offsets[-1]))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             parts.append(pa.table({n: ids if n == out else part.column(n) for n in names}))
         return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], pa.list_(pa.int32())) if n == out else batch.column(n) for n in names})
@@ -148,7 +169,15 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = ByteBpe.load(path, pattern)
-        raw = pa.array([bpe.decode(x.as_py() or []) for x in batch.column(ids)], pa.binary())
+        lists = batch.column(ids)
+        flat = lists.flatten()
+        known = flat.fill_null(-1).to_numpy().tolist()
+        sizes = lists.value_lengths().fill_null(0).to_numpy()
+        ends = np.cumsum(sizes)
+        parts = [known[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        if flat.null_count:
+            parts = [[i for i in part if i >= 0] for part in parts]
+        raw = pa.array(map(bpe.decode, parts), pa.binary())
         return pa.RecordBatch.from_arrays([raw if n == out else batch.column(n) for n in names], names=names)
 
     return map_batches(df, run, schema)
