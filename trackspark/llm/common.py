@@ -19,8 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, which is set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder that all executors see.
+
+    It is under spark.checkpoint.dir; where that is unset, under the context's checkpoint folder; else, on a cluster, under the warehouse, and
+    in a local session, whose driver and executors are one machine, in a temporary folder, which is set as spark.checkpoint.dir.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if not base:
         base = tempfile.mkdtemp(prefix="trackspark-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -35,6 +41,14 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores in front as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: StructType | str) -> DataFrame:
     """fn over each Arrow batch of df; the number of partitions stays."""
 

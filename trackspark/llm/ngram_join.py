@@ -3,43 +3,55 @@
 Documents are sets of distinct 5-word shingle hashes; two link when 100 * intersection >= 75 * union. The result is exact: every
 linked pair is found, whatever the sizes of groups. Linked pairs of n and m shingles share at least T = ceil(3 (n + m) / 7).
 
-1. Equal sets are one class, with one representative; all else works on classes.
+1. Equal sets are one class, known by the hash of the set; all else works on classes, and the text of one row stands for each.
 2. A class lists the n - ceil(3n/4) + l smallest of its hashes, l = ceil(n * SPARE). Two linked classes have at least
    l (of the larger) of these in common, whichever ends first. Hashes that no other class lists drop out; a class left with
    fewer than l of them has no partner. Of the others the l - 1 most frequent are set aside (the long lists): in the order of
    frequency, the first common hash of a linked pair is never among them. So passages that very many documents share join
    nothing by themselves.
 3. Each remaining hash has a smallest class; a class is at home with the smallest of these. Classes of one home are cut into
-   blocks of bounded size, and a class visits the blocks in which another class lists one of its hashes: links never lead elsewhere.
+   blocks of bounded size. First every block is searched by itself, together with its home: this connects groups of copies
+   at the cost of one visit a class. Then a class visits the other blocks in which a class that isn't yet connected with it lists
+   one of its hashes: links that connect anything new never lead elsewhere.
 4. Two blocks that visit each other are a cell. In a cell the shingles of one block's visitors are inverted lists, and every set of the
-   other's is a query by DivideSkip: short lists are merged and counted, the L longest are probed by binary search for the rows
-   that already have T - L. A cell returns, for each class, one class it is connected to, not all pairs.
+   other's is a query by DivideSkip: the short lists are merged by a heap that skips rows which can't reach T - L, the L longest are
+   probed by binary search for the rows that have T - L. Rows that are connected with the query already take no part. A cell returns,
+   for each class, one class it is connected to, not all pairs.
 5. Connected components of these over classes give the groups.
 
+Cells are searched together up to SHINGLES_TOGETHER shingles; a class of any size fits. Of passages that make more than a quarter of many documents
+the visits still grow as documents times their blocks.
+
 Defined cases: a null or wordless text has no shingles and links with nothing, not even with another empty one; a text of
-fewer than five words is one shingle, its whole sequence; repeated rows are copies; null ids are kept, but name no group unless
-alone; an empty table gives no rows. Extra columns are ignored.
+fewer than five words is one shingle, its whole sequence; repeated rows are copies; rows of one id with different texts are different documents;
+rows without id link like others, but name a group only if no row of it has an id (then null); an empty table gives no rows. near_duplicates() ignores
+extra columns; one_of_each() keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_batches, written
+from .common import free_name, map_batches, written
 from .components import connected_components
 from .shingles import set_id, shingle_sets
 
 WIDTH = 5
 #: Share of a set's size by which its list is longer than a single common hash needs.
 SPARE = 0.08
-#: Classes of a block, and visits of the cells that one call of the search takes together, about.
-BLOCK, TOGETHER = 256, 2000
+#: Classes and shingles of a block, and shingles of the cells that one call of the search takes together, about.
+BLOCK, BLOCK_SHINGLES, SHINGLES_TOGETHER = 256, 1 << 20, 1 << 21
+#: Cost of a step of the heap against one of a binary search: the larger, the fewer lists are long.
+MU = 0.1
 
 
 def listed(n: int) -> tuple[int, int]:
@@ -48,11 +60,6 @@ def listed(n: int) -> tuple[int, int]:
     return min(n, n - (3 * n + 3) // 4 + spare), spare
 
 
-def _profile(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = shingle_sets(batch.column("text"), WIDTH)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n", "c"])
-
-
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: set[int] = set()
@@ -81,6 +88,39 @@ def _rare_lists(docs: DataFrame) -> DataFrame:
     return ranked.where((F.col("m") >= spare) & (F.col("rank") <= F.col("m") - spare + 1)).select("h", "c")
 
 
+def merge_skip(columns: list[list[int]], least: int) -> tuple[list[int], list[int]]:
+    """The rows that at least so many of the ascending columns have, and how many, by a heap of the columns' heads.
+
+    A row too few heads show can't be one; then enough others are popped that no row before the next head can be, and all skip to it.
+    """
+    heap = [(column[0], k, 0) for k, column in enumerate(columns) if column]
+    heapify(heap)
+    rows, counts = [], []
+    while len(heap) >= least:
+        row = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == row:
+            popped.append(heappop(heap))
+        if len(popped) >= least:
+            rows.append(row)
+            counts.append(len(popped))
+            for _, k, i in popped:
+                if i + 1 < len(columns[k]):
+                    heappush(heap, (columns[k][i + 1], k, i + 1))
+            continue
+        while heap and len(popped) < least - 1:
+            popped.append(heappop(heap))
+        if not heap:
+            break
+        ahead = max(heap[0][0], row + 1)
+        for _, k, i in popped:
+            column = columns[k]
+            i = bisect_left(column, ahead, i)
+            if i < len(column):
+                heappush(heap, (column[i], k, i))
+    return rows, counts
+
+
 class _Lists:
     """Inverted lists of sets: for each hash, the rows that have it, ascending."""
 
@@ -93,10 +133,12 @@ class _Lists:
         self.hashes, self.starts = np.unique(flat[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(flat))
 
-    def search(self, query: np.ndarray) -> np.ndarray:
-        """Rows whose Jaccard similarity with the query is at least 0.75, by DivideSkip."""
+    def search(self, query: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """Rows (of those marked in among) whose Jaccard similarity with the query is at least 0.75, by DivideSkip."""
         n = len(query)
         fit = (4 * self.sizes >= 3 * n) & (3 * self.sizes <= 4 * n)
+        if among is not None:
+            fit &= among
         if not fit.any():
             return np.empty(0, np.int64)
         need = -(-3 * (n + self.sizes) // 7)
@@ -106,17 +148,20 @@ class _Lists:
         if len(at) < least:
             return np.empty(0, np.int64)
         starts, lengths = self.starts[at], self.ends[at] - self.starts[at]
-        order = np.argsort(lengths)
-        aside = min(least - 1, int(least / (0.01 * np.log2(max(2, lengths.max())) * 100 + 1)) if lengths.max() > 16 else 0)
+        order = np.argsort(lengths, kind="stable")
+        aside = min(least - 1, int(least / (MU * np.log2(max(2, int(lengths.max()))) + 1)))
         short, long = order[: len(order) - aside], order[len(order) - aside :]
         ends = np.cumsum(lengths[short])
         take = np.arange(int(ends[-1])) + np.repeat(starts[short] - (ends - lengths[short]), lengths[short])
-        count = np.bincount(self.rows[take], minlength=len(self.sizes))
-        rows = np.flatnonzero(fit & (count >= need - aside))
-        if not len(rows):
-            return rows
-        got = count[rows]
-        for k in long:
+        found = self.rows[take]
+        keep = fit[found]
+        sizes = np.bincount(np.repeat(np.arange(len(short)), lengths[short])[keep], minlength=len(short))
+        flat, cuts = found[keep].tolist(), np.cumsum(sizes).tolist()
+        columns = [flat[b - k : b] for b, k in zip(cuts, sizes.tolist(), strict=True) if k]
+        some, counts = merge_skip(columns, least - aside)
+        rows, got = np.array(some, np.int64), np.array(counts, np.int64)
+        rows, got = rows[got >= need[rows] - aside], got[got >= need[rows] - aside]
+        for k in long if len(rows) else ():
             column = self.rows[starts[k] : starts[k] + lengths[k]]
             p = np.searchsorted(column, rows)
             got += (p < len(column)) & (column[np.minimum(p, len(column) - 1)] == rows)
@@ -124,10 +169,10 @@ class _Lists:
 
 
 def _search(rows: pa.Table) -> pa.Table:
-    """For each class of each cell, the smallest class that the links of the cell connect it with."""
-    order = pa.compute.sort_indices(rows, [("low", "ascending"), ("high", "ascending"), ("rep", "ascending")])
+    """For each class of each cell, a class that the links of the cell connect it with."""
+    order = pa.compute.sort_indices(rows, [("low", "ascending"), ("high", "ascending"), ("c", "ascending")])
     rows = rows.take(order).combine_chunks()
-    ids, block, low, high = (rows.column(c).to_numpy() for c in ("rep", "block", "low", "high"))
+    ids, block, low, high, known = (rows.column(c).to_numpy() for c in ("c", "block", "low", "high", "known"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles").combine_chunks()]
     cuts = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
     found: list[tuple[int, int]] = []
@@ -135,57 +180,118 @@ def _search(rows: pa.Table) -> pa.Table:
         own = np.arange(a, b)
         index_of, queries = (own, own) if low[a] == high[a] else (own[block[a:b] == high[a]], own[block[a:b] == low[a]])
         if len(index_of) and len(queries) and len(own) > 1:
-            found += _links(ids, sets, index_of, queries)
+            found += _links(ids, known, sets, index_of, queries)
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def _links(ids: np.ndarray, sets: list[np.ndarray], index_of: np.ndarray, queries: np.ndarray) -> list[tuple[int, int]]:
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
+def _links(ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray], index_of: np.ndarray, queries: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what wasn't: known is the group that a class is in already."""
+    group_of: dict[int, int] = {}
+    for k in np.concatenate([index_of, queries]).tolist():
+        group_of[k] = int(known[k])
+    members: dict[int, list[int]] = {}
+    for k, g in group_of.items():
+        members.setdefault(g, []).append(k)
+    groups = np.array([group_of[k] for k in index_of.tolist()])
+    places = {k: i for i, k in enumerate(index_of.tolist())}
     lists = _Lists([sets[k] for k in index_of])
+    found = []
     for q in queries.tolist():
-        for y in index_of[lists.search(sets[q])].tolist():
-            a, b = root(q), root(y)
-            if a != b:
-                a, b = (a, b) if ids[a] < ids[b] else (b, a)
-                up[b] = a
-    return [(int(ids[x]), int(ids[root(x)])) for x in list(up)]
+        apart = groups != group_of[q]
+        if not apart.any():
+            continue
+        for y in index_of[lists.search(sets[q], apart)].tolist():
+            into, old = group_of[q], group_of[y]
+            if into == old:
+                continue
+            found.append((int(ids[q]), int(ids[y])))
+            if len(members[into]) < len(members[old]):
+                into, old = old, into
+            for k in members.pop(old):
+                group_of[k] = into
+                members[into].append(k)
+                if k in places:
+                    groups[places[k]] = into
+    return found
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = written(map_batches(docs, _profile, "doc_id long, n long, c long"))
-    classes = written(profile.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")))
-    rare = written(_rare_lists(docs))
+def _linked(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b of the links found in cells (c, block, other, known, n), with the sets (c, shingles) of their classes."""
+    shingles = cells.agg(F.sum("n")).first()[0] or 0
+    groups = max(1, -(-shingles // SHINGLES_TOGETHER))
+    rows = sets.hint("merge").join(cells.drop("n").hint("merge"), "c")
+    rows = rows.select("c", "known", "block", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return rows.withColumn("g", F.pmod(F.xxhash64("low", "high"), F.lit(groups))).groupBy("g").applyInArrow(_search, "a long, b long")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """c, component of every class that links with another; rows: row, text, n, c."""
+    classes = rows.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.min("n").alias("n"))
+    rare = written(_rare_lists(rows))
     homes = rare.join(rare.groupBy("h").agg(F.min("c").alias("first")), "h").groupBy("c").agg(F.min("first").alias("home"))
-    sizes = homes.groupBy("home").agg(F.count("*").alias("size"))
-    part = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / BLOCK))
-    blocks = written(homes.join(sizes, "home").join(classes, "c").where("rep is not null").select("c", "rep", F.xxhash64("home", part).alias("block")))
-    listed_by = rare.join(blocks.select("c", "block"), "c")
-    there = listed_by.groupBy("h", "block").agg(F.min("c").alias("one"), F.max("c").alias("two")).withColumnRenamed("block", "other")
-    # a class visits its own block only if another class there lists the same hash
-    shared = listed_by.join(there, "h").where("block <> other OR one <> two")
-    visits = written(shared.select("c", "other").distinct().join(blocks, "c").select("rep", "block", "other"))
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    homes = written(homes.join(classes, "c"))
+    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    part = F.pmod(F.xxhash64("c"), F.col("parts"))
+    blocks = written(homes.join(sizes, "home").select("c", "n", "home", F.xxhash64("home", part).alias("block")))
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [s.tobytes() for s in shingle_sets(batch.column("text"), WIDTH)]
-        return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.binary())], names=["rep", "shingles"])
-
-    asked = visits.select("rep").distinct()
-    texts = docs.hint("merge").join(asked, docs["doc_id"] == asked["rep"]).select("rep", "text")
-    whole = map_batches(texts.dropDuplicates(["rep"]), sets, "rep long, shingles binary")
-    groups = max(1, -(-visits.count() // TOGETHER))
-    cells = whole.join(visits.hint("merge"), "rep").select("rep", "block", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    cells = cells.withColumn("g", F.pmod(F.xxhash64("low", "high"), F.lit(groups)))
-    links = cells.groupBy("g").applyInArrow(_search, "a long, b long")
-    found = written(connected_components(links))
-    named = profile.join(classes, "c", "left").join(found, F.col("rep") == F.col("node"), "left")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        return pa.RecordBatch.from_arrays([batch.column("c"), pa.array(found, pa.binary())], names=["c", "shingles"])
+
+    asked = homes.select(F.col("row").alias("_row"))
+    texts = rows.select("row", "c", "text").hint("merge").join(asked, F.col("row") == F.col("_row")).select("c", "text")
+    sets = written(map_batches(texts, shingles, "c long, shingles binary"))
+
+    # each block by itself, with its home as a guest
+    guests = blocks.select("home", "block").distinct().join(homes.select(F.col("c").alias("home"), "n"), "home").select(F.col("home").alias("c"), "n", "block")
+    within = blocks.select("c", "n", "block").union(guests).distinct()
+    near = written(_linked(within.withColumns({"other": F.col("block"), "known": F.col("c")}), sets))
+    known = written(connected_components(near))
+
+    # blocks against others, where something isn't connected yet
+    of = blocks.join(known, F.col("c") == F.col("node"), "left").select("c", "n", "block", F.coalesce("component", "c").alias("known"))
+    of = written(of)
+    listed_by = rare.join(of.select("c", "block", "known"), "c")
+    open_ = listed_by.groupBy("h").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.min("block").alias("b1"), F.max("block").alias("b2")).where("lo <> hi and b1 <> b2").select("h")
+    listed_by = written(listed_by.join(open_, "h"))
+    there = listed_by.groupBy("h", "block").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).withColumnRenamed("block", "other")
+    shared = listed_by.join(there, "h").where("block <> other AND (lo <> known OR hi <> known)")
+    visits = written(shared.select("c", "other").distinct().join(of, "c"))
+    far = written(_linked(visits, sets))
+    if far.isEmpty():
+        return known.withColumnRenamed("node", "c")
+    return written(connected_components(far.union(known))).withColumnRenamed("node", "c")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, tuple[str, str, str], DataFrame]:
+    """docs with a number, the size and the class of each row, written; the names of these; and c, component_id and the row to keep of each class."""
+    names = tuple(free_name(docs, x) for x in ("_row", "_n", "_class"))
+    schema = StructType([*docs.schema.fields, *[StructField(x, LongType()) for x in names]])
+
+    def profile(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column(text), WIDTH)
+        out = batch.append_column(names[1], pa.array([len(s) for s in sets], pa.int64()))
+        return out.append_column(names[2], pa.array([set_id(s) for s in sets], pa.int64()))
+
+    rows = written(map_batches(docs.withColumn(names[0], F.monotonically_increasing_id()), profile, schema))
+    slim = rows.select(*[F.col(x).alias(y) for x, y in zip((*names, doc_id), ("row", "n", "c", "doc_id"), strict=True)], F.col(text).alias("text"))
+    found = _groups(slim)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long").alias("id"), "row")).alias("first")
+    classes = slim.where("n > 0").groupBy("c").agg(first).join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    best = classes.groupBy("component").agg(F.min("first").alias("best"))
+    return rows, names, classes.join(best, "component").select("c", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; a row without shingles is its own component."""
+    rows, (_, n, c), classes = _grouped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    named = rows.select("doc_id", F.col(n).alias("n_shingles"), F.when(F.col(n) > 0, F.col(c)).alias("c")).join(classes, "c", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group: that of the smallest id, or of any if none has one; rows without shingles all stay."""
+    rows, (row, n, _), classes = _grouped(docs, doc_id, text)
+    kept = classes.select("keep").distinct().withColumnRenamed("keep", free_name(rows, "_keep"))
+    whole = rows.where(F.col(n) > 0).join(kept, F.col(row) == F.col(kept.columns[0]), "left_semi")
+    return whole.unionByName(rows.where(F.col(n) == 0)).select(docs.columns)
