@@ -136,7 +136,7 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
         part = TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
         for batch in batches:
-            for begin in range(0, batch.num_rows, 4000):
+            for begin in range(0, batch.num_rows, 2000):
                 rows = batch.slice(begin, 4000)
                 flat, at = words.encode(rows.column("text"))
                 length = np.diff(at) + 1
@@ -196,7 +196,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, weights: dict[str | None, floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = Shares(lengths, units, window)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 4000):
+            for begin in range(0, batch.num_rows, 2000):
                 rows = batch.slice(begin, 4000)
                 queue = rows.column("queue").to_numpy().astype(np.int64)
                 at, n = rows.column("at").to_numpy(), rows.column("n").to_numpy()
