@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
-A text of any length is halved until its parts have at most LEAF characters, some ten words; parts are encoded alone; neighbours are joined up the tree. A join re-encodes a
+A text of any length is halved until its parts have at most LEAF characters, ten to twenty words; parts are encoded alone; neighbours are joined up the tree. A join re-encodes a
 window around the seam that grows on either side until what lies outside is proven to stay:
 
 * at a place where no match of the splitting pattern can reach across (text up to white space, a run of letters up to
@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .common import map_batches
 
 #: Characters of a leaf, ids of a leaf, and the first width of a window.
-LEAF, LEAF_IDS, WINDOW = 96, 64, 64
+LEAF, LEAF_IDS, WINDOW = 128, 64, 64
 #: Width of a window from which the inside of a single match is tried.
 INSIDE = 512
 
@@ -169,15 +169,16 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = ByteBpe.load(path, pattern)
-        lists = batch.column(ids)
-        flat = lists.flatten()
-        known = flat.fill_null(-1).to_numpy().tolist()
-        sizes = lists.value_lengths().fill_null(0).to_numpy()
-        ends = np.cumsum(sizes)
-        parts = [known[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        if flat.null_count:
-            parts = [[i for i in part if i >= 0] for part in parts]
-        raw = pa.array(map(bpe.decode, parts), pa.binary())
-        return pa.RecordBatch.from_arrays([raw if n == out else batch.column(n) for n in names], names=names)
+        raw: list[bytes] = []
+        for at in range(0, batch.num_rows, 500):
+            lists = batch.column(ids).slice(at, 500)
+            flat = lists.flatten()
+            known = flat.fill_null(-1).to_numpy().tolist()
+            sizes = lists.value_lengths().fill_null(0).to_numpy()
+            ends = np.cumsum(sizes)
+            for e, n in zip(ends.tolist(), sizes.tolist(), strict=True):
+                part = known[e - n : e]
+                raw.append(bpe.decode([i for i in part if i >= 0] if flat.null_count else part))
+        return pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()) if n == out else batch.column(n) for n in names], names=names)
 
     return map_batches(df, run, schema)
