@@ -7,20 +7,22 @@ linked pair is found, whatever the sizes of groups. Linked pairs of n and m shin
 2. A class lists the n - ceil(3n/4) + l smallest of its hashes, l = ceil(n * SPARE). Two linked classes have at least
    l (of the larger) of these in common, whichever ends first. Hashes that no other class lists drop out; a class left with
    fewer than l of them has no partner. Of the others the l - 1 most frequent are set aside (the long lists): in the order of
-   frequency, the first common hash of a linked pair is never among them. So passages that very many documents share join
-   nothing by themselves.
+   frequency, the first common hash of a linked pair is never among them. Classes that have hot hashes left (passages that very many documents
+   share, or large groups of copies) are tied by the rarest hashes of their whole sets in place of those: of a set of n, the n - ceil(3n/4) + 1 rarest. So a
+   passage joins nothing by itself, unless it is three quarters of a document.
 3. Each remaining hash has a smallest class; a class is at home with the smallest of these. Classes of one home are cut into
-   blocks of bounded size. First every block is searched by itself, together with its home: this connects groups of copies
-   at the cost of one visit a class. Then a class visits the other blocks in which a class that isn't yet connected with it lists
-   one of its hashes: links that connect anything new never lead elsewhere.
+   blocks of bounded size. First every block is searched by itself, together with its home, and homes of several blocks once more, dealt
+   otherwise: this connects most of any group of copies at the cost of two visits a class. Then classes are dealt into blocks that hold one
+   connected group each, or small groups whole, and a class visits the blocks in which a class that isn't yet connected with it lists
+   one of its hashes: links that connect anything new never lead elsewhere, and large groups don't visit themselves.
 4. Two blocks that visit each other are a cell. In a cell the shingles of one block's visitors are inverted lists, and every set of the
    other's is a query by DivideSkip: the short lists are merged by a heap that skips rows which can't reach T - L, the L longest are
    probed by binary search for the rows that have T - L. Rows that are connected with the query already take no part. A cell returns,
    for each class, one class it is connected to, not all pairs.
 5. Connected components of these over classes give the groups.
 
-Cells are searched together up to SHINGLES_TOGETHER shingles; a class of any size fits. Of passages that make more than a quarter of many documents
-the visits still grow as documents times their blocks.
+Cells are searched together up to SHINGLES_TOGETHER shingles; a class of any size fits. Of passages that make three quarters of many documents that
+don't link, the visits grow as documents times their blocks.
 
 Defined cases: a null or wordless text has no shingles and links with nothing, not even with another empty one; a text of
 fewer than five words is one shingle, its whole sequence; repeated rows are copies; rows of one id with different texts are different documents;
@@ -49,9 +51,11 @@ WIDTH = 5
 #: Share of a set's size by which its list is longer than a single common hash needs.
 SPARE = 0.08
 #: Classes and shingles of a block, and shingles of the cells that one call of the search takes together, about.
-BLOCK, BLOCK_SHINGLES, SHINGLES_TOGETHER = 256, 1 << 20, 1 << 21
+BLOCK, BLOCK_SHINGLES, SHINGLES_TOGETHER = 256, 1 << 20, 1 << 19
+#: Hashes that more classes list are hot: classes with one are tied by the rarest hashes of their whole sets instead.
+HOT = 256
 #: Cost of a step of the heap against one of a binary search: the larger, the fewer lists are long.
-MU = 0.1
+MU = 0.01
 
 
 def listed(n: int) -> tuple[int, int]:
@@ -78,14 +82,35 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rare_lists(docs: DataFrame) -> DataFrame:
-    """h, c: the hashes by which classes are tied, after step 2."""
+    """h, c, df: the hashes by which classes are tied, after step 2, and how many classes list them."""
     lists = docs.select("text").mapInArrow(_lists, "h long, c long, n int").repartition("h").dropDuplicates(["h", "c"])
     shared = lists.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
     spare = F.greatest(F.lit(1), F.ceil(F.col("n") * SPARE))
     of = Window.partitionBy("c")
     # a class lists a share of its own text, so its partition is bounded by the text
     ranked = shared.withColumns({"m": F.count("*").over(of), "rank": F.row_number().over(of.orderBy("df", "h"))})
-    return ranked.where((F.col("m") >= spare) & (F.col("rank") <= F.col("m") - spare + 1)).select("h", "c")
+    return ranked.where((F.col("m") >= spare) & (F.col("rank") <= F.col("m") - spare + 1)).select("h", "c", "df")
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """h, c: of each set (c, shingles) the n - ceil(3n/4) + 1 hashes that fewest of the sets have, without those that only one has.
+
+    Two linked sets have one of these in common, because they share at least three quarters of either.
+    """
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("shingles")]
+                sizes = np.array([len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(part.column("c").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32))], names=["h", "c", "n"])
+
+    each = written(sets.mapInArrow(lists, "h long, c long, n int"))
+    many = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")  # counted before the shuffle, so that no hash is one task's work
+    of = Window.partitionBy("c")
+    ranked = each.join(many, "h").withColumns({"m": F.count("*").over(of), "rank": F.row_number().over(of.orderBy("df", "h"))})
+    return ranked.where(F.col("rank") <= F.col("m") - F.ceil(3 * F.col("n") / 4) + 1).select("h", "c")
 
 
 def merge_skip(columns: list[list[int]], least: int) -> tuple[list[int], list[int]]:
@@ -227,40 +252,50 @@ def _linked(cells: DataFrame, sets: DataFrame) -> DataFrame:
 def _groups(rows: DataFrame) -> DataFrame:
     """c, component of every class that links with another; rows: row, text, n, c."""
     classes = rows.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.min("n").alias("n"))
-    rare = written(_rare_lists(rows))
-    homes = rare.join(rare.groupBy("h").agg(F.min("c").alias("first")), "h").groupBy("c").agg(F.min("first").alias("home"))
-    homes = written(homes.join(classes, "c"))
-    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    part = F.pmod(F.xxhash64("c"), F.col("parts"))
-    blocks = written(homes.join(sizes, "home").select("c", "n", "home", F.xxhash64("home", part).alias("block")))
+    listed_ = written(_rare_lists(rows))
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [s.tobytes() for s in shingle_sets(batch.column("text"), WIDTH)]
         return pa.RecordBatch.from_arrays([batch.column("c"), pa.array(found, pa.binary())], names=["c", "shingles"])
 
-    asked = homes.select(F.col("row").alias("_row"))
+    asked = listed_.select("c").distinct().join(classes, "c").select(F.col("row").alias("_row"))
     texts = rows.select("row", "c", "text").hint("merge").join(asked, F.col("row") == F.col("_row")).select("c", "text")
     sets = written(map_batches(texts, shingles, "c long, shingles binary"))
 
-    # each block by itself, with its home as a guest
-    guests = blocks.select("home", "block").distinct().join(homes.select(F.col("c").alias("home"), "n"), "home").select(F.col("home").alias("c"), "n", "block")
-    within = blocks.select("c", "n", "block").union(guests).distinct()
-    near = written(_linked(within.withColumns({"other": F.col("block"), "known": F.col("c")}), sets))
-    known = written(connected_components(near))
-
-    # blocks against others, where something isn't connected yet
-    of = blocks.join(known, F.col("c") == F.col("node"), "left").select("c", "n", "block", F.coalesce("component", "c").alias("known"))
-    of = written(of)
+    hot = listed_.where(F.col("df") > HOT).select("c").distinct()
+    rare = written(listed_.where(F.col("df") <= HOT).select("h", "c").union(_rarest(sets.join(hot, "c"))).distinct())
+    homes = rare.join(rare.groupBy("h").agg(F.min("c").alias("first")), "h").groupBy("c").agg(F.min("first").alias("home"))
+    homes = written(homes.join(classes.drop("row"), "c"))
+    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    blocks = homes.join(sizes, "home")
+
+    # each block by itself, with its home as a guest; homes of several blocks once more, dealt otherwise, so that large groups become connected
+    once = blocks.select("c", "n", "home", F.xxhash64("home", F.pmod(F.xxhash64("c"), F.col("parts"))).alias("block"))
+    again = blocks.where("parts > 1").select("c", "n", "home", F.xxhash64("home", F.pmod(F.xxhash64("c", F.lit(2)), F.col("parts")), F.lit(2)).alias("block"))
+    dealt = written(once.union(again))
+    guests = dealt.select("home", "block").distinct().join(homes.select(F.col("c").alias("home"), "n"), "home").select(F.col("home").alias("c"), "n", "block")
+    within = dealt.select("c", "n", "block").union(guests).distinct()
+    known = written(connected_components(written(_linked(within.withColumns({"other": F.col("block"), "known": F.col("c")}), sets))))
+
+    # then blocks against each other, where something isn't connected yet; these blocks hold one large group each, or small ones whole
+    of = homes.join(known, F.col("c") == F.col("node"), "left").select("c", "n", "home", F.coalesce("component", "c").alias("known"))
+    parts = F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("s") / BLOCK_SHINGLES)).alias("parts")
+    each = written(of.groupBy("home", "known").agg(F.count("*").alias("m"), F.sum("n").alias("s")).withColumn("large", F.col("m") > BLOCK // 4))
+    large = each.where("large").groupBy("home", "known").agg(parts)
+    small = each.where("not large").groupBy("home").agg(parts)
+    split = F.xxhash64("home", "known", F.pmod(F.xxhash64("c"), F.col("parts")), F.lit(3))
+    shared = F.xxhash64("home", F.pmod(F.xxhash64("known"), F.col("parts")), F.lit(4))
+    alone = of.join(large.select("home", "known"), ["home", "known"], "left_anti").join(small, "home").select("c", "n", "known", shared.alias("block"))
+    of = written(of.join(large, ["home", "known"]).select("c", "n", "known", split.alias("block")).union(alone))
     listed_by = rare.join(of.select("c", "block", "known"), "c")
-    open_ = listed_by.groupBy("h").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.min("block").alias("b1"), F.max("block").alias("b2")).where("lo <> hi and b1 <> b2").select("h")
+    open_ = listed_by.groupBy("h").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("h")
     listed_by = written(listed_by.join(open_, "h"))
     there = listed_by.groupBy("h", "block").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).withColumnRenamed("block", "other")
-    shared = listed_by.join(there, "h").where("block <> other AND (lo <> known OR hi <> known)")
-    visits = written(shared.select("c", "other").distinct().join(of, "c"))
-    far = written(_linked(visits, sets))
-    if far.isEmpty():
-        return known.withColumnRenamed("node", "c")
-    return written(connected_components(far.union(known))).withColumnRenamed("node", "c")
+    visits = listed_by.join(there, "h").where("lo <> known OR hi <> known").select("c", "other").distinct()
+    far = written(_linked(written(visits.join(of, "c")), sets))
+    if not far.isEmpty():
+        known = written(connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(far)))
+    return known.withColumnRenamed("node", "c")
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, tuple[str, str, str], DataFrame]:
