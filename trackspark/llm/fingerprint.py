@@ -6,7 +6,9 @@ follow estimates of resemblance and containment, and from one the number of dist
 sketch holds fewer than k hashes.
 
 Defined cases: a null text counts as empty; an empty text, or one without words, has an empty sketch; two empty sketches have
-resemblance 1, an empty and another one 0. Equal texts have equal sketches. Extra columns pass through `sketch` unchanged.
+resemblance 1, an empty and another one 0. Equal texts have equal sketches, however long. Of documents in order, rows without an id come first, rows of one
+id follow each other by text, repeated rows one after the other, and the last row's successor is the first; an empty table gives no rows. sketch()
+keeps extra columns, except one of the name of the result, which the result replaces; fingerprint_with_edits() ignores them.
 """
 
 from __future__ import annotations
@@ -45,9 +47,11 @@ def sketch(df: DataFrame, text: str = "text", out: str = "sketch", k: int = K, w
         found = [_signed(h) for h in bottom_k(batch.column(text), k, width)]
         at = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
         values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())
-        return batch.append_column(out, pa.ListArray.from_arrays(pa.array(at), values))
+        columns = [batch.column(c) for c in kept]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(at), values)], names=[*kept, out])
 
-    return map_batches(df, run, StructType([*df.schema.fields, StructField(out, ArrayType(LongType()))]))
+    kept = [c for c in df.columns if c != out]
+    return map_batches(df, run, StructType([*[df.schema[c] for c in kept], StructField(out, ArrayType(LongType()))]))
 
 
 def merge_sketches(df: DataFrame, keys: list[str], sketch: str = "sketch", k: int = K, salt: int = 16) -> DataFrame:
@@ -109,10 +113,10 @@ def followed(docs: DataFrame, rows: int = ROWS_A_RANGE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = range_cuts(docs, "doc_id", rows)
     dealt = docs.withColumn("_range", range_of("doc_id", cuts)).withColumn("_kind", F.lit(0))
-    firsts = dealt.groupBy("_range").agg(F.min("doc_id").alias("first"))
+    firsts = dealt.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"))  # a null id comes first
     w = Window.orderBy("_range")  # one row a range
     ends = firsts.select("_range", F.lead("first").over(w).alias("next"), F.lead("_range").over(w).alias("more"), F.first("first").over(w).alias("first"))
-    ends = ends.select(F.col("_range"), F.when(F.col("more").isNull(), F.col("first")).otherwise(F.col("next")).alias("of"))
+    ends = ends.select("_range", F.when(F.col("more").isNull(), F.col("first.doc_id")).otherwise(F.col("next.doc_id")).alias("of"))
     if cuts:
         ends = docs.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("of")))
         ends = ends.groupBy("_range").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))

@@ -10,11 +10,14 @@ a block is one space; nothing is cut.
 
 Defined cases: a null or empty html has an empty text; a page that ends inside a tag loses only that tag; unclosed elements end with their parent,
 and unclosed scripts, styles, frames, text fields and titles with the page, as in browsers;
-a page without article blocks has an empty text; repeated rows are extracted each. Extra columns are kept.
+a page without article blocks has an empty text; pages of any length count whole; repeated rows are extracted each; an empty table gives no rows. Extra
+columns are kept, except one of the name of the result, which the result replaces.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -130,7 +133,9 @@ def fit(pages: list[tuple[str, list[tuple[str, bool]]]], rounds: int = 200, deca
     return Field({k: float(w[i]) for k, i in names.items()}, pairs, float(start))
 
 
+@cache
 def train(n: int = TRAIN_PAGES, seed: int = 0) -> Field:
+    """The field of so many labelled pages; fitted once in a driver process, as the same pages give the same field."""
     return fit(labelled_pages(n, seed))
 
 
