@@ -5,11 +5,13 @@ machines tell apart the languages of that family by votes, ties going to the lar
 hashed byte trigrams of the letters (case folded for ASCII and Latin-1, everything but letters one space), square-rooted
 and scaled to unit length, over the whole text.
 
-Fitted on at most SAMPLE texts of each language (smallest hash of the id), from rows that are not held out; every text is
-predicted. The sample of texts is bounded by SAMPLE times the number of languages, so its ids may be broadcast.
+Fitted on different (id, text) of rows that are not held out, those of smallest hash, at most SAMPLE of each language and TOTAL of all; of more than
+LANGUAGES languages the most frequent are learned. So the sample is bounded by TOTAL, however many rows, repeats or languages there are; it is sorted, and
+the same table gives the same model. Every text is predicted.
 
-Defined cases: a null text or one without any letter is `und` with score 0; where nothing can be learned every other text is `und` too;
-one learned language is predicted for all; repeated rows are predicted each. Extra columns are kept.
+Defined cases: a null text or one without any letter is `und` with score 0; where nothing can be learned every other text is `und` too, as in an empty
+table no row is; one learned language is predicted for all; texts of any length count whole; equal texts are predicted alike, and repeated rows each; of
+equal votes and margins the first language by name wins. Extra columns are kept, except those of the names of the results, which the results replace.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .shingles import chunks
 
 #: Texts of each language that are learned from, and size of the feature table.
 SAMPLE, BUCKETS = 1000, 1 << 13
+#: Texts of all languages together, and languages, that are learned at most.
+TOTAL, LANGUAGES = 4096, 512
 UNKNOWN = "und"
 #: Families of ISO 639-1 codes; a language outside this list is a family of its own.
 FAMILIES = {
@@ -148,14 +152,17 @@ def _sure(margin: float) -> float:
     return float(1 / (1 + np.exp(-3.0 * margin)))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model | None:
     """The model from rows of docs (doc_id, text, lang) that are not held out; None where no row has text and language."""
-    learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = sample_by(learn, "lang", sample).select("doc_id").distinct()
-    rows = learn.join(F.broadcast(ids), "doc_id").select("lang", "text")
-    few = map_batches(rows, _counted, "lang string, at array<int>, n array<int>").collect()
-    if not few:
+    learn = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    learn = learn.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    names = [r["lang"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(LANGUAGES, total)).collect()]
+    if not names:
         return None
+    chosen = learn.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in names], "lang string")), "lang")
+    ids = sample_by(chosen, "lang", min(sample, max(1, total // len(names))), "h")
+    rows = learn.join(F.broadcast(ids), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    few = sorted(map_batches(rows, _counted, "lang string, h long, at array<int>, n array<int>").collect(), key=lambda r: (r["lang"], r["h"]))
     x = np.zeros((len(few), BUCKETS), np.float32)
     for i, r in enumerate(few):
         x[i, r["at"]] = r["n"]
@@ -174,12 +181,12 @@ def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
             k = np.flatnonzero(n)
             at_of.append(k.astype(np.int32))
             n_of.append(n[k].astype(np.int32))
-    return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(at_of, pa.list_(pa.int32())), pa.array(n_of, pa.list_(pa.int32()))], names=["lang", "at", "n"])
+    return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(at_of, pa.list_(pa.int32())), pa.array(n_of, pa.list_(pa.int32()))], names=["lang", "h", "at", "n"])
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    schema = StructType([*[f for f in docs.schema.fields if f.name not in ("lang_pred", "score")], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+def identify(docs: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the predicted language and its score."""
+    schema = StructType([*[f for f in docs.schema.fields if f.name not in (lang_pred, score)], StructField(lang_pred, StringType()), StructField(score, DoubleType())])
     names = schema.names[:-2]
 
     def run(batch: pa.RecordBatch) -> pa.Table:
@@ -189,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             found = model.predict(features(part)) if model else [(UNKNOWN, 0.0)] * len(part)
             lettered = _lettered(part)
             said += [f if ok else (UNKNOWN, 0.0) for f, ok in zip(found, lettered, strict=True)]
-        return pa.table({**{n: batch.column(n) for n in names}, "lang_pred": pa.array([x[0] for x in said], pa.string()), "score": pa.array([x[1] for x in said], pa.float64())})
+        return pa.table({**{n: batch.column(n) for n in names}, lang_pred: pa.array([x[0] for x in said], pa.string()), score: pa.array([x[1] for x in said], pa.float64())})
 
     return map_batches(docs, run, schema)
 
