@@ -1,7 +1,9 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 Every document has a strength w.x, linear in features of its whole text; that a good document is preferred to a bad one has
-probability sigmoid(w.(x_good - x_bad)). The weights minimise the logistic loss over pairs of differences. The threshold is a
+probability sigmoid(w.(x_good - x_bad)). The weights minimise the logistic loss over pairs of differences. Features are a handful of shares
+(kinds of characters, words and lines that repeat) and the words and byte trigrams themselves, hashed into buckets; what the buckets weigh is learned
+together with the shares, under a stronger penalty, as there are many of them. The threshold is a
 quantile of the strengths of all labelled documents that are not held out, at the share of bad ones among them (the widest gap near it); the score is a
 sigmoid that takes the value CUT at this threshold.
 
@@ -9,12 +11,17 @@ The weights are fitted on at most SAMPLE documents of each label (smallest hash
 may be broadcast, and only their feature rows come to the driver. Share and quantile are exact, over all that are not held out: Spark ranks their strengths,
 and a row a partition comes to the driver. Every document is scored.
 
-Defined cases: a null text counts as empty, and empty texts have features of zeros; null labels or ids are not learned from; with labels of
-one kind only, or none, every score is the share of good labels (0.5 without any); repeated rows are scored each. Extra columns are kept.
+Defined cases: a null text counts as empty, and empty texts have features of zeros; null labels or ids are not learned from; of an id with two labels
+the better counts, and of an id with several texts the first by order is learned from; with labels of
+one kind only, or none, every score is the share of good labels (0.5 without any); texts of any length count whole; equal texts have equal scores, and those
+whose strength is the threshold pass; repeated rows are scored each; an empty table gives no rows. Extra columns are kept, except one of the name of the
+score, which the score replaces.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,9 +30,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import map_batches, written
 from .folds import held_out, sample_by
+from .language import trigrams
 from .shingles import _distinct, chunks, word_hashes
 
-SAMPLE, PAIRS, CUT, NEAR = 5000, 200_000, 0.3, 0.008
+SAMPLE, PAIRS, CUT, NEAR = 5000, 100_000, 0.3, 0.008
+#: Buckets of words and of byte trigrams each, and the penalties of shares and of buckets.
+BUCKETS, PENALTIES = 1024, (1e-3, 0.001)
 FEATURES = ["upper", "symbols", "bars", "exclamation", "digits", "stops", "adjacent", "repeated", "repeated_lines", "word_length", "long_words"]
 
 _UPPER = np.zeros(256, bool)
@@ -76,6 +86,29 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a row of BUCKETS for its words and one for the trigrams of its letters: square roots of counts, each of unit length."""
+    words, letters = np.zeros((len(texts), BUCKETS), np.float32), np.zeros((len(texts), BUCKETS), np.float32)
+    for i, j, data, starts in chunks(texts):
+        h, _, _, at = word_hashes(data, starts)
+        w = (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        g, of = trigrams(data, starts)
+        g = g % BUCKETS
+        for k in range(j - i):
+            words[i + k] = np.bincount(w[at[k] : at[k + 1]], minlength=BUCKETS)
+            if of[k + 1] - of[k] > 2:
+                letters[i + k] = np.bincount(g[of[k] + 1 : of[k + 1] - 1], minlength=BUCKETS)
+    for x in (words, letters):
+        np.sqrt(x, out=x)
+        x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+    return words, letters
+
+
+def all_features(texts: pa.Array) -> np.ndarray:
+    """Shares, buckets of words, buckets of trigrams."""
+    return np.hstack([features(texts).astype(np.float32), *hashed(texts)])
+
+
 def _repeated_lines(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     raw = data.tobytes()
     out = np.zeros(len(starts) - 1)
@@ -92,38 +125,53 @@ def near_ranks(bad: int, total: int) -> tuple[int, int]:
 
 
 class Model:
-    """Standardised features, weights, and the threshold of strengths; without weights a constant score."""
+    """Means and scales of the shares, weights, and the threshold of strengths; without weights a constant score."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-3, rounds: int = 400, seed: int = 0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalties: tuple[float, float] = PENALTIES, rounds: int = 80, seed: int = 0):
         self.constant = float(y.mean()) if len(y) else 0.5
         self.w = None
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         if not len(good) or not len(bad):
             return
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-        z = (x - self.mean) / self.scale
+        k = len(FEATURES)
+        shares = x[:, :k].astype(np.float64)
+        self.mean, self.scale = shares.mean(axis=0), np.maximum(shares.std(axis=0), 1e-6)
+        z, many = self._scaled(shares), x[:, k:]
         rng = np.random.default_rng(seed)
-        d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-        d = np.clip(d, -20, 20)
-        w = np.zeros(z.shape[1])
-        for _ in range(rounds):  # Newton steps: a handful of features, so the curvature is small
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-            gradient = d.T @ p / pairs - penalty * w
-            curvature = (d * (p * (1 - p))[:, None]).T @ d / pairs + penalty * np.eye(len(w))
-            change = np.linalg.solve(curvature, gradient)
-            w += change
-            if np.abs(change).max() < 1e-6:
-                break
-        self.w = w
-        strength = np.sort(z @ w)
+        i, j = rng.choice(good, pairs), rng.choice(bad, pairs)
+        d = z[i] - z[j]
+        w, v, push = np.zeros(k), np.zeros(many.shape[1]), np.zeros(many.shape[1])
+        seen = np.zeros(pairs)  # what the buckets add to each difference
+        for t in range(rounds):
+            # Newton steps of the few shares, at first and now and then; between them steps with momentum of the many buckets
+            for _ in range(20 if t == 0 else 1 if t % 10 == 0 else 0):
+                p = 1 / (1 + np.exp(np.clip(d @ w + seen, -30, 30)))
+                gradient = d.T @ p / pairs - penalties[0] * w
+                curvature = (d * (p * (1 - p))[:, None]).T @ d / pairs + penalties[0] * np.eye(k)
+                change = np.linalg.solve(curvature, gradient)
+                w += change
+                if np.abs(change).max() < 1e-6:
+                    break
+            p = 1 / (1 + np.exp(np.clip(d @ w + seen, -30, 30)))
+            pull = ((np.bincount(i, p, len(y)) - np.bincount(j, p, len(y))) / pairs).astype(np.float32)
+            push = 0.9 * push + (pull @ many - penalties[1] * v) / (1 + penalties[1])  # rows have length 2 at most, the loss curvature 1/4
+            v += push
+            strength = many @ v.astype(np.float32)
+            seen = strength[i] - strength[j]
+        self.w, self.v = w, v
+        strength = np.sort(self.strength(x))
         # The quantile is good to within NEAR of the ranks; the threshold is the widest gap there.
         first, last = near_ranks(len(bad), len(y))
         ranks = np.arange(first, last + 1)
-        k = ranks[np.argmax(strength[ranks] - strength[ranks - 1])]
-        self.threshold = float((strength[k - 1] + strength[k]) / 2)
+        at = ranks[np.argmax(strength[ranks] - strength[ranks - 1])]
+        self.threshold = float((strength[at - 1] + strength[at]) / 2)
+
+    def _scaled(self, shares: np.ndarray) -> np.ndarray:
+        return np.clip((shares - self.mean) / self.scale, -20, 20)
 
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -20, 20) @ self.w
+        k = len(FEATURES)
+        return self._scaled(x[:, :k]) @ self.w + (x[:, k:].astype(np.float64) * self.v).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.w is None:
@@ -135,12 +183,17 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from docs (doc_id, text) with labels (doc_id, quality) that are not held out."""
     known = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    few = docs.select("doc_id", "text").join(F.broadcast(sample_by(known, "quality", sample)), "doc_id").dropDuplicates(["doc_id"])
-    rows = map_batches(few.select("quality", "text"), lambda b: pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.array(list(features(b.column("text"))), pa.list_(pa.float64()))], names=["quality", "x"]), "quality int, x array<double>").collect()
-    x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, len(FEATURES)))
-    y = np.array([r["quality"] for r in rows])
-    order = np.lexsort([*x.T, y]) if len(y) else np.empty(0, int)  # the rows arrive in any order
-    model = Model(x[order], y[order])
+    ids = sample_by(known.withColumn("_h", F.xxhash64("doc_id")), "quality", sample, "_h")
+    few = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_h")).join(F.broadcast(ids), "_h").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def row(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = all_features(b.column("text"))
+        return pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
+
+    # the rows arrive in any order
+    rows = sorted((r["quality"], bytes(r["x"])) for r in map_batches(few.select("quality", "text"), row, "quality int, x binary").collect())
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), len(FEATURES) + 2 * BUCKETS)
+    model = Model(x, np.array([r[0] for r in rows]))
     if model.w is not None:
         model.threshold = threshold(docs, known, model)
     return model
@@ -151,7 +204,7 @@ def threshold(docs: DataFrame, known: DataFrame, model: Model) -> float:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = model.strength(features(batch.column("text"))).round(9)  # alike in batches of any size
+        found = _in_parts(batch.column("text"), model.strength).round(9)  # alike in batches of any size
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "s"])
 
     strengths = map_batches(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text"), run, f"doc_id {kind}, s double")
@@ -174,12 +227,16 @@ def threshold(docs: DataFrame, known: DataFrame, model: Model) -> float:
     return float((best["gap"]["next"] - best["gap"][1]) / 2) if best["gap"] and best["gap"]["next"] is not None else float(best["same"])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score."""
-    schema = StructType([*[f for f in docs.schema.fields if f.name != "score"], StructField("score", DoubleType())])
+def _in_parts(texts: pa.Array, of: Callable[[np.ndarray], np.ndarray], rows: int = 512) -> np.ndarray:
+    return np.concatenate([np.empty(0), *[of(all_features(texts.slice(a, rows))) for a in range(0, len(texts), rows)]])
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with the score."""
+    schema = StructType([*[f for f in docs.schema.fields if f.name != out], StructField(out, DoubleType())])
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        found = model.score(features(batch.column(text)))
-        return pa.table({**{n: batch.column(n) for n in schema.names[:-1]}, "score": pa.array(found)})
+        found = _in_parts(batch.column(text), model.score)
+        return pa.table({**{n: batch.column(n) for n in schema.names[:-1]}, out: pa.array(found)})
 
     return map_batches(docs, run, schema)
