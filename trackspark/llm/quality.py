@@ -33,9 +33,9 @@ from .folds import held_out, sample_by
 from .language import trigrams
 from .shingles import _distinct, chunks, word_hashes
 
-SAMPLE, PAIRS, CUT, NEAR = 5000, 100_000, 0.3, 0.008
+SAMPLE, PAIRS, CUT, NEAR = 2500, 100_000, 0.3, 0.008
 #: Buckets of words and of byte trigrams each, and the penalties of shares and of buckets.
-BUCKETS, PENALTIES = 1024, (1e-3, 0.001)
+BUCKETS, PENALTIES = 512, (1e-3, 0.001)
 FEATURES = ["upper", "symbols", "bars", "exclamation", "digits", "stops", "adjacent", "repeated", "repeated_lines", "word_length", "long_words"]
 
 _UPPER = np.zeros(256, bool)
