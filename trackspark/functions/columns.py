@@ -86,6 +86,12 @@ def cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return ax * by - ay * bx
 
 
+def turn(ex: Column, ey: Column, dx: Column, dy: Column) -> Column:
+    """Signed angle from step (ex, ey) to step (dx, dy), radians; after a step without length that to the x axis, and 0 for one (a zero's sign doesn't count)."""
+    turned = F.atan2(cross(ex, ey, dx, dy) + F.lit(0.0), ex * dx + ey * dy + F.lit(0.0))
+    return F.when((ex == 0) & (ey == 0), F.atan2(dy + F.lit(0.0), dx + F.lit(0.0))).otherwise(turned)
+
+
 def rounded(c: Column, digits: int = 4) -> Column:
     """For comparing results; negative zero becomes zero."""
     return F.round(c, digits) + F.lit(0.0)

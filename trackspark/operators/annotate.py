@@ -73,15 +73,22 @@ def changepoint_summary(errors: DataFrame) -> DataFrame:
 
 
 def two_class_agreement(human: DataFrame, model: DataFrame) -> DataFrame:
-    """tp, tn, fp, fn and shares of class 1 against the rest; a miss counts as false positive if the model says 1, else as false negative."""
-    j = human.select(*KEYS, "frame", F.col("class_label").alias("h")).join(model.select(*KEYS, "frame", F.col("class_label").alias("m")), [*KEYS, "frame"])
+    """tp, tn, fp, fn and shares of class 1 against the rest; a miss counts as false positive if the model says 1, else as false negative.
+
+    Rows of a track are compared by their position in it, up to the end of the shorter of the two.
+    """
+    w = track()
+    h = human.select(*KEYS, F.row_number().over(w).alias("row"), F.col("class_label").alias("h"))
+    j = h.join(model.select(*KEYS, F.row_number().over(w).alias("row"), F.col("class_label").alias("m")), [*KEYS, "row"])
     same = F.col("h") == F.col("m")
 
     def count(c: Column) -> Column:
         return F.sum(F.when(c, 1).otherwise(0))
 
     s = j.agg(count(same & (F.col("m") == 1)).alias("tp"), count(same & (F.col("m") != 1)).alias("tn"), count(~same & (F.col("m") == 1)).alias("fp"), count(~same & (F.col("m") != 1)).alias("fn"))
-    return s.withColumns({"accuracy": F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), "sensitivity": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), "specificity": F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))})
+    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    s = s.withColumns({"accuracy": F.try_divide(tp + tn, tp + tn + fp + fn), "recall": F.try_divide(tp, tp + fn), "precision": F.try_divide(tp, tp + fp), "specificity": F.try_divide(tn, tn + fp)})
+    return s.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def attach_truth(df: DataFrame, truth: DataFrame, by_mol: bool = False) -> DataFrame:
@@ -97,7 +104,13 @@ def shift_truth(df: DataFrame, label: str = "class_label") -> DataFrame:
 
 def consensus(scores: DataFrame) -> DataFrame:
     """cell, mol, row, label, confidence, windows from (cell, mol, start, offset, class, p): summed by row and class, ties to the lower class."""
-    s = scores.withColumn("row", F.col("start") + F.col("offset")).groupBy(*KEYS, "row", "class").agg(F.sum("p").alias("p"), F.count("*").alias("windows"))
+    s = scores.select(*KEYS, (F.col("start") + F.col("offset")).alias("row"), "class", "p", F.lit(1).cast("long").alias("windows"))
+    return consensus_of_sums(s)
+
+
+def consensus_of_sums(sums: DataFrame) -> DataFrame:
+    """consensus() of (cell, mol, row, class, p, windows) that hold sums over some of the windows."""
+    s = sums.groupBy(*KEYS, "row", "class").agg(F.sum("p").alias("p"), F.sum("windows").alias("windows"))
     return s.groupBy(*KEYS, "row").agg(F.max_by("class", F.struct(F.col("p"), -F.col("class"))).alias("label"), F.try_divide(F.max("p"), F.sum("p")).alias("confidence"), F.max("windows").alias("windows"))
 
 
@@ -107,7 +120,10 @@ def apply_spans(df: DataFrame, marks: DataFrame) -> DataFrame:
     marks are joined by a running fill, not by a range: each row takes the class of the first mark at or after it, the latest seq winning at one pos.
     """
     rows = df.withColumn("row", F.row_number().over(track()))
-    one = marks.groupBy(*KEYS, F.col("pos").alias("row")).agg(F.max_by("class", "seq").alias("_class"))
+    n = df.groupBy(*KEYS).agg(F.count("*").alias("_n"))
+    # a mark beyond the end of its track labels up to the end, unless an earlier one does
+    at = marks.join(n, list(KEYS)).withColumn("row", F.least("pos", "_n").cast("int"))
+    one = at.groupBy(*KEYS, "row").agg(F.min_by("class", F.struct("pos", -F.col("seq"))).alias("_class"))
     w = Window.partitionBy(*KEYS).orderBy("row").rowsBetween(0, Window.unboundedFollowing)
     return rows.join(one, [*KEYS, "row"], "left").withColumn("label", F.first("_class", ignorenulls=True).over(w)).drop("_class")
 
@@ -135,12 +151,20 @@ def track_numbers(df: DataFrame) -> DataFrame:
 def external_labels(df: DataFrame, segments: DataFrame, thresholds: list[float] | None = None, cap: int = 200) -> DataFrame:
     """df with `label` from segments (traj_idx, seg, k, state, cp, length), tracks numbered densely from 0; rows past cap have none.
 
-    A segment reaches row min(cp + 1, length), 0-based cp; its label is its state, or the number of thresholds not above k plus 1.
+    A segment reaches row min(cp + 1, length), 0-based cp, and its label is its state: of several that reach the end of a short track the first counts. With
+    thresholds the label is the number of them not above k plus 1, and of segments whose cp is the track's length or more the last counts.
     """
     numbers = track_numbers(df)
-    value = F.col("state") if thresholds is None else sum([F.when(F.col("k") >= t, 1).otherwise(0) for t in thresholds], F.lit(1))
-    marks = segments.join(numbers, "traj_idx").select(*KEYS, F.least(F.col("cp") + 1, F.col("length")).alias("pos"), value.alias("class"), F.col("seg").alias("seq"))
-    return apply_spans(df, marks.where(F.col("pos") >= 1)).withColumn("label", F.when(F.col("row") <= cap, F.col("label")))
+    s = segments.join(numbers, "traj_idx").withColumn("_len", F.least("length", F.lit(cap)))
+    inside = F.col("cp") < F.col("_len")
+    if thresholds is None:
+        value, pos, first = F.col("state"), F.least(F.col("cp") + 1, F.col("_len")), -F.col("seg")
+    else:
+        value = sum([F.when(F.col("k") >= t, 1).otherwise(0) for t in thresholds], F.lit(1))
+        pos, first = F.when(inside, F.col("cp") + 1).otherwise(F.col("_len")), F.when(inside, -F.col("seg")).otherwise(F.col("seg"))
+    marks = s.select(*KEYS, pos.alias("pos"), value.alias("class"), F.struct(inside if thresholds is not None else F.lit(True), first).alias("order"))
+    one = marks.where(F.col("pos") >= 1).groupBy(*KEYS, "pos").agg(F.max_by("class", "order").alias("class"), F.lit(0).alias("seq"))
+    return apply_spans(df, one).withColumn("label", F.when(F.col("row") <= cap, F.col("label")))
 
 
 def initialise(df: DataFrame, p: Params = DEFAULT) -> DataFrame:

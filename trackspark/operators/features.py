@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, after, central, cross, dist, frames, mean_of, pairs_of, points, slope, std_of, step_px, steps_of, total, track, whole
+from ..functions.columns import KEYS, after, central, cross, dist, frames, mean_of, pairs_of, points, slope, std_of, step_px, steps_of, total, track, turn, whole
 from ..params import DEFAULT, Params
 
 
@@ -73,7 +73,7 @@ def image_angle(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def turn_angle_of(keys: Sequence[str] = KEYS) -> Column:
     dx, dy, ex, ey = _moves(keys)
-    return F.coalesce(F.abs(F.degrees(F.atan2(cross(ex, ey, dx, dy), ex * dx + ey * dy))), F.lit(0.0))
+    return F.coalesce(F.abs(F.degrees(turn(ex, ey, dx, dy))), F.lit(0.0))
 
 
 def turn_angle(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -84,7 +84,7 @@ def turn_angle(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def signed_angles(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Image angle and turn angle, radians with sign; null where undefined."""
     dx, dy, ex, ey = _moves(keys)
-    return df.withColumns({"image_rad": F.atan2(dy, dx), "turn_rad": F.atan2(cross(ex, ey, dx, dy), ex * dx + ey * dy)})
+    return df.withColumns({"image_rad": F.atan2(dy, dx), "turn_rad": turn(ex, ey, dx, dy)})
 
 
 def turn_angle_simple(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -141,50 +141,79 @@ def smoothed_steps(df: DataFrame, method: str = "movmean", half: int = 2, p: Par
         near = F.collect_list(F.when(F.col("_rn") > 1, F.struct("_rn", "_step"))).over(rows)
         weight = lambda q: F.exp(-F.pow((q["_rn"] - F.col("_rn")) / F.lit((2 * half + 1) / 5), 2) / 2)
         value = F.try_divide(total(F.transform(near, lambda q: weight(q) * q["_step"])), total(F.transform(near, weight)))
+    elif method[0] == "r":
+        return _robust_fits(s, method, half, keys)
     else:
-        return _local_fits(s, method, half, keys)
-    return s.withColumn("smoothed_nm", F.when(F.col("_rn") == 1, 0.0).otherwise(value)).drop("_step", "_rn", "_near")
+        near = F.collect_list(F.when(F.col("_rn") > 1, F.struct("_rn", "_step"))).over(rows)
+        s = s.withColumn("_near", near).withColumn("_near", F.transform("_near", lambda q: F.struct((q["_rn"] - F.col("_rn")).cast("double").alias("d"), q["_step"].alias("y"))))
+        reach = F.array_max(F.transform("_near", lambda q: F.abs(q["d"]))) + 1
+        weight = (lambda q: F.lit(1.0)) if method == "sgolay" else (lambda q: F.pow(1 - F.pow(F.abs(q["d"]) / F.col("_reach"), 3), 3))
+        s = s.withColumn("_reach", reach)
 
+        def moment(k: int, y: bool) -> Column:
+            return total(F.transform("_near", lambda q: weight(q) * F.pow(q["d"], F.lit(k)) * (q["y"] if y else F.lit(1.0))))
 
-def _local_fits(s: DataFrame, method: str, half: int, keys: Sequence[str]) -> DataFrame:
+        s = s.withColumns({f"_s{k}": moment(k, False) for k in range(5)} | {f"_t{k}": moment(k, True) for k in range(3)})
+        n = F.size("_near")
+        value = F.when(n < 2, F.try_divide("_t0", F.col("_s0")))
+        s0, s1, s2, s3, s4, t0, t1, t2 = (F.col(f"_{c}") for c in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+        line = F.try_divide(s2 * t0 - s1 * t1, s0 * s2 - s1 * s1)
+        if method == "lowess":
+            value = value.otherwise(line)
+        else:
+            parabola = F.try_divide(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2), s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))
+            value = value.when(n < 3, line).otherwise(parabola)
+        s = s.withColumn("_value", F.when(n > 0, value)).drop("_reach", *[f"_s{k}" for k in range(5)], *[f"_t{k}" for k in range(3)])
+        value = F.col("_value")
+    return s.withColumn("smoothed_nm", F.when(F.col("_rn") == 1, 0.0).otherwise(value)).drop("_step", "_rn", "_near", "_value")
+
+
+def _robust_fits(s: DataFrame, method: str, half: int, keys: Sequence[str]) -> DataFrame:
+    """Five rounds of local fits over whole tracks, all rows of a track at once; the weights of a round depend on the track's median residual."""
     import numpy as np
     import pandas as pd
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
     degree = 1 if method.endswith("lowess") else 2
 
     def smooth(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("frame")
         y = t["_step"].to_numpy()[1:]
-        out = y.copy()
-        robust = np.ones(len(y))
-        for _ in range(5 if method[0] == "r" else 1):
-            for i in range(len(y)):
-                a, b = max(0, i - half), min(len(y), i + half + 1)
-                d = np.arange(a, b) - i
-                reach = np.abs(d).max() + 1
-                k = (1 - (np.abs(d) / reach) ** 3) ** 3 if method != "sgolay" else np.ones(len(d))
-                k = k * robust[a:b]
-                n = min(degree, int((k > 0).sum()) - 1)
-                out[i] = np.polyfit(d, y[a:b], n, w=np.sqrt(k))[-1] if n >= 0 else y[i]
-            spread = 6 * np.median(np.abs(y - out)) if len(y) else 0
-            robust = np.where(np.abs(y - out) < spread, (1 - ((y - out) / spread) ** 2) ** 2, 0.0) if spread > 0 else robust
+        at = np.arange(len(y))[:, None] + np.arange(-half, half + 1)
+        there = (at >= 0) & (at < len(y))
+        at, d = np.clip(at, 0, max(0, len(y) - 1)), np.arange(-half, half + 1.0)
+        reach = np.where(there, np.abs(d), 0).max(axis=1, keepdims=True) + 1
+        local = np.where(there, (1 - np.minimum(1, np.abs(d) / reach) ** 3) ** 3, 0.0)
+        out, robust = y.copy(), np.ones(len(y))
+        for _ in range(5 if len(y) else 0):
+            k = local * robust[at]
+            n = np.minimum(degree, (k > 0).sum(axis=1) - 1)
+            powers = d[:, None] ** np.arange(degree + 1)
+            left = np.einsum("rw,wi,wj->rij", k, powers, powers)
+            right = np.einsum("rw,wi,rw->ri", k, powers, y[at])
+            for m in range(degree + 1):  # rows with fewer weights than the fit needs take a lower degree
+                rows = np.flatnonzero(n == m)
+                if len(rows):
+                    out[rows] = np.linalg.solve(left[rows, : m + 1, : m + 1], right[rows, : m + 1, None])[:, 0, 0]
+            out[n < 0] = y[n < 0]
+            spread = 6 * np.median(np.abs(y - out))
+            if spread > 0:
+                robust = np.where(np.abs(y - out) < spread, (1 - ((y - out) / spread) ** 2) ** 2, 0.0)
         return t.assign(smoothed_nm=np.concatenate([[0.0], out])).drop(columns=["_step", "_rn"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     schema = StructType([*[f for f in s.schema.fields if f.name not in ("_step", "_rn")], StructField("smoothed_nm", DoubleType())])
     return s.groupBy(*keys).applyInPandas(smooth, schema)
 
 
-def _msd_by_lag(pts: Column, w: int, p: Params, drop_empty: bool) -> Column:
-    """Array of (t, v): mean squared displacement in square micrometres by lag 1..w; empty lags are 0 or left out."""
+def _msd_by_lag(pts: Column, w: int, p: Params, drop_empty: bool | None) -> Column:
+    """Array of (t, v): mean squared displacement in square micrometres by lag 1..w; empty lags are 0, left out, or null (None)."""
     scale = (p.px_scale / 1000) ** 2
     pairs = pairs_of(pts, lambda a, b: F.struct((b["frame"] - a["frame"]).alias("lag"), ((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])).alias("d")))
 
     def of(lag: Column) -> Column:
         own = F.transform(F.filter(pairs, lambda q: q["lag"] == lag), lambda q: q["d"])
         value = mean_of(own) * scale
-        return F.struct((lag / p.frame_rate).alias("t"), (value if drop_empty else F.coalesce(value, F.lit(0.0))).alias("v"))
+        return F.struct((lag / p.frame_rate).alias("t"), (F.coalesce(value, F.lit(0.0)) if drop_empty is False else value).alias("v"))
 
     found = F.array(*[of(F.lit(k)) for k in range(1, w + 1)])
     return F.filter(found, lambda q: q["v"].isNotNull() & (q["v"] > 0)) if drop_empty else found
@@ -236,30 +265,42 @@ def rolling_step_std(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = K
     return _sides(df, p, keys, std_of, 3, 3, 2, p.px_scale, "step_std")
 
 
-def rolling_position_std(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean of the standard deviations of x and y before and after a row, nm: ratio and difference; 0 outside rows 3..n-1."""
+def _halves(df: DataFrame, p: Params, keys: Sequence[str]) -> tuple[WindowSpec, WindowSpec, Column]:
+    """The frames -w..-1 and 0..w-1 of a row, and whether it is row 3..n-1 of its track with two rows at least in either."""
     a, b = frames(-p.w, -1, keys), frames(0, p.w - 1, keys)
-    d = df.withColumns({s: (F.stddev_samp("x_px").over(w) + F.stddev_samp("y_px").over(w)) / 2 * p.px_scale for s, w in (("_a", a), ("_b", b))}).withColumn("_ok", _guarded(df, 3, 1, keys))
-    return d.withColumns({"pos_std_ratio": F.when(F.col("_ok"), F.try_divide("_b", "_a")).otherwise(0.0), "pos_std_delta": F.when(F.col("_ok"), F.col("_b") - F.col("_a")).otherwise(0.0)}).drop("_a", "_b", "_ok")
+    return a, b, _guarded(df, 3, 1, keys) & (F.count("*").over(a) >= 2) & (F.count("*").over(b) >= 2)
+
+
+def _changes(d: DataFrame, name: str) -> DataFrame:
+    """Ratio, difference and absolute difference of _b against _a where _ok, else 0; a ratio to nothing is null."""
+    delta = F.when(F.col("_ok"), F.col("_b") - F.col("_a")).otherwise(0.0)
+    return d.withColumns({f"{name}_ratio": F.when(F.col("_ok"), F.try_divide("_b", "_a")).otherwise(0.0), f"{name}_delta": delta, f"{name}_abs": F.abs(delta)}).drop("_a", "_b", "_ok")
+
+
+def rolling_position_std(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Mean of the standard deviations of x and y before and after a row, nm; 0 outside rows 3..n-1, or with fewer than two rows on a side."""
+    a, b, ok = _halves(df, p, keys)
+    d = df.withColumns({s: (F.stddev_samp("x_px").over(w) + F.stddev_samp("y_px").over(w)) / 2 * p.px_scale for s, w in (("_a", a), ("_b", b))})
+    return _changes(d.withColumn("_ok", ok), "pos_std")
 
 
 def rolling_dispersion(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean distance to the centroid before and after a row, nm: ratio and difference; 0 outside rows 3..n-1."""
-    d = df.withColumns({"_a": points(frames(-p.w, -1, keys)), "_b": points(frames(0, p.w - 1, keys)), "_ok": _guarded(df, 3, 1, keys)})
+    """Mean distance to the centroid before and after a row, nm; 0 outside rows 3..n-1, or with fewer than two rows on a side."""
+    a, b, ok = _halves(df, p, keys)
+    d = df.withColumns({"_pa": points(a), "_pb": points(b), "_ok": ok})
 
     def spread(c: Column) -> Column:
         cx, cy = mean_of(F.transform(c, lambda q: q["x"])), mean_of(F.transform(c, lambda q: q["y"]))
         return mean_of(F.transform(c, lambda q: F.hypot(q["x"] - cx, q["y"] - cy))) * p.px_scale
 
-    d = d.withColumns({"_va": spread(F.col("_a")), "_vb": spread(F.col("_b"))})
-    return d.withColumns({"disp_ratio": F.when(F.col("_ok"), F.try_divide("_vb", "_va")).otherwise(0.0), "disp_delta": F.when(F.col("_ok"), F.col("_vb") - F.col("_va")).otherwise(0.0)}).drop("_a", "_b", "_va", "_vb", "_ok")
+    return _changes(d.withColumns({"_a": spread(F.col("_pa")), "_b": spread(F.col("_pb"))}), "disp").drop("_pa", "_pb")
 
 
 def centroid_shift(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Distance of the centroids before and after a row, nm; 0 where one is missing."""
-    a, b = frames(-p.w, -1, keys), frames(0, p.w - 1, keys)
+    """Distance of the centroids before and after a row, nm; 0 outside rows 3..n-1, or with fewer than two rows on a side."""
+    a, b, ok = _halves(df, p, keys)
     far = F.hypot(F.avg("x_px").over(b) - F.avg("x_px").over(a), F.avg("y_px").over(b) - F.avg("y_px").over(a))
-    return df.withColumn("centroid_nm", F.coalesce(far, F.lit(0.0)) * p.px_scale)
+    return df.withColumn("centroid_nm", F.when(ok, far * p.px_scale).otherwise(0.0))
 
 
 def _around(df: DataFrame, p: Params, keys: Sequence[str]) -> DataFrame:
@@ -307,11 +348,14 @@ def fractal_dimension(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] =
 
 
 def trappedness(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS, c1: float = 0.2048, c2: float = 0.25117) -> DataFrame:
-    """1 - exp(c1 - c2 D t / r^2) with half the widest distance r, D from lags 1 and 2 and the duration t in frames +-w; 0 with fewer than 3 rows."""
-    d = df.withColumn("_p", points(frames(-p.w, p.w, keys))).withColumns({"_m": _msd_by_lag(F.col("_p"), 2, p, False), "_r": _widest(F.col("_p")) / 2 * (p.px_scale / 1000)})
-    t = (F.element_at("_p", -1)["frame"] - F.element_at("_p", 1)["frame"]) / p.frame_rate
-    inner = c1 - c2 * F.try_divide(slope(F.col("_m")) / 4 * t, F.col("_r") * F.col("_r"))
-    return d.withColumn("trapped", F.when(F.size("_p") >= 3, F.coalesce(1 - F.exp(inner), F.lit(0.0))).otherwise(0.0)).drop("_p", "_m", "_r")
+    """1 - exp(c1 - c2 D t / r^2) with the frame interval t, half the widest distance r and D from lags 1 and 2 in frames +-w.
+
+    0 with fewer than 3 rows, without spread, or where D is 0, as it is unless both lags occur.
+    """
+    d = df.withColumn("_p", points(frames(-p.w, p.w, keys))).withColumns({"_m": _msd_by_lag(F.col("_p"), 2, p, None), "_r": _widest(F.col("_p")) / 2 * (p.px_scale / 1000)})
+    d = d.withColumn("_d", (F.col("_m")[1]["v"] - F.col("_m")[0]["v"]) / 4 * p.frame_rate)
+    inner = c1 - c2 * F.try_divide(F.col("_d") / p.frame_rate, F.col("_r") * F.col("_r"))
+    return d.withColumn("trapped", F.when((F.size("_p") >= 3) & (F.col("_r") > 0) & (F.col("_d") != 0), 1 - F.exp(inner)).otherwise(0.0)).drop("_p", "_m", "_r", "_d")
 
 
 def angle_asymmetry(df: DataFrame, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, track, whole
+from ..functions.ranks import quantiles
 from ..params import DEFAULT, Params
 from .msd import runs
 from .prepare import fully_labelled
@@ -116,8 +117,11 @@ def aligned(df: DataFrame, value: str, state: int, kind: str = "exit", label: st
 
 def profile(a: DataFrame) -> DataFrame:
     """By relative frame: n, mean, median, std, var, sem of the values, zeros being missing."""
-    v = F.nullif(F.col("value"), F.lit(0.0))
-    return a.groupBy("rel").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("var"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"))
+    d = a.select("rel", F.nullif(F.col("value"), F.lit(0.0)).alias("v"))
+    v = F.col("v")
+    out = d.groupBy("rel").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("var"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"))
+    middle = quantiles(d, ["rel"], "v", [0.5]).select("rel", F.col("v").alias("median"))
+    return out.join(middle, "rel", "left").select("rel", "n", "mean", "median", "std", "var", "sem")
 
 
 def trimmed(a: DataFrame) -> DataFrame:

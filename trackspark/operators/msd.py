@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, track
+from ..functions.ranks import quantiles
 from ..params import DEFAULT, Params
 
 
@@ -62,18 +63,24 @@ def runs_by_class(df: DataFrame) -> DataFrame:
 
 
 def equal_weight_msd(df: DataFrame, max_lag: int, p: Params = DEFAULT) -> DataFrame:
-    """lag, mean and standard error over tracks of each track's mean; zeros count as missing, the error of one track is null."""
+    """group (0 for whole tracks, else the class), lag, mean and standard error over the group's units (tracks, or runs of the class) of each one's mean.
+
+    Zeros count as missing; the error of one unit is null.
+    """
     scale = (p.px_scale / 1000) ** 2
-    m = msd(df, max_lag, p=p).withColumn("v", F.when(F.col("msd") != 0, F.col("msd") * scale))
-    return m.groupBy("lag").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("sem"), F.count("v").alias("tracks"))
+    m = _unit_msd(df, max_lag, p).withColumn("v", F.when(F.col("msd") != 0, F.col("msd") * scale))
+    return m.groupBy("group", "lag").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("sem"), F.count("v").alias("units"))
+
+
+def _unit_msd(df: DataFrame, max_lag: int, p: Params) -> DataFrame:
+    by = (*KEYS, "class_label", "run")
+    return msd(df, max_lag, p=p).select(F.lit(0).alias("group"), "lag", "msd").unionByName(msd(runs(df), max_lag, by, p).select(F.col("class_label").alias("group"), "lag", "msd"))
 
 
 def trimmed_group_curve(df: DataFrame, max_lag: int, p: Params = DEFAULT) -> DataFrame:
     """group, lag, mean of the units' means, without the empty lags at the end of each group."""
     scale = (p.px_scale / 1000) ** 2
-    by = (*KEYS, "class_label", "run")
-    units = msd(df, max_lag, p=p).select(F.lit(0).alias("group"), "lag", "msd").unionByName(msd(runs(df), max_lag, by, p).select(F.col("class_label").alias("group"), "lag", "msd"))
-    m = units.groupBy("group", "lag").agg((F.avg(F.when(F.col("msd") != 0, F.col("msd"))) * scale).alias("mean"))
+    m = _unit_msd(df, max_lag, p).groupBy("group", "lag").agg((F.avg(F.when(F.col("msd") != 0, F.col("msd"))) * scale).alias("mean"))
     last = F.max(F.when(F.col("mean").isNotNull(), F.col("lag"))).over(Window.partitionBy("group"))
     return m.withColumn("_last", last).where(F.col("lag") <= F.col("_last")).drop("_last")
 
@@ -85,9 +92,15 @@ def diffusion(curve: DataFrame, lags: int, by: str = "group", value: str = "msd"
 
 
 def track_diffusion(df: DataFrame, max_lag: int, by: Sequence[str] = KEYS, least: int = 5, p: Params = DEFAULT) -> DataFrame:
-    """by..., d: a quarter of the slope of mean squared displacement over the lags that occur, square micrometres a second."""
-    m = msd(_at_least(df, by, least), max_lag, by, p)
-    return m.groupBy(*by).agg((F.regr_slope(F.col("msd") * (p.px_scale / 1000) ** 2, "t") / 4).alias("d")).where("d IS NOT NULL")
+    """by..., d: a quarter of the slope of mean squared displacement over lags 1..max_lag, square micrometres a second, for tracks of `least` rows.
+
+    Lags that don't occur count as 0, so that every track has a value.
+    """
+    units = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    middle = (max_lag + 1) / 2
+    spread = sum((k - middle) ** 2 for k in range(1, max_lag + 1))
+    m = msd(df, max_lag, by, p).groupBy(*by).agg(F.sum((F.col("lag") - middle) * F.col("msd")).alias("_s"))
+    return units.join(m, list(by), "left").select(*by, (F.coalesce("_s", F.lit(0.0)) * ((p.px_scale / 1000) ** 2 * p.frame_rate / spread / 4)).alias("d"))
 
 
 def class_diffusion(df: DataFrame, max_lag: int, unit: str = "class", p: Params = DEFAULT) -> DataFrame:
@@ -119,7 +132,8 @@ def gamma_mixture(d: DataFrame, components: int, shape: float, rounds: int = 40,
     n = x.count()
     if not n:
         return spark.createDataFrame([], "component int, mean double, occupancy double, log_likelihood double")
-    means = sorted(max(q, 1e-12) for q in x.approxQuantile("x", [(k + 0.5) / components for k in range(components)], 0.0))
+    starts = quantiles(x, [], "x", [(k + 0.5) / components for k in range(components)]).collect()  # a row a component
+    means = sorted(max(r["v"], 1e-12) for r in starts)
     means = [m * (1 + 1e-3 * k) for k, m in enumerate(means)]
     shares = [1 / components] * components
     loglik = 0.0

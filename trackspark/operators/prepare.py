@@ -1,4 +1,7 @@
-"""Filters and preparation of tracks (F). Tracks are rows (cell_id, mol_id, frame, ...); a track's span is its first to last frame."""
+"""Filters and preparation of tracks (F). Tracks are rows (cell_id, mol_id, frame, ...); a track's span is its first to last frame.
+
+What sweeps over all tracks of a cell does so in ranges of frames, with sums carried from one to the next, so a recording of any size takes many tasks.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, track, whole
+from ..functions.ranks import numbered, running
 
 
 def spans(df: DataFrame) -> DataFrame:
@@ -18,7 +22,7 @@ def spans(df: DataFrame) -> DataFrame:
 def renumber(df: DataFrame) -> DataFrame:
     """Molecules of a cell numbered 1.. in the order of (first frame, id)."""
     firsts = df.groupBy(*KEYS).agg(F.min("frame").alias("_f"))
-    new = firsts.withColumn("new_id", F.row_number().over(Window.partitionBy("cell_id").orderBy("_f", "mol_id"))).drop("_f")
+    new = numbered(firsts, ["cell_id"], ["_f", "mol_id"], "new_id").drop("_f")
     return df.join(new, list(KEYS)).withColumn("mol_id", F.col("new_id").cast("long")).drop("new_id")
 
 
@@ -35,8 +39,7 @@ def conflicts(df: DataFrame, buffer: int) -> DataFrame:
     marks = s.select("cell_id", F.explode(F.array(F.struct((F.col("lo") - buffer).alias("at"), F.lit(2).alias("kind"), F.lit(1).alias("d")), F.struct((F.col("hi") + buffer).alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("d")))).alias("e")).select("cell_id", "e.*", F.lit(None).cast("long").alias("mol_id"))
     asked = s.select("cell_id", "mol_id", F.explode(F.array("lo", "hi")).alias("at")).select("cell_id", "at", F.lit(1).alias("kind"), F.lit(0).alias("d"), "mol_id")
     # at one frame: spans that end there close first, then questions, then spans that start there open: both ends are strict
-    order = Window.partitionBy("cell_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = marks.unionByName(asked).withColumn("open", F.sum("d").over(order)).where("kind = 1")
+    swept = running(marks.unionByName(asked), ["cell_id"], ["at", "kind"], {"open": "d"}).where("kind = 1")
     # with a buffer a track's own span holds both its ends, without one neither
     return swept.where(F.col("open") > (1 if buffer > 0 else 0)).select("cell_id", "mol_id").distinct()
 
@@ -51,15 +54,15 @@ def truncate_overlaps(df: DataFrame) -> DataFrame:
     edges = s.select("cell_id", F.explode(F.array(F.struct(F.col("lo").alias("frame"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("frame"), F.lit(-1).alias("d")))).alias("e")).select("cell_id", "e.*")
     edges = edges.groupBy("cell_id", "frame").agg(F.sum("d").alias("d"))
     marked = df.withColumns({"_kind": F.lit(1), "_d": F.lit(0).cast("long")}).unionByName(edges.select("cell_id", "frame", F.lit(0).alias("_kind"), F.col("d").alias("_d")), allowMissingColumns=True)
-    w = Window.partitionBy("cell_id").orderBy("frame", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("_open", F.sum("_d").over(w)).where("_kind = 1 AND _open < 2").drop("_kind", "_d", "_open")
+    return running(marked, ["cell_id"], ["frame", "_kind"], {"_open": "_d"}).where("_kind = 1 AND _open < 2").drop("_kind", "_d", "_open")
 
 
 def split_gaps(df: DataFrame, mem: int) -> DataFrame:
     """Tracks are split where the frame jumps by more than mem+1; later pieces get new ids above the largest of the cell."""
     jump = F.when(F.col("frame") - F.lag("frame").over(track()) > mem + 1, 1).otherwise(0)
     cut = df.withColumn("_j", jump).withColumn("_piece", F.sum("_j").over(track().rowsBetween(Window.unboundedPreceding, 0)))
-    later = cut.where("_piece > 0").select(*KEYS, "_piece").distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("cell_id").orderBy("mol_id", "_piece")))
+    later = cut.where("_piece > 0").select(*KEYS, "_piece").distinct()
+    later = numbered(later, ["cell_id"], ["mol_id", "_piece"], "_rank")
     top = df.groupBy("cell_id").agg(F.max("mol_id").alias("_top"))
     new = later.join(top, "cell_id").select(*KEYS, "_piece", (F.col("_top") + F.col("_rank")).alias("_new"))
     return cut.join(new, [*KEYS, "_piece"], "left").withColumn("mol_id", F.coalesce("_new", "mol_id")).drop("_j", "_piece", "_new")
@@ -78,8 +81,7 @@ def foreign_points(df: DataFrame, all_locs: DataFrame, tolerance: int) -> DataFr
     counts = all_locs.groupBy("cell_id", "frame").agg(F.count("*").alias("k"))
     asked = s.select("cell_id", "mol_id", F.explode(F.array(F.struct((F.col("lo") - 1).alias("frame"), F.lit(-1).alias("sign")), F.struct(F.col("hi").alias("frame"), F.lit(1).alias("sign")))).alias("e")).select("cell_id", "mol_id", "e.*")
     both = counts.select("cell_id", "frame", F.col("k"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("mol_id"), F.lit(0).alias("sign")).unionByName(asked.select("cell_id", "frame", F.lit(0).cast("long").alias("k"), F.lit(1).alias("kind"), "mol_id", "sign"))
-    w = Window.partitionBy("cell_id").orderBy("frame", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    inside = both.withColumn("c", F.sum("k").over(w)).where("kind = 1").groupBy(*KEYS).agg(F.sum(F.col("c") * F.col("sign")).alias("inside"))
+    inside = running(both, ["cell_id"], ["frame", "kind"], {"c": "k"}).where("kind = 1").groupBy(*KEYS).agg(F.sum(F.col("c") * F.col("sign")).alias("inside"))
     keep = inside.join(s, list(KEYS)).where(F.col("inside") - F.col("n") <= tolerance).select(*KEYS)
     return df.join(keep, list(KEYS), "left_semi")
 

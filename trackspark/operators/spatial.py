@@ -6,12 +6,14 @@ cell as arrays; points meet it by an equality or box join, and every test is an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..params import DEFAULT, Params
 
@@ -89,8 +91,8 @@ def projected(p: Column, e: Column) -> Column:
     """(x, y, d): the nearest point of a segment and its distance."""
     ux, uy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
     t = F.coalesce(F.try_divide((p["x"] - e["a"]["x"]) * ux + (p["y"] - e["a"]["y"]) * uy, ux * ux + uy * uy), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    x, y = e["a"]["x"] + t * ux, e["a"]["y"] + t * uy
+    x = F.when(t >= 1, e["b"]["x"]).when(t <= 0, e["a"]["x"]).otherwise(e["a"]["x"] + t * ux)
+    y = F.when(t >= 1, e["b"]["y"]).when(t <= 0, e["a"]["y"]).otherwise(e["a"]["y"] + t * uy)
     return F.struct(x.alias("x"), y.alias("y"), F.hypot(p["x"] - x, p["y"] - y).alias("d"))
 
 
@@ -112,21 +114,51 @@ def pole_distance(df: DataFrame, cells: DataFrame, p: Params = DEFAULT) -> DataF
     return d.withColumn("pole_nm", F.least(distance(F.col("_at"), F.col("_a")), distance(F.col("_at"), F.col("_b"))) * p.px_scale).drop("_a", "_b", "_at")
 
 
+def in_boxes(points: DataFrame, cells: DataFrame, tile: float = 64.0) -> DataFrame:
+    """points with cell_id and depth (distance to the outline) for each cell whose outline holds them, by an equality join on tiles.
+
+    A cell lies on the tiles that its box touches, a point on one; so a point meets only the cells near it, however many there are.
+    """
+    by = lambda c: F.floor(F.col(c) / tile)
+    flat = F.flatten(F.transform(edges(F.col("roi")), lambda e: F.array(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
+    boxes = cells.select("cell_id", "x_min", "x_max", "y_min", "y_max", flat.alias("_f"))
+    # as rows, so that the planner doesn't copy the outline's expressions into every use
+    boxes = boxes.mapInArrow(lambda batches: batches, boxes.schema)
+    c = boxes.withColumn("_tx", F.explode(F.sequence(by("x_min"), by("x_max")))).withColumn("_ty", F.explode(F.sequence(by("y_min"), by("y_max"))))
+    j = points.withColumns({"_tx": by("x_px"), "_ty": by("y_px")}).join(c, ["_tx", "_ty"])
+    j = j.where(F.col("x_px").between(F.col("x_min"), F.col("x_max")) & F.col("y_px").between(F.col("y_min"), F.col("y_max")))
+    schema = StructType([*points.schema.fields, cells.schema["cell_id"], StructField("depth", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                x, y = (part.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in ("x_px", "y_px"))
+                cell = part.column("cell_id").dictionary_encode().indices.to_numpy()
+                depth, held = np.zeros(len(x)), np.zeros(len(x), bool)
+                for k in range(int(cell.max()) + 1 if len(cell) else 0):
+                    rows = np.flatnonzero(cell == k)
+                    e = np.array(part.column("_f")[int(rows[0])].as_py()).reshape(-1, 4)
+                    column = (x[rows, None], y[rows, None], e[:, :2], e[:, 2:])
+                    held[rows] = _crossings(*column) % 2 == 1
+                    depth[rows] = _nearest(*column)[3].min(axis=1)
+                chosen = pa.table({**{n: part.column(n) for n in schema.names[:-1]}, "depth": pa.array(depth)}).filter(pa.array(held))
+                yield from chosen.to_batches()
+
+    return j.select(*points.columns, "cell_id", "_f").mapInArrow(run, schema)
+
+
 def assign_points(points: DataFrame, cells: DataFrame) -> DataFrame:
     """points (id, x_px, y_px) with the cell whose outline holds them; of several the one they are deepest in. cells need roi and a box."""
-    c = cells.select("cell_id", "x_min", "x_max", "y_min", "y_max", edges(F.col("roi")).alias("_e"))
-    j = points.join(c, F.col("x_px").between(F.col("x_min"), F.col("x_max")) & F.col("y_px").between(F.col("y_min"), F.col("y_max")))
-    j = j.withColumn("_at", point(F.col("x_px"), F.col("y_px"))).where(inside(F.col("_at"), F.col("_e"))).withColumn("depth", outline_distance(F.col("_at"), F.col("_e")))
-    w = Window.partitionBy("id").orderBy(F.desc("depth"), "cell_id")
-    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("id", "x_px", "y_px", "cell_id", "depth")
+    held = in_boxes(points.select("id", "x_px", "y_px"), cells)
+    best = F.min(F.struct((-F.col("depth")).alias("d"), "cell_id", "x_px", "y_px")).alias("b")
+    return held.groupBy("id").agg(best).select("id", "b.x_px", "b.y_px", "b.cell_id", (-F.col("b.d")).alias("depth"))
 
 
 def assign_tracks(tracks: DataFrame, cells: DataFrame, least: int = 5) -> DataFrame:
     """track_id, cell_id, share: the first cell that holds more than half of a track's points; tracks need `least` rows and distinct frames."""
     n = tracks.groupBy("track_id").agg(F.count("*").alias("n"), F.countDistinct("frame").alias("f")).where((F.col("n") >= least) & (F.col("n") == F.col("f"))).drop("f")
-    c = cells.select("cell_id", "x_min", "x_max", "y_min", "y_max", edges(F.col("roi")).alias("_e"))
-    j = tracks.join(c, F.col("x_px").between(F.col("x_min"), F.col("x_max")) & F.col("y_px").between(F.col("y_min"), F.col("y_max")))
-    held = j.where(inside(point(F.col("x_px"), F.col("y_px")), F.col("_e"))).groupBy("track_id", "cell_id").agg(F.count("*").alias("k"))
+    held = in_boxes(tracks.select("track_id", "x_px", "y_px"), cells).groupBy("track_id", "cell_id").agg(F.count("*").alias("k"))
     share = held.join(n, "track_id").withColumn("share", F.col("k") / F.col("n")).where("share > 0.5")
     return share.groupBy("track_id").agg(F.min(F.struct("cell_id", "share")).alias("b")).select("track_id", "b.*")
 
@@ -139,50 +171,94 @@ def midlines(cells: DataFrame) -> DataFrame:
     return c.withColumns({"left_half": F.concat("left", F.reverse("midline")), "right_half": F.concat("right", F.reverse("midline"))})
 
 
+#: Rows that meet all segments of their cell's midline at once.
+TOGETHER = 2000
+COORDINATES = {"longitude": DoubleType(), "longitude_px": DoubleType(), "latitude": DoubleType(), "latitude_px": DoubleType(), "side": IntegerType(), "beyond": BooleanType()}
+
+
 def cell_coordinates(df: DataFrame, cells: DataFrame) -> DataFrame:
-    """df with longitude, latitude (shares, centred) and longitude_px, latitude_px, along and across the midline of its cell.
+    """df with longitude, latitude (shares, centred) and longitude_px, latitude_px, along and across the midline of its cell, side and beyond.
 
-    The nearest midline segment gives the longitude; the side is that of the half that holds the point, or else of the nearer arm; the latitude
-    is the offset over the half width along the same ray. Beyond a pole both are extrapolated from the last segment.
+    The nearest midline segment gives the longitude; the side (1 left, -1 right) is that of the half that holds the point, or else of the nearer arm; the
+    latitude is the offset over the half width along the same ray. Beyond a pole both are extrapolated from the last segment. Rows without
+    coordinates have nulls. Geometry comes to the rows by an equality join, and Arrow batches of rows are measured against it cell by cell.
     """
-    m = midlines(cells)
-    along = F.transform(edges(F.col("midline"), closed=False), lambda e: distance(e["a"], e["b"]))
-    geometry = m.select(
-        "cell_id",
-        "contour",
-        edges(F.col("midline"), closed=False).alias("_mid"),
-        F.transform(along, lambda _, i: F.aggregate(F.slice(along, 1, i), F.lit(0.0), lambda s, v: s + v)).alias("_before"),
-        edges(F.col("left_half")).alias("_lh"),
-        edges(F.col("right_half")).alias("_rh"),
-        edges(F.col("left"), closed=False).alias("_la"),
-        edges(F.col("right"), closed=False).alias("_ra"),
-    )
-    d = df.join(geometry, "cell_id").withColumn("_at", point(F.col("x_px"), F.col("y_px")))
-    d = d.withColumn("_near", F.transform("_mid", lambda e, i: F.struct(projected(F.col("_at"), e)["d"].alias("d"), i.alias("i"))))
-    d = d.withColumn("_i", F.array_min("_near")["i"])
-    d = d.withColumns({"_seg": F.get("_mid", F.col("_i")), "_n": F.size("_mid")}).withColumn("_t", projected(F.col("_at"), F.col("_seg")))
-    d = d.withColumn("_lon", F.get("_before", F.col("_i")) + distance(F.col("_t"), F.col("_seg")["a"]))
-    left = F.when(inside(F.col("_at"), F.col("_lh")), True).when(inside(F.col("_at"), F.col("_rh")), False).otherwise(outline_distance(F.col("_at"), F.col("_la")) < outline_distance(F.col("_at"), F.col("_ra")))
-    d = d.withColumn("_left", left).withColumn("_arm", F.when(F.col("_left"), F.get("_la", F.col("_i"))).otherwise(F.get("_ra", F.col("_i"))))
+    flat = F.flatten(F.transform("mesh", lambda m: F.array(m["xl"].cast("double"), m["yl"].cast("double"), m["xr"].cast("double"), m["yr"].cast("double"))))
+    joined = df.join(cells.select("cell_id", flat.alias("_mesh")), "cell_id")
+    kept = [c for c in joined.columns if c not in ("_mesh", *COORDINATES)]
+    schema = StructType([*[joined.schema[c] for c in kept], *[StructField(name, kind) for name, kind in COORDINATES.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                x, y = (part.column(c).cast(pa.float64()).fill_null(np.nan).to_numpy() for c in ("x_px", "y_px"))
+                cell = part.column("cell_id").dictionary_encode().indices.to_numpy()
+                out = np.zeros((len(COORDINATES), len(x)))
+                for k in range(int(cell.max()) + 1 if len(cell) else 0):
+                    rows = np.flatnonzero(cell == k)
+                    mesh = np.array(part.column("_mesh")[int(rows[0])].as_py()).reshape(-1, 4)
+                    out[:, rows] = _coordinates(x[rows], y[rows], mesh)
+                lost = np.isnan(x) | np.isnan(y)
+                found = [pa.array(v, pa.float64(), mask=lost | np.isnan(v)) for v in out[:4]]
+                found += [pa.array(out[4].astype(np.int32), mask=lost), pa.array(out[5] > 0, mask=lost)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *found], names=schema.names)
+
+    return joined.mapInArrow(run, schema)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Share along each segment a-b of the nearest point to each (x, y), the point, and its distance: rows by segments."""
+    u = b - a
+    with np.errstate(invalid="ignore", divide="ignore"):
+        t = ((x - a[:, 0]) * u[:, 0] + (y - a[:, 1]) * u[:, 1]) / (u * u).sum(axis=1)
+    t = np.clip(np.where(np.isnan(t) & ~np.isnan(x), 0.0, t), 0.0, 1.0)
+    px, py = (np.where(t >= 1, b[:, i], np.where(t <= 0, a[:, i], a[:, i] + t * u[:, i])) for i in (0, 1))
+    return t, px, py, np.hypot(x - px, y - py)
+
+
+def _crossings(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many segments a ray to the right of each point crosses."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        at = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
+        return (((a[:, 1] > y) != (b[:, 1] > y)) & (x < at)).sum(axis=1)
+
+
+def _coordinates(x: np.ndarray, y: np.ndarray, mesh: np.ndarray) -> np.ndarray:
+    left, right = mesh[:, :2], mesh[:, 2:]
+    mid = (left + right) / 2
+    a, b = mid[:-1], mid[1:]
+    lengths = np.hypot(*(b - a).T)
+    before, contour = np.concatenate([[0.0], np.cumsum(lengths)])[:-1], lengths.sum()
+    column = (x[:, None], y[:, None])
+    t, px, py, d = _nearest(*column, a, b)
+    i, rows = d.argmin(axis=1), np.arange(len(x))
+    t, px, py, d, last = t[rows, i], px[rows, i], py[rows, i], d[rows, i], len(a) - 1
+    lon = before[i] + np.hypot(px - a[i, 0], py - a[i, 1])
+
+    on_mid = _crossings(*column, a, b)
+    in_left, in_right = ((_crossings(*column, arm[:-1], arm[1:]) + on_mid) % 2 == 1 for arm in (left, right))
+    nearer = _nearest(*column, left[:-1], left[1:])[3].min(axis=1) < _nearest(*column, right[:-1], right[1:])[3].min(axis=1)
+    is_left = in_left | ~in_right & nearer
+    p, q = (np.where(is_left[:, None], left[i + k], right[i + k]) for k in (0, 1))
+
     # the ray from the midline point through the point meets the arm at share s of their distance: s solves t + s (c - t) on the arm's line
-    t, a, c = F.col("_t"), F.col("_arm"), F.col("_at")
-    vx, vy = c["x"] - t["x"], c["y"] - t["y"]
-    ux, uy = a["b"]["x"] - a["a"]["x"], a["b"]["y"] - a["a"]["y"]
-    s = F.try_divide((a["a"]["x"] - t["x"]) * uy - (a["a"]["y"] - t["y"]) * ux, vx * uy - vy * ux)
-    d = d.withColumn("_lat", F.when((vx == 0) & (vy == 0), 0.0).otherwise(F.try_divide(F.lit(1.0), F.abs(s))))
-    beyond = F.col("_lat").isNull() | (F.col("_lon") <= 0)
-    end = (F.col("_lon") >= F.col("contour")) & (F.col("_i") == F.col("_n") - 1)
-    p0, p1 = F.when(end, F.col("_seg")["b"]).otherwise(F.col("_seg")["a"]), F.when(end, F.col("_seg")["a"]).otherwise(F.col("_seg")["b"])
-    wx, wy, qx, qy = p1["x"] - p0["x"], p1["y"] - p0["y"], c["x"] - p0["x"], c["y"] - p0["y"]
-    length = F.hypot(wx, wy)
-    far = F.abs(F.try_divide(qx * wx + qy * wy, length))
-    off = F.coalesce(F.try_divide(F.abs(wx * qy - wy * qx), length), F.hypot(qx, qy))
-    half = (distance(a["a"], F.col("_seg")["a"]) + distance(a["b"], F.col("_seg")["b"])) / 2
-    lon = F.when(beyond & (F.col("_i") == 0), -far).when(beyond & (F.col("_i") == F.col("_n") - 1), far + F.col("contour")).when(beyond, far).otherwise(F.col("_lon"))
-    sign = F.when(F.col("_left"), 1.0).otherwise(-1.0)
-    d = d.withColumns({"_lp": lon, "_wp": sign * F.when(beyond, off).otherwise(F.col("_t")["d"]), "_ls": sign * F.when(beyond, F.try_divide(off, half)).otherwise(F.col("_lat"))})
-    d = d.withColumns({"longitude": F.try_divide(F.col("_lp"), F.col("contour")) - 0.5, "longitude_px": F.col("_lp") - F.col("contour") / 2, "latitude": F.col("_ls") / 2, "latitude_px": F.col("_wp")})
-    return d.drop("contour", *[x for x in d.columns if x.startswith("_")])
+    vx, vy, ux, uy = x - px, y - py, q[:, 0] - p[:, 0], q[:, 1] - p[:, 1]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = ((p[:, 0] - px) * uy - (p[:, 1] - py) * ux) / (vx * uy - vy * ux)
+        lat = np.where((vx == 0) & (vy == 0), 0.0, 1 / np.abs(s))
+    beyond = ~np.isfinite(lat) | (i == 0) & (t <= 0)
+    end = (i == last) & (t >= 1)
+    p0, p1 = np.where(end[:, None], b[i], a[i]), np.where(end[:, None], a[i], b[i])
+    w, c = p1 - p0, np.stack([x, y], axis=1) - p0
+    size = np.hypot(*w.T)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        far = np.abs((c * w).sum(axis=1) / size)
+        off = np.where(size == 0, np.hypot(*c.T), np.abs(w[:, 0] * c[:, 1] - w[:, 1] * c[:, 0]) / size)
+        share = off / ((np.hypot(*(p - p0).T) + np.hypot(*(q - p1).T)) / 2)
+    lon = np.where(beyond & (i == 0), -far, np.where(beyond & (i == last), far + contour, np.where(beyond, far, lon)))
+    sign = np.where(is_left, 1.0, -1.0)
+    return np.stack([lon / contour - 0.5, lon - contour / 2, sign * np.where(beyond, share, lat) / 2, sign * np.where(beyond, off, d), sign, beyond])
 
 
 def rotate(df: DataFrame, degrees: float) -> DataFrame:

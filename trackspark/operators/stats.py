@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, track
+from ..functions.ranks import quantiles, running
+from .prepare import crop
 
 BINS = 25
 
@@ -37,7 +39,8 @@ def binned(df: DataFrame, features: Sequence[str], keep: Sequence[str], bins: in
     Edges and values are compared to six places, so that interpolated edges fall on the values they stem from.
     """
     long = melt(df, features, keep).where("value IS NOT NULL")
-    cuts = long.groupBy("feature").agg(F.array_sort(F.array_distinct(F.transform(F.percentile("value", F.array(*[F.lit(k / bins) for k in range(bins + 1)])), lambda e: F.round(e, 6)))).alias("edges"))
+    cut = quantiles(long.select("feature", "value"), ["feature"], "value", [k / bins for k in range(bins + 1)])
+    cuts = cut.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list(F.round("v", 6)))).alias("edges"))  # a row a feature
     b = F.size(F.filter("edges", lambda e: e <= F.round("value", 6)))
     return long.join(F.broadcast(cuts), "feature").withColumn("bin", F.least(b, F.greatest(F.size("edges") - 1, F.lit(1)))).drop("edges", "value")
 
@@ -84,12 +87,57 @@ def ranked_by_regions(df: DataFrame, features: Sequence[str], reach: int, label:
     return ranked(a.join(b, "feature", "full").select("feature", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")).withColumn("total", F.col("near") + F.col("far")), "total")
 
 
-def discover(df: DataFrame, used: Sequence[str], others: Sequence[str], most_r: float, least_mi: float, label: str = "class_label") -> DataFrame:
-    """Features not used that no used one correlates with beyond most_r, with at least so much information on the class, ranked."""
-    r = correlations(df, [*used, *others])
-    close = r.where(F.col("a").isin(*others) & F.col("b").isin(*used) & (F.abs("r") > most_r)).select(F.col("a").alias("feature")).distinct()
-    mi = mutual_information(df, others, label).join(close, "feature", "left_anti")
-    return ranked(mi.where(F.col("mi") >= least_mi))
+def discover(df: DataFrame, used: Sequence[str], others: Sequence[str], most_r: float, least_mi: float, label: str = "class_label", show: str = "predictive") -> DataFrame:
+    """Unused features ranked by information on the class, with predictive: whether it reaches least_mi.
+
+    show: `all` of them; those that no used feature correlates with beyond most_r (`new`); or of these the predictive ones (`predictive`).
+    """
+    mi = mutual_information(df, others, label)
+    if show != "all":
+        r = correlations(df, [*used, *others])
+        close = r.where(F.col("a").isin(*others) & F.col("b").isin(*used) & (F.abs("r") > most_r)).select(F.col("a").alias("feature")).distinct()
+        mi = mi.join(close, "feature", "left_anti")
+    mi = mi.withColumn("predictive", F.col("mi") >= least_mi)
+    return ranked(mi.where("predictive") if show == "predictive" else mi)
+
+
+def regions(df: DataFrame, a: int, b: int, reach: int, which: str = "all", label: str = "class_label", start: int = 0, end: int = 0) -> DataFrame:
+    """Rows of cropped tracks with class a or b, for distributions: `all` rows of the two classes; `distal`, those not around a change of class;
+    or `proximal`, all rows around changes between the two, whose class is the one before the change; a row near two changes counts for each."""
+    d = crop(df, start, end)
+    if which == "all":
+        return d.where(F.col(label).isin(a, b)).withColumn("class", F.col(label))
+    if which == "distal":
+        return proximal(d, reach, label).where(F.col(label).isin(a, b) & ~F.coalesce("proximal", F.lit(False))).withColumn("class", F.col(label)).drop("proximal")
+    before = F.when((F.col(label) == a) & (F.lead(label).over(track()) == b), a).when((F.col(label) == b) & (F.lead(label).over(track()) == a), b)
+    near = F.collect_list("_from").over(track().rowsBetween(-reach, reach - 1))
+    return d.withColumn("_from", before).withColumn("_near", near).withColumn("class", F.explode("_near")).drop("_from", "_near")
+
+
+def point_histogram(d: DataFrame, feature: str, points: int) -> DataFrame:
+    """class, bin, x (its middle), density of regions(): for each class, so many bins from its least to its largest value."""
+    v = d.where(F.col(feature).isNotNull()).select("class", F.col(feature).cast("double").alias("v"))
+    ends = v.groupBy("class").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("all"))  # a row a class
+    width = (F.col("hi") - F.col("lo")) / points
+    at = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(points - 1))
+    n = v.join(F.broadcast(ends), "class").where("hi > lo").groupBy("class", "lo", "hi", "all", at.alias("bin")).agg(F.count("*").alias("n"))
+    return n.select("class", "bin", (F.col("lo") + (F.col("bin") + 0.5) * width).alias("x"), (F.col("n") / F.col("all") / width).alias("density"))
+
+
+def positive_density(d: DataFrame, feature: str, bandwidth: float, points: int) -> DataFrame:
+    """class, x, density of regions() for a feature without negative values: zeros are left out, and the kernel works on logarithms, so none of it falls below 0.
+
+    The grid is even in the logarithm from three bandwidths below the least value to three above the largest, as many points for each class. Rows are counted
+    by value before they meet the grid.
+    """
+    import math
+
+    v = d.where(F.col(feature) > 0).groupBy("class", F.log(F.col(feature).cast("double")).alias("v")).agg(F.count("*").alias("n"))
+    ends = v.groupBy("class").agg((F.min("v") - 3 * bandwidth).alias("lo"), (F.max("v") + 3 * bandwidth).alias("hi"), F.sum("n").alias("all"))
+    grid = ends.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("u", F.col("lo") + F.col("g") * (F.col("hi") - F.col("lo")) / (points - 1))
+    z = (F.col("v") - F.col("u")) / bandwidth
+    s = v.join(F.broadcast(grid), "class").groupBy("class", "u", "all").agg(F.sum(F.col("n") * F.exp(-z * z / 2)).alias("s"))
+    return s.select("class", F.exp("u").alias("x"), (F.col("s") / (F.col("all") * bandwidth * math.sqrt(2 * math.pi)) / F.exp("u")).alias("density"))
 
 
 def class_distribution(df: DataFrame, feature: str, width: float, label: str = "class_label") -> DataFrame:
@@ -122,12 +170,11 @@ def kernel_density(df: DataFrame, feature: str, low: float, high: float, n: int,
 
 
 def kolmogorov_smirnov(df: DataFrame, feature: str, a: int, b: int, label: str = "class_label") -> DataFrame:
-    """d: the largest difference of two classes' cumulative distributions. Rows are counted by value first; the running sum goes over distinct values."""
+    """d: the largest difference of two classes' cumulative distributions. Rows are counted by value first; the counts are summed up over ranges of values."""
     c = df.where(F.col(label).isin(a, b) & F.col(feature).isNotNull()).groupBy(feature).agg(F.sum(F.when(F.col(label) == a, 1).otherwise(0)).alias("x"), F.sum(F.when(F.col(label) == b, 1).otherwise(0)).alias("y"))
-    w = Window.orderBy(feature).rowsBetween(Window.unboundedPreceding, 0)
+    s = running(c, [], [feature], {"cx": "x", "cy": "y"})
     t = c.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    s = c.withColumns({"cx": F.sum("x").over(w), "cy": F.sum("y").over(w)}).join(F.broadcast(t), F.lit(True))
-    return s.agg(F.max(F.abs(F.try_divide("cx", F.col("nx")) - F.try_divide("cy", F.col("ny")))).alias("d"))
+    return s.join(F.broadcast(t), F.lit(True)).agg(F.max(F.abs(F.try_divide("cx", F.col("nx")) - F.try_divide("cy", F.col("ny")))).alias("d"))
 
 
 def masked_accuracy(df: DataFrame, truth: str, predicted: str, mask: Column | None = None) -> DataFrame:

@@ -43,14 +43,19 @@ def training_table(df: DataFrame, features: Sequence[str], kind: str = "zscore",
     return scale(d, scaling(d, features, kind), features)
 
 
+def keyed(seed: int, *by: str | Column) -> Column:
+    """The MD5 digest, in hexadecimal, of the seed and the columns' decimal texts between bars: one that any engine can compute."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in by]).cast("binary"))
+
+
 def order_by_hash(df: DataFrame, seed: int, by: Sequence[str] = KEYS) -> DataFrame:
     """df with shuffle_key, a seeded hash of a row's molecule (or of more columns); sorting by it shuffles, alike on every run."""
-    return df.withColumn("shuffle_key", F.xxhash64(F.lit(seed), *by))
+    return df.withColumn("shuffle_key", keyed(seed, *by))
 
 
 def split(df: DataFrame, shares: dict[str, float], seed: int, by: Sequence[str] = KEYS) -> DataFrame:
-    """df with split, by the checksum of the key and seed: all rows of a key are in one split; shares are met in expectation."""
-    u = F.crc32(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by]).cast("binary")) / F.lit(2.0**32)
+    """df with split, by a digest of the key and seed: all rows of a key are in one split; shares are met in expectation."""
+    u = F.conv(F.substring(keyed(seed, *by), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
     at, name = 0.0, None
     total = sum(shares.values())
     for k, v in shares.items():
@@ -88,7 +93,7 @@ def spans(df: DataFrame, length: int, count: int | None = None, seed: int = 0) -
     n = df.groupBy(*KEYS).agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= length)
     if count is None:
         return n.select(*KEYS, F.explode(F.sequence(F.lit(1), F.col("n") - length + 1, F.lit(length))).alias("start"))
-    starts = F.transform(F.sequence(F.lit(1), F.col("n") - length + 1), lambda s: F.struct(F.xxhash64(F.lit(seed), *KEYS, s).alias("h"), s.alias("s")))
+    starts = F.transform(F.sequence(F.lit(1), F.col("n") - length + 1), lambda s: F.struct(keyed(seed, *KEYS, s).alias("h"), s.alias("s")))
     return n.select(*KEYS, F.explode(F.slice(F.array_sort(starts), 1, count)).alias("e")).select(*KEYS, F.col("e")["s"].alias("start"))
 
 
@@ -149,12 +154,18 @@ def score_windows(df: DataFrame, features: Sequence[str], w: int, scorer: Scorer
             s = np.asarray(scorer(b["x"]), float).reshape(len(b), w, classes)
             e = np.exp(s - s.max(axis=2, keepdims=True))
             prob = e / e.sum(axis=2, keepdims=True)
-            n = len(b) * w * classes
-            yield pd.DataFrame({**{k: np.repeat(b[k].to_numpy(), w * classes) for k in (*KEYS, "start")}, "offset": np.tile(np.repeat(np.arange(w), classes), len(b)), "class": np.tile(np.arange(1, classes + 1), len(b) * w), "p": prob.reshape(n)})
+            # windows of a track follow each other, so their sums by row and class are taken here: a few rows a localisation leave the batch, not w
+            tracks, first, which = np.unique(b[list(KEYS)].astype(str).agg("|".join, axis=1), return_index=True, return_inverse=True)
+            row = b["start"].to_numpy()[:, None] + np.arange(w)
+            keys, at = np.unique(np.stack([np.repeat(which, w), row.ravel()], axis=1), axis=0, return_inverse=True)
+            sums, windows_ = np.zeros((len(keys), classes)), np.bincount(at.ravel(), minlength=len(keys))
+            np.add.at(sums, at.ravel(), prob.reshape(-1, classes))
+            named = {k: np.repeat(b[k].to_numpy()[first][keys[:, 0]], classes) for k in KEYS}
+            yield pd.DataFrame({**named, "row": np.repeat(keys[:, 1], classes), "class": np.tile(np.arange(1, classes + 1), len(keys)), "p": sums.ravel(), "windows": np.repeat(windows_, classes)})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    scored = wins.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", start int, offset int, class int, p double")
-    return annotate.consensus(scored)
+    scored = wins.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", row int, class int, p double, windows long")
+    return annotate.consensus_of_sums(scored)
 
 
 def score_tracks(df: DataFrame, features: Sequence[str], length: int | None, scorer: Callable[[pd.Series], list[list[int]]]) -> DataFrame:

@@ -135,9 +135,10 @@ nn AS (SELECT a.cell_id, a.mol_id, a.row, a.f, a.t, m.row - a.row AS e FROM tc a
 er AS (SELECT cell_id, mol_id, row, f AS "from", t AS "to", CASE WHEN abs(e) <= 6 THEN e ELSE 6 END AS err, coalesce(abs(e) <= 6, false) AS paired FROM nn)"""
 _add("A-05", lambda s, d: A.changepoint_errors(_T(s, d), _M(s, d), 3, 6).select("cell_id", "mol_id", "row", "from", "to", F.col("err").cast("long").alias("err"), "paired"), f"WITH {CPE} SELECT * FROM er")
 _add("A-05-summary", lambda s, d: A.changepoint_summary(A.changepoint_errors(_T(s, d), _M(s, d), 3, 6)).select("n", "paired", *r("mean_abs", "rmse")), f"WITH {CPE} SELECT count(*) AS n, CAST(sum(CAST(paired AS INT)) AS BIGINT) AS paired, {q('avg(abs(err))', 'mean_abs')}, {q('sqrt(avg(err * err))', 'rmse')} FROM er")
-_add("A-06", lambda s, d: A.two_class_agreement(_T(s, d), _M(s, d)).select("tp", "tn", "fp", "fn", *r("accuracy", "sensitivity", "specificity")), f"""WITH {LOCS}, k AS (SELECT count(*) FILTER (WHERE class_label = pred_label AND pred_label = 1) AS tp, count(*) FILTER (WHERE class_label = pred_label AND pred_label <> 1) AS tn,
- count(*) FILTER (WHERE class_label <> pred_label AND pred_label = 1) AS fp, count(*) FILTER (WHERE class_label <> pred_label AND pred_label <> 1) AS fn FROM locs)
-SELECT tp, tn, fp, fn, {q('(tp + tn) / (tp + tn + fp + fn)', 'accuracy')}, {q('tp / (tp + fn)', 'sensitivity')}, {q('tn / (tn + fp)', 'specificity')} FROM k""")
+# the model's tracks are two rows shorter, so that positions up to the shorter track count
+_add("A-06", lambda s, d: A.two_class_agreement(_T(s, d), P.crop(_M(s, d), 0, 2)).select("tp", "tn", "fp", "fn", *r("accuracy", "recall", "precision", "specificity", "f1")), f"""WITH {LOCS}, k AS (SELECT count(*) FILTER (WHERE class_label = pred_label AND pred_label = 1) AS tp, count(*) FILTER (WHERE class_label = pred_label AND pred_label <> 1) AS tn,
+ count(*) FILTER (WHERE class_label <> pred_label AND pred_label = 1) AS fp, count(*) FILTER (WHERE class_label <> pred_label AND pred_label <> 1) AS fn FROM (SELECT *, row_number() OVER {TK} AS row, count(*) OVER (PARTITION BY cell_id, mol_id) AS n FROM locs) WHERE row <= n - 2)
+SELECT tp, tn, fp, fn, {q('(tp + tn) / (tp + tn + fp + fn)', 'accuracy')}, {q('tp / (tp + fn)', 'recall')}, {q('tp / (tp + fp)', 'precision')}, {q('tn / (tn + fp)', 'specificity')}, {q('2 * tp / (2 * tp + fp + fn)', 'f1')} FROM k""")
 _add("A-07", lambda s, d: A.attach_truth(locs(s, d), truth(s, d), by_mol=True).select("cell_id", "mol_id", "frame", "truth_label"), f"WITH {TRUTH} SELECT l.cell_id, l.mol_id, l.frame, t.class_label AS truth_label FROM locs l LEFT JOIN truth t USING (cell_id, mol_id, frame)")
 _add("A-07-frame", lambda s, d: A.attach_truth(locs(s, d), truth(s, d)).select("cell_id", "mol_id", "frame", "truth_label"), f"WITH {TRUTH} SELECT l.cell_id, l.mol_id, l.frame, t.lab AS truth_label FROM locs l LEFT JOIN (SELECT cell_id, frame, arg_max(class_label, mol_id) AS lab FROM truth GROUP BY ALL) t USING (cell_id, frame)")
 _add("A-08", lambda s, d: A.shift_truth(locs(s, d)).select("cell_id", "mol_id", "frame", "shifted"), f"WITH {LOCS} SELECT cell_id, mol_id, frame, coalesce(lag(class_label) OVER {TK}, class_label) AS shifted FROM locs")
@@ -179,9 +180,13 @@ def segments(s, d):
 
 
 TRAJ = f"{LOCS}, tn AS (SELECT cell_id, mol_id, row_number() OVER (ORDER BY cell_id, mol_id) - 1 AS tj FROM (SELECT DISTINCT cell_id, mol_id FROM locs)), rw AS (SELECT *, row_number() OVER {TK} AS row FROM locs JOIN tn USING (cell_id, mol_id))"
-_add("A-12", lambda s, d: A.external_labels(locs(s, d), segments(s, d), cap=50).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), f"WITH {TRAJ} SELECT cell_id, mol_id, frame, CASE WHEN row <= 50 THEN 1 + (CASE WHEN row <= 15 THEN 1 WHEN row <= 30 THEN 2 ELSE 3 END + tj) % 3 END AS label FROM rw")
-_add("A-12-thresholds", lambda s, d: A.external_labels(locs(s, d), segments(s, d), [1.0, 2.0], 50).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), f"WITH {TRAJ}, kk AS (SELECT *, CASE WHEN row <= 15 THEN 0.5 WHEN row <= 30 THEN 1.5 ELSE 2.5 END + tj % 3 AS k FROM rw) SELECT cell_id, mol_id, frame, CAST(CASE WHEN row <= 50 THEN 1 + CASE WHEN k >= 1 THEN 1 ELSE 0 END + CASE WHEN k >= 2 THEN 1 ELSE 0 END END AS BIGINT) AS label FROM kk")
-_add("A-12-200", lambda s, d: A.external_labels(locs(s, d), segments(s, d)).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), ORACLE["A-12"].replace("row <= 50", "row <= 200"))
-_add("A-12-thresholds-200", lambda s, d: A.external_labels(locs(s, d), segments(s, d), [1.0, 2.0]).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), ORACLE["A-12-thresholds"].replace("row <= 50", "row <= 200"))
+#: By states the first segment that reaches a row has it; by thresholds a segment whose end is not before the (capped) track's is taken over by later ones.
+_A12 = f"WITH {TRAJ} SELECT cell_id, mol_id, frame, CASE WHEN row <= 200 THEN 1 + (CASE WHEN row <= 15 THEN 1 WHEN row <= 30 THEN 2 ELSE 3 END + tj) % 3 END AS label FROM rw"
+_A12T = f"""WITH {TRAJ}, ln AS (SELECT *, least(count(*) OVER (PARTITION BY cell_id, mol_id), 200) AS len FROM rw),
+kk AS (SELECT *, CASE WHEN len > 14 AND row <= 15 THEN 0.5 WHEN len > 29 AND row <= 30 THEN 1.5 ELSE 2.5 END + tj % 3 AS k FROM ln)
+SELECT cell_id, mol_id, frame, CAST(CASE WHEN row <= 200 THEN 1 + CASE WHEN k >= 1 THEN 1 ELSE 0 END + CASE WHEN k >= 2 THEN 1 ELSE 0 END END AS BIGINT) AS label FROM kk"""
+for _k, _cap in (("", 200), ("-50", 50)):
+    _add(f"A-12{_k}", lambda s, d, c=_cap: A.external_labels(locs(s, d), segments(s, d), cap=c).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), _A12.replace("row <= 200", f"row <= {_cap}"))
+    _add(f"A-12-thresholds{_k}", lambda s, d, c=_cap: A.external_labels(locs(s, d), segments(s, d), [1.0, 2.0], c).select("cell_id", "mol_id", "frame", F.col("label").cast("long").alias("label")), _A12T.replace("200", str(_cap)))
 _add("A-13", lambda s, d: A.initialise(locs(s, d)).select("cell_id", "mol_id", "rows", *r("duration"), "status", "sequence"), f"WITH {LOCS} SELECT cell_id, mol_id, count(*) AS rows, {q(f'count(*) / {RATE}', 'duration')}, 'pending' AS status, CAST(NULL AS VARCHAR) AS sequence FROM locs GROUP BY cell_id, mol_id")
 _add("A-15", lambda s, d: A.inspect(ann(s, d), locs(s, d), "photons", 1, 1, ["truth", "model"]).select("frame", *r("time"), "photons", "truth", "model"), f"WITH {LOCS} SELECT frame, {q(f'frame / {RATE}', 'time')}, photons, class_label AS truth, pred_label AS model FROM locs WHERE cell_id = 1 AND mol_id = 1")

@@ -79,26 +79,56 @@ _T1 = "greatest(0, least(1, ((x_px - 2) * 40 + (y_px - 20) * 5) / 1625.0))"
 _seg_sql = f"WITH {LOCS} SELECT cell_id, mol_id, frame, {q(f'2 + {_T1} * 40', 'x', 7)}, {q(f'20 + {_T1} * 5', 'y', 7)}, {q(f'sqrt(power(x_px - 2 - {_T1} * 40, 2) + power(y_px - 20 - {_T1} * 5, 2))', 'd', 7)} FROM locs"
 _add("G-08b", _one_segment, _seg_sql)
 _add("G-11", _one_segment, _seg_sql)
-_add("G-09", lambda s, d: G.pole_distance(locs(s, d), cells(s, d)).select(*KEY, *r("pole_nm", digits=4)), f"WITH {LOCS} SELECT cell_id, mol_id, frame, {q(f'least(sqrt(power(x_px - 2, 2) + power(y_px - 20, 2)), sqrt(power(x_px - 42, 2) + power(y_px - 20, 2))) * {PX}', 'pole_nm', 4)} FROM locs")
-_COORD = ["longitude", "longitude_px", "latitude", "latitude_px"]
-# The outlines have a straight midline from (2, 20) to (42, 20): segment i spans x = 2 + 4 i .. 6 + 4 i; ray and arm are then explicit.
-_COORDS = f"""{LOCS}, w0 AS (SELECT *, greatest(2.0, least(42.0, x_px)) AS tx, y_px - 20 AS v, sqrt(power(x_px - greatest(2.0, least(42.0, x_px)), 2) + power(y_px - 20, 2)) AS off FROM locs),
-w1 AS (SELECT *, CAST(least(9, greatest(0, ceil((tx - 2) / 4) - 1)) AS INT) AS i FROM w0),
-w2 AS (SELECT *, CASE i WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 9 THEN 6 ELSE 9 END AS h0, CASE i WHEN 0 THEN 6 WHEN 8 THEN 6 WHEN 9 THEN 0 ELSE 9 END AS h1 FROM w1),
-w3 AS (SELECT *, h0 + (h1 - h0) * (tx - 2 - 4 * i) / 4 AS half FROM w2)"""
-_mid_only = "x_px > 2 AND x_px < 42"
+_ENDS = "(SELECT cell_id, max(CASE WHEN i = 0 THEN (xl + xr) / 2 END) AS x0, max(CASE WHEN i = 0 THEN (yl + yr) / 2 END) AS y0, max(CASE WHEN i = 10 THEN (xl + xr) / 2 END) AS x1, max(CASE WHEN i = 10 THEN (yl + yr) / 2 END) AS y1 FROM mesh GROUP BY cell_id)"
+_add("G-09", lambda s, d: G.pole_distance(locs(s, d), cells(s, d)).select(*KEY, *r("pole_nm", digits=4)), f"WITH {LOCS}, {MESH} SELECT cell_id, mol_id, frame, {q(f'least(sqrt(power(x_px - x0, 2) + power(y_px - y0, 2)), sqrt(power(x_px - x1, 2) + power(y_px - y1, 2))) * {PX}', 'pole_nm', 4)} FROM locs JOIN {_ENDS} USING (cell_id)")
+
+
+def _cross(a: str, b: str) -> str:
+    """Segments from a to b (names of coordinate columns) that a ray to the right of a point crosses."""
+    (ax, ay), (bx, by) = a.split(), b.split()
+    return f"CASE WHEN ({ay} > y_px) <> ({by} > y_px) AND x_px < ({bx} - {ax}) * (y_px - {ay}) / nullif({by} - {ay}, 0) + {ax} THEN 1 ELSE 0 END"
+
+
+def _to(a: str, b: str) -> str:
+    """Distance of a point to a segment."""
+    (ax, ay), (bx, by) = a.split(), b.split()
+    t = f"greatest(0, least(1, coalesce(((x_px - {ax}) * ({bx} - {ax}) + (y_px - {ay}) * ({by} - {ay})) / nullif(power({bx} - {ax}, 2) + power({by} - {ay}, 2), 0), 0)))"
+    return f"sqrt(power(x_px - {ax} - {t} * ({bx} - {ax}), 2) + power(y_px - {ay} - {t} * ({by} - {ay}), 2))"
+
+
+#: Every point against every midline segment a-b, with the segments of the arms beside it, p-q on the left and r-s on the right.
+_COORDS = f"""{LOCS}, {MESH}, mid AS (SELECT *, (xl + xr) / 2 AS mx, (yl + yr) / 2 AS my FROM mesh),
+sg0 AS (SELECT a.cell_id, a.i, a.mx AS ax, a.my AS ay, b.mx AS bx, b.my AS by_, a.xl AS px, a.yl AS py, b.xl AS qx, b.yl AS qy, a.xr AS rx, a.yr AS ry, b.xr AS sx, b.yr AS sy, sqrt(power(b.mx - a.mx, 2) + power(b.my - a.my, 2)) AS len FROM mid a JOIN mid b ON b.cell_id = a.cell_id AND b.i = a.i + 1),
+sg AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY cell_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len) OVER (PARTITION BY cell_id) AS contour, max(i) OVER (PARTITION BY cell_id) AS last FROM sg0),
+j0 AS (SELECT l.cell_id, mol_id, frame, x_px, y_px, sg.* EXCLUDE (cell_id), greatest(0, least(1, ((x_px - ax) * (bx - ax) + (y_px - ay) * (by_ - ay)) / power(len, 2))) AS t FROM locs l JOIN sg ON sg.cell_id = l.cell_id),
+j1 AS (SELECT *, CASE WHEN t >= 1 THEN bx WHEN t <= 0 THEN ax ELSE ax + t * (bx - ax) END AS tx, CASE WHEN t >= 1 THEN by_ WHEN t <= 0 THEN ay ELSE ay + t * (by_ - ay) END AS ty FROM j0),
+j2 AS (SELECT *, sqrt(power(x_px - tx, 2) + power(y_px - ty, 2)) AS d FROM j1),
+near AS (SELECT * FROM j2 QUALIFY row_number() OVER (PARTITION BY cell_id, mol_id, frame ORDER BY d, i) = 1),
+side AS (SELECT cell_id, mol_id, frame, CASE WHEN sum({_cross('ax ay', 'bx by_')} + {_cross('px py', 'qx qy')}) % 2 = 1 THEN true WHEN sum({_cross('ax ay', 'bx by_')} + {_cross('rx ry', 'sx sy')}) % 2 = 1 THEN false
+  ELSE min({_to('px py', 'qx qy')}) < min({_to('rx ry', 'sx sy')}) END AS is_left FROM j2 GROUP BY cell_id, mol_id, frame),
+k0 AS (SELECT n.*, is_left, CASE WHEN is_left THEN px ELSE rx END AS dx, CASE WHEN is_left THEN py ELSE ry END AS dy, CASE WHEN is_left THEN qx ELSE sx END AS ex, CASE WHEN is_left THEN qy ELSE sy END AS ey FROM near n JOIN side USING (cell_id, mol_id, frame)),
+k1 AS (SELECT *, CASE WHEN x_px = tx AND y_px = ty THEN 0 ELSE 1 / nullif(abs(((dx - tx) * (ey - dy) - (dy - ty) * (ex - dx)) / nullif((x_px - tx) * (ey - dy) - (y_px - ty) * (ex - dx), 0)), 0) END AS lat FROM k0),
+k2 AS (SELECT *, lat IS NULL OR (i = 0 AND t <= 0) AS beyond, CASE WHEN i = last AND t >= 1 THEN bx ELSE ax END AS fx, CASE WHEN i = last AND t >= 1 THEN by_ ELSE ay END AS fy, CASE WHEN i = last AND t >= 1 THEN ax ELSE bx END AS gx, CASE WHEN i = last AND t >= 1 THEN ay ELSE by_ END AS gy FROM k1),
+k3 AS (SELECT *, abs((x_px - fx) * (gx - fx) + (y_px - fy) * (gy - fy)) / len AS far, abs((gx - fx) * (y_px - fy) - (gy - fy) * (x_px - fx)) / len AS off,
+  (sqrt(power(dx - fx, 2) + power(dy - fy, 2)) + sqrt(power(ex - gx, 2) + power(ey - gy, 2))) / 2 AS half FROM k2),
+k4 AS (SELECT *, CASE WHEN NOT beyond THEN before + sqrt(power(tx - ax, 2) + power(ty - ay, 2)) WHEN i = 0 THEN -far WHEN i = last THEN far + contour ELSE far END AS lon, CASE WHEN is_left THEN 1 ELSE -1 END AS sg FROM k3),
+co AS (SELECT cell_id, mol_id, frame, lon / contour - 0.5 AS longitude, lon - contour / 2 AS longitude_px, sg * CASE WHEN beyond THEN off / half ELSE lat END / 2 AS latitude, sg * CASE WHEN beyond THEN off ELSE d END AS latitude_px, sg AS side, beyond FROM k4)"""
 
 
 def _coords(s, d):
     return G.cell_coordinates(locs(s, d), cells(s, d))
 
 
-_lat = "CASE WHEN v = 0 THEN 0 ELSE v / half / 2 END"
-_csql = f"WITH {_COORDS} SELECT cell_id, mol_id, frame, {q('(tx - 2) / 40 - 0.5', 'longitude', 7)}, {q('tx - 22', 'longitude_px', 7)}, {q(_lat, 'latitude', 7)}, {q('v', 'latitude_px', 7)} FROM w3 WHERE {_mid_only}"
-for _k in ("G-10", "G-11b", "G-12", "G-13"):
-    # every row; the SQL has the rows of the straight midline only, and caps are held against geometry in tests/test_whole.py
-    _add(_k, lambda s, d: _coords(s, d).select(*KEY, *r(*_COORD, digits=7)), _csql)
-_add("G-14", lambda s, d: _coords(s, d).where("x_px < 2 OR x_px > 42").select(*KEY, *r("longitude_px", "longitude", digits=7)), f"WITH {LOCS} SELECT cell_id, mol_id, frame, {q('x_px - 22', 'longitude_px', 7)}, {q('(x_px - 2) / 40 - 0.5', 'longitude', 7)} FROM locs WHERE x_px < 2 OR x_px > 42")
+def _middle(s, d):
+    m = G.midlines(cells(s, d)).withColumns({"halves": F.array(F.size("left_half"), F.size("right_half"))})
+    return m.select("cell_id", *r("contour"), F.col("halves")[0].alias("left_n"), F.col("halves")[1].alias("right_n"), F.posexplode("midline").alias("k", "p")).select("cell_id", "contour", "left_n", "right_n", "k", rounded(F.col("p")["x"]).alias("x"), rounded(F.col("p")["y"]).alias("y"))
+
+
+_add("G-10", _middle, f"WITH {MESH}, m AS (SELECT cell_id, i, (xl + xr) / 2 AS x, (yl + yr) / 2 AS y FROM mesh), n AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS len FROM m WINDOW w AS (PARTITION BY cell_id ORDER BY i)) SELECT cell_id, {q('sum(len) OVER (PARTITION BY cell_id)', 'contour')}, 22 AS left_n, 22 AS right_n, i AS k, {q('x', 'x', 4)}, {q('y', 'y', 4)} FROM n")
+_add("G-11b", lambda s, d: _coords(s, d).select(*KEY, *r("longitude", "longitude_px")), f"WITH {_COORDS} SELECT cell_id, mol_id, frame, {q('longitude', 'longitude')}, {q('longitude_px', 'longitude_px')} FROM co")
+_add("G-12", lambda s, d: _coords(s, d).select(*KEY, "side"), f"WITH {_COORDS} SELECT cell_id, mol_id, frame, side FROM co")
+_add("G-13", lambda s, d: _coords(s, d).select(*KEY, *r("latitude", "latitude_px")), f"WITH {_COORDS} SELECT cell_id, mol_id, frame, {q('latitude', 'latitude')}, {q('latitude_px', 'latitude_px')} FROM co")
+_add("G-14", lambda s, d: _coords(s, d).where("beyond").select(*KEY, *r("longitude_px", "longitude", "latitude_px", "latitude")), f"WITH {_COORDS} SELECT cell_id, mol_id, frame, {q('longitude_px', 'longitude_px')}, {q('longitude', 'longitude')}, {q('latitude_px', 'latitude_px')}, {q('latitude', 'latitude')} FROM co WHERE beyond")
 _add("G-15", lambda s, d: G.rotate(locs(s, d), 30.0).select(*KEY, *r("x_rot", "y_rot", digits=4)), f"WITH {LOCS} SELECT cell_id, mol_id, frame, {q('x_px * cos(radians(30)) - y_px * sin(radians(30))', 'x_rot', 4)}, {q('x_px * sin(radians(30)) + y_px * cos(radians(30))', 'y_rot', 4)} FROM locs")
 _add("G-16", lambda s, d: G.link_tracks(locs(s, d).withColumnRenamed("mol_id", "true_mol")).select("cell_id", "frame", "true_mol", "mol_id", "x_px", "y_px"))
 _add("G-18", lambda s, d: locs(s, d).select(*KEY, rounded(F.hypot(F.col("x_px") - 20, F.col("y_px") - 20)).alias("d")), f"WITH {LOCS} SELECT cell_id, mol_id, frame, {q('sqrt(power(x_px - 20, 2) + power(y_px - 20, 2))', 'd', 4)} FROM locs")
@@ -107,11 +137,10 @@ LEN, WID, BIN = 4.0, 1.6, 0.15
 
 
 def model(s, d):
-    """Points whose cell coordinates are plain shares of the position, so that both engines agree on them exactly."""
-    return G.model_cell(locs(s, d).withColumns({"longitude": (F.col("x_px") - 22) / 40, "latitude": (F.col("y_px") - 20) / 20}), LEN, WID)
+    return G.model_cell(_coords(s, d), LEN, WID)
 
 
-MODEL = f"""{LOCS}, p0 AS (SELECT *, (x_px - 22) / 40 * {LEN} AS mx, (y_px - 20) / 20 * {WID} AS y0 FROM locs), p1 AS (SELECT *, abs(mx) - {LEN / 2 - WID / 2} AS cap FROM p0),
+MODEL = f"""{_COORDS}, p0 AS (SELECT co.*, class_label, longitude * {LEN} AS mx, latitude * {WID} AS y0 FROM co JOIN locs USING (cell_id, mol_id, frame)), p1 AS (SELECT *, abs(mx) - {LEN / 2 - WID / 2} AS cap FROM p0),
 p2 AS (SELECT *, CASE WHEN power({WID / 2}, 2) - cap * cap >= 0 THEN sqrt(power({WID / 2}, 2) - cap * cap) END AS rad FROM p1),
 p3 AS (SELECT *, CASE WHEN cap > 0 THEN y0 * rad / {WID / 2} ELSE y0 END AS my FROM p2),
 md AS (SELECT *, CASE WHEN cap > 0 THEN rad IS NOT NULL AND abs(my) <= rad ELSE abs(y0) <= {WID / 2} END AS valid FROM p3)"""
@@ -132,15 +161,8 @@ _add("H-04", lambda s, d: H.projection(H.by_class(model(s, d), LEN, WID, BIN), "
 SELECT class, bin, {q('sum(share) / 2', 'share')} FROM (SELECT class, bin, share FROM pr UNION ALL SELECT class, {NX - 1} - bin, share FROM pr) GROUP BY class, bin""")
 FWHM = 0.3
 KERNEL = f"""kr AS (SELECT floor(6 * {FWHM} / (2 * sqrt(2 * ln(2))) / {BIN} + 1e-9) AS r), kx AS (SELECT CAST(unnest(range(CAST(-r AS BIGINT), CAST(r + 1 AS BIGINT))) AS INT) AS k FROM kr),
-k0 AS (SELECT a.k AS dx, b.k AS dy, exp(-(power(a.k * {BIN}, 2) + power(b.k * {BIN}, 2)) / (2 * power({FWHM} / (2 * sqrt(2 * ln(2))), 2))) AS w FROM kx a, kx b), kn AS (SELECT dx, dy, w / (SELECT sum(w) FROM k0) AS w FROM k0)"""
-
-
-def _kernel(s, d):
-    """The kernel weighted bin_y the number of rows of the table."""
-    k = s.createDataFrame(H.kernel(FWHM, BIN), "dx int, dy int, w double")
-    return k.join(locs(s, d).agg(F.count("*").alias("n")), F.lit(True)).select("dx", "dy", rounded(F.col("w") * F.col("n")).alias("w"))
+kw AS (SELECT a.k AS dx, b.k AS dy, exp(-(power(a.k * {BIN}, 2) + power(b.k * {BIN}, 2)) / (2 * power({FWHM} / (2 * sqrt(2 * ln(2))), 2))) AS w FROM kx a, kx b), kn AS (SELECT dx, dy, w / (SELECT sum(w) FROM kw) AS w FROM kw)"""
 
 
-_add("H-05", _kernel, f"WITH {LOCS}, {KERNEL} SELECT dx, dy, {q('w * (SELECT count(*) FROM locs)', 'w', 4)} FROM kn")
 _add("H-06", lambda s, d: H.reconstruction(model(s, d), LEN, WID, BIN, FWHM).select("bin_x", "bin_y", *r("weight", digits=4)), f"""WITH {MODEL}, {KERNEL}, at_ AS (SELECT CAST(floor((mx + {LEN / 2}) / {LEN / NX} + 0.5) AS INT) AS px, CAST(floor((my + {WID / 2}) / {WID / NY} + 0.5) AS INT) AS py, count(*) AS n FROM md WHERE valid GROUP BY ALL)
 SELECT px + dx AS bin_x, py + dy AS bin_y, {q('sum(n * w)', 'weight', 4)} FROM at_, kn WHERE px + dx BETWEEN 1 AND {NX} AND py + dy BETWEEN 1 AND {NY} GROUP BY 1, 2""")

@@ -40,18 +40,40 @@ def tracker_rows(s, d) -> DataFrame:
 
 
 _OFF = f"{VIDEOS}, vo AS (SELECT *, coalesce(sum(n_frames) OVER (ORDER BY file_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM videos)"
-_add("S-01", lambda s, d: S.tracker_columns(tracker_rows(s, d), videos(s)).select("file_idx", "mol_id", "frame", *r("x_px", "y_px"), rounded(F.col("max_intensity")).alias("max_intensity")), f"""WITH {LOCS}, {_OFF}, tp AS (SELECT mol_id % 2 AS f, max(CAST(floor(mol_id / 2) AS BIGINT)) + 1 AS top FROM locs GROUP BY 1)
+
+
+def _files(rows, n, header, sep=","):
+    """Each file_idx of a table as a folder of CSV parts; their paths in order."""
+    paths = []
+    for k in range(n):
+        paths.append(shared_dir(rows.sparkSession))
+        rows.where(F.col("file_idx") == k).drop("file_idx").write.option("header", header).option("sep", sep).csv(paths[-1])
+    return paths
+
+
+_add("S-01", lambda s, d: S.tracker_tables(s, _files(tracker_rows(s, d), 2, True), videos(s)).select("file_idx", "mol_id", "frame", *r("x_px", "y_px"), rounded(F.col("max_intensity")).alias("max_intensity")), f"""WITH {LOCS}, {_OFF}, tp AS (SELECT mol_id % 2 AS f, max(CAST(floor(mol_id / 2) AS BIGINT)) + 1 AS top FROM locs GROUP BY 1)
 SELECT CAST(mol_id % 2 AS INT) AS file_idx, CAST(floor(mol_id / 2) + CASE WHEN mol_id % 2 = 1 THEN (SELECT top FROM tp WHERE f = 0) ELSE 0 END AS BIGINT) AS mol_id, CAST(frame + o AS INT) AS frame, {q('x_px', 'x_px')}, {q('y_px', 'y_px')}, {q('photons', 'max_intensity', 4)} FROM locs JOIN vo ON file_idx = mol_id % 2""")
 _add("S-02", lambda s, d: S.localisations(locs(s, d).select(F.col("x_px").alias("x"), F.col("y_px").alias("y"), (F.col("frame") - 1).alias("frame"), "photons", F.col("sigma_x_px").alias("sx"), "mol_id")), f"WITH {LOCS} SELECT x_px, y_px, frame, photons, sigma_x_px, mol_id FROM locs")
 _add("S-03", lambda s, d: S.attach_localisations(locs(s, d).select(*KEY, "x_px", "y_px"), locs(s, d).select("cell_id", "frame", "x_px", "y_px", "photons", "sigma_x_px")), f"WITH {LOCS} SELECT a.cell_id, a.mol_id, a.frame, a.x_px, a.y_px, b.photons, b.sigma_x_px FROM locs a JOIN locs b USING (cell_id, frame, x_px, y_px) QUALIFY row_number() OVER (PARTITION BY a.cell_id, a.mol_id, a.frame ORDER BY b.photons, b.sigma_x_px) = 1")
-_add("S-04", lambda s, d: S.outlines(mesh(s, d)).select("cell_id", F.posexplode("mesh").alias("pos", "m")).select("cell_id", F.col("m")["i"].alias("i"), *[F.col("m")[c].alias(c) for c in ("xl", "yl", "xr", "yr")]), f"WITH {MESH} SELECT * FROM mesh")
+
+
+def _outline_files(s, d):
+    """Half of the cells as long rows of a CSV, half as a JSON table that holds the arrays, one cell without a mesh."""
+    long, arrays = shared_dir(s), shared_dir(s)
+    mesh(s, d).where("cell_id % 2 = 0").write.option("header", True).csv(long)
+    empty = s.createDataFrame([(99, [])], "cell_id int, mesh array<struct<i:int,xl:double,yl:double,xr:double,yr:double>>")
+    cells(s, d).where("cell_id % 2 = 1").select("cell_id", "mesh").unionByName(empty).write.json(arrays)
+    return S.outline_files(s, long, "csv").unionByName(S.outline_files(s, arrays, "json"))
+
+
+_add("S-04", lambda s, d: _outline_files(s, d).select("cell_id", F.posexplode("mesh").alias("pos", "m")).select("cell_id", F.col("m")["i"].alias("i"), *[F.col("m")[c].alias(c) for c in ("xl", "yl", "xr", "yr")]), f"WITH {MESH} SELECT * FROM mesh")
 
 
 def truth_rows(s, d):
     return locs(s, d).select((F.col("mol_id") % 3).cast("int").alias("file_idx"), F.col("class_label").alias("class"), "frame", F.col("mol_id").alias("mol"), F.col("cell_id").alias("cell"))
 
 
-_add("S-05", lambda s, d: S.ground_truth(truth_rows(s, d), videos(s)), f"WITH {LOCS}, {_OFF} SELECT cell_id, mol_id, CAST(frame + o AS INT) AS frame, class_label FROM locs JOIN vo ON file_idx = mol_id % 3")
+_add("S-05", lambda s, d: S.ground_truth_files(s, _files(truth_rows(s, d), 3, False, "\t"), videos(s)), f"WITH {LOCS}, {_OFF} SELECT cell_id, mol_id, CAST(frame + o AS INT) AS frame, class_label FROM locs JOIN vo ON file_idx = mol_id % 3")
 
 
 def segment_lines(s, d):
@@ -72,28 +94,44 @@ _add("S-07", lambda s, d: S.frame_offsets(file_videos(s, d)), f"WITH {_FV} SELEC
 _add("S-08", lambda s, d: S.find_frame(locs(s, d).select("mol_id", (F.col("frame") * 3).alias("frame")), file_videos(s, d)).select("mol_id", "frame", "file_idx", F.col("frame_in_file").cast("long").alias("frame_in_file")), f"WITH {_FV} SELECT mol_id, frame * 3 AS frame, file_idx, CAST(frame * 3 - frame_offset AS BIGINT) AS frame_in_file FROM locs JOIN fo ON frame * 3 > frame_offset AND frame * 3 <= frame_offset + n_frames")
 _add("S-09", lambda s, d: S.union_datasets({"a": locs(s, d), "b": locs(s, d).where("mol_id % 2 = 0")}).select("dataset_id", *KEY, "x_px"), f"WITH {LOCS} SELECT 'a' AS dataset_id, cell_id, mol_id, frame, x_px FROM locs UNION ALL SELECT 'b', cell_id, mol_id, frame, x_px FROM locs WHERE mol_id % 2 = 0")
 # Sinks
-_add("K-01", lambda s, d: K.segmenter_input(locs(s, d), 50).select("traj_idx", "frame", *r("x", "y")), f"WITH {TRAJ} SELECT tj AS traj_idx, row - 1 AS frame, round(x_px - first_value(x_px) OVER {TK}, 6) + 0.0 AS x, round(y_px - first_value(y_px) OVER {TK}, 6) + 0.0 AS y FROM rw QUALIFY row <= 50")
-_add("K-01-200", lambda s, d: K.segmenter_input(locs(s, d)).select("traj_idx", "frame", *r("x", "y")), ORACLE["K-01"].replace("row <= 50", "row <= 200"))
+def _through_csv(table: DataFrame) -> DataFrame:
+    """The table as CSV files, read back."""
+    path = shared_dir(table.sparkSession)
+    K.write_csv(table, path)
+    return table.sparkSession.read.csv(path, header=True, schema=table.schema)
+
+
+_K01 = f"WITH {TRAJ} SELECT tj AS traj_idx, row - 1 AS frame, round(x_px - first_value(x_px) OVER {TK}, 6) + 0.0 AS x, round(y_px - first_value(y_px) OVER {TK}, 6) + 0.0 AS y FROM rw QUALIFY row <= "
+_add("K-01", lambda s, d: _through_csv(K.segmenter_input(locs(s, d))).select("traj_idx", "frame", *r("x", "y")), _K01 + "200")
+_add("K-01-50", lambda s, d: _through_csv(K.segmenter_input(locs(s, d), 50)).select("traj_idx", "frame", *r("x", "y")), _K01 + "50")
 
 
 def _splits(s, d):
     return L.split(locs(s, d), {"train": 0.6, "validation": 0.2, "test": 0.2}, 7)
 
 
-_add("K-02", lambda s, d: K.training_rows(_splits(s, d), ["photons"]).select("cell_id", "mol_id", "split", F.size("data").cast("long").alias("n"), F.array_join(F.col("labels").cast("array<string>"), "").alias("labels")))
-_add("K-03", lambda s, d: M.histogram(M.class_diffusion(locs(s, d), LAG), 0.05, by="class_label").groupBy("bin").pivot("class_label", [1, 2, 3]).agg(F.sum("n")).select("bin", *[F.coalesce(str(k), F.lit(0)).alias(f"class_{k}") for k in (1, 2, 3)]), f"""{_CD}, lo AS (SELECT min(d) AS lo FROM td), b2 AS (SELECT class_label, CAST(floor((d - lo) / 0.05) AS BIGINT) AS bin FROM td, lo)
-SELECT bin, count(*) FILTER (WHERE class_label = 1) AS class_1, count(*) FILTER (WHERE class_label = 2) AS class_2, count(*) FILTER (WHERE class_label = 3) AS class_3 FROM b2 GROUP BY bin""")
-_add("K-04", lambda s, d: T.profile(_al(s, d)).select((F.col("rel") / RATE).alias("t"), *profile_columns()), f"WITH {ALIGN} SELECT rel / {RATE} AS t, {_prof} FROM (SELECT rel, nullif(value, 0) AS v FROM al) GROUP BY rel")
-_add("K-04b", lambda s, d: K.event_matrix(_al(s, d)), f"WITH {ALIGN} SELECT concat_ws('-', cell_id, mol_id, event) AS event_id, rel, value FROM al")
+#: A share in 0..1 from a digest of a seed and a molecule, and the split that it falls in.
+_U = "CAST(('0x' || substr(md5('7|' || cell_id || '|' || mol_id), 1, 8)) AS BIGINT) / 4294967296.0"
+_SPLIT = f"CASE WHEN {_U} < 0.6 THEN 'train' WHEN {_U} < 0.8 THEN 'validation' ELSE 'test' END"
 
 
-def _csv_back(s, d):
+def _training_files(s, d):
     path = shared_dir(s)
-    K.write_csv(locs(s, d).select(*KEY, "x_px", "photons"), path, ["cell_id"])
-    return s.read.csv(path, header=True, schema="mol_id long, frame int, x_px double, photons double, cell_id int").select(*KEY, "x_px", "photons")
-
-
-_add("K-05", _csv_back, f"WITH {LOCS} SELECT cell_id, mol_id, frame, x_px, photons FROM locs")
+    K.write_training(K.training_rows(_splits(s, d), ["photons"]), path)
+    back = s.read.json(path, schema="split string, cell_id int, mol_id long, data array<array<double>>, labels array<int>")
+    total = F.aggregate("data", F.lit(0.0), lambda a, v: a + v[0])
+    return back.select("cell_id", "mol_id", "split", F.size("data").cast("long").alias("n"), F.array_join(F.col("labels").cast("array<string>"), "").alias("labels"), rounded(total).alias("photons"))
+
+
+_add("K-02", _training_files, f"WITH {LOCS} SELECT cell_id, mol_id, {_SPLIT} AS split, count(*) AS n, string_agg(class_label, '' ORDER BY frame) AS labels, {q('sum(photons)', 'photons', 4)} FROM locs GROUP BY cell_id, mol_id")
+_CLASSES = (1, 2, 3)
+_add("K-03", lambda s, d: _through_csv(K.diffusion_binned(M.histogram(M.class_diffusion(locs(s, d), LAG), 0.05, by="class_label"), _CLASSES, 0.05)).select("bin", *r("centre"), *[f"class_{k}" for k in _CLASSES]), f"""{_CD}, lo AS (SELECT min(d) AS lo FROM td), b2 AS (SELECT class_label, CAST(floor((d - lo) / 0.05) AS BIGINT) AS bin, lo FROM td, lo)
+SELECT bin, {q('max(lo) + (bin + 0.5) * 0.05', 'centre')}, count(*) FILTER (WHERE class_label = 1) AS class_1, count(*) FILTER (WHERE class_label = 2) AS class_2, count(*) FILTER (WHERE class_label = 3) AS class_3 FROM b2 GROUP BY bin""")
+_add("K-03-raw", lambda s, d: _through_csv(K.diffusion_raw(M.class_diffusion(locs(s, d), LAG), _CLASSES)).select("row", *r("class_1", "class_2", "class_3")), f"""{_CD}, n AS (SELECT class_label, d, CAST(row_number() OVER (PARTITION BY class_label ORDER BY cell_id, mol_id) AS INT) AS row FROM td)
+SELECT row, {', '.join(q(f'max(d) FILTER (WHERE class_label = {k})', f'class_{k}') for k in _CLASSES)} FROM n GROUP BY row""")
+_add("K-04", lambda s, d: _through_csv(T.profile(_al(s, d)).select((F.col("rel") / RATE).alias("t"), *profile_columns())), f"WITH {ALIGN} SELECT rel / {RATE} AS t, {_prof} FROM (SELECT rel, nullif(value, 0) AS v FROM al) GROUP BY rel")
+_add("K-04b", lambda s, d: _through_csv(K.event_matrix(_al(s, d))), f"WITH {ALIGN} SELECT concat_ws('-', cell_id, mol_id, event) AS event_id, rel, value FROM al")
+_add("K-05", lambda s, d: _through_csv(locs(s, d).select(*KEY, "x_px", "photons")), f"WITH {LOCS} SELECT cell_id, mol_id, frame, x_px, photons FROM locs")
 # Statistics
 FEATS = ["x_px", "y_px", "photons", "step_nm"]
 
@@ -143,12 +181,42 @@ def _mi_of(name):
 
 _add("X-07b", lambda s, d: X.ranked_by_regions(_f(s, d), FEATS, 4).select("feature", "rank", *r("near", "far", "total")), f"""WITH {FT}, {_prox(4, 'ft')}, bnn AS ({_near}), bnf AS ({_far}), {_mi_of('bnn')}, {_mi_of('bnf')}
 SELECT n.feature, CAST(row_number() OVER (ORDER BY n.mi + f.mi DESC, n.feature) AS INT) AS rank, {q('n.mi', 'near')}, {q('f.mi', 'far')}, {q('n.mi + f.mi', 'total')} FROM mi_bnn n JOIN mi_bnf f USING (feature)""")
-_add("X-08", lambda s, d: X.discover(_f(s, d).withColumn("x_nm", F.col("x_px") * PX), ["x_px"], ["y_px", "photons", "step_nm", "x_nm"], 0.95, 0.001).select("feature", "rank", *r("mi")), f"WITH {BN}, {MI.format('bn')}, cc AS (SELECT {', '.join(f'abs({_r(chr(120) + chr(95) + chr(112) + chr(120), f)}) AS r_{f}' for f in ('y_px', 'photons', 'step_nm'))} FROM ft) SELECT feature, CAST(row_number() OVER (ORDER BY mi DESC, feature) AS INT) AS rank, {q('mi', 'mi')} FROM mi, cc WHERE feature <> 'x_px' AND mi >= 0.001 AND CASE feature WHEN 'y_px' THEN r_y_px WHEN 'photons' THEN r_photons ELSE r_step_nm END <= 0.95")
+def _discovered(show):
+    return lambda s, d: X.discover(_f(s, d).withColumn("x_nm", F.col("x_px") * PX), ["x_px"], ["y_px", "photons", "step_nm", "x_nm"], 0.95, 0.001, show=show).select("feature", "rank", "predictive", *r("mi"))
+
+
+_XN = f"{FT}, fx AS (SELECT *, x_px * {PX} AS x_nm FROM ft)"
+_OTHERS = ("y_px", "photons", "step_nm", "x_nm")
+_DISC = f"""WITH {_XN}, bd AS ({' UNION ALL '.join(_bins(f, source='fx') for f in _OTHERS)}), {MI.format('bd')},
+cc AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, abs({_r('x_px', f)}) AS corr FROM fx" for f in _OTHERS)})
+SELECT feature, CAST(row_number() OVER (ORDER BY mi DESC, feature) AS INT) AS rank, mi >= 0.001 AS predictive, {q('mi', 'mi')} FROM mi JOIN cc USING (feature)"""
+_add("X-08", _discovered("predictive"), f"{_DISC} WHERE corr <= 0.95 AND mi >= 0.001")
+_add("X-08-new", _discovered("new"), f"{_DISC} WHERE corr <= 0.95")
+_add("X-08-all", _discovered("all"), _DISC)
 CD = f"{LOCS}, cd AS (SELECT class_label AS class, CAST(floor(photons / 25) AS BIGINT) AS bin, count(*) / sum(count(*)) OVER (PARTITION BY class_label) / 25 AS density FROM locs GROUP BY class_label, floor(photons / 25))"
 _add("X-09", lambda s, d: X.class_distribution(locs(s, d), "photons", 25.0).select("class", "bin", *r("density", digits=8)), f"WITH {CD} SELECT class, bin, {q('density', 'density', 8)} FROM cd")
 _add("X-09-smoothed", lambda s, d: X.smoothed_distribution(X.class_distribution(locs(s, d), "photons", 25.0), 1.0).select("class", "bin", *r("density", digits=8)), f"""WITH {CD}, kk AS (SELECT CAST(k AS INT) AS k, exp(-power(k, 2) / 2.0) AS w FROM range(-3, 4) t(k)), kn AS (SELECT k, w / (SELECT sum(w) FROM kk) AS w FROM kk)
 SELECT class, bin + k AS bin, {q('sum(density * w)', 'density', 8)} FROM cd, kn GROUP BY class, bin + k""")
 _add("X-09-kde", lambda s, d: X.kernel_density(locs(s, d), "photons", 0.0, 200.0, 21, 20.0).select("class", *r("x"), *r("density", digits=8)), f"WITH {LOCS} SELECT class_label AS class, {q('g * 10.0', 'x')}, {q('sum(exp(-power((photons - g * 10.0) / 20, 2) / 2)) / (count(*) * 20 * sqrt(2 * pi()))', 'density', 8)} FROM locs, range(0, 21) t(g) GROUP BY class_label, g")
+_REACH, _N = 4, 20
+_ROW = f"rw AS (SELECT *, row_number() OVER {TK} AS row FROM (SELECT * FROM (SELECT *, row_number() OVER {TK} AS r0 FROM ft) WHERE r0 > 1)), nx AS (SELECT *, lead(class_label) OVER {TK} AS ahead FROM rw)"
+_REGION = {
+    "all": f"rg AS (SELECT class_label AS class, step_nm AS v FROM nx WHERE class_label IN (1, 2))",
+    "proximal": f"rg AS (SELECT c.class_label AS class, n.step_nm AS v FROM nx c JOIN nx n USING (cell_id, mol_id) WHERE ((c.class_label = 1 AND c.ahead = 2) OR (c.class_label = 2 AND c.ahead = 1)) AND n.row BETWEEN c.row - {_REACH} + 1 AND c.row + {_REACH})",
+    "distal": f"rg AS (SELECT class_label AS class, step_nm AS v FROM nx n WHERE class_label IN (1, 2) AND NOT EXISTS (SELECT 1 FROM nx c WHERE c.cell_id = n.cell_id AND c.mol_id = n.mol_id AND c.ahead <> c.class_label AND n.row BETWEEN c.row - {_REACH} + 1 AND c.row + {_REACH}))",
+}
+
+
+def _region(which, make, columns):
+    return lambda s, d: make(X.regions(_f(s, d), 1, 2, _REACH, which, start=1)).select("class", *columns())
+
+
+for _w, _rg in _REGION.items():
+    _add(f"X-09-{_w}", _region(_w, lambda t: X.point_histogram(t, "step_nm", _N), lambda: ["bin", *r("x", "density", digits=7)]), f"""WITH {FT}, {_ROW}, {_rg}, en AS (SELECT class, min(v) AS lo, (max(v) - min(v)) / {_N} AS wd, count(*) AS n FROM rg GROUP BY class)
+SELECT class, CAST(least(floor((v - lo) / wd), {_N - 1}) AS BIGINT) AS bin, {q(f'max(lo + (least(floor((v - lo) / wd), {_N - 1}) + 0.5) * wd)', 'x', 7)}, {q('count(*) / max(n) / max(wd)', 'density', 7)} FROM rg JOIN en USING (class) GROUP BY class, least(floor((v - lo) / wd), {_N - 1})""")
+_add("X-09-kde-positive", _region("all", lambda t: X.positive_density(t, "step_nm", 0.2, 31), lambda: [*r("x", digits=5), *r("density", digits=7)]), f"""WITH {FT}, {_ROW}, {_REGION["all"]}, lg AS (SELECT class, ln(v) AS u FROM rg WHERE v > 0), en AS (SELECT class, min(u) - 0.6 AS lo, max(u) + 0.6 AS hi, count(*) AS n FROM lg GROUP BY class),
+gr AS (SELECT class, lo + g * (hi - lo) / 30 AS u0, n FROM en, range(0, 31) t(g))
+SELECT class, {q('exp(u0)', 'x', 5)}, {q('sum(exp(-power((u - u0) / 0.2, 2) / 2)) / (max(n) * 0.2 * sqrt(2 * pi())) / exp(u0)', 'density', 7)} FROM gr JOIN lg USING (class) GROUP BY class, u0""")
 _add("X-10", lambda s, d: X.kolmogorov_smirnov(_f(s, d), "step_nm", 1, 2).select(*r("d")), f"WITH {FT}, v AS (SELECT step_nm, count(*) FILTER (WHERE class_label = 1) AS x, count(*) FILTER (WHERE class_label = 2) AS y FROM ft WHERE class_label IN (1, 2) GROUP BY step_nm), cu AS (SELECT sum(x) OVER o / sum(x) OVER () AS a, sum(y) OVER o / sum(y) OVER () AS b FROM v WINDOW o AS (ORDER BY step_nm ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT {q('max(abs(a - b))', 'd')} FROM cu")
 
 
@@ -183,8 +251,8 @@ _add("X-12", lambda s, d: X.masked_accuracy(X.proximal(locs(s, d), 4), "class_la
 _add("L-01", lambda s, d: L.training_table(_f(s, d).withColumn("class_label", F.when(F.col("mol_id") % 10 == 0, -1).otherwise(F.col("class_label"))), ["step_nm", "photons"], start=1).select(*KEY, *r("step_nm", "photons"), "class_label"), f"""WITH {FT}, cr AS (SELECT *, row_number() OVER {TK} AS row FROM ft WHERE mol_id % 10 <> 0 QUALIFY row_number() OVER {TK} > 1)
 SELECT cell_id, mol_id, frame, {', '.join(q(f'({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER ()', f) for f in ('step_nm', 'photons'))}, class_label FROM cr""")
 _add("L-02", lambda s, d: L.scale(L.scale(_f(s, d), L.scaling(_f(s, d), ["photons"], "minmax"), ["photons"]), L.scaling(_f(s, d), ["photons"], "minmax"), ["photons"], invert=True).select(*KEY, *r("photons", digits=4)), f"WITH {LOCS} SELECT cell_id, mol_id, frame, {q('photons', 'photons', 4)} FROM locs")
-_add("L-03", lambda s, d: L.order_by_hash(locs(s, d), 3).groupBy("cell_id", "mol_id").agg(F.countDistinct("shuffle_key").alias("keys"), F.count("*").alias("n")), f"WITH {LOCS} SELECT cell_id, mol_id, CAST(1 AS BIGINT) AS keys, count(*) AS n FROM locs GROUP BY cell_id, mol_id")
-_add("L-04", lambda s, d: _splits(s, d).select(*KEY, "split"))
+_add("L-03", lambda s, d: L.order_by_hash(locs(s, d), 3).groupBy("cell_id", "mol_id", "shuffle_key").agg(F.count("*").alias("n")), f"WITH {LOCS} SELECT cell_id, mol_id, md5('3|' || cell_id || '|' || mol_id) AS shuffle_key, count(*) AS n FROM locs GROUP BY cell_id, mol_id")
+_add("L-04", lambda s, d: _splits(s, d).select(*KEY, "split"), f"WITH {LOCS} SELECT cell_id, mol_id, frame, {_SPLIT} AS split FROM locs")
 
 
 def _pads(s, d, length=80):
@@ -196,7 +264,8 @@ _add("L-05", _pads, f"WITH {ROWS}, gg AS (SELECT cell_id, mol_id, CAST(unnest(ra
 _add("L-05-longest", lambda s, d: _pads(s, d, None), f"WITH {ROWS}, gg AS (SELECT cell_id, mol_id, CAST(unnest(range(1, most + 1)) AS INT) AS row FROM (SELECT DISTINCT cell_id, mol_id FROM locs), (SELECT max(n) AS most FROM rw)) SELECT g.cell_id, g.mol_id, g.row, coalesce(photons, 0) AS photons, coalesce(class_label, 0) AS label, CAST(r.row IS NOT NULL AS INT) AS mask FROM gg g LEFT JOIN rw r USING (cell_id, mol_id, row)")
 _add("L-06", lambda s, d: L.context_length(locs(s, d)), f"WITH {LOCS} SELECT min(n) - 9 AS context FROM (SELECT count(*) AS n FROM locs GROUP BY cell_id, mol_id)")
 _add("L-07", lambda s, d: L.spans(locs(s, d), 20), f"WITH {LOCS} SELECT cell_id, mol_id, CAST(unnest(range(1, n - 20 + 2, 20)) AS INT) AS start FROM (SELECT cell_id, mol_id, count(*) AS n FROM locs GROUP BY ALL HAVING count(*) >= 20)")
-_add("L-07-random", lambda s, d: L.spans(locs(s, d), 20, 5, 1))
+_add("L-07-random", lambda s, d: L.spans(locs(s, d), 20, 5, 1), f"""WITH {LOCS}, st AS (SELECT cell_id, mol_id, CAST(unnest(range(1, n - 20 + 2)) AS INT) AS start FROM (SELECT cell_id, mol_id, count(*) AS n FROM locs GROUP BY ALL HAVING count(*) >= 20))
+SELECT cell_id, mol_id, start FROM st QUALIFY row_number() OVER (PARTITION BY cell_id, mol_id ORDER BY md5('1|' || cell_id || '|' || mol_id || '|' || start)) <= 5""")
 _add("L-08", lambda s, d: L.windows(locs(s, d), ["photons"], 20).select("cell_id", "mol_id", "start", rounded(F.aggregate("x", F.lit(0.0), lambda a, v: a + v[0])).alias("total")), f"WITH {ROWS} SELECT cell_id, mol_id, CAST(row AS INT) AS start, {q('sum(photons) OVER (PARTITION BY cell_id, mol_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)', 'total', 4)} FROM rw QUALIFY row <= n - 19")
 _add("L-09", lambda s, d: L.changepoint_mask(locs(s, d)).select(*KEY, "mask"), f"WITH {LOCS}, {_prox(3)} SELECT cell_id, mol_id, frame, CAST(proximal AS INT) AS mask FROM px")
 CW = "cw AS (SELECT class_label AS class, 1.0 / count(*) / sum(1.0 / count(*)) OVER () * count(*) OVER () AS weight FROM locs GROUP BY class_label)"
@@ -227,7 +296,11 @@ def _window_scorer(x):
     return [[[-abs(v[0] - m) / 30 for m in (20.0, 60.0, 130.0)] for v in w] for w in x]
 
 
-_add("L-14", lambda s, d: L.score_windows(_f(s, d), ["step_nm"], DEFAULT.window, _window_scorer, 3))
+# the scorer looks at one position alone, so a row's probabilities are the same in all windows over it
+_W = DEFAULT.window
+_add("L-14", lambda s, d: L.score_windows(_f(s, d), ["step_nm"], _W, _window_scorer, 3).select("cell_id", "mol_id", "row", "label", *r("confidence"), "windows"), f"""WITH {FT}, rw AS (SELECT *, row_number() OVER {TK} AS row, count(*) OVER (PARTITION BY cell_id, mol_id) AS n FROM ft),
+pr AS (SELECT cell_id, mol_id, row, least(row, n - {_W - 1}) - greatest(1, row - {_W - 1}) + 1 AS windows, {', '.join(f'exp(-abs(step_nm - {m}) / 30) AS p{k}' for k, m in ((1, 20.0), (2, 60.0), (3, 130.0)))} FROM rw WHERE n >= {_W})
+SELECT cell_id, mol_id, CAST(row AS INT) AS row, CASE WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END AS label, {q('greatest(p1, p2, p3) / (p1 + p2 + p3)', 'confidence')}, CAST(windows AS BIGINT) AS windows FROM pr""")
 for _k in ("L-15", "L-15b"):
     _add(_k, lambda s, d: L.score_tracks(_f(s, d), ["step_nm"], None, lambda x: [[1 if v[0] < 30 else 2 if v[0] < 90 else 3 for v in t] for t in x]), f"WITH {FT} SELECT cell_id, mol_id, CAST(row_number() OVER {TK} AS INT) AS row, CASE WHEN step_nm < 30 THEN 1 WHEN step_nm < 90 THEN 2 ELSE 3 END AS label FROM ft")
 _add("L-16", lambda s, d: L.cross_validate(E.turn_angle(_f(s, d)), ["step_nm", "turn_angle"], 2, trees=5))
@@ -251,14 +324,14 @@ _add("K-06", _saved)
 
 # Streams
 def _linked_stream(s, d):
-    """The localisations in four files by time, read as a stream and linked."""
+    """The localisations in four parts by time, read as a stream and linked."""
     src, out, log = shared_dir(s), shared_dir(s), shared_dir(s)
     points = locs(s, d).select("cell_id", "frame", "x_px", "y_px").withColumn("part", F.floor(F.col("frame") / 150).cast("int"))
-    for k in range(4):
+    for k in range(4):  # each part arrives while the stream is down, which then goes on where it was
         last = F.col("part") >= 3 if k == 3 else F.col("part") == k
-        points.where(last).drop("part").coalesce(1).write.mode("append").parquet(src)
-    stream = s.readStream.schema("cell_id int, frame int, x_px double, y_px double").option("maxFilesPerTrigger", 1).parquet(src)
-    R.link_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+        points.where(last).drop("part").write.mode("append").parquet(src)
+        stream = s.readStream.schema("cell_id int, frame int, x_px double, y_px double").option("maxFilesPerTrigger", 1_000_000).parquet(src)
+        R.link_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(out)
 
 

@@ -71,7 +71,7 @@ def truth(s, d):
 
 _add("F-11", lambda s, d: P.fully_labelled(unlabelled(s, d)).select(*_XY, "class_label"), f"WITH {UNLABELLED} SELECT cell_id, mol_id, frame, x_px, class_label FROM unl WHERE mol_id % 10 <> 0")
 _add("F-12", lambda s, d: P.with_truth_only(locs(s, d), truth(s, d), LEAST).select(_XY), f"WITH {TRUTH} SELECT l.cell_id, l.mol_id, l.frame, l.x_px FROM locs l JOIN truth t USING (cell_id, mol_id, frame) QUALIFY count(*) OVER (PARTITION BY l.cell_id, l.mol_id) >= {LEAST}")
-_add("F-13", lambda s, d: P.cells_by_length(locs(s, d), cells(s, d).withColumn("length_px", F.col("length_px") + F.col("cell_id")), 3.9, 4.2, PX).select(_XY), f"WITH {LOCS} SELECT cell_id, mol_id, frame, x_px FROM locs WHERE (40 + cell_id) * {PX} / 1000 BETWEEN 3.9 AND 4.2")
+_add("F-13", lambda s, d: P.cells_by_length(locs(s, d), cells(s, d).withColumn("length_px", F.col("length_px") + F.col("cell_id")), 3.9, 4.2, PX).select(_XY), f"WITH {LOCS} SELECT cell_id, mol_id, frame, x_px FROM locs WHERE (41 + cell_id) * {PX} / 1000 BETWEEN 3.9 AND 4.2")
 _add("F-15", lambda s, d: P.annotated_tracks(locs(s, d), unlabelled(s, d)).select(_XY), f"WITH {LOCS} SELECT cell_id, mol_id, frame, x_px FROM locs WHERE mol_id % 10 <> 0")
 _add("F-16", lambda s, d: P.without_zeros(E.step_size(locs(s, d)), ["step_nm", "photons"]).select(_XY), f"WITH {LOCS}, z AS (SELECT *, lag(x_px) OVER w AS px, lag(y_px) OVER w AS py FROM locs WINDOW w AS (PARTITION BY cell_id, mol_id ORDER BY frame)) SELECT cell_id, mol_id, frame, x_px FROM z WHERE px IS NOT NULL AND NOT (px = x_px AND py = y_px) AND photons <> 0")
 _add("F-17", lambda s, d: P.with_coordinates(locs(s, d).withColumn("x_px", F.when(F.col("frame") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("x_px")))).select(_XY), f"WITH {LOCS} SELECT cell_id, mol_id, frame, x_px FROM locs WHERE frame % 5 <> 0")
@@ -96,15 +96,15 @@ _add("M-02", lambda s, d: _msd_columns(M.msd(locs(s, d), LAG)), f"WITH {LOCS} {_
 _add("M-03", lambda s, d: M.to_um(locs(s, d)).select(*KEY, *[rounded(F.col(c), 6).alias(c) for c in ("x_um", "y_um")]), f"WITH {LOCS} SELECT cell_id, mol_id, frame, round(x_px * {PX} / 1000, 6) + 0.0 AS x_um, round(y_px * {PX} / 1000, 6) + 0.0 AS y_um FROM locs")
 RUNS = """ch AS (SELECT *, CASE WHEN lag(class_label) OVER (PARTITION BY cell_id, mol_id ORDER BY frame) <> class_label THEN 1 ELSE 0 END AS ch FROM {0}),
 runs AS (SELECT * EXCLUDE (ch), CAST(sum(ch) OVER (PARTITION BY cell_id, mol_id ORDER BY frame) AS BIGINT) AS run FROM ch)"""
-_add("M-04", lambda s, d: M.runs(locs(s, d)).select(*KEY, "class_label", "run"), f"WITH {LOCS}, {RUNS.format('locs')} SELECT cell_id, mol_id, frame, class_label, run FROM runs")
 _UNITS = f"""u0 AS ({_pairs('cell_id, mol_id', 'locs', LAG)}), u1 AS ({_pairs('cell_id, mol_id, class_label, run', 'runs', LAG)}),
 units AS (SELECT 0 AS grp, lag, sum_sq, n FROM u0 UNION ALL SELECT class_label, lag, sum_sq, n FROM u1)"""
+_add("M-04", lambda s, d: M.runs(locs(s, d)).select(*KEY, "class_label", "run"), f"WITH {LOCS}, {RUNS.format('locs')} SELECT cell_id, mol_id, frame, class_label, run FROM runs")
 _add("M-05", lambda s, d: M.group_msd(locs(s, d), LAG).select("group", "lag", "n", rounded(F.col("t")).alias("t"), rounded(F.col("msd"), 6).alias("msd")), f"""WITH {LOCS}, {RUNS.format('locs')}, {_UNITS}
 SELECT CAST(grp AS INT) AS "group", lag, CAST(sum(n) AS BIGINT) AS n, round(lag / {RATE}, 4) + 0.0 AS t, round(sum(sum_sq) / sum(n) * {SCALE}, 6) + 0.0 AS msd FROM units GROUP BY grp, lag""")
 _add("M-06", lambda s, d: M.longest_span(locs(s, d)), f"WITH {LOCS} SELECT max(s) AS longest FROM (SELECT max(frame) - min(frame) + 1 AS s FROM locs GROUP BY cell_id, mol_id)")
 _add("M-07", lambda s, d: M.runs_by_class(locs(s, d)), f"WITH {LOCS}, {RUNS.format('locs')} SELECT class_label, CAST(count(*) AS BIGINT) AS runs FROM (SELECT DISTINCT cell_id, mol_id, class_label, run FROM runs) GROUP BY class_label")
-_add("M-08", lambda s, d: M.equal_weight_msd(locs(s, d), LAG).select("lag", rounded(F.col("mean"), 6).alias("mean"), rounded(F.col("sem"), 6).alias("sem"), "tracks"), f"""WITH {LOCS}, u0 AS ({_pairs('cell_id, mol_id', 'locs', LAG)})
-SELECT lag, round(avg(v), 6) + 0.0 AS mean, round(stddev_samp(v) / sqrt(count(v)), 6) + 0.0 AS sem, count(v) AS tracks FROM (SELECT lag, nullif(sum_sq / n * {SCALE}, 0) AS v FROM u0) GROUP BY lag""")
+_add("M-08", lambda s, d: M.equal_weight_msd(locs(s, d), LAG).select("group", "lag", rounded(F.col("mean"), 6).alias("mean"), rounded(F.col("sem"), 6).alias("sem"), "units"), f"""WITH {LOCS}, {RUNS.format('locs')}, {_UNITS}
+SELECT CAST(grp AS INT) AS "group", lag, round(avg(v), 6) + 0.0 AS mean, round(stddev_samp(v) / sqrt(count(v)), 6) + 0.0 AS sem, count(v) AS units FROM (SELECT grp, lag, nullif(sum_sq / n * {SCALE}, 0) AS v FROM units) GROUP BY grp, lag""")
 _add("M-09", lambda s, d: M.trimmed_group_curve(locs(s, d), LAG).select("group", "lag", rounded(F.col("mean"), 6).alias("mean")), f"""WITH {LOCS}, {RUNS.format('locs')}, {_UNITS},
 curve AS (SELECT grp, lag, avg(nullif(sum_sq / n, 0)) * {SCALE} AS mean FROM units GROUP BY grp, lag)
 SELECT CAST(grp AS INT) AS "group", lag, round(mean, 6) + 0.0 AS mean FROM curve QUALIFY lag <= max(CASE WHEN mean IS NOT NULL THEN lag END) OVER (PARTITION BY grp)""")
@@ -113,8 +113,10 @@ _add("M-10", lambda s, d: M.diffusion(M.group_msd(locs(s, d), LAG), LAG, loc_pre
 
 
 def _track_d(by: str, source: str, name: str) -> str:
-    return f"""{name}u AS ({_pairs(by, f"(SELECT * FROM {source} QUALIFY count(*) OVER (PARTITION BY {by}) >= 5)", LAG)}),
-{name} AS (SELECT {by}, regr_slope(sum_sq / n * {SCALE}, lag / {RATE}) / 4 AS d FROM {name}u GROUP BY {by} HAVING regr_slope(sum_sq / n, lag) IS NOT NULL)"""
+    """Slopes over lags 1..LAG of every unit of five rows, where a lag without pairs is 0."""
+    return f"""{name}u AS ({_pairs(by, source, LAG)}),
+{name}n AS (SELECT {by}, CAST(k AS INT) AS lag FROM (SELECT {by} FROM {source} GROUP BY {by} HAVING count(*) >= 5), range(1, {LAG + 1}) t(k)),
+{name} AS (SELECT {by}, regr_slope(coalesce(sum_sq / n, 0) * {SCALE}, lag / {RATE}) / 4 AS d FROM {name}n LEFT JOIN {name}u USING ({by}, lag) GROUP BY {by})"""
 
 
 _TD = f"WITH {LOCS}, {_track_d('cell_id, mol_id', 'locs', 'td')}"

@@ -79,6 +79,13 @@ def outlines(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.size("mesh"), F.lit(0)) > 0)
 
 
+def outline_files(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """outlines() from files: `csv` with a row for each cell and mesh row (cell_id, i, xl, yl, xr, yr), or `json` with a cell and its array of them a line."""
+    if kind == "csv":
+        return outlines(spark.read.csv(path, header=True, schema="cell_id int, i int, xl double, yl double, xr double, yr double"))
+    return outlines(spark.read.json(path, schema="cell_id int, mesh array<struct<i:int,xl:double,yl:double,xr:double,yr:double>>"))
+
+
 def ground_truth(rows: DataFrame, videos: DataFrame) -> DataFrame:
     """Truth rows (file_idx, class, frame, mol, cell) with frames shifted by their video's offset."""
     o = F.broadcast(frame_offsets(videos).select("file_idx", "frame_offset"))

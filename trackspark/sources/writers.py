@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, track
+from ..functions.ranks import numbered
 from ..operators.annotate import track_numbers
 
 
@@ -25,6 +27,19 @@ def training_rows(df: DataFrame, features: list[str], label: str = "class_label"
     return a.select("split", *KEYS, F.transform("a", lambda x: x["v"]).alias("data"), F.transform("a", lambda x: x["l"]).alias("labels"))
 
 
+def diffusion_raw(d: DataFrame, classes: Sequence[int]) -> DataFrame:
+    """row, class_1, ...: a column of diffusion coefficients for each class, in the order of tracks, shorter ones ending in nulls."""
+    n = numbered(d.select("class_label", *KEYS, "d"), ["class_label"], list(KEYS), "row")
+    return n.groupBy("row").pivot("class_label", list(classes)).agg(F.max("d")).select("row", *[F.col(str(k)).alias(f"class_{k}") for k in classes])
+
+
+def diffusion_binned(h: DataFrame, classes: Sequence[int], width: float) -> DataFrame:
+    """bin, centre, class_1, ...: counts of a histogram by class side by side."""
+    low = h.groupBy("bin").agg((F.min("low") + width / 2).alias("centre"))
+    wide = h.groupBy("bin").pivot("class_label", list(classes)).agg(F.sum("n"))
+    return low.join(wide, "bin").select("bin", "centre", *[F.coalesce(str(k), F.lit(0)).alias(f"class_{k}") for k in classes])
+
+
 def event_matrix(aligned: DataFrame) -> DataFrame:
     """event_id, rel, value: one event for each (cell, mol, event frame)."""
     return aligned.select(F.concat_ws("-", *[F.col(c).cast("string") for c in (*KEYS, "event")]).alias("event_id"), "rel", "value")
