@@ -76,6 +76,15 @@ def test_small_sources_share_a_queue(spark):
     assert by_doc == {r.doc_id: r.n for r in tokens.collect()}
 
 
+def test_large_batches_give_every_document_once(spark):
+    docs = spark.range(5003).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("number"), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source")).coalesce(1)
+    tokens = packing.tokenize(docs, WORD)
+    assert tokens.count() == tokens.select("doc_id").distinct().count() == 5003
+    pieces = packing.pack(tokens, 64).agg(F.sum("length"), F.countDistinct("doc_id"), F.max("sequence_id")).first()
+    total = tokens.agg(F.sum("n")).first()[0]
+    assert tuple(pieces) == (total, 5003, (total - 1) // 64)
+
+
 def test_extra_columns_do_not_clash(spark):
     d = spark.createDataFrame([(1, "a b", "s", 5, 6, 7)], DOCS + ", n int, queue int, part int")
     assert [r.length for r in packing.pack(packing.tokenize(d, WORD)).collect()] == [3]

@@ -36,6 +36,8 @@ WINDOW = 4096
 END_ID = 2
 #: Queues are the components of a mixture; their lengths come to the driver, one number each.
 MAX_QUEUES = 10_000
+#: Documents that are tokenized or cut at once.
+TOGETHER = 2000
 
 
 class Shares:
@@ -136,8 +138,8 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
         part = TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                rows = batch.slice(begin, 4000)
+            for begin in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(begin, TOGETHER)
                 flat, at = words.encode(rows.column("text"))
                 length = np.diff(at) + 1
                 ends = np.cumsum(length)
@@ -196,8 +198,8 @@ def pack(tokens: DataFrame, window: int = WINDOW, weights: dict[str | None, floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = Shares(lengths, units, window)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                rows = batch.slice(begin, 4000)
+            for begin in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(begin, TOGETHER)
                 queue = rows.column("queue").to_numpy().astype(np.int64)
                 at, n = rows.column("at").to_numpy(), rows.column("n").to_numpy()
                 doc, a, length, w, offset = shares.pieces(queue, at, n)
