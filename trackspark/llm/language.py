@@ -27,9 +27,9 @@ from .folds import held_out, sample_by
 from .shingles import chunks
 
 #: Texts of each language that are learned from, and size of the feature table.
-SAMPLE, BUCKETS = 1000, 1 << 13
+SAMPLE, BUCKETS = 500, 1 << 13
 #: Texts of all languages together, and languages, that are learned at most.
-TOTAL, LANGUAGES = 4096, 512
+TOTAL, LANGUAGES = 2048, 512
 UNKNOWN = "und"
 #: Families of ISO 639-1 codes; a language outside this list is a family of its own.
 FAMILIES = {
@@ -162,10 +162,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model | No
     chosen = learn.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in names], "lang string")), "lang")
     ids = sample_by(chosen, "lang", min(sample, max(1, total // len(names))), "h")
     rows = learn.join(F.broadcast(ids), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    few = sorted(map_batches(rows, _counted, "lang string, h long, at array<int>, n array<int>").collect(), key=lambda r: (r["lang"], r["h"]))
+    few = sorted(map_batches(rows, _counted, "lang string, h long, at binary, n binary").collect(), key=lambda r: (r["lang"], r["h"]))
     x = np.zeros((len(few), BUCKETS), np.float32)
     for i, r in enumerate(few):
-        x[i, r["at"]] = r["n"]
+        x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int32)
     np.sqrt(x, out=x)
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
     return Model(x, [r["lang"] for r in few])
@@ -179,9 +179,9 @@ def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         for a, b in zip(at[:-1], at[1:], strict=True):
             n = np.bincount(h[a + 1 : b - 1], minlength=BUCKETS) if b - a > 2 else np.zeros(BUCKETS, np.int64)
             k = np.flatnonzero(n)
-            at_of.append(k.astype(np.int32))
-            n_of.append(n[k].astype(np.int32))
-    return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(at_of, pa.list_(pa.int32())), pa.array(n_of, pa.list_(pa.int32()))], names=["lang", "h", "at", "n"])
+            at_of.append(k.astype(np.int32).tobytes())
+            n_of.append(n[k].astype(np.int32).tobytes())
+    return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(at_of, pa.binary()), pa.array(n_of, pa.binary())], names=["lang", "h", "at", "n"])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
