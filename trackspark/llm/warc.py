@@ -11,7 +11,9 @@ refer to it and store no payload. The smallest ids are found on (id, digest) row
 their page, so that the html is shuffled once.
 
 Defined cases: a null html is the empty payload; a null url is written as an empty target; a page without id is written with the
-id `null` and always a response; of repeated rows with one id and payload, the first is a response if the id is the smallest. Extra columns are ignored.
+id `null` and always a response; of repeated rows with one id and payload, the first is a response if the id is the smallest; pages of any length are one
+record; an empty table gives no archives. Extra columns are ignored, whatever their names. A task that fails removes its unfinished file, and one that
+finds a file finished by an attempt before it keeps that.
 """
 
 from __future__ import annotations
@@ -108,43 +110,53 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
         store.create_dir(base, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         page, first_of, written_first = object(), {}, set()
-        out, size, n, k, of, digest = None, 0, 0, 0, None, hashlib.sha256()
+        out, size, n, k, of, digest, temporary = None, 0, 0, 0, None, hashlib.sha256(), ""
         done = []
 
         def close() -> None:
             nonlocal out, size, n, k, digest
             out.close()
             name = f"range-{of:06d}-{k:04d}.warc.gz"
-            store.move(f"{base}/.{attempt}-{k:04d}", f"{base}/{name}")
+            if store.get_file_info(f"{base}/{name}").type == fs.FileType.File:
+                store.delete_file(temporary)  # an attempt before this one wrote the same bytes
+            else:
+                store.move(temporary, f"{base}/{name}")
             done.append((of, name, n, size, digest.hexdigest()))
             out, size, n, k, digest = None, 0, 0, k + 1, hashlib.sha256()
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["_range"] != of and out is not None:
-                    close()
-                if row["_range"] != of:
-                    of, k = row["_range"], 0
-                if row["page_id"] != page:
-                    page, first_of, written_first = row["page_id"], {}, set()
-                if row["html"] is None:
-                    first_of[row["digest"]] = row["first"]
-                    continue
-                html = row["html"].encode()
-                own = hashlib.sha256(html).hexdigest()
-                first = first_of.get(own)
-                response = first is None or first == page and own not in written_first
-                written_first.add(own)
-                raw = record(page, row["url"], html, own, "response" if response else "revisit", None if response else first)
-                if out is None:
-                    out = store.open_output_stream(f"{base}/.{attempt}-{k:04d}", compression=None)
-                out.write(raw)
-                digest.update(raw)
-                size, n = size + len(raw), n + 1
-                if size >= file_bytes:
-                    close()
-        if out is not None:
-            close()
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["_range"] != of and out is not None:
+                        close()
+                    if row["_range"] != of:
+                        of, k = row["_range"], 0
+                    if row["page_id"] != page:
+                        page, first_of, written_first = row["page_id"], {}, set()
+                    if row["html"] is None:
+                        first_of[row["digest"]] = row["first"]
+                        continue
+                    html = row["html"].encode()
+                    own = hashlib.sha256(html).hexdigest()
+                    first = first_of.get(own)
+                    response = first is None or first == page and own not in written_first
+                    written_first.add(own)
+                    raw = record(page, row["url"], html, own, "response" if response else "revisit", None if response else first)
+                    if out is None:
+                        temporary = f"{base}/.{attempt}-{of:06d}-{k:04d}"
+                        out = store.open_output_stream(temporary, compression=None)
+                    out.write(raw)
+                    digest.update(raw)
+                    size, n = size + len(raw), n + 1
+                    if size >= file_bytes:
+                        close()
+            if out is not None:
+                close()
+        except BaseException:
+            if out is not None:
+                out.close()
+                store.delete_file(temporary)
+            raise
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["range", "file", "records", "bytes", "sha256"])
 
