@@ -75,6 +75,18 @@ def test_archives_of_long_and_clashing_pages(spark):
     assert got == [(1, "response", None, len(body)), (2, "revisit", 1, len(body))]
 
 
+def test_archives_after_failed_attempts(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "<p>" + str(i) * 200) for i in range(30)], "page_id long, url string, html string")
+    first = warc.write_archives(pages, f"file://{tmp_path}/a", file_bytes=800, rows=10).collect()
+    names = sorted(p.name for p in (tmp_path / "a").glob("*.warc.gz"))
+    # an attempt that ended after its files were renamed, but before its manifest was: the files are there already
+    (tmp_path / "a" / "_manifest").rename(tmp_path / "old")
+    again = warc.write_archives(pages, f"file://{tmp_path}/a", file_bytes=800, rows=10).collect()
+    assert sorted(first) == sorted(again) and names == sorted(r.file for r in again)
+    assert not [p for p in (tmp_path / "a").iterdir() if p.name.startswith(".") and "crc" not in p.name]
+    assert warc.read_archives(spark, f"file://{tmp_path}/a").count() == 30
+
+
 def test_chats_of_odd_tables(spark):
     schema = "conv_id long, turn long, role string, text string, conversation string, speaker string, m string"
     rows = [(1, 1, "ann", "hi", "x", "y", "z")] * 2 + [(1, 1, "bob", "z" * 100_000, "x", "y", "z"), (1, 1, "ann", "a tie", "x", "y", "z")]
@@ -83,6 +95,9 @@ def test_chats_of_odd_tables(spark):
     r = got["ann"]
     assert [r.rendered[s.start : s.end] for s in r.mask_spans] == ["a tie<|im_end|>", "hi<|im_end|>", "hi<|im_end|>"]
     assert chat.rotate_perspectives(spark.createDataFrame([], schema)).count() == 0
+    lost = [(None, 1, "ann", "one", "x", "y", "z"), (None, 2, "bob", "two", "x", "y", "z"), (None, 2, "bob", "two", "x", "y", "z")]
+    got = chat.rotate_perspectives(spark.createDataFrame(lost, schema)).collect()
+    assert sorted((r.speaker, r.n_turns, r.n_own) for r in got) == [("ann", 1, 1), ("bob", 1, 1), ("bob", 1, 1)]
 
 
 def test_searches_of_repeated_ids(spark):

@@ -4,9 +4,10 @@ For every conversation and every participant (each distinct role other than the
 once with that participant as `assistant`, the others as named users, and a mask that marks what a model would be trained on:
 the participant's own words and the end marker that follows them.
 
-Defined cases: a null role is the participant `unknown`; a null text is empty; a null conversation id is a conversation of its
-own; turns are ordered by (turn, role, text) with null turns first, so that ties have one order; repeated rows are repeated
-turns; a conversation of system turns only has no participants and no rows. Extra columns are ignored.
+Defined cases: a null role is the participant `unknown`; a null text is empty; each row without a conversation id is a conversation of one
+turn; turns are ordered by (turn, role, text) with null turns first, so that ties have one order; repeated rows are repeated
+turns; a conversation of system turns only has no participants and no rows; texts of any length count whole; an empty table gives no rows. Extra columns are
+ignored, whatever their names.
 
 One shuffle, on the conversation id. A conversation must fit into one row, because the rendered dialogue is one value; its
 rows are gathered by conversation only, and no conversation is joined with anything.
@@ -27,9 +28,10 @@ def rotate_perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "tu
     """
     said = turns.select(
         F.col(conv).alias("conversation"),
+        F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("m"),
     )
-    whole = said.groupBy("conversation").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    whole = said.groupBy("conversation", "alone").agg(F.sort_array(F.collect_list("m")).alias("m"))
     rotated = whole.withColumn("speaker", F.explode(F.array_distinct(F.filter(F.transform("m", lambda x: x["role"]), lambda r: r != SYSTEM))))
 
     def head(x: Column) -> Column:

@@ -105,25 +105,26 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """,
     "op8_chat_formatting": """
-WITH m AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS rn
-  FROM conversations),
-s AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
+WITH c AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
+m AS (
+  SELECT conv_id, alone, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body,
+         row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS rn
+  FROM c),
+s AS (SELECT DISTINCT conv_id, alone, role AS speaker FROM m WHERE role <> 'system'),
 r AS (
-  SELECT s.conv_id, s.speaker, m.rn, m.role = s.speaker AS own,
+  SELECT s.conv_id, s.alone, s.speaker, m.rn, m.role = s.speaker AS own,
          '<|im_start|>' || CASE WHEN m.role = s.speaker THEN 'assistant' WHEN m.role = 'system' THEN 'system' ELSE 'user name=' || m.role END || chr(10) AS head,
          m.body || '<|im_end|>' AS body
-  FROM s JOIN m ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
+  FROM s JOIN m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.alone IS NOT DISTINCT FROM s.alone),
 p AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY rn) - length(body) - 1 AS a,
-         sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY rn) - 1 AS b
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, alone, speaker ORDER BY rn) - length(body) - 1 AS a,
+         sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, alone, speaker ORDER BY rn) - 1 AS b
   FROM r)
 SELECT conv_id, speaker, CAST(count(*) AS BIGINT) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own,
        CAST(sum(CASE WHEN own THEN b - a ELSE 0 END) AS BIGINT) AS trained_chars,
        CAST(sum(length(head) + length(body) + 1) AS BIGINT) AS n_chars,
        string_agg(head || body || chr(10), '' ORDER BY rn) AS rendered,
        string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(b AS BIGINT) AS VARCHAR), ',' ORDER BY rn) FILTER (WHERE own) AS mask_spans
-FROM p GROUP BY conv_id, speaker
+FROM p GROUP BY conv_id, alone, speaker
 """,
 }
