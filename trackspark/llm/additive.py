@@ -7,7 +7,8 @@ M codes and the squared norm of its approximation, so that a query scores it by
 
 The codebooks are fitted on a bounded sample (`SAMPLE` rows, those of smallest hash of the id); every row is encoded and
 searched. Rows and queries meet in blocks of bounded size, so memory doesn't grow with the table; of a query and a block of rows
-only k rows are kept.
+only k rows are kept. A row is sent once for each block of queries, with its vector in the precision of the column. All codes are scored: lists around coarse
+centroids would lose neighbours (the README has figures).
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most take no
 part, neither as queries nor as candidates; rows of one id are one query, and never candidates for it; with fewer than k
@@ -28,7 +29,7 @@ from .common import written
 BOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE, ROUNDS = 16_384, 8
 #: Rows of a block, queries of a block, and rows of a block that are ranked exactly for a query.
-ROWS, QUERIES, RERANK = 20_000, 1024, 512
+ROWS, QUERIES, RERANK = 20_000, 8192, 512
 
 
 def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -95,8 +96,9 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
-    """vec_id and embedding as double array of the rows that take part, and their dimension."""
-    v: Column = F.col(embedding).cast("array<double>")
+    """vec_id and embedding of the rows that take part, as an array of floats where the column is one, else of doubles, and their dimension."""
+    single = df.schema[embedding].dataType.simpleString() == "array<float>"
+    v: Column = F.col(embedding) if single else F.col(embedding).cast("array<double>")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole)
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -105,7 +107,7 @@ def usable(df: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
 
 
 def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """vec_id, vector (packed doubles), codes and norm of every row, written to shared storage."""
+    """vec_id, vector (its numbers packed), codes and norm of every row, written to shared storage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +158,9 @@ def search(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
     schema = "query_id long, vec_id long, score double"
     if not len(few):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = fit(np.stack(few["embedding"].to_numpy()))
+    books = fit(np.stack(few["embedding"].to_numpy()).astype(np.float64))
     table = index(use, books)
+    kind = "f4" if use.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
     n = table.count()
     asked = table.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     blocks, asks = max(1, -(-n // rows)), max(1, -(-asked.count() // queries))
@@ -172,7 +175,8 @@ def search(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
         def matrix(x: pa.Table, name: str, kind: str) -> np.ndarray:
             return np.frombuffer(b"".join(x.column(name).to_pylist()), kind).reshape(x.num_rows, -1)
 
-        found = _search(q.column("vec_id").to_numpy(), matrix(q, "vector", "f8"), r.column("vec_id").to_numpy(), matrix(r, "vector", "f8"), matrix(r, "codes", "u1"), r.column("norm").to_numpy(), books, k, rerank)
+        queries, vectors = (matrix(x, "vector", kind).astype(np.float64) for x in (q, r))
+        found = _search(q.column("vec_id").to_numpy(), queries, r.column("vec_id").to_numpy(), vectors, matrix(r, "codes", "u1"), r.column("norm").to_numpy(), books, k, rerank)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
