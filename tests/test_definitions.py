@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackspark.functions.ranks import numbered, quantiles, running
-from trackspark.operators import annotate, features, msd, spatial, stats, training
+from trackspark.operators import annotate, features, maps, msd, spatial, stats, training
 from trackspark.params import DEFAULT
 
 SCHEMA = "cell_id int, mol_id long, frame int, x_px double, y_px double, class_label int"
@@ -149,3 +149,28 @@ def test_regions_around_changes(spark):
     near = stats.regions(d, 1, 2, 2, "proximal").select("class", "x_px").collect()
     assert sorted((r["class"], r.x_px) for r in near) == [(1, 1.0), (1, 2.0), (1, 3.0), (1, 4.0), (2, 5.0), (2, 6.0), (2, 7.0), (2, 8.0)]
     assert sorted(r.x_px for r in stats.regions(d, 1, 2, 1, "distal").collect()) == [0.0, 1.0, 4.0, 5.0]
+
+
+def test_kernel_is_even_and_sums_to_one():
+    k = {(dx, dy): w for dx, dy, w in maps.kernel(0.3, 0.15)}
+    sd = 0.3 / (2 * math.sqrt(2 * math.log(2)))
+    assert sum(k.values()) == pytest.approx(1) and max(dx for dx, _ in k) == math.floor(6 * sd / 0.15)
+    assert all(k[dx, dy] == k[-dx, dy] == k[dy, dx] for dx, dy in k)
+    assert k[1, 0] / k[0, 0] == pytest.approx(math.exp(-(0.15**2) / (2 * sd * sd)))
+
+
+def test_forests_learn_a_feature_that_tells_classes_apart(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1, m, f, float(c * 10 + rng.normal()), float(rng.normal()), c) for m in range(24) for f in range(12) for c in [1 + (f // 4 + m) % 3]]
+    d = spark.createDataFrame(rows, SCHEMA)
+    model = training.train_forest(d.where("mol_id < 16"), ["x_px", "y_px"], trees=8)
+    out = training.score_forest(model, d.where("mol_id >= 16"))
+    assert out.where("pred = class_label").count() >= 0.9 * out.count() and out.where("p < 0.3 OR p > 1").count() == 0
+    got = {r.metric: r["mean"] for r in training.cross_validate(d, ["x_px", "y_px"], 2, trees=5).collect()}
+    assert set(got) == {"accuracy", "precision", "recall", "f1"} and min(got.values()) > 0.9
+
+    def score(t):
+        return stats.masked_accuracy(t.withColumn("g", F.greatest(F.lit(1), F.least(F.lit(3), F.round(F.col("x_px") / 10).cast("int")))), "class_label", "g")
+
+    lost = {r.feature: (r.importance, r["rank"]) for r in stats.permutation_importance(d, ["y_px", "x_px"], score, 2).collect()}
+    assert lost["x_px"][0] > 0.4 and lost["x_px"][1] == 1 and lost["y_px"] == (0.0, 2)

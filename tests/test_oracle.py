@@ -28,7 +28,7 @@ def rows(columns, found):
 
 
 #: One of each kind; the driver compares all of them at every run.
-SOME = ["E-03", "E-12", "E-18", "E-22", "E-27", "E-31", "F-04", "F-05", "F-06", "M-02", "M-05", "M-13", "T-03", "T-06", "T-10", "A-04", "A-05", "A-09", "A-12", "G-01", "G-06", "G-10", "H-03", "S-01", "S-06", "K-01", "X-03b", "X-10", "L-01", "L-08", "L-17"]
+SOME = ["E-03", "E-12", "E-17-loess", "E-18", "E-22", "E-24", "E-27", "E-31", "F-04", "F-05", "F-06", "M-02", "M-05", "M-13", "T-03", "T-06", "T-10", "A-04", "A-05", "A-09", "A-12", "G-01", "G-06", "G-10", "G-13", "G-14", "H-03", "S-01", "S-06", "K-01", "K-02", "K-03-raw", "S-05", "X-03b", "X-09-proximal", "X-10", "L-01", "L-05", "L-07-random", "L-08", "L-14", "L-17", "M-08", "M-11", "A-06", "A-12-thresholds"]
 
 
 @pytest.mark.parametrize("key", SOME)

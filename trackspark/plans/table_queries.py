@@ -255,13 +255,14 @@ _add("L-03", lambda s, d: L.order_by_hash(locs(s, d), 3).groupBy("cell_id", "mol
 _add("L-04", lambda s, d: _splits(s, d).select(*KEY, "split"), f"WITH {LOCS} SELECT cell_id, mol_id, frame, {_SPLIT} AS split FROM locs")
 
 
-def _pads(s, d, length=80):
+def _pads(s, d, length):
     p = L.padded(locs(s, d), ["photons"], length)
     return p.select("cell_id", "mol_id", F.posexplode(F.arrays_zip("x", "y", "mask")).alias("i", "e")).select("cell_id", "mol_id", (F.col("i") + 1).alias("row"), F.col("e")["x"][0].alias("photons"), F.col("e")["y"].alias("label"), F.col("e")["mask"].alias("mask"))
 
 
-_add("L-05", _pads, f"WITH {ROWS}, gg AS (SELECT cell_id, mol_id, CAST(unnest(range(1, 81)) AS INT) AS row FROM (SELECT DISTINCT cell_id, mol_id FROM locs)) SELECT g.cell_id, g.mol_id, g.row, coalesce(photons, 0) AS photons, coalesce(class_label, 0) AS label, CAST(r.row IS NOT NULL AS INT) AS mask FROM gg g LEFT JOIN rw r USING (cell_id, mol_id, row)")
-_add("L-05-longest", lambda s, d: _pads(s, d, None), f"WITH {ROWS}, gg AS (SELECT cell_id, mol_id, CAST(unnest(range(1, most + 1)) AS INT) AS row FROM (SELECT DISTINCT cell_id, mol_id FROM locs), (SELECT max(n) AS most FROM rw)) SELECT g.cell_id, g.mol_id, g.row, coalesce(photons, 0) AS photons, coalesce(class_label, 0) AS label, CAST(r.row IS NOT NULL AS INT) AS mask FROM gg g LEFT JOIN rw r USING (cell_id, mol_id, row)")
+_PADS = f"WITH {ROWS}, gg AS (SELECT cell_id, mol_id, CAST(unnest(range(1, most + 1)) AS INT) AS row FROM (SELECT DISTINCT cell_id, mol_id FROM locs), (SELECT max(n) AS most FROM rw)) SELECT g.cell_id, g.mol_id, g.row, coalesce(photons, 0) AS photons, coalesce(class_label, 0) AS label, CAST(r.row IS NOT NULL AS INT) AS mask FROM gg g LEFT JOIN rw r USING (cell_id, mol_id, row)"
+_add("L-05", lambda s, d: _pads(s, d, None), _PADS)
+_add("L-05-80", lambda s, d: _pads(s, d, 80), _PADS.replace("SELECT max(n) AS most FROM rw", "SELECT 80 AS most"))
 _add("L-06", lambda s, d: L.context_length(locs(s, d)), f"WITH {LOCS} SELECT min(n) - 9 AS context FROM (SELECT count(*) AS n FROM locs GROUP BY cell_id, mol_id)")
 _add("L-07", lambda s, d: L.spans(locs(s, d), 20), f"WITH {LOCS} SELECT cell_id, mol_id, CAST(unnest(range(1, n - 20 + 2, 20)) AS INT) AS start FROM (SELECT cell_id, mol_id, count(*) AS n FROM locs GROUP BY ALL HAVING count(*) >= 20)")
 _add("L-07-random", lambda s, d: L.spans(locs(s, d), 20, 5, 1), f"""WITH {LOCS}, st AS (SELECT cell_id, mol_id, CAST(unnest(range(1, n - 20 + 2)) AS INT) AS start FROM (SELECT cell_id, mol_id, count(*) AS n FROM locs GROUP BY ALL HAVING count(*) >= 20))
