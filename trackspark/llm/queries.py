@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, byte_bpe, chat, fingerprint, html_extract, language, ngram_join, packing, quality, warc
+from . import additive, byte_bpe, chat, fingerprint, html_extract, language, ngram_join, packing, quality, warc, word_table
 from .common import table
 from .folds import held_out
 
@@ -82,6 +82,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = word_table.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, packed=True)
+    digest = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return word_table.decode(digest, word_table.pieces(spark, path)).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
@@ -93,6 +100,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_nearest": op9_nearest,
     "op10_fingerprint": op10_fingerprint,
+    "op11_word_table_bpe": op11_word_table_bpe,
 }
 
 ORACLE_SQL = {
