@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, byte_bpe, chat, fingerprint, html_extract, language, ngram_join, packing, quality, warc, word_table
+from . import additive, byte_bpe, chat, conversation_repair, fingerprint, html_extract, language, ngram_join, packing, periodic_runs, quality, warc, word_table
 from .common import table
 from .folds import held_out
 
@@ -89,6 +89,26 @@ def op11_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.decode(digest, word_table.pieces(spark, path)).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    out = periodic_runs.periodic_runs(docs, key="h", words=periodic_runs.planted).withColumn("best", periodic_runs.best())
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")), there="there")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
@@ -101,9 +121,59 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_fingerprint": op10_fingerprint,
     "op11_word_table_bpe": op11_word_table_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+#: CRC-32 of a text of ASCII characters, by the table of its 256 bytes.
+_STEP = "list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, b: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))"
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLE_SQL = {
+    "op13_conversation_repair": f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, {_STEP} AS v FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256)))),
+r0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+r1 AS (SELECT conv_id, turn, role, text, {_CRC.format('key')} % 20 AS h FROM r0, crc),
+r2 AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM r1 WHERE h <> 0),
+r3 AS (
+  SELECT *, rtrim(text, {_WHITE}) AS ended, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) || substr(role, 1, 1) AS pair
+  FROM r2),
+r4 AS (SELECT *, ended = '' AS blank, ended <> '' AND seen AS dup, ended <> '' AND NOT seen AND right(ended, 1) NOT IN ('.', '!', '?') AS cut FROM r3),
+k AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+         count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM r4 GROUP BY conv_id),
+-- states: 0 nothing, 1 after a system turn, 2 after a user, 3 after an assistant; turns that can be put in between two states
+go AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) t(a, i, b)),
+ins AS (
+  SELECT a, b, 5 AS cost, 'I' AS audit, [CASE i WHEN 'u' THEN 'user:' ELSE 'assistant:' END] AS said FROM go WHERE i <> 's'
+  UNION ALL SELECT x.a, y.b, 10, 'II', ['user:', 'assistant:'] FROM go x JOIN go y ON x.b = y.a WHERE x.i = 'u' AND y.i = 'a' AND x.a <> y.b
+  UNION ALL SELECT s, s, 0, '', [] FROM (VALUES (0), (1), (2), (3)) t(s)),
+p AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS rn, 0 AS st, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM k
+  UNION ALL
+  SELECT conv_id, rn, st, best.cost, best.audit, best.said FROM (
+    SELECT conv_id, rn, st, min({{'cost': cost, 'audit': audit, 'said': said}}) AS best FROM (
+      SELECT r.conv_id, r.rn, w.st, CAST(p.cost + n.cost + w.cost AS BIGINT) AS cost, p.audit || n.audit || w.edit AS audit, list_concat(list_concat(p.said, n.said), w.said) AS said
+      FROM p JOIN r4 r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.rn = p.rn + 1 JOIN ins n ON n.a = p.st,
+      LATERAL (
+        SELECT n.b AS st, 2 AS cost, 'D' AS edit, CAST([] AS VARCHAR[]) AS said
+        UNION ALL SELECT b, CASE WHEN r.cut THEN 5 ELSE 0 END, 'K', [r.role || ':' || r.text] FROM go WHERE a = n.b AND i = substr(r.role, 1, 1) AND NOT r.blank AND NOT r.dup
+        UNION ALL SELECT b, CASE WHEN r.cut THEN 6 ELSE 1 END, 'R', [CASE i WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text] FROM go WHERE a = n.b AND i <> 's' AND NOT r.blank AND NOT r.dup) w)
+    GROUP BY conv_id, rn, st)),
+f AS (
+  SELECT k.conv_id, min({{'cost': p.cost + n.cost, 'audit': p.audit || n.audit, 'said': list_concat(p.said, n.said)}}) AS best
+  FROM k JOIN p ON p.conv_id IS NOT DISTINCT FROM k.conv_id AND p.rn = k.n JOIN ins n ON n.a = p.st AND n.b IN (0, 3) GROUP BY k.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
     "op4_warc": """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
