@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import free_name, map_batches, written
+from .common import free_name, map_batches, shared_dir
 
 #: Characters of a block, characters for each bucket of the table, and the largest vocabulary whose pieces are broadcast.
 BLOCK, PER_BUCKET, MOST_PIECES = 16_000_000, 8_000_000, 1 << 21
+#: Words whose ids are put in at once.
+TOGETHER = 200_000
 #: The splitting pattern of byte-level BPE, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose classes don't depend on the version of Unicode; a text with others is split by the tokenizer itself.
@@ -136,11 +138,18 @@ class _Block:
 
     def expand(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of pieces, and how many each piece has."""
-        ends = np.array(self.ends, np.int64)
-        n = (ends[1:] - ends[:-1])[at]
-        stop = np.cumsum(n)
-        take = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(ends[:-1][at] - (stop - n), n)
-        return np.array(self.flat, np.int64)[take], n
+        ends = np.array(self.ends, np.int32)
+        n = np.diff(ends)[at]
+        take = _ranges(ends[:-1][at], n)
+        return np.array(self.flat, np.int32)[take], n
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ..., n of them, for each entry."""
+    stop = np.cumsum(n)
+    out = np.repeat((start - (stop - n)).astype(np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -148,7 +157,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
     import zstandard
 
     planes = [np.ascontiguousarray(np.asarray(a, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes() for a in arrays]
-    return zstandard.compress(np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(planes), 3)
+    return zstandard.compress(b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *planes]), 3)
 
 
 def _spread(raw: bytes, count: int) -> list[np.ndarray]:
@@ -158,9 +167,14 @@ def _spread(raw: bytes, count: int) -> list[np.ndarray]:
     sizes = np.frombuffer(data, "<i8", count)
     out, at = [], 8 * count
     for n in sizes.tolist():
-        out.append(np.frombuffer(data, np.uint8, 3 * n, at).reshape(3, n).astype(np.uint32))
+        plane = [np.frombuffer(data, np.uint8, n, at + k * n) for k in range(3)]
+        value = plane[2].astype(np.int32)
+        for k in (1, 0):
+            value <<= 8
+            value |= plane[k]
+        out.append(value)
         at += 3 * n
-    return [(p[0] | p[1] << 8 | p[2] << 16).astype(np.int64) for p in out]
+    return out
 
 
 def _split(splitter: Splitter, part: pa.RecordBatch, text: str, block: int, buckets: int) -> Iterator[tuple]:
@@ -168,15 +182,16 @@ def _split(splitter: Splitter, part: pa.RecordBatch, text: str, block: int, buck
     import zstandard
 
     own = _Block(splitter)
-    pieces = [own.pieces(t or "") for t in part.column(text).to_pylist()]
-    word, each = own.expand(np.concatenate(pieces))
+    pieces = [own.pieces(t.as_py() or "").astype(np.int32) for t in part.column(text)]
     ends = np.cumsum(np.array([len(p) for p in pieces]))
+    word, each = own.expand(np.concatenate(pieces))
+    del pieces
     before = np.concatenate([[0], np.cumsum(each)])
     lengths = np.diff(before[np.concatenate([[0], ends])])
     # frequent words get small numbers, which take few bits
     order = np.argsort(-np.bincount(word, minlength=len(own.numbers)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     if len(order) >= 1 << 24:
         raise ValueError("a text with more than 2^24 different words")
     kept = pa.Table.from_batches([part]).drop_columns([text])
@@ -192,7 +207,17 @@ def _split(splitter: Splitter, part: pa.RecordBatch, text: str, block: int, buck
     cuts = np.flatnonzero(np.diff(of[by])) + 1
     for at in np.split(by, cuts):
         raw = [w.encode() for w in names[at].tolist()]
-        yield block, int(of[at[0]]), None, _squeeze(at, np.array([min(len(r), (1 << 24) - 1) for r in raw])), zstandard.compress(b"".join(raw), 3)
+        yield block, int(of[at[0]]), None, _squeeze(np.diff(at, prepend=0), np.array([min(len(r), (1 << 24) - 1) for r in raw])), zstandard.compress(b"".join(raw), 3)
+
+
+def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """The same rows, read back from a table in the shared folder that is bucketed by a column. Only while it is read is it known to the catalog, which keeps how it is bucketed."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    name = f"trackspark_{path[-32:]}"
+    df.write.bucketBy(buckets, by).option("compression", "zstd").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table is external
+    return table
 
 
 _SPLIT = StructType([StructField("_block", LongType()), StructField("_bucket", IntegerType()), StructField("_rows", BinaryType()), StructField("_numbers", BinaryType()), StructField("_words", BinaryType())])
@@ -202,7 +227,7 @@ _IDS = "_block long, _numbers binary, _ids binary"
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", packed: bool = False, block: int = BLOCK) -> DataFrame:
     """df with `out`, the ids of `text`, in place of `text`: array<int>, or packed as little-endian unsigned 32-bit integers in a binary.
 
-    Two exchanges: words by bucket, ids and documents (as numbers) by block; the split is made once and written to the shared folder.
+    The split is made once and written to the shared folder, bucketed by block. Two exchanges follow, words to their buckets and ids back to their blocks; documents stay where they are.
     """
     spark = df.sparkSession
     used = free_name(df, "_text")
@@ -223,7 +248,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", packe
                     yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=_SPLIT_ARROW)
                 start, at = stop, at + 1
 
-    rows = written(named.mapInArrow(split, _SPLIT))
+    rows = _bucketed(named.mapInArrow(split, _SPLIT), "_block", buckets)
     asked = rows.where("_bucket >= 0").select("_block", "_bucket", "_numbers", "_words").groupBy("_bucket").applyInArrow(lambda t: _encode_words(path, t), _IDS)
     kinds = StructType([f for f in named.schema.fields if f.name != used] + [StructField(out, BinaryType() if packed else ArrayType(IntegerType()))])
     docs = rows.where("_bucket < 0").select("_block", "_rows", "_numbers", F.col("_words").alias("_lengths"))
@@ -240,7 +265,7 @@ def _encode_words(path: str, asked: pa.Table) -> pa.Table:
     known: dict[bytes, int] = {}
     rows = []
     for block, numbers, words in zip(asked["_block"].to_pylist(), asked["_numbers"], asked["_words"], strict=True):
-        rank, length = _spread(numbers.as_py(), 2)
+        rank, length = _spread(numbers.as_py(), 2)  # numbers as steps from one to the next
         raw = zstandard.decompress(words.as_py())
         if len(length) and length.max() == (1 << 24) - 1:  # words so long that their length didn't fit
             length[length.argmax()] += len(raw) - length.sum()
@@ -259,20 +284,26 @@ def _fill(docs: pa.Table, ids: pa.Table, names: list[str], packed: bool) -> pa.T
     """A block: the ids of its words are put at every position of its documents."""
     got = [(*_spread(n.as_py(), 2), _spread(i.as_py(), 1)[0]) for n, i in zip(ids["_numbers"], ids["_ids"], strict=True)]
     words = sum(len(g[0]) for g in got)
-    count, start = np.zeros(words, np.int64), np.zeros(words, np.int64)
+    count, start = np.zeros(words, np.int32), np.zeros(words, np.int32)
     flat = np.concatenate([g[2] for g in got]).astype(np.uint32) if got else np.empty(0, np.uint32)
     before = 0
-    for rank, n, own in got:
+    for step, n, own in got:
+        rank = np.cumsum(step)
         count[rank] = n
         start[rank] = before + np.cumsum(n) - n
         before += len(own)
+    del got
     parts = []
     for rows, numbers, lengths in zip(docs["_rows"], docs["_numbers"], docs["_lengths"], strict=True):
         kept = pa.ipc.open_stream(rows.as_py()).read_all()
         (at,) = _spread(numbers.as_py(), 1)
         n = count[at]
-        stop = np.cumsum(n)
-        filled = flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start[at] - (stop - n), n)]
+        stop = np.cumsum(n, dtype=np.int64)
+        filled = np.empty(int(stop[-1]) if len(stop) else 0, np.uint32)
+        for k in range(0, len(at), TOGETHER):
+            part = slice(k, k + TOGETHER)
+            end = int(stop[min(k + TOGETHER, len(at)) - 1])
+            filled[int(stop[k] - n[k]) : end] = flat[_ranges(start[at[part]], n[part])]
         ends = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(np.frombuffer(lengths.as_py(), "<i8"))])]
         column = _binary(filled, ends) if packed else pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(filled.astype(np.int32)))
         parts.append(pa.table({c: column if c == names[-1] else kept[c] for c in names}))
@@ -281,7 +312,7 @@ def _fill(docs: pa.Table, ids: pa.Table, names: list[str], packed: bool) -> pa.T
 
 def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Ids as little-endian unsigned 32-bit integers, one value for each stretch between ends."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype("<i8").tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())]).cast(pa.binary())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype("<i8").tobytes()), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]).cast(pa.binary())
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
