@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from .common import free_name, map_batches, shared_dir
 
 #: Characters of a block, characters for each bucket of the table, and the largest vocabulary whose pieces are broadcast.
-BLOCK, PER_BUCKET, MOST_PIECES = 4_000_000, 8_000_000, 1 << 21
+BLOCK, PER_BUCKET, MOST_PIECES = 8_000_000, 8_000_000, 1 << 21
 #: Words whose ids are put in at once.
 TOGETHER = 200_000
 #: The splitting pattern of byte-level BPE, a fixed value.
