@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trackspark.operators import annotate, features, kinetics, msd, prepare, spatial, training
 from trackspark.plans.fixtures import locs
-from trackspark.streaming import online
 
 SCHEMA = "cell_id int, mol_id long, frame int, x_px double, y_px double, class_label int"
 
@@ -89,22 +88,6 @@ def test_linking_by_hand(spark):
     assert got == {(1, 0.0): 1, (1, 10.0): 2, (2, 1.0): 1, (2, 12.0): 2, (4, 2.0): 1, (9, 2.0): 3}
 
 
-def test_stream_linking_is_batch_linking(spark, sf, tmp_path):
-    from trackspark.plans.registry import QUERIES
-
-    batch = {(r.cell_id, r.frame, r.x_px, r.y_px): r.mol_id for r in QUERIES["G-16"](spark, sf).collect()}
-    stream = {(r.cell_id, r.frame, r.x_px, r.y_px): r.mol_id for r in QUERIES["R-01"](spark, sf).collect()}
-    assert stream == batch
-
-
-def test_arrivals_of_a_stream(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    q = online.arrival_counts(stream, "user_id", "ts", "365 days", "1 hour").writeStream.format("memory").queryName("arrivals").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("arrivals").count() == 0  # the watermark still holds all windows open
-
-
 def test_inside_a_square(spark):
     poly = F.array(*[spatial.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))])
     d = spark.createDataFrame([(1.0, 1.0), (5.0, 1.0), (2.0, 3.9)], "x double, y double")

@@ -6,15 +6,20 @@ cell as arrays; points meet it by an equality or box join, and every test is an
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from ..functions.components import components
+from ..functions.ranks import numbered
+from ..functions.storage import written
 from ..params import DEFAULT, Params
 
 
@@ -280,18 +285,30 @@ def model_cell(df: DataFrame, length: float, width: float) -> DataFrame:
 
 
 class Linker:
-    """Greedy linking of the points of one cell, frame after frame: the state between frames is the open tracks."""
+    """Greedy linking of points, frame after frame: the state between frames is the open tracks (id, x, y, last frame), in order of id.
 
-    def __init__(self, mem: int, dist: float, open_: Sequence[tuple[int, float, float, int]] = (), next_id: int = 1):
-        self.mem, self.dist, self.open, self.next = mem, dist, list(open_), next_id
+    A point meets the open tracks of its own and the neighbouring tiles of a grid whose tiles are as wide as the reach. The nearest pair links first; ties go to
+    the point that comes first, then to the older track.
+    """
+
+    def __init__(self, mem: int, dist: float, open_: Sequence[tuple[int, float, float, int]] = ()):
+        self.mem, self.dist, self.open = mem, dist, list(open_)
+
+    def _tile(self, x: float, y: float) -> tuple[int, int]:
+        return (math.floor(x / self.dist), math.floor(y / self.dist)) if self.dist > 0 else (x, y)
 
-    def frame(self, frame: int, points: list[tuple[float, float]]) -> list[int]:
-        """Track ids of the points of a frame, which must come after those seen before."""
+    def frame(self, frame: int, points: Sequence[tuple[float, float]], fresh: Callable[[int], int]) -> list[int]:
+        """Track ids of the points of a frame, which must come after those seen before; fresh(k) is the id of a track that starts with point k."""
         self.open = [t for t in self.open if frame - t[3] <= self.mem + 1]
+        near: dict[tuple[int, int], list[int]] = {}
+        for j, (_, u, v, _) in enumerate(self.open):
+            near.setdefault(self._tile(u, v), []).append(j)
         pairs = []
-        for k, (x, y) in enumerate(points):
-            for j, (_, u, v, _) in enumerate(self.open):
-                d = ((x - u) ** 2 + (y - v) ** 2) ** 0.5
+        for k, (x, y) in enumerate(points) if near else ():
+            tx, ty = self._tile(x, y)
+            around = [(tx, ty)] if not self.dist > 0 else [(tx + a, ty + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+            for j in chain.from_iterable(near[t] for t in around if t in near):
+                d = ((x - self.open[j][1]) ** 2 + (y - self.open[j][2]) ** 2) ** 0.5
                 if d <= self.dist:
                     pairs.append((d, k, j))
         pairs.sort()
@@ -304,21 +321,49 @@ class Linker:
                 self.open[j] = (self.open[j][0], *points[k], frame)
         for k, p in enumerate(points):
             if k not in ids:
-                ids[k] = self.next
-                self.open.append((self.next, *p, frame))
-                self.next += 1
+                ids[k] = fresh(k)
+                self.open.append((ids[k], *p, frame))
         return [ids[k] for k in range(len(points))]
 
 
+def with_piece(locs: DataFrame, mem: int, dist: float, keys: Sequence[str]) -> DataFrame:
+    """locs with _piece: rows of different pieces can't be in one track, whatever lies between them.
+
+    Rows lie in boxes as wide as the reach in x and y and mem + 1 frames long; two that can link are in the same box or in neighbouring ones. Pieces are the
+    connected groups of occupied boxes. Rows without a place are pieces of their own frame.
+    """
+    width = dist if dist > 0 else 1e-9
+    box = locs.withColumn("_box", F.struct(*keys, F.floor(F.col("frame") / (mem + 1)).alias("f"), F.floor(F.col("x_px") / width).alias("x"), F.floor(F.col("y_px") / width).alias("y")))
+    boxes = written(box.select("_box").where("_box.f IS NOT NULL AND _box.x IS NOT NULL AND _box.y IS NOT NULL").distinct())
+    # half of the 26 neighbours: each pair of boxes meets once
+    steps = [(f, x, y) for f in (0, 1) for x in (-1, 0, 1) for y in (-1, 0, 1) if (f, x, y) > (0, 0, 0)]
+    b = F.col("_box")
+    beside = lambda s: F.struct(*[b[k].alias(k) for k in keys], (b["f"] + s[0]).alias("f"), (b["x"] + s[1]).alias("x"), (b["y"] + s[2]).alias("y"))
+    asked = boxes.select(b.alias("a"), F.explode(F.array(*[beside(s) for s in steps])).alias("b"))
+    edges = asked.join(boxes.select(b.alias("b")), "b")
+    labels = components(edges)
+    same = F.col("_box") == F.col("node")
+    return box.join(labels, same, "left").withColumn("_piece", F.coalesce("label", "_box")).drop("_box", "node", "label")
+
+
 def link_tracks(locs: DataFrame, mem: int = DEFAULT.mem_param, dist: float = DEFAULT.link_dist, keys: Sequence[str] = ("cell_id",)) -> DataFrame:
-    """locs (keys, frame, x_px, y_px, ...) with mol_id; sequential in time inside a cell, parallel over cells. Points of a frame are taken in order of (x, y)."""
-    schema = StructType([*[f for f in locs.schema.fields if f.name != "mol_id"], StructField("mol_id", LongType())])
+    """locs (keys, frame, x_px, y_px, ...) with mol_id, from 1 in each cell in the order in which tracks start. Points of a frame are taken in order of (x, y).
+
+    Rows that can't influence each other are linked apart (with_piece), so one cell takes many tasks; inside a piece time is sequential. Tracks are
+    numbered over ranges of their first points.
+    """
+    schema = StructType([*[f for f in locs.schema.fields if f.name != "mol_id"], StructField("_piece", StringType()), StructField("_track", LongType())])
+    d = with_piece(locs.drop("mol_id"), mem, dist, keys).withColumn("_piece", F.to_json("_piece"))
 
     def link(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["frame", "x_px", "y_px"], kind="stable")
-        linker, ids = Linker(mem, dist), []
+        linker, ids, started = Linker(mem, dist), [], count(1)
         for frame, rows in t.groupby("frame", sort=True):
-            ids += linker.frame(int(frame), list(zip(rows["x_px"], rows["y_px"], strict=True)))
-        return t.assign(mol_id=ids)[schema.names]
-
-    return locs.drop("mol_id").groupBy(*keys).applyInPandas(link, schema)
+            ids += linker.frame(int(frame), list(zip(rows["x_px"], rows["y_px"], strict=True)), lambda _: next(started))
+        return t.assign(_track=ids)[schema.names]
+
+    linked = written(d.groupBy(*keys, "_piece").applyInPandas(link, schema))
+    track = [*keys, "_piece", "_track"]
+    first = linked.groupBy(*track).agg(F.min(F.struct("frame", "x_px", "y_px")).alias("_at")).select(*track, "_at.*")
+    named = numbered(first, list(keys), ["frame", "x_px", "y_px", "_piece", "_track"], "mol_id").select(*track, F.col("mol_id").cast("long").alias("mol_id"))
+    return linked.join(named, track).select(*[f.name for f in locs.schema.fields if f.name != "mol_id"], "mol_id")

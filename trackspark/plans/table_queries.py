@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.ranks import numbered
 from ..functions.storage import shared_dir
 from ..operators import features as E
 from ..operators import kinetics as T
@@ -324,28 +325,52 @@ _add("K-06", _saved)
 
 
 # Streams
+def _fed(s, parts, schema, make):
+    """The table that a stream writes: each part arrives while the stream is down, which then goes on where it was. Returns the table, and how many rows were late."""
+    src, out, log, late = shared_dir(s), shared_dir(s), shared_dir(s), 0
+    for part in parts:
+        part.write.mode("append").parquet(src)
+        stream = s.readStream.schema(schema).option("maxFilesPerTrigger", 1_000_000).parquet(src)
+        q = make(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        late += R.late_rows(q)
+    return s.read.parquet(out), late
+
+
+_POINTS = "cell_id int, frame int, x_px double, y_px double"
+
+
 def _linked_stream(s, d):
-    """The localisations in four parts by time, read as a stream and linked."""
-    src, out, log = shared_dir(s), shared_dir(s), shared_dir(s)
-    points = locs(s, d).select("cell_id", "frame", "x_px", "y_px").withColumn("part", F.floor(F.col("frame") / 150).cast("int"))
-    for k in range(4):  # each part arrives while the stream is down, which then goes on where it was
-        last = F.col("part") >= 3 if k == 3 else F.col("part") == k
-        points.where(last).drop("part").write.mode("append").parquet(src)
-        stream = s.readStream.schema("cell_id int, frame int, x_px double, y_px double").option("maxFilesPerTrigger", 1_000_000).parquet(src)
-        R.link_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(out)
+    """The localisations in four parts, out of order: rows of any frame come in two parts that follow each other. Then a far row of no cell, so that the watermark passes all."""
+    points = locs(s, d).select("cell_id", "frame", "x_px", "y_px").withColumn("part", F.least(F.floor(F.col("frame") / 150) + F.pmod(F.xxhash64("x_px", "y_px"), F.lit(2)), F.lit(4)).cast("int"))
+    parts = [points.where(F.col("part") == k).drop("part") for k in range(5)]
+    end = locs(s, d).agg(F.lit(-1).alias("cell_id"), (F.max("frame") + 10_000).cast("int").alias("frame"), F.lit(0.0).alias("x_px"), F.lit(0.0).alias("y_px"))
+    out, late = _fed(s, [*parts, end], _POINTS, lambda x: R.link_stream(x, delay=300))
+    if late:
+        raise ValueError(f"{late} rows came too late")
+    # ids grow in the order of starts: numbered from 1 they are those of link_tracks()
+    tracks = numbered(out.select("cell_id", F.col("mol_id").alias("_id")).distinct(), ["cell_id"], ["_id"], "mol_id").select("cell_id", "_id", F.col("mol_id").cast("long").alias("mol_id"))
+    return out.withColumnRenamed("mol_id", "_id").join(tracks, ["cell_id", "_id"]).select("cell_id", "frame", "x_px", "y_px", "mol_id")
 
 
 _add("R-01", _linked_stream)
 
 
 def _arrival_stream(s, d):
-    out, log = shared_dir(s), shared_dir(s)
-    schema = s.read.parquet(f"{d}/events.parquet").schema
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    sink = R.first_seen(stream, "user_id", "ts").writeStream.outputMode("complete").option("checkpointLocation", log)
-    sink.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(out).groupBy(F.date_format(F.window("first", "1 hour")["start"], "yyyy-MM-dd HH:mm:ss").alias("start")).agg(F.count("*").alias("n"))
+    """The events in three parts that overlap in time, through a stream of arrivals into a stream of counts. Two far events of no user close all sessions and windows."""
+    events = s.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    w = Window.partitionBy("user_id").orderBy("ts")
+    silent = events.withColumn("gap", F.col("ts").cast("long") - F.lag("ts").over(w).cast("long")).groupBy("user_id").agg(F.max("gap").alias("g"), (F.max("ts").cast("long") - F.min("ts").cast("long")).alias("l"))
+    gap, long, first, last = (int(x or 0) for x in silent.agg(F.max("g"), F.max("l")).join(events.agg(F.min("ts").cast("long"), F.max("ts").cast("long")), F.lit(True)).first())
+    third = (last - first) // 3 + 1
+    part = F.least(F.floor((F.col("ts").cast("long") - first) / third) + F.pmod(F.xxhash64("ts", "user_id"), F.lit(2)), F.lit(2))
+    far = lambda k: s.createDataFrame([(-k, last + k * 10 * (third + gap + long + 7200))], "user_id long, t long").select("user_id", F.timestamp_seconds("t").alias("ts"))
+    parts = [events.withColumn("part", part).where(F.col("part") == k).drop("part") for k in range(3)]
+    came, late = _fed(s, [*parts, far(1), far(2)], "user_id long, ts timestamp", lambda x: R.arrivals(x, "user_id", "ts", f"{gap + 1} seconds", f"{2 * third} seconds"))
+    counts, later = _fed(s, [came], "user_id long, arrived timestamp", lambda x: R.arrival_counts(x, "1 hour", f"{long + gap + 2 * third} seconds"))
+    if late or later:
+        raise ValueError(f"{late + later} rows came too late")
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 _add("R-02", _arrival_stream, "SELECT strftime(date_trunc('hour', f), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT min(ts) AS f FROM events GROUP BY user_id) GROUP BY 1")

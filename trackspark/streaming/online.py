@@ -1,4 +1,4 @@
-"""Streaming forms of linking and arrivals (R)."""
+"""Streaming forms of linking and arrivals (R), by event time."""
 
 from __future__ import annotations
 
@@ -7,42 +7,68 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.spatial import Linker
 from ..params import DEFAULT
 
+#: The second of event time that frame 0 stands for; a frame is a second. Watermarks start at second 0, so frames may be negative.
+ORIGIN = 1_000_000_000
+#: Track ids of a stream: the first frame, then the number of the point in it.
+SHIFT = 32
 
-def link_stream(points: DataFrame, mem: int = DEFAULT.mem_param, dist: float = DEFAULT.link_dist) -> DataFrame:
+
+def link_stream(points: DataFrame, mem: int = DEFAULT.mem_param, dist: float = DEFAULT.link_dist, delay: int = 10) -> DataFrame:
     """points (cell_id int, frame int, x_px, y_px) of a stream with mol_id, in append mode.
 
-    The state of a cell is its open tracks, the next id and the last frame; rows of frames that are not after it are late and dropped. On
-    input in the order of frames the result is that of link_tracks().
+    Rows may come in any order up to `delay` frames behind the newest frame: a cell's rows wait in its state until the watermark has passed their frame, and are
+    then linked as link_tracks() does. A timer on event time wakes a cell for its next waiting frame, or ends its state once mem + 1 frames without
+    points are past, so silent cells cost nothing. A track's id is made of its first frame and the number of its first point there, so it needs no state and grows
+    in the order of starts. Later rows than that are dropped by the watermark and counted: late_rows().
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, next_id, ids, xs, ys, frames = state.get if state.exists else (-1, 1, [], [], [], [])
-        linker = Linker(mem, dist, list(zip(ids, xs, ys, frames, strict=True)), next_id)
-        rows = pd.concat(list(parts))
-        rows = rows[rows["frame"] > last].sort_values(["frame", "x_px", "y_px"], kind="stable")
-        found: list[int] = []
-        for frame, g in rows.groupby("frame", sort=True):
-            found += linker.frame(int(frame), list(zip(g["x_px"], g["y_px"], strict=True)))
-            last = int(frame)
-        o = linker.open
-        state.update((last, linker.next, [int(t[0]) for t in o], [float(t[1]) for t in o], [float(t[2]) for t in o], [int(t[3]) for t in o]))
-        yield rows.assign(mol_id=found)[["cell_id", "frame", "x_px", "y_px", "mol_id"]]
+        ids, xs, ys, last, frames, wx, wy = state.get if state.exists else ([],) * 7
+        rows = pd.DataFrame({"frame": list(frames), "x_px": list(wx), "y_px": list(wy)})
+        if not state.hasTimedOut:
+            rows = pd.concat([rows, *[p[["frame", "x_px", "y_px"]] for p in parts]], ignore_index=True)
+        until = state.getCurrentWatermarkMs() // 1000 - ORIGIN  # frames up to this one are complete
+        ready = rows[rows["frame"] <= until].sort_values(["frame", "x_px", "y_px"], kind="stable")
+        waiting = rows[rows["frame"] > until]
+        linker, found = Linker(mem, dist, list(zip(ids, xs, ys, last, strict=True))), []
+        for frame, g in ready.groupby("frame", sort=True):
+            found += linker.frame(int(frame), list(zip(g["x_px"], g["y_px"], strict=True)), lambda k, f=int(frame): (f << SHIFT) + k)
+        open_ = [t for t in linker.open if until - t[3] < mem + 1]
+        if not len(waiting) and not open_:
+            if state.exists:
+                state.remove()
+        else:
+            wake = int(waiting["frame"].min()) if len(waiting) else max(t[3] for t in open_) + mem + 1
+            state.update(([int(t[0]) for t in open_], [float(t[1]) for t in open_], [float(t[2]) for t in open_], [int(t[3]) for t in open_], [int(f) for f in waiting["frame"]], [float(x) for x in waiting["x_px"]], [float(y) for y in waiting["y_px"]]))
+            state.setTimeoutTimestamp((wake + ORIGIN) * 1000)
+        yield ready.assign(cell_id=key[0], mol_id=found)[["cell_id", "frame", "x_px", "y_px", "mol_id"]].astype({"cell_id": "int32", "frame": "int32", "mol_id": "int64"})
 
+    timed = points.withColumn("at", F.timestamp_seconds(F.col("frame") + ORIGIN)).withWatermark("at", f"{delay} seconds")
     out = "cell_id int, frame int, x_px double, y_px double, mol_id long"
-    kept = "last int, next long, ids array<long>, xs array<double>, ys array<double>, frames array<int>"
-    return points.groupBy("cell_id").applyInPandasWithState(step, out, kept, "append", "NoTimeout")
+    kept = "ids array<long>, xs array<double>, ys array<double>, last array<int>, frames array<int>, wx array<double>, wy array<double>"
+    return timed.groupBy("cell_id").applyInPandasWithState(step, out, kept, "append", "EventTimeTimeout")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark of a query and weren't used, over the batches that it remembers."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
-def arrival_counts(rows: DataFrame, key: str, at: str, delay: str, width: str) -> DataFrame:
-    """window, n: arrivals of a stream in tumbling windows, one for each key; the delay must exceed the longest track."""
-    first = rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
-    return first.groupBy(F.window(at, width)).agg(F.count("*").alias("n"))
+def arrivals(rows: DataFrame, key: str, at: str, gap: str, delay: str) -> DataFrame:
+    """key, arrived: the first time of each key, in append mode; a key that is silent for `gap` arrives again.
+
+    Rows may be `delay` late, in any order: a key's rows are one session window, which starts at its first row and goes out once the watermark is past its end.
+    """
+    timed = rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
+    return timed.groupBy(F.session_window(at, gap).alias("_s"), F.col(key)).agg(F.count("*").alias("_n")).select(key, F.col("_s.start").alias("arrived"))
 
 
-def first_seen(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """key and first time so far, for complete mode."""
-    return rows.groupBy(key).agg(F.min(at).alias("first"))
+def arrival_counts(arrived: DataFrame, width: str, delay: str) -> DataFrame:
+    """start, n: a stream of arrivals() counted in tumbling windows, in append mode; delay is the longest that an arrival waits for its session's end."""
+    timed = arrived.withWatermark("arrived", delay)
+    return timed.groupBy(F.window("arrived", width).alias("_w")).agg(F.count("*").alias("n")).select(F.col("_w.start").alias("start"), "n")
