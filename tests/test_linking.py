@@ -67,7 +67,7 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
         if before == label:
             break
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: x for n, x in label.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 

@@ -27,10 +27,10 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[s
     return own.join(base, same).select(*df.columns, *[c.alias(name) for name, c in out.items()])
 
 
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, kind: str = "int") -> DataFrame:
     """df with the number of each row in its key, from 1; rows must differ in `order`."""
     one = df.withColumn("_one", F.lit(1))
-    return running(one, by, order, {name: "_one"}).drop("_one").withColumn(name, F.col(name).cast("int"))
+    return running(one, by, order, {name: "_one"}).drop("_one").withColumn(name, F.col(name).cast(kind))
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:

@@ -120,16 +120,19 @@ def shifted_steps(df: DataFrame, before: int, ahead: int, p: Params = DEFAULT, k
 SMOOTHERS = ("movmean", "movmedian", "gaussian", "lowess", "loess", "rlowess", "rloess", "sgolay")
 
 
-def smoothed_steps(df: DataFrame, method: str = "movmean", half: int = 2, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Step sizes smoothed over 2*half+1 rows; the first row is 0 and takes no part.
+def smoothed_steps(df: DataFrame, method: str = "movmean", width: int = 5, p: Params = DEFAULT, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Step sizes smoothed over `width` rows; the first row is 0 and takes no part. An even width has one row more before than after.
 
     lowess and loess weight neighbours by the tricube of their distance and fit a line or a parabola; the forms with r repeat that
     with bisquare weights of the residuals; sgolay fits a parabola without weights.
     """
     if method not in SMOOTHERS:
         raise ValueError(f"{method} is none of {SMOOTHERS}")
+    if width < 1:
+        raise ValueError("a width of at least one row is needed")
+    before, after = width // 2, (width - 1) // 2
     s = _stepped(df, p, keys).withColumn("_rn", F.row_number().over(track(keys)))
-    rows = track(keys).rowsBetween(-half, half)
+    rows = track(keys).rowsBetween(-before, after)
     use = F.when(F.col("_rn") > 1, F.col("_step"))
     if method == "movmean":
         value = F.avg(use).over(rows)
@@ -139,10 +142,10 @@ def smoothed_steps(df: DataFrame, method: str = "movmean", half: int = 2, p: Par
         value = F.when(n > 0, (F.get("_near", F.floor((n - 1) / 2).cast("int")) + F.get("_near", F.floor(n / 2).cast("int"))) / 2)
     elif method == "gaussian":
         near = F.collect_list(F.when(F.col("_rn") > 1, F.struct("_rn", "_step"))).over(rows)
-        weight = lambda q: F.exp(-F.pow((q["_rn"] - F.col("_rn")) / F.lit((2 * half + 1) / 5), 2) / 2)
+        weight = lambda q: F.exp(-F.pow((q["_rn"] - F.col("_rn")) / F.lit(width / 5), 2) / 2)
         value = F.try_divide(total(F.transform(near, lambda q: weight(q) * q["_step"])), total(F.transform(near, weight)))
     elif method[0] == "r":
-        return _robust_fits(s, method, half, keys)
+        return _robust_fits(s, method, before, after, keys)
     else:
         near = F.collect_list(F.when(F.col("_rn") > 1, F.struct("_rn", "_step"))).over(rows)
         s = s.withColumn("_near", near).withColumn("_near", F.transform("_near", lambda q: F.struct((q["_rn"] - F.col("_rn")).cast("double").alias("d"), q["_step"].alias("y"))))
@@ -168,7 +171,7 @@ def smoothed_steps(df: DataFrame, method: str = "movmean", half: int = 2, p: Par
     return s.withColumn("smoothed_nm", F.when(F.col("_rn") == 1, 0.0).otherwise(value)).drop("_step", "_rn", "_near", "_value")
 
 
-def _robust_fits(s: DataFrame, method: str, half: int, keys: Sequence[str]) -> DataFrame:
+def _robust_fits(s: DataFrame, method: str, before: int, after: int, keys: Sequence[str]) -> DataFrame:
     """Five rounds of local fits over whole tracks, all rows of a track at once; the weights of a round depend on the track's median residual."""
     import numpy as np
     import pandas as pd
@@ -179,9 +182,9 @@ def _robust_fits(s: DataFrame, method: str, half: int, keys: Sequence[str]) -> D
     def smooth(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("frame")
         y = t["_step"].to_numpy()[1:]
-        at = np.arange(len(y))[:, None] + np.arange(-half, half + 1)
+        at = np.arange(len(y))[:, None] + np.arange(-before, after + 1)
         there = (at >= 0) & (at < len(y))
-        at, d = np.clip(at, 0, max(0, len(y) - 1)), np.arange(-half, half + 1.0)
+        at, d = np.clip(at, 0, max(0, len(y) - 1)), np.arange(-before, after + 1.0)
         reach = np.where(there, np.abs(d), 0).max(axis=1, keepdims=True) + 1
         local = np.where(there, (1 - np.minimum(1, np.abs(d) / reach) ** 3) ** 3, 0.0)
         out, robust = y.copy(), np.ones(len(y))

@@ -125,13 +125,21 @@ def gamma_mixture(d: DataFrame, components: int, shape: float, rounds: int = 40,
 
     Each round is one aggregate over the table with responsibilities as columns; only the parameters come to the driver. The starts are quantiles.
     """
-    import math
-
     spark = d.sparkSession
     x = d.where(F.col(value) > 0).select(F.col(value).cast("double").alias("x")).persist()
+    try:
+        found = _fit_gammas(x, components, shape, rounds)
+    finally:
+        x.unpersist()
+    return spark.createDataFrame(found, "component int, mean double, occupancy double, log_likelihood double")
+
+
+def _fit_gammas(x: DataFrame, components: int, shape: float, rounds: int) -> list[tuple]:
+    import math
+
     n = x.count()
     if not n:
-        return spark.createDataFrame([], "component int, mean double, occupancy double, log_likelihood double")
+        return []
     starts = quantiles(x, [], "x", [(k + 0.5) / components for k in range(components)]).collect()  # a row a component
     means = sorted(max(r["v"], 1e-12) for r in starts)
     means = [m * (1 + 1e-3 * k) for k, m in enumerate(means)]
@@ -150,5 +158,21 @@ def gamma_mixture(d: DataFrame, components: int, shape: float, rounds: int = 40,
             loglik = got["ll"]
             break
         loglik = got["ll"]
-    x.unpersist()
-    return spark.createDataFrame([(k, m, s, loglik) for k, (m, s) in enumerate(sorted(zip(means, shares, strict=True)))], "component int, mean double, occupancy double, log_likelihood double")
+    return [(k, m, s, loglik) for k, (m, s) in enumerate(sorted(zip(means, shares, strict=True)))]
+
+
+def mixture_residuals(d: DataFrame, mixture: DataFrame, shape: float, width: float, value: str = "d") -> DataFrame:
+    """bin, centre, n, fit, residual: a histogram of the values above 0 from 0 on, less what a mixture (component, mean, occupancy) expects at the middle of each bin.
+
+    Empty bins between the first and the last have rows too.
+    """
+    import math
+
+    bins = d.where(F.col(value) > 0).groupBy(F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"))
+    ends = bins.agg(F.max("bin").alias("last"), F.sum("n").alias("all")).where("last IS NOT NULL")  # one row
+    grid = ends.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("bin"), "all")
+    x, m = (F.col("bin") + 0.5) * width, F.col("mean")
+    density = F.exp(shape * F.log(shape / m) + (shape - 1) * F.log(x) - shape * x / m - math.lgamma(shape))
+    fit = grid.join(F.broadcast(mixture.select("mean", "occupancy")), F.lit(True)).groupBy("bin").agg(F.sum(F.col("occupancy") * density * F.col("all") * width).alias("fit"))  # a row a component
+    full = fit.join(bins, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return full.select("bin", ((F.col("bin") + 0.5) * width).alias("centre"), "n", "fit", (F.col("n") - F.col("fit")).alias("residual"))

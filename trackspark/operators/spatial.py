@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.components import components
 from ..functions.ranks import numbered
@@ -326,6 +326,10 @@ class Linker:
         return [ids[k] for k in range(len(points))]
 
 
+#: Boxes to a side of what one partition looks at first for connected ones.
+NEAR = 16
+
+
 def with_piece(locs: DataFrame, mem: int, dist: float, keys: Sequence[str]) -> DataFrame:
     """locs with _piece: rows of different pieces can't be in one track, whatever lies between them.
 
@@ -333,17 +337,17 @@ def with_piece(locs: DataFrame, mem: int, dist: float, keys: Sequence[str]) -> D
     connected groups of occupied boxes. Rows without a place are pieces of their own frame.
     """
     width = dist if dist > 0 else 1e-9
-    box = locs.withColumn("_box", F.struct(*keys, F.floor(F.col("frame") / (mem + 1)).alias("f"), F.floor(F.col("x_px") / width).alias("x"), F.floor(F.col("y_px") / width).alias("y")))
-    boxes = written(box.select("_box").where("_box.f IS NOT NULL AND _box.x IS NOT NULL AND _box.y IS NOT NULL").distinct())
+    at = {"_f": F.floor(F.col("frame") / (mem + 1)), "_x": F.floor(F.col("x_px") / width), "_y": F.floor(F.col("y_px") / width)}
+    name = lambda f, x, y: F.xxhash64(*keys, f, x, y)  # noqa: E731  two boxes of one name only join two pieces
+    box = locs.withColumns(at).withColumn("_box", name(F.col("_f"), F.col("_x"), F.col("_y")))
+    boxes = written(box.select(*keys, *at, "_box").where("_f IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL").distinct())
     # half of the 26 neighbours: each pair of boxes meets once
     steps = [(f, x, y) for f in (0, 1) for x in (-1, 0, 1) for y in (-1, 0, 1) if (f, x, y) > (0, 0, 0)]
-    b = F.col("_box")
-    beside = lambda s: F.struct(*[b[k].alias(k) for k in keys], (b["f"] + s[0]).alias("f"), (b["x"] + s[1]).alias("x"), (b["y"] + s[2]).alias("y"))
-    asked = boxes.select(b.alias("a"), F.explode(F.array(*[beside(s) for s in steps])).alias("b"))
-    edges = asked.join(boxes.select(b.alias("b")), "b")
-    labels = components(edges)
-    same = F.col("_box") == F.col("node")
-    return box.join(labels, same, "left").withColumn("_piece", F.coalesce("label", "_box")).drop("_box", "node", "label")
+    beside = F.array(*[name(F.col("_f") + f, F.col("_x") + x, F.col("_y") + y) for f, x, y in steps])
+    asked = boxes.select(*keys, "_x", "_y", F.col("_box").alias("a"), F.explode(beside).alias("b"))
+    edges = asked.join(boxes.select(F.col("_box").alias("b")), "b").repartition(*keys, F.floor(F.col("_x") / NEAR), F.floor(F.col("_y") / NEAR)).select("a", "b")
+    labels = components(edges).select(F.col("node").alias("_box"), "label")
+    return box.join(labels, "_box", "left").withColumn("_piece", F.coalesce("label", "_box")).drop("_box", "label", *at)
 
 
 def link_tracks(locs: DataFrame, mem: int = DEFAULT.mem_param, dist: float = DEFAULT.link_dist, keys: Sequence[str] = ("cell_id",)) -> DataFrame:
@@ -352,8 +356,8 @@ def link_tracks(locs: DataFrame, mem: int = DEFAULT.mem_param, dist: float = DEF
     Rows that can't influence each other are linked apart (with_piece), so one cell takes many tasks; inside a piece time is sequential. Tracks are
     numbered over ranges of their first points.
     """
-    schema = StructType([*[f for f in locs.schema.fields if f.name != "mol_id"], StructField("_piece", StringType()), StructField("_track", LongType())])
-    d = with_piece(locs.drop("mol_id"), mem, dist, keys).withColumn("_piece", F.to_json("_piece"))
+    schema = StructType([*[f for f in locs.schema.fields if f.name != "mol_id"], StructField("_piece", LongType()), StructField("_track", LongType())])
+    d = with_piece(locs.drop("mol_id"), mem, dist, keys)
 
     def link(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["frame", "x_px", "y_px"], kind="stable")
@@ -365,5 +369,5 @@ def link_tracks(locs: DataFrame, mem: int = DEFAULT.mem_param, dist: float = DEF
     linked = written(d.groupBy(*keys, "_piece").applyInPandas(link, schema))
     track = [*keys, "_piece", "_track"]
     first = linked.groupBy(*track).agg(F.min(F.struct("frame", "x_px", "y_px")).alias("_at")).select(*track, "_at.*")
-    named = numbered(first, list(keys), ["frame", "x_px", "y_px", "_piece", "_track"], "mol_id").select(*track, F.col("mol_id").cast("long").alias("mol_id"))
+    named = numbered(first, list(keys), ["frame", "x_px", "y_px", "_piece", "_track"], "mol_id", "long").select(*track, "mol_id")
     return linked.join(named, track).select(*[f.name for f in locs.schema.fields if f.name != "mol_id"], "mol_id")

@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, track
-from ..functions.ranks import quantiles, running
+from ..functions.columns import KEYS, keyed, track
+from ..functions.ranks import numbered, quantiles, running
+from ..functions.storage import written
 from .prepare import crop
 
 BINS = 25
@@ -183,25 +184,21 @@ def masked_accuracy(df: DataFrame, truth: str, predicted: str, mask: Column | No
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], score: Callable[[DataFrame], DataFrame], repeats: int = 3, seed: int = 0, order: Sequence[str] = (*KEYS, "frame")) -> DataFrame:
-    """feature, importance, std, rank: baseline less the score with one feature dealt anew over all rows, repeated; score(df) gives one row with `accuracy`.
-
-    A feature is dealt by two numberings of the rows, by key and by a seeded hash, that are joined; both are ranks within hash buckets, so no single task numbers all rows.
-    """
+    """feature, importance, std, rank: baseline less the score with one feature dealt anew over all rows, repeated; score(df) gives one row with `accuracy`."""
+    df = written(df)
     base = score(df).first()["accuracy"]
-    spark = df.sparkSession
-    lost: list[tuple[str, float]] = []
-    for f in features:
-        for k in range(repeats):
-            lost.append((f, base - score(shuffled(df, f, seed * 1000 + k, order)).first()["accuracy"]))
-    d = spark.createDataFrame(lost, "feature string, loss double")  # a row a feature and repeat
+    lost = [(f, base - score(shuffled(df, f, seed * 1000 + k, order)).first()["accuracy"]) for f in features for k in range(repeats)]
+    d = df.sparkSession.createDataFrame(lost, "feature string, loss double")  # a row a feature and repeat
     return ranked(d.groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_samp("loss").alias("std")), "importance")
 
 
-def shuffled(df: DataFrame, feature: str, seed: int, order: Sequence[str], buckets: int = 64) -> DataFrame:
-    """df with one feature dealt anew within hash buckets of rows; the buckets are drawn anew with each seed."""
-    d = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(buckets)))
-    by_key = Window.partitionBy("_b").orderBy(*order)
-    by_hash = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 1), *order), *order)
-    a = d.drop(feature).withColumn("_r", F.row_number().over(by_key))
-    b = d.select("_b", F.col(feature), F.row_number().over(by_hash).alias("_r"))
-    return a.join(b, ["_b", "_r"]).drop("_b", "_r").select(df.columns)
+def shuffled(df: DataFrame, feature: str, seed: int, order: Sequence[str]) -> DataFrame:
+    """df with one feature dealt anew over all rows, which must differ in `order` and have no nulls there.
+
+    Rows are numbered twice, by `order` and by a seeded digest of it; a row gets the value of the row that has its first number as the second one. Both numberings
+    go over ranges, so no task holds all rows, and any engine can repeat them.
+    """
+    slim = df.select(*order, feature).withColumn("_h", keyed(seed, *order))
+    mine = numbered(slim.select(*order), [], order, "_r", "long")
+    theirs = numbered(slim, [], ["_h", *order], "_r", "long").select("_r", feature)
+    return df.drop(feature).join(mine.join(theirs, "_r").drop("_r"), list(order)).select(df.columns)

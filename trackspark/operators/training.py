@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, track
+from ..functions.columns import KEYS, keyed, track
+from ..functions.storage import written
 from . import annotate, stats
 from .prepare import crop, fully_labelled
 
@@ -43,11 +46,6 @@ def training_table(df: DataFrame, features: Sequence[str], kind: str = "zscore",
     return scale(d, scaling(d, features, kind), features)
 
 
-def keyed(seed: int, *by: str | Column) -> Column:
-    """The MD5 digest, in hexadecimal, of the seed and the columns' decimal texts between bars: one that any engine can compute."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in by]).cast("binary"))
-
-
 def order_by_hash(df: DataFrame, seed: int, by: Sequence[str] = KEYS) -> DataFrame:
     """df with shuffle_key, a seeded hash of a row's molecule (or of more columns); sorting by it shuffles, alike on every run."""
     return df.withColumn("shuffle_key", keyed(seed, *by))
@@ -124,17 +122,95 @@ def weighted_cross_entropy(df: DataFrame, weights: DataFrame, p: str, mask: str,
     return d.agg((F.sum(-F.log(F.greatest(F.col(p), F.lit(1e-10))) * w) / F.sum(w)).alias("loss"))
 
 
+def _filled(features: Sequence[str]) -> list:
+    """Stages that put the features into _x; a missing one (null or NaN) counts as its mean over the training rows."""
+    own = [f"_i_{k}" for k in range(len(features))]
+    return [Imputer(inputCols=list(features), outputCols=own, strategy="mean"), VectorAssembler(inputCols=own, outputCol="_x", handleInvalid="keep")]
+
+
 def train_forest(df: DataFrame, features: Sequence[str], label: str = "class_label", trees: int = 20, depth: int = 5, seed: int = 0) -> PipelineModel:
+    """A forest on weighted classes. Features without a value in any training row are an error; else missing values are filled (_filled)."""
     weighted = df.join(F.broadcast(class_weights(df, label)), F.col(label) == F.col("class")).withColumn("_label", F.col(label) - 1.0)
     forest = RandomForestClassifier(featuresCol="_x", labelCol="_label", weightCol="weight", predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"), forest]).fit(weighted)
+    return Pipeline(stages=[*_filled(features), forest]).fit(weighted)
 
 
 def score_forest(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """df with pred and p, the probability of the prediction."""
-    from pyspark.ml.functions import vector_to_array
+    """df with pred and p, the probability of the prediction: every row, those with missing features as well."""
+    scored = model.transform(df).withColumns({"pred": (F.col("_p") + 1).cast("int"), "p": F.array_max(vector_to_array("_prob"))})
+    return scored.select(*df.columns, "pred", "p")
+
+
+def bag(tree: int, seed: int, order: Sequence[str]) -> Column:
+    """How often a row is in the bag of a tree, a Poisson number of mean 1 from a hash of tree and row: whoever asks later gets the same."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(tree), *order), 11) / F.lit(2.0**53)
+    n, share, most = F.lit(0), math.exp(-1), 0.0
+    for k in range(1, 12):
+        most += share
+        n = n + (u >= F.lit(most)).cast("int")
+        share /= k
+    return n
+
+
+def train_bagged(df: DataFrame, features: Sequence[str], label: str = "class_label", trees: int = 20, depth: int = 5, seed: int = 0, order: Sequence[str] = (*KEYS, "frame")) -> tuple[list[PipelineModel], DataFrame]:
+    """Trees of a forest, each trained on its own bag() of rows and trying the root of the number of features at a node; and the rows to which they were fitted."""
+    rows = written(df.join(F.broadcast(class_weights(df, label)), F.col(label) == F.col("class")).select(*order, *features, label, "weight"))
+    models = []
+    for t in range(trees):
+        own = rows.withColumns({"_b": bag(t, seed, order), "_label": F.col(label) - 1.0}).where("_b > 0").withColumn("_w", F.col("weight") * F.col("_b"))
+        tree = RandomForestClassifier(featuresCol="_x", labelCol="_label", weightCol="_w", predictionCol=f"_p{t}", probabilityCol="", rawPredictionCol="", numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed + t)
+        models.append(Pipeline(stages=[*_filled(features), tree]).fit(own))
+    return models, rows
+
+
+def out_of_bag_errors(models: Sequence[PipelineModel], rows: DataFrame, label: str, seed: int, order: Sequence[str]) -> list[float | None]:
+    """For each tree its share of wrong labels among the rows that its bag left out (None without such rows). One pass over the rows."""
+    d = rows
+    for t, m in enumerate(models):
+        d = m.transform(d).select(*d.columns, f"_p{t}")
+    wrong = [F.avg(F.when(bag(t, seed, order) == 0, (F.col(f"_p{t}") + 1 != F.col(label)).cast("double"))).alias(f"e{t}") for t in range(len(models))]
+    return list(d.agg(*wrong).first())
+
+
+def out_of_bag_importance(df: DataFrame, features: Sequence[str], label: str = "class_label", trees: int = 20, depth: int = 5, seed: int = 0, order: Sequence[str] = (*KEYS, "frame")) -> DataFrame:
+    """feature, importance, increase, rank: by how much the error of the trees on the rows that they didn't see grows with one feature dealt anew over all rows.
+
+    increase is the mean over trees, importance that mean over its deviation (null if all trees agree). Deterministic: bags and deals are hashes.
+    """
+    models, rows = train_bagged(df, features, label, trees, depth, seed, order)
+    base = out_of_bag_errors(models, rows, label, seed, order)
+    found = []
+    for k, f in enumerate(features):
+        dealt = out_of_bag_errors(models, stats.shuffled(rows, f, seed + k, order), label, seed, order)
+        found += [(f, b - a) for a, b in zip(base, dealt, strict=True) if a is not None]
+    grown = df.sparkSession.createDataFrame(found, "feature string, more double")  # a row a feature and tree
+    return stats.ranked(grown.groupBy("feature").agg(F.try_divide(F.avg("more"), F.stddev_samp("more")).alias("importance"), F.avg("more").alias("increase")), "increase")
 
-    return model.transform(df).withColumns({"pred": (F.col("_p") + 1).cast("int"), "p": F.array_max(vector_to_array("_prob"))}).drop("_x", "_p", "_prob", "_raw")
+
+def positions(df: DataFrame, features: Sequence[str], w: int, reach: int, label: str | None = None) -> DataFrame:
+    """A row for each window and position in it: cell, mol, start, offset, _x, and y with a label: the window laid out around the position.
+
+    _x holds the features of the positions up to `reach` before and after, zeros where these are outside the window.
+    """
+    zero = F.array(*[F.lit(0.0)] * len(features))
+    near = lambda p: F.flatten(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.coalesce(F.get("x", p + k), zero)))
+    d = windows(df, features, w, label).withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
+    return d.select(*KEYS, "start", "offset", array_to_vector(near(F.col("offset"))).alias("_x"), *([F.get("y", F.col("offset")).alias("y")] if label else []))
+
+
+def train_windows(df: DataFrame, features: Sequence[str], w: int, reach: int = 3, stride: int | None = None, label: str = "class_label", trees: int = 10, depth: int = 6, seed: int = 0) -> PipelineModel:
+    """A scorer of windows, a forest with one label a position, from every stride-th window of each track (w // 2 if not given). Features shouldn't be null."""
+    d = positions(df, features, w, reach, label).where((F.col("start") - 1) % (stride or max(1, w // 2)) == 0)
+    d = written(d.join(F.broadcast(class_weights(d, "y")), F.col("y") == F.col("class")).select("_x", (F.col("y") - 1.0).alias("_label"), "weight"))
+    forest = RandomForestClassifier(featuresCol="_x", labelCol="_label", weightCol="weight", predictionCol="_p", probabilityCol="_prob", rawPredictionCol="", numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[forest]).fit(d)
+
+
+def score_trained_windows(model: PipelineModel, df: DataFrame, features: Sequence[str], w: int, reach: int = 3) -> DataFrame:
+    """Consensus labels of rows (A-09) from a model of train_windows() over all windows of w rows. Probabilities are summed by row before they are shuffled by class."""
+    scored = model.transform(positions(df, features, w, reach)).select(*KEYS, (F.col("start") + F.col("offset")).cast("int").alias("row"), vector_to_array("_prob").alias("_v"))
+    sums = scored.select(*KEYS, "row", F.posexplode("_v").alias("_c", "_q")).groupBy(*KEYS, "row", (F.col("_c") + 1).alias("class")).agg(F.sum("_q").alias("p"), F.count("*").alias("windows"))
+    return annotate.consensus_of_sums(sums)
 
 
 Scorer = Callable[[pd.Series], list[list[list[float]]]]
@@ -155,7 +231,8 @@ def score_windows(df: DataFrame, features: Sequence[str], w: int, scorer: Scorer
             e = np.exp(s - s.max(axis=2, keepdims=True))
             prob = e / e.sum(axis=2, keepdims=True)
             # windows of a track follow each other, so their sums by row and class are taken here: a few rows a localisation leave the batch, not w
-            tracks, first, which = np.unique(b[list(KEYS)].astype(str).agg("|".join, axis=1), return_index=True, return_inverse=True)
+            which = b.groupby(list(KEYS), sort=False, dropna=False).ngroup().to_numpy()
+            first = np.unique(which, return_index=True)[1]
             row = b["start"].to_numpy()[:, None] + np.arange(w)
             keys, at = np.unique(np.stack([np.repeat(which, w), row.ravel()], axis=1), axis=0, return_inverse=True)
             sums, windows_ = np.zeros((len(keys), classes)), np.bincount(at.ravel(), minlength=len(keys))
@@ -169,16 +246,29 @@ def score_windows(df: DataFrame, features: Sequence[str], w: int, scorer: Scorer
 
 
 def score_tracks(df: DataFrame, features: Sequence[str], length: int | None, scorer: Callable[[pd.Series], list[list[int]]]) -> DataFrame:
-    """cell, mol, row, label from a scorer of whole tracks, padded to the longest, or cut or padded to `length`; padded rows are dropped."""
-    p = padded(df.withColumn("_y", F.lit(0)), features, length, "_y")
+    """cell, mol, row, label from a scorer of whole tracks, cut or padded to `length`; without one, tracks of like length are padded to the longest of them.
+
+    The tracks of an Arrow batch go to the scorer by classes of length, each twice as long as the one before, so padding at most doubles what they hold,
+    however long one of them is. Padded rows are dropped.
+    """
+    tracks = arrays(df.withColumn("_y", F.lit(0)), features, "_y").select(*KEYS, "x")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
         for b in batches:
-            yield pd.DataFrame({**{k: b[k] for k in KEYS}, "mask": b["mask"], "labels": list(scorer(b["x"]))})
+            n = b["x"].map(len).to_numpy()
+            like = np.array([int(k - 1).bit_length() for k in n])
+            for c in np.unique(like):
+                part, own = b[like == c], n[like == c]
+                most = length or int(own.max())
+                pad = lambda v: [*map(list, v[:most]), *[[0.0] * len(features)] * (most - len(v))]  # noqa: B023, E731
+                labels = scorer(part["x"].map(pad))
+                yield pd.DataFrame({**{k: part[k].to_numpy() for k in KEYS}, "labels": [list(v[: min(m, most)]) for v, m in zip(labels, own, strict=True)]})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    s = p.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", mask array<int>, labels array<int>")
-    return s.select(*KEYS, F.posexplode(F.arrays_zip("mask", "labels")).alias("i", "e")).where("e.mask = 1").select(*KEYS, (F.col("i") + 1).alias("row"), F.col("e")["labels"].alias("label"))
+    s = tracks.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", labels array<int>")
+    return s.select(*KEYS, F.posexplode("labels").alias("i", "label")).select(*KEYS, (F.col("i") + 1).alias("row"), "label")
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], folds: int = 3, label: str = "class_label", trees: int = 10, seed: int = 0) -> DataFrame:

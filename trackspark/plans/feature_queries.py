@@ -83,21 +83,23 @@ _A = "degrees(atan2(abs((40.0 + cell_id) * dy - (cell_id * 3.0) * dx), (40.0 + c
 for _k in ("E-13", "E-13b"):
     _lag(_k, _cell_angle, {"cell_angle": f"coalesce(CASE WHEN {_A} > 90 THEN 180 - {_A} ELSE {_A} END, 0)"})
 
-_rows = "CASE WHEN row = 1 THEN 0 ELSE {f}(CASE WHEN row > 1 THEN step_nm END) OVER (PARTITION BY cell_id, mol_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END"
-_lag("E-17", E.smoothed_steps, {"smoothed_nm": _rows.format(f="avg")})
-_lag("E-17-movmedian", lambda d: E.smoothed_steps(d, "movmedian"), {"smoothed_nm": _rows.format(f="median")})
+_rows = "CASE WHEN row = 1 THEN 0 ELSE {f}(CASE WHEN row > 1 THEN step_nm END) OVER (PARTITION BY cell_id, mol_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND {after} FOLLOWING) END"
+_lag("E-17", E.smoothed_steps, {"smoothed_nm": _rows.format(f="avg", after=2)})
+_lag("E-17-movmedian", lambda d: E.smoothed_steps(d, "movmedian"), {"smoothed_nm": _rows.format(f="median", after=2)})
+_lag("E-17-even", lambda d: E.smoothed_steps(d, width=4), {"smoothed_nm": _rows.format(f="avg", after=1)})
+_lag("E-17-movmedian-even", lambda d: E.smoothed_steps(d, "movmedian", 4), {"smoothed_nm": _rows.format(f="median", after=1)})
 _add("E-17-gaussian", lambda d: E.smoothed_steps(d, "gaussian"), ["smoothed_nm"], f"""WITH {LOCS}, {_MOVES}
 SELECT a.cell_id, a.mol_id, a.frame, round(CASE WHEN a.row = 1 THEN 0 ELSE sum(CASE WHEN b.row > 1 THEN exp(-power(b.row - a.row, 2) / 2) * b.step_nm END) / sum(CASE WHEN b.row > 1 THEN exp(-power(b.row - a.row, 2) / 2) END) END, 4) + 0.0 AS smoothed_nm
 FROM s a JOIN s b ON a.cell_id = b.cell_id AND a.mol_id = b.mol_id AND b.row BETWEEN a.row - 2 AND a.row + 2 GROUP BY a.cell_id, a.mol_id, a.frame, a.row""")
 
-def _local(method: str) -> str:
+def _local(method: str, after: int = 2) -> str:
     """Weighted fits over the steps of the rows around, at distance 0: sums of weights and distances, then a line or a parabola by determinants."""
     weight = "1.0" if method == "sgolay" else "power(1 - power(abs(d) / (reach + 1), 3), 3)"
     line = "(s2 * t0 - s1 * t1) / nullif(s0 * s2 - s1 * s1, 0)"
     parabola = "(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / nullif(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2), 0)"
     sums = ", ".join(f"sum(w * power(d, {k})) AS s{k}" for k in range(5)) + ", " + ", ".join(f"sum(w * power(d, {k}) * y) AS t{k}" for k in range(3))
     value = f"CASE WHEN k < 2 THEN t0 / s0 ELSE {line} END" if method == "lowess" else f"CASE WHEN k < 2 THEN t0 / s0 WHEN k < 3 THEN {line} ELSE {parabola} END"
-    return f"""WITH {LOCS}, {_MOVES}, nr AS (SELECT a.cell_id, a.mol_id, a.frame, a.row, CAST(b.row - a.row AS DOUBLE) AS d, b.step_nm AS y FROM s a LEFT JOIN s b ON a.cell_id = b.cell_id AND a.mol_id = b.mol_id AND b.row BETWEEN a.row - 2 AND a.row + 2 AND b.row > 1),
+    return f"""WITH {LOCS}, {_MOVES}, nr AS (SELECT a.cell_id, a.mol_id, a.frame, a.row, CAST(b.row - a.row AS DOUBLE) AS d, b.step_nm AS y FROM s a LEFT JOIN s b ON a.cell_id = b.cell_id AND a.mol_id = b.mol_id AND b.row BETWEEN a.row - 2 AND a.row + {after} AND b.row > 1),
 wt AS (SELECT *, {weight} AS w FROM (SELECT *, max(abs(d)) OVER (PARTITION BY cell_id, mol_id, frame) AS reach FROM nr)), sm AS (SELECT cell_id, mol_id, frame, row, count(d) AS k, {sums} FROM wt GROUP BY cell_id, mol_id, frame, row)
 SELECT cell_id, mol_id, frame, round(CASE WHEN row = 1 THEN 0 ELSE {value} END, 4) + 0.0 AS smoothed_nm FROM sm"""
 
@@ -106,6 +108,9 @@ for _m in ("lowess", "loess", "rlowess", "rloess", "sgolay"):
     QUERIES[f"E-17-{_m}"] = lambda spark, sf_dir, m=_m: E.smoothed_steps(locs(spark, sf_dir), m).select("cell_id", "mol_id", "frame", rounded(F.col("smoothed_nm")).alias("smoothed_nm"))
     if _m[0] != "r":  # the robust ones are held against plain fits in the tests
         ORACLE[f"E-17-{_m}"] = _local(_m)
+for _m in ("lowess", "loess"):
+    QUERIES[f"E-17-{_m}-even"] = lambda spark, sf_dir, m=_m: E.smoothed_steps(locs(spark, sf_dir), m, 4).select("cell_id", "mol_id", "frame", rounded(F.col("smoothed_nm")).alias("smoothed_nm"))
+    ORACLE[f"E-17-{_m}-even"] = _local(_m, 1)
 
 # Windows by self-join: the rows b (and steps that lie inside) of the frames around a.
 _JOIN = "FROM s a LEFT JOIN s b ON a.cell_id = b.cell_id AND a.mol_id = b.mol_id AND b.frame BETWEEN a.frame {lo} AND a.frame {hi}"

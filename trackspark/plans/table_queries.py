@@ -93,7 +93,7 @@ def file_videos(s, d):
 _FV = f"{LOCS}, fv AS (SELECT cell_id AS file_idx, max(frame) AS n_frames FROM locs GROUP BY cell_id), fo AS (SELECT *, coalesce(sum(n_frames) OVER (ORDER BY file_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS frame_offset FROM fv)"
 _add("S-07", lambda s, d: S.frame_offsets(file_videos(s, d)), f"WITH {_FV} SELECT file_idx, n_frames, CAST(frame_offset AS BIGINT) AS frame_offset FROM fo")
 _add("S-08", lambda s, d: S.find_frame(locs(s, d).select("mol_id", (F.col("frame") * 3).alias("frame")), file_videos(s, d)).select("mol_id", "frame", "file_idx", F.col("frame_in_file").cast("long").alias("frame_in_file")), f"WITH {_FV} SELECT mol_id, frame * 3 AS frame, file_idx, CAST(frame * 3 - frame_offset AS BIGINT) AS frame_in_file FROM locs JOIN fo ON frame * 3 > frame_offset AND frame * 3 <= frame_offset + n_frames")
-_add("S-09", lambda s, d: S.union_datasets({"a": locs(s, d), "b": locs(s, d).where("mol_id % 2 = 0")}).select("dataset_id", *KEY, "x_px"), f"WITH {LOCS} SELECT 'a' AS dataset_id, cell_id, mol_id, frame, x_px FROM locs UNION ALL SELECT 'b', cell_id, mol_id, frame, x_px FROM locs WHERE mol_id % 2 = 0")
+_add("S-09", lambda s, d: S.union_datasets({"a": locs(s, d), "b": locs(s, d).withColumn("mol_id", F.col("mol_id") + 5_000_000)}).select("dataset_id", *KEY, "x_px"), f"WITH {LOCS} SELECT 'a' AS dataset_id, cell_id, mol_id, frame, x_px FROM locs UNION ALL SELECT 'b', cell_id, mol_id + 5000000, frame, x_px FROM locs")
 # Sinks
 def _through_csv(table: DataFrame) -> DataFrame:
     """The table as CSV files, read back."""
@@ -227,7 +227,20 @@ def _rule(d: DataFrame) -> DataFrame:
     return X.masked_accuracy(d.withColumn("guess", p), "class_label", "guess")
 
 
-_add("X-11", lambda s, d: X.permutation_importance(_f(s, d), ["step_nm", "photons"], _rule, 2))
+def _dealt_sql(losses: list[tuple[str, int]], source: str = "ft", where: str = "true") -> str:
+    """Losses of accuracy of the rule by step size with a feature dealt anew for a seed: rows by key get the values of rows by digest."""
+    guess = "CASE WHEN {0} < 30 THEN 1 WHEN {0} < 90 THEN 2 ELSE 3 END"
+    right = "avg(CASE WHEN {0} = class_label THEN 1.0 ELSE 0.0 END) FILTER (WHERE {1})"
+    one = []
+    for f, k in losses:
+        v = "b.v" if f == "step_nm" else "a.step_nm"
+        one.append(f"""SELECT '{f}' AS feature, (SELECT {right.format(guess.format('step_nm'), where)} FROM {source}) - {right.format(guess.format(v), where)} AS loss
+FROM (SELECT *, row_number() OVER (ORDER BY cell_id, mol_id, frame) AS r FROM {source}) a JOIN (SELECT {f} AS v, row_number() OVER (ORDER BY md5('{k}|' || cell_id || '|' || mol_id || '|' || frame), cell_id, mol_id, frame) AS r FROM {source}) b USING (r)""")
+    return f"ls AS ({' UNION ALL '.join(one)}), im AS (SELECT feature, avg(loss) AS importance, stddev_samp(loss) AS std FROM ls GROUP BY feature) SELECT feature, {q('importance', 'importance')}, {q('std', 'std')}, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS rank FROM im"
+
+
+_IMP = lambda x: x.select("feature", *r("importance", "std"), "rank")
+_add("X-11", lambda s, d: _IMP(X.permutation_importance(_f(s, d), ["step_nm", "photons"], _rule, 2)), f"WITH {FT}, {_dealt_sql([('step_nm', 0), ('step_nm', 1), ('photons', 0), ('photons', 1)])}")
 
 
 def _consensus_rule(mask):
@@ -244,8 +257,8 @@ def _consensus_rule(mask):
     return score
 
 
-_add("X-11b", lambda s, d: X.permutation_importance(_f(s, d), ["step_nm"], _consensus_rule(None), 1))
-_add("X-11c", lambda s, d: X.permutation_importance(_f(s, d), ["step_nm"], _consensus_rule(True), 1))
+_add("X-11b", lambda s, d: _IMP(X.permutation_importance(_f(s, d), ["step_nm"], _consensus_rule(None), 1)), f"WITH {FT}, {_dealt_sql([('step_nm', 0)])}")
+_add("X-11c", lambda s, d: _IMP(X.permutation_importance(_f(s, d), ["step_nm"], _consensus_rule(True), 1)), f"WITH {FT}, {_prox(4, 'ft')}, {_dealt_sql([('step_nm', 0)], 'px', 'proximal')}")
 _add("X-11d", lambda s, d: X.proximal(locs(s, d), 3).groupBy("proximal").agg(F.count("*").alias("n")), f"WITH {LOCS}, {_prox(3)} SELECT proximal, count(*) AS n FROM px GROUP BY proximal")
 _add("X-12", lambda s, d: X.masked_accuracy(X.proximal(locs(s, d), 4), "class_label", "pred_label", F.col("proximal")).select(*r("accuracy"), "rows"), f"WITH {LOCS}, {_prox(4)} SELECT {q('avg(CASE WHEN class_label = pred_label THEN 1.0 ELSE 0.0 END)', 'accuracy')}, count(*) AS rows FROM px WHERE proximal")
 # Training
@@ -289,7 +302,8 @@ def _importance(s, d):
     return w.join(m, F.lit(True))
 
 
-_add("L-12", _importance)
+_add("L-12", lambda s, d: L.out_of_bag_importance(E.turn_angle(_f(s, d)), ["step_nm", "turn_angle", "photons"], trees=6, seed=1).select("feature", *r("importance", "increase"), "rank"))
+_add("L-12-gain", _importance)
 _add("L-13", lambda s, d: (lambda f: L.score_forest(f[2], f[1]).select(*KEY, "pred", "p"))(_forest(s, d)))
 
 
@@ -303,6 +317,22 @@ _W = DEFAULT.window
 _add("L-14", lambda s, d: L.score_windows(_f(s, d), ["step_nm"], _W, _window_scorer, 3).select("cell_id", "mol_id", "row", "label", *r("confidence"), "windows"), f"""WITH {FT}, rw AS (SELECT *, row_number() OVER {TK} AS row, count(*) OVER (PARTITION BY cell_id, mol_id) AS n FROM ft),
 pr AS (SELECT cell_id, mol_id, row, least(row, n - {_W - 1}) - greatest(1, row - {_W - 1}) + 1 AS windows, {', '.join(f'exp(-abs(step_nm - {m}) / 30) AS p{k}' for k, m in ((1, 20.0), (2, 60.0), (3, 130.0)))} FROM rw WHERE n >= {_W})
 SELECT cell_id, mol_id, CAST(row AS INT) AS row, CASE WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END AS label, {q('greatest(p1, p2, p3) / (p1 + p2 + p3)', 'confidence')}, CAST(windows AS BIGINT) AS windows FROM pr""")
+#: Rows before and after a position that its label is told by, of the trained scorer.
+_NEAR = 3
+
+
+def _trained_windows(s, d):
+    """L-08, training on seven tracks in ten, K-06 there and back, and the consensus of all windows of the others."""
+    data = L.split(_f(s, d), {"train": 0.7, "test": 0.3}, 5)
+    model = L.train_windows(data.where("split = 'train'"), ["step_nm"], _W, _NEAR, trees=5)
+    path = shared_dir(s)
+    K.save_model(model, path, {"features": ["step_nm"], "window": _W, "reach": _NEAR})
+    back, record = K.load_model(s, path)
+    test = data.where("split = 'test'")
+    return L.score_trained_windows(back, test, record["features"], record["window"], record["reach"]).select("cell_id", "mol_id", "row", "label", *r("confidence"), "windows")
+
+
+_add("L-14-trained", _trained_windows)
 for _k in ("L-15", "L-15b"):
     _add(_k, lambda s, d: L.score_tracks(_f(s, d), ["step_nm"], None, lambda x: [[1 if v[0] < 30 else 2 if v[0] < 90 else 3 for v in t] for t in x]), f"WITH {FT} SELECT cell_id, mol_id, CAST(row_number() OVER {TK} AS INT) AS row, CASE WHEN step_nm < 30 THEN 1 WHEN step_nm < 90 THEN 2 ELSE 3 END AS label FROM ft")
 _add("L-16", lambda s, d: L.cross_validate(E.turn_angle(_f(s, d)), ["step_nm", "turn_angle"], 2, trees=5))
@@ -349,7 +379,7 @@ def _linked_stream(s, d):
     if late:
         raise ValueError(f"{late} rows came too late")
     # ids grow in the order of starts: numbered from 1 they are those of link_tracks()
-    tracks = numbered(out.select("cell_id", F.col("mol_id").alias("_id")).distinct(), ["cell_id"], ["_id"], "mol_id").select("cell_id", "_id", F.col("mol_id").cast("long").alias("mol_id"))
+    tracks = numbered(out.select("cell_id", F.col("mol_id").alias("_id")).distinct(), ["cell_id"], ["_id"], "mol_id", "long")
     return out.withColumnRenamed("mol_id", "_id").join(tracks, ["cell_id", "_id"]).select("cell_id", "frame", "x_px", "y_px", "mol_id")
 
 

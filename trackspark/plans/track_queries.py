@@ -53,7 +53,7 @@ _add("F-06", lambda s, d: P.split_gaps(locs(s, d), 0).select(_XY), f"WITH {LOCS}
 _add("F-07", lambda s, d: P.foreign_points(paired(s, d), paired(s, d), 20).select(_XY), f"""WITH {PAIRS}, {_SPANS.format('pairs')},
 ok AS (SELECT s.cell_id, s.mol_id FROM spans s JOIN pairs p ON p.cell_id = s.cell_id AND p.frame BETWEEN s.lo AND s.hi GROUP BY s.cell_id, s.mol_id HAVING count(*) FILTER (WHERE p.mol_id <> s.mol_id) <= 20)
 SELECT p.cell_id, p.mol_id, p.frame, p.x_px FROM pairs p JOIN ok USING (cell_id, mol_id)""")
-_add("F-08", lambda s, d: P.cells_with_tracks(cells(s, d), locs(s, d).where("mol_id % 3 = 0")).select("cell_id"), f"WITH {LOCS} SELECT DISTINCT cell_id FROM locs WHERE mol_id % 3 = 0")
+_add("F-08", lambda s, d: P.cells_with_tracks(cells(s, d), locs(s, d).where("cell_id NOT IN (2, 5)")).select("cell_id"), f"WITH {LOCS} SELECT DISTINCT cell_id FROM locs WHERE cell_id NOT IN (2, 5)")
 _add("F-09", lambda s, d: P.crop(locs(s, d), *P.excluded_rows(["turn_angle", "step_p1"])).select(_XY), f"WITH {LOCS} SELECT cell_id, mol_id, frame, x_px FROM locs QUALIFY row_number() OVER (PARTITION BY cell_id, mol_id ORDER BY frame) > 2 AND row_number() OVER (PARTITION BY cell_id, mol_id ORDER BY frame DESC) > 1")
 
 
@@ -126,3 +126,9 @@ _add("M-12", lambda s, d: M.class_diffusion(locs(s, d), LAG).select("cell_id", "
 _add("M-13", lambda s, d: M.histogram(M.class_diffusion(locs(s, d), LAG), 0.05, by="class_label").select("class_label", "bin", rounded(F.col("low"), 6).alias("low"), "n"), f"""{_CD}, lo AS (SELECT min(d) AS lo FROM td)
 SELECT class_label, CAST(floor((d - lo) / 0.05) AS BIGINT) AS bin, round(min(lo + floor((d - lo) / 0.05) * 0.05), 6) + 0.0 AS low, count(*) AS n FROM td, lo GROUP BY class_label, floor((d - lo) / 0.05)""")
 _add("M-14", lambda s, d: M.gamma_mixture(M.class_diffusion(locs(s, d), LAG), 3, float(LAG)))
+#: A mixture to take away from the histogram: component, mean, occupancy.
+_MIX = [(0, 0.2, 0.5), (1, 1.0, 0.3), (2, 4.0, 0.2)]
+_add("M-14-residuals", lambda s, d: M.mixture_residuals(M.class_diffusion(locs(s, d), LAG), s.createDataFrame(_MIX, "component int, mean double, occupancy double"), float(LAG), 0.05).select("bin", rounded(F.col("centre"), 6).alias("centre"), "n", rounded(F.col("fit"), 6).alias("fit"), rounded(F.col("residual"), 6).alias("residual")), f"""{_CD}, hb AS (SELECT CAST(floor(d / 0.05) AS BIGINT) AS bin, count(*) AS n FROM td WHERE d > 0 GROUP BY 1),
+mx AS (SELECT * FROM (VALUES {', '.join(f'({m}, {o})' for _, m, o in _MIX)}) t(mean, occupancy)), gr AS (SELECT CAST(unnest(range(0, (SELECT max(bin) FROM hb) + 1)) AS BIGINT) AS bin),
+ft AS (SELECT bin, CAST((bin + 0.5) * 0.05 AS DOUBLE) AS centre, sum(occupancy * exp({LAG} * ln({LAG} / mean) + ({LAG} - 1) * ln((bin + 0.5) * 0.05) - {LAG} * (bin + 0.5) * 0.05 / mean - lgamma({LAG})) * (SELECT sum(n) FROM hb) * 0.05) AS fit FROM gr, mx GROUP BY bin)
+SELECT bin, round(centre, 6) + 0.0 AS centre, coalesce(n, 0) AS n, round(fit, 6) + 0.0 AS fit, round(coalesce(n, 0) - fit, 6) + 0.0 AS residual FROM ft LEFT JOIN hb USING (bin)""")

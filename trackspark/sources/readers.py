@@ -25,9 +25,16 @@ def frame_offsets(videos: DataFrame) -> DataFrame:
 
 
 def find_frame(frames: DataFrame, videos: DataFrame) -> DataFrame:
-    """frames (1-based) with file_idx and frame_in_file; videos are a row a file."""
-    v = frame_offsets(videos).select("file_idx", F.col("frame_offset").alias("_o"), "n_frames")
-    return frames.join(F.broadcast(v), (F.col("frame") > F.col("_o")) & (F.col("frame") <= F.col("_o") + F.col("n_frames"))).withColumn("frame_in_file", F.col("frame") - F.col("_o")).drop("_o", "n_frames")
+    """frames (1-based) with file_idx and frame_in_file; videos are a row a file. Frames outside all files have no row.
+
+    Frames meet files by equality of blocks of frames, as long as a file is on average: a file lies on the blocks that it touches, a frame on one.
+    """
+    size = videos.agg(F.ceil(F.avg(F.when(F.col("n_frames") > 0, F.col("n_frames"))))).first()[0] or 1
+    block = lambda c: F.floor((c - 1) / F.lit(size))
+    v = frame_offsets(videos).where("n_frames > 0").select("file_idx", F.col("frame_offset").alias("_o"), "n_frames")
+    v = v.withColumn("_b", F.explode(F.sequence(block(F.col("_o") + 1), block(F.col("_o") + F.col("n_frames")))))
+    found = frames.withColumn("_b", block(F.col("frame"))).join(v, "_b").where((F.col("frame") > F.col("_o")) & (F.col("frame") <= F.col("_o") + F.col("n_frames")))
+    return found.select(*frames.columns, "file_idx", (F.col("frame") - F.col("_o")).alias("frame_in_file"))
 
 
 def tracker_tables(spark: SparkSession, paths: Sequence[str], videos: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -46,7 +46,8 @@ def link_stream(points: DataFrame, mem: int = DEFAULT.mem_param, dist: float = D
             wake = int(waiting["frame"].min()) if len(waiting) else max(t[3] for t in open_) + mem + 1
             state.update(([int(t[0]) for t in open_], [float(t[1]) for t in open_], [float(t[2]) for t in open_], [int(t[3]) for t in open_], [int(f) for f in waiting["frame"]], [float(x) for x in waiting["x_px"]], [float(y) for y in waiting["y_px"]]))
             state.setTimeoutTimestamp((wake + ORIGIN) * 1000)
-        yield ready.assign(cell_id=key[0], mol_id=found)[["cell_id", "frame", "x_px", "y_px", "mol_id"]].astype({"cell_id": "int32", "frame": "int32", "mol_id": "int64"})
+        if len(ready):
+            yield ready.assign(cell_id=key[0], mol_id=found)[["cell_id", "frame", "x_px", "y_px", "mol_id"]].astype({"cell_id": "int32", "frame": "int32", "mol_id": "int64"})
 
     timed = points.withColumn("at", F.timestamp_seconds(F.col("frame") + ORIGIN)).withWatermark("at", f"{delay} seconds")
     out = "cell_id int, frame int, x_px double, y_px double, mol_id long"
