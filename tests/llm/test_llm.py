@@ -319,4 +319,4 @@ def test_range_followers_across_partitions(spark):
 
 
 def test_queries_have_names_of_their_operators():
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]

@@ -32,6 +32,14 @@ def words(page):
         ("<p>a <select><option>x</option><option>y</select> b", "a x y b"),
         ("<noscript><p>One</noscript>Two<object><p>Three</object>Four", "One Two Three Four"),
         ("<p>One<script>no</p><p>no", "One"),
+        ("<p>One</p><p data-a=it's>Two</p><p>It isn't three</p>", "One Two It isn't three"),
+        ('<p>One</p><p data-a = "it\'s > 2" class=\'a"b>c\'>Two</p>Three', "One Two Three"),
+        ('x <a href="u>one', "x one"),
+        ("x <a href='u>one</a> two", "x one two"),
+        ('<p "a>One</p><p a=>Two</p><p a= >Three</p><p a=b=c">Four</p>', "One Two Three Four"),
+        ("<p>One<!-- no <p>no", "One"),
+        ("<p>One <!-- a > b --> two <b", "One two"),
+        ("<p title=a/b>One</p>a < b > c", "One a < b > c"),
     ],
 )
 def test_html_text_reaches_the_field(page, text):
@@ -44,7 +52,7 @@ def test_threshold_is_over_all_labels(spark):
     labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(600)], "doc_id long, quality int")
     model = quality.fit(docs, labels, 20)  # a sample of as many bad as good ones; 10 % of all are bad
     known = {r[0] for r in labels.where(~quality.held_out()).collect()}
-    s = np.sort(model.strength(quality.features(pa.array([t for i, t in rows if i in known]))).round(9))
+    s = np.sort(model.strength(quality.all_features(pa.array([t for i, t in rows if i in known]))).round(9))
     first, last = quality.near_ranks(sum(i % 10 == 0 for i in known), len(known))
     gaps = s[first : last + 1] - s[first - 1 : last]
     k = first + int(np.argmax(gaps))
@@ -53,6 +61,15 @@ def test_threshold_is_over_all_labels(spark):
     assert first <= low <= last
 
 
+def test_pages_without_tag_ends_take_linear_time():
+    import time
+
+    began = time.time()
+    assert words("<p>One " + "<a " * 300_000).startswith("One")
+    assert words("<p>One " + "<a b='" * 100_000 + ">Two").endswith("Two")
+    assert time.time() - began < 10
+
+
 def test_threshold_of_equal_strengths(spark):
     docs = spark.createDataFrame([(i, "the same words") for i in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")

@@ -22,7 +22,8 @@ _P_ENDERS = frozenset("address article aside blockquote details div dl fieldset
 _DRAWN = frozenset("text title desc foreignobject".split())
 _SCOPE = frozenset("template object svg math select datalist article aside body div footer form header main nav ol section table td th ul dl".split())
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*+>)", re.S)
+# an attribute's value is quoted, or ends at white space or >; a quote without a partner is part of such a value, and quotes elsewhere mean nothing
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>|[!?/][^>]*+>)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -115,8 +116,9 @@ def leaf_blocks(page: str, weigh: Callable[[str], float] | None = None) -> list[
             linked += len(raw.strip())
 
     at, end = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends after it
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last)
         if m is None:
             rest = page[at:]
             cut = re.search(r"<[a-zA-Z/!]", rest)  # a tag that the page ends in
@@ -126,6 +128,8 @@ def leaf_blocks(page: str, weigh: Callable[[str], float] | None = None) -> list[
             say(page[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break  # a comment that the page ends in
             continue
         tag, closing = m[2].lower(), m[1] == "/"
         if closing:

@@ -191,8 +191,8 @@ m AS (
 s AS (SELECT DISTINCT conv_id, alone, role AS speaker FROM m WHERE role <> 'system'),
 r AS (
   SELECT s.conv_id, s.alone, s.speaker, m.rn, m.role = s.speaker AS own,
-         '<|im_start|>' || CASE WHEN m.role = s.speaker THEN 'assistant' WHEN m.role = 'system' THEN 'system' ELSE 'user name=' || m.role END || chr(10) AS head,
-         m.body || '<|im_end|>' AS body
+         '<|im_start|>' || CASE WHEN m.role = s.speaker THEN 'assistant' WHEN m.role = 'system' THEN 'system' ELSE 'user name=' || replace(replace(replace(replace(m.role, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), '<|', '<\\|') END || chr(10) AS head,
+         regexp_replace(m.body, '<(\\\\*)\\|', '<\\1\\\\|', 'g') || '<|im_end|>' AS body
   FROM s JOIN m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.alone IS NOT DISTINCT FROM s.alone),
 p AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, alone, speaker ORDER BY rn) - length(body) - 1 AS a,
