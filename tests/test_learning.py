@@ -157,3 +157,40 @@ def test_frames_are_found_without_nested_loops(spark):
 
 def test_cells_without_tracks_go(spark, sf):
     assert sorted(r.cell_id for r in QUERIES["F-08"](spark, sf).collect()) == [0, 1, 3, 4, 6]
+
+
+def test_bounded_msd_is_one_sorted_pass(spark, sf):
+    d = locs(spark, sf)
+    rows = [(1, 1, f, float(f * f % 7), 0.0) for f in (1, 2, 2, 5, 6)] + [(None, 1, 1, 0.0, 0.0), (None, 1, 2, 0.0, 0.0)]
+    twice = spark.createDataFrame(rows, "cell_id int, mol_id long, frame int, x_px double, y_px double")
+    for df in (d, twice):
+        full = {(r.cell_id, r.mol_id, r.lag): (round(r.sum_sq, 6), r.n) for r in msd.msd(df).where("lag <= 4").collect()}
+        assert full == {(r.cell_id, r.mol_id, r.lag): (round(r.sum_sq, 6), r.n) for r in msd.msd(df, 4).collect()}
+    plan = lambda x: x._jdf.queryExecution().sparkPlan().toString() + x._jdf.queryExecution().executedPlan().toString()
+    spread = spark.createDataFrame(rows, twice.schema)
+    assert plan(msd.msd(spread, 4)).count("Exchange") == 1 and "Join" not in plan(msd.msd(spread, 4))
+    assert plan(msd.track_diffusion(spread, 4)).count("Join") <= 2
+
+
+def test_points_meet_outlines_by_broadcast_and_by_join(spark, sf):
+    from trackspark.operators import spatial
+    from trackspark.plans.space_queries import points, shifted
+
+    p, c = points(spark, sf).select("id", "x_px", "y_px"), shifted(spark, sf)
+    odd = p.unionByName(spark.createDataFrame([(1, None, 1.0), (2, float("nan"), 1.0), (3, 20.0, 20.0)], "id long, x_px double, y_px double"))
+    rows = lambda d: sorted((r.id, r.cell_id, round(r.depth, 6)) for r in d.collect())
+    held = spatial.in_boxes(odd, c)
+    assert "Join" not in held._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    want = rows(held)
+    assert want and any(i == 3 for i, _, _ in want)
+    assert rows(spatial.in_boxes(odd, c, most=0)) == want == rows(spatial.in_boxes(odd, c, most=0, tile_rows=50)) == rows(spatial.in_boxes(odd, c, tile=3.0))
+    assert spatial.in_boxes(odd.limit(0), c).count() == 0 == spatial.in_boxes(odd, c.limit(0)).count()
+
+
+def test_no_tile_is_a_hot_key(spark):
+    from trackspark.operators import spatial
+
+    p = spark.range(5000).select(F.col("id"), (F.rand(1) * 10).alias("x_px"), (F.rand(2) * 10).alias("y_px"))
+    box = spark.createDataFrame([(1, 0.0, 20.0, 0.0, 20.0, [0.0] * 4)], "cell_id int, x_min double, x_max double, y_min double, y_max double, _f array<double>")
+    j = spatial.dealt_tiles(p, box, 64.0, 100)
+    assert j.count() == 5000 and j.groupBy("_tx", "_ty", "_part").count().agg(F.max("count")).first()[0] < 160

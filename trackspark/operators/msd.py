@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, track
+from ..functions.columns import KEYS, frames, points, track
 from ..functions.ranks import quantiles
 from ..params import DEFAULT, Params
 
@@ -19,17 +19,21 @@ def to_um(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def msd(df: DataFrame, max_lag: int | None = None, by: Sequence[str] = KEYS, p: Params = DEFAULT) -> DataFrame:
     """by..., lag, sum_sq, n, t, msd (square pixels) over all pairs of rows with the same `by`, lags up to max_lag.
 
-    With a bound the lag is exploded on one side and joined by equality on (key, frame + lag): no range join, no pairs beyond the bound.
+    With a bound each row looks back at the rows of its last max_lag frames, in one sorted pass over each key: one exchange, on the key. Without one all pairs of a key are joined.
+    Rows with nulls in `by` belong to no key.
     """
-    a = df.select(*by, F.col("frame").alias("_f"), F.col("x_px").alias("_x"), F.col("y_px").alias("_y"))
-    b = df.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("frame").alias("_g"), F.col("x_px").alias("_u"), F.col("y_px").alias("_v"))
-    same = [F.col(c) == F.col(f"_b_{c}") for c in by]
     if max_lag is None:
-        pairs = a.join(b, [*same, F.col("_g") > F.col("_f")]).withColumn("lag", F.col("_g") - F.col("_f"))
+        a = df.select(*by, F.col("frame").alias("_f"), F.col("x_px").alias("_x"), F.col("y_px").alias("_y"))
+        b = df.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("frame").alias("_g"), F.col("x_px").alias("_u"), F.col("y_px").alias("_v"))
+        pairs = a.join(b, [*[F.col(c) == F.col(f"_b_{c}") for c in by], F.col("_g") > F.col("_f")]).withColumn("lag", F.col("_g") - F.col("_f"))
+        d = (F.col("_u") - F.col("_x")) * (F.col("_u") - F.col("_x")) + (F.col("_v") - F.col("_y")) * (F.col("_v") - F.col("_y"))
+        out = pairs.groupBy(*by, "lag").agg(F.sum(d).alias("sum_sq"), F.count("*").alias("n"))
     else:
-        pairs = a.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("_to", F.col("_f") + F.col("lag")).join(b, [*same, F.col("_to") == F.col("_g")])
-    d = (F.col("_u") - F.col("_x")) * (F.col("_u") - F.col("_x")) + (F.col("_v") - F.col("_y")) * (F.col("_v") - F.col("_y"))
-    out = pairs.groupBy(*by, "lag").agg(F.sum(d).alias("sum_sq"), F.count("*").alias("n"))
+        known = df.dropna(subset=[*by, "frame"]).select(*by, "frame", "x_px", "y_px")
+        back = known.withColumn("_near", points(frames(-max_lag, -1, by)))
+        square = lambda q: (F.col("x_px") - q["x"]) * (F.col("x_px") - q["x"]) + (F.col("y_px") - q["y"]) * (F.col("y_px") - q["y"])
+        pairs = back.select(*by, F.explode(F.transform("_near", lambda q: F.struct((F.col("frame") - q["frame"]).alias("lag"), square(q).alias("d")))).alias("e"))
+        out = pairs.groupBy(*by, F.col("e.lag").alias("lag")).agg(F.sum("e.d").alias("sum_sq"), F.count("*").alias("n"))
     return out.withColumns({"t": F.col("lag") / p.frame_rate, "msd": F.try_divide("sum_sq", "n")})
 
 

@@ -119,21 +119,83 @@ def pole_distance(df: DataFrame, cells: DataFrame, p: Params = DEFAULT) -> DataF
     return d.withColumn("pole_nm", F.least(distance(F.col("_at"), F.col("_a")), distance(F.col("_at"), F.col("_b"))) * p.px_scale).drop("_a", "_b", "_at")
 
 
-def in_boxes(points: DataFrame, cells: DataFrame, tile: float = 64.0) -> DataFrame:
-    """points with cell_id and depth (distance to the outline) for each cell whose outline holds them, by an equality join on tiles.
+#: Side of a tile, pixels; bytes of outlines that are broadcast at most; rows of a tile that are one join key; and dense tiles whose list is broadcast at most.
+TILE, MOST_BYTES, TILE_ROWS, MOST_DENSE = 64.0, 32 << 20, 100_000, 100_000
 
-    A cell lies on the tiles that its box touches, a point on one; so a point meets only the cells near it, however many there are.
+
+def in_boxes(points: DataFrame, cells: DataFrame, tile: float = TILE, most: int = MOST_BYTES, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """points with cell_id and depth (distance to the outline) for each cell whose outline holds them.
+
+    A cell lies on the tiles that its box touches, a point on one; so a point meets only the cells near it, however many there are. Outlines of `most` bytes at most, by
+    their counted vertices, are broadcast and points stay where they are; more of them meet the points by an equality join on tiles (dealt_tiles).
     """
-    by = lambda c: F.floor(F.col(c) / tile)
     flat = F.flatten(F.transform(edges(F.col("roi")), lambda e: F.array(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
-    boxes = cells.select("cell_id", "x_min", "x_max", "y_min", "y_max", flat.alias("_f"))
     # as rows, so that the planner doesn't copy the outline's expressions into every use
-    boxes = boxes.mapInArrow(lambda batches: batches, boxes.schema)
-    c = boxes.withColumn("_tx", F.explode(F.sequence(by("x_min"), by("x_max")))).withColumn("_ty", F.explode(F.sequence(by("y_min"), by("y_max"))))
-    j = points.withColumns({"_tx": by("x_px"), "_ty": by("y_px")}).join(c, ["_tx", "_ty"])
-    j = j.where(F.col("x_px").between(F.col("x_min"), F.col("x_max")) & F.col("y_px").between(F.col("y_min"), F.col("y_max")))
+    boxes = cells.select("cell_id", "x_min", "x_max", "y_min", "y_max", flat.alias("_f"))
+    boxes = written(boxes)
+    size = boxes.agg(F.sum(F.size("_f") * 8 + 64)).first()[0] or 0
     schema = StructType([*points.schema.fields, cells.schema["cell_id"], StructField("depth", DoubleType())])
+    if size > most:
+        return _in_joined_boxes(dealt_tiles(points, boxes, tile, tile_rows), points.columns, schema)
+    shared = points.sparkSession.sparkContext.broadcast(boxes.toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        low, high = (np.stack([held[c].cast(pa.float64()).to_numpy() for c in names], axis=1) for names in (("x_min", "y_min"), ("x_max", "y_max")))
+        on: dict[tuple[int, int], list[int]] = {}
+        outlines: dict[int, np.ndarray] = {}
+        for k, (a, b) in enumerate(zip(np.floor(low / tile), np.floor(high / tile), strict=True)):
+            if not np.isfinite([*a, *b]).all():
+                continue
+            for t in ((x, y) for x in range(int(a[0]), int(b[0]) + 1) for y in range(int(a[1]), int(b[1]) + 1)):
+                on.setdefault(t, []).append(k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                x, y = (part.column(n).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for n in ("x_px", "y_px"))
+                there = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+                tiles, which = np.unique(np.floor(np.stack([x[there], y[there]], axis=1) / tile), axis=0, return_inverse=True)
+                rows, of, depth = [], [], []
+                for t, (tx, ty) in enumerate(tiles.tolist()):
+                    own = there[which.ravel() == t]
+                    for k in on.get((int(tx), int(ty)), ()):
+                        near = own[(x[own] >= low[k, 0]) & (x[own] <= high[k, 0]) & (y[own] >= low[k, 1]) & (y[own] <= high[k, 1])]
+                        if not len(near):
+                            continue
+                        if k not in outlines:
+                            outlines[k] = held["_f"][k].values.to_numpy(zero_copy_only=False).reshape(-1, 4)
+                        e = outlines[k]
+                        column = (x[near, None], y[near, None], e[:, :2], e[:, 2:])
+                        inside_ = _crossings(*column) % 2 == 1
+                        rows.append(near[inside_])
+                        of.append(np.full(len(rows[-1]), k))
+                        depth.append(_nearest(*column)[3].min(axis=1)[inside_])
+                if rows:
+                    chosen = part.take(pa.array(np.concatenate(rows)))
+                    cell = held["cell_id"].take(pa.array(np.concatenate(of))).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([*chosen.columns, cell, pa.array(np.concatenate(depth))], names=schema.names)
+
+    return points.mapInArrow(run, schema)
+
+
+def dealt_tiles(points: DataFrame, boxes: DataFrame, tile: float, tile_rows: int) -> DataFrame:
+    """points joined with the boxes (cell_id, x_min, x_max, y_min, y_max, _f) that hold them, by tile and part of a tile.
+
+    Tiles with more rows than tile_rows are dealt into as many parts as keep within it, so no join key is larger; a box meets all parts of its tiles.
+    """
+    by = lambda c: F.floor(F.col(c) / tile)
+    c = boxes.withColumn("_tx", F.explode(F.sequence(by("x_min"), by("x_max")))).withColumn("_ty", F.explode(F.sequence(by("y_min"), by("y_max"))))
+    p = points.withColumns({"_tx": by("x_px"), "_ty": by("y_px")})
+    dense = written(p.groupBy("_tx", "_ty").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_parts")).where("_parts > 1"))
+    few = dense.count() <= MOST_DENSE
+    known = F.broadcast(dense) if few else dense
+    p = p.join(known, ["_tx", "_ty"], "left").withColumn("_part", F.pmod(F.xxhash64(*points.columns), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    c = c.join(known, ["_tx", "_ty"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("_parts", F.lit(1)) - 1).cast("long")))).drop("_parts")
+    j = p.join(c, ["_tx", "_ty", "_part"])
+    return j.where(F.col("x_px").between(F.col("x_min"), F.col("x_max")) & F.col("y_px").between(F.col("y_min"), F.col("y_max")))
+
 
+def _in_joined_boxes(joined: DataFrame, names: Sequence[str], schema: StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
@@ -150,7 +212,7 @@ def in_boxes(points: DataFrame, cells: DataFrame, tile: float = 64.0) -> DataFra
                 chosen = pa.table({**{n: part.column(n) for n in schema.names[:-1]}, "depth": pa.array(depth)}).filter(pa.array(held))
                 yield from chosen.to_batches()
 
-    return j.select(*points.columns, "cell_id", "_f").mapInArrow(run, schema)
+    return joined.select(*names, "cell_id", "_f").mapInArrow(run, schema)
 
 
 def assign_points(points: DataFrame, cells: DataFrame) -> DataFrame:
