@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that all executors see.
 
-    It is under spark.checkpoint.dir; where that is unset, under the context's checkpoint folder; else, on a cluster, under the warehouse, and
-    in a local session, whose driver and executors are one machine, in a temporary folder, which is set as spark.checkpoint.dir.
+    It is under spark.checkpoint.dir; where that is unset, under the context's checkpoint folder; else, on a cluster, under the warehouse, unless that is a folder of one
+    machine, which is an error; and in a local session, whose driver and executors are one machine, in a temporary folder, which is set as spark.checkpoint.dir.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local"):
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        if base.startswith(("file:", "/")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors see; {base} is on one machine")
     if not base:
         base = tempfile.mkdtemp(prefix="trackspark-")
         spark.conf.set("spark.checkpoint.dir", base)
