@@ -194,3 +194,19 @@ def test_no_tile_is_a_hot_key(spark):
     box = spark.createDataFrame([(1, 0.0, 20.0, 0.0, 20.0, [0.0] * 4)], "cell_id int, x_min double, x_max double, y_min double, y_max double, _f array<double>")
     j = spatial.dealt_tiles(p, box, 64.0, 100)
     assert j.count() == 5000 and j.groupBy("_tx", "_ty", "_part").count().agg(F.max("count")).first()[0] < 160
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from trackspark.functions import storage
+
+    def session(warehouse, checkpoint=None):
+        kept = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": checkpoint}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: kept.get(k) or d), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+
+    assert storage.shared_dir(session("hdfs://x/warehouse")).startswith("hdfs://x/warehouse/_shared/")
+    assert storage.shared_dir(session("file:/a", "s3a://b/c")).startswith("s3a://b/c/")
+    for local in ("file:/home/warehouse", "/home/warehouse"):
+        with pytest.raises(ValueError, match="all executors see"):
+            storage.shared_dir(session(local))

@@ -53,8 +53,11 @@ def truncate_overlaps(df: DataFrame) -> DataFrame:
     s = spans(df)
     edges = s.select("cell_id", F.explode(F.array(F.struct(F.col("lo").alias("frame"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("frame"), F.lit(-1).alias("d")))).alias("e")).select("cell_id", "e.*")
     edges = edges.groupBy("cell_id", "frame").agg(F.sum("d").alias("d"))
-    marked = df.withColumns({"_kind": F.lit(1), "_d": F.lit(0).cast("long")}).unionByName(edges.select("cell_id", "frame", F.lit(0).alias("_kind"), F.col("d").alias("_d")), allowMissingColumns=True)
-    return running(marked, ["cell_id"], ["frame", "_kind"], {"_open": "_d"}).where("_kind = 1 AND _open < 2").drop("_kind", "_d", "_open")
+    # each frame of a cell is asked once, whatever a row holds besides
+    asked = df.select("cell_id", "frame").distinct().select("cell_id", "frame", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_d"))
+    marked = asked.unionByName(edges.select("cell_id", "frame", F.lit(0).alias("_kind"), F.col("d").alias("_d")))
+    alone = running(marked, ["cell_id"], ["frame", "_kind"], {"_open": "_d"}).where("_kind = 1 AND _open < 2")
+    return df.join(alone, ["cell_id", "frame"], "left_semi").select(df.columns)
 
 
 def split_gaps(df: DataFrame, mem: int) -> DataFrame:
