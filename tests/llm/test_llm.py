@@ -74,19 +74,6 @@ def test_html_keeps_rows(spark):
 
 
 # 2
-def test_shares_are_exact_and_monotone():
-    rnd = np.random.default_rng(1)
-    for lengths, weights in (([1000, 3, 50_000, 0], [5, 1, 90, 4]), (rnd.integers(0, 9000, 20), rnd.integers(1, 100, 20)), ([7], [1]), ([5000, 5000], [1, 1])):
-        s = packing.Shares(np.array(lengths), np.array(weights), 64)
-        got = s.after(np.arange(s.windows + 1))
-        assert (got.sum(axis=1) == np.minimum(np.arange(s.windows + 1) * 64, s.total)).all() and (np.diff(got, axis=0) >= 0).all()
-        if s.total:
-            live = np.array(lengths) > 64 * np.array(weights)
-            quota = np.array(weights) / np.array(weights).sum() * 64
-            if len(lengths) > 1 and (np.array(lengths) > 200).all():
-                assert np.abs(got[1] - quota)[live].max() <= 1.5
-
-
 def test_packing_covers_every_token(spark, odd, empty):
     tokens = packing.tokenize(odd, WORD)
     texts = [(r.doc_id, r.text) for r in odd.collect()]

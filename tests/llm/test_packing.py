@@ -1,6 +1,8 @@
-"""Packing against a round-robin that deals one token at a time, and token ids where words share a hash."""
+"""Packing against a round-robin that deals one turn at a time, and token ids where words share a hash."""
 
 import collections
+import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -16,64 +18,95 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, source string"
 
 
-def dealt(lengths, weights):
-    """Queues in the order in which a round-robin with deficits deals their tokens: next is the queue that is first owed half a token more."""
-    left, got, out = list(lengths), [0] * len(lengths), []
-    while any(left):
-        q = min((q for q in range(len(left)) if left[q]), key=lambda q: ((got[q] + 0.5) / weights[q], q))
-        left[q], got[q] = left[q] - 1, got[q] + 1
-        out.append(q)
+def dealt(lengths, weights, quantum):
+    """(queue, tokens) of each turn as a round-robin with deficits deals them: next is the queue that is first owed its share of a turn more."""
+    names = sorted(lengths, key=lambda s: (s is not None, s or ""))
+    phase = {s: (zlib.crc32((s or "").encode()) + 0.5) / 2**32 for s in names}
+    left, out = dict(lengths), []
+    while any(left.values()):
+        live = [s for s in names if left[s]]
+        s = min(live, key=lambda s: ((lengths[s] - left[s] + phase[s] * min(quantum, left[s])) / weights[s], names.index(s)))
+        out.append((s, min(quantum, left[s])))
+        left[s] -= out[-1][1]
     return out
 
 
-@pytest.mark.parametrize(("lengths", "weights"), [([500, 30, 1, 0, 900], [5, 1, 7, 2, 90]), ([97, 97, 97], [1, 1, 1]), ([1, 4000], [1, 4000]), ([300, 200, 100], [300, 200, 100]), ([40] * 50, [3.7] * 50)])
-def test_windows_are_those_of_a_round_robin(lengths, weights):
-    order = dealt(lengths, weights)
-    shares = packing.Shares(np.array(lengths), np.array(weights), 16)
-    got = shares.after(np.arange(shares.windows + 1))
-    for w in range(shares.windows + 1):
-        assert got[w].tolist() == np.bincount(order[: 16 * w], minlength=len(lengths)).tolist()
-
-
-def test_deficits_stay_small_until_a_queue_ends():
-    shares = packing.Shares(np.array([10_000, 5000, 77]), np.array([10_000, 5000, 77]), 64)
-    assert np.abs(shares.deficits(np.arange(shares.windows + 1))).max() < 2
-
-
-def test_pieces_are_those_of_a_round_robin(spark):
-    rows = [(i, "word " * (i * 7 % 23), f"s{i * i % 3}") for i in range(40)] + [(None, "no id", None), (3, "word", "s1"), (3, "word", "s1")]
-    tokens = packing.tokenize(spark.createDataFrame(rows, DOCS).repartition(3), WORD)
-    pieces = packing.pack(tokens, 32).collect()
-    parts = collections.defaultdict(list)
+def checked(pieces, tokens, window):
+    """Pieces by window, after checks that ids are whole, offsets gapless and windows full."""
+    by, docs = collections.defaultdict(list), collections.defaultdict(list)
     for r in pieces:
-        parts[r.sequence_id].append((r.offset, r.source, r.length))
-    lengths = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    names = sorted(lengths, key=lambda s: (s is not None, s))
-    order = dealt([lengths[s] for s in names], [lengths[s] for s in names])
-    for w, found in parts.items():
-        want = collections.Counter(names[q] for q in order[32 * w : 32 * w + 32])
-        assert collections.Counter({s: sum(n for _, t, n in found if t == s) for s in {x[1] for x in found}}) == want
+        by[r.sequence_id].append(r)
+        docs[r.doc_id].append(r)
+    for w, found in by.items():
         at = 0
-        for offset, _, n in sorted(found, key=lambda x: x[0]):
-            assert offset == at
-            at += n
-
-
-def test_small_sources_share_a_queue(spark):
-    rows = [(i, "a b c d " * (50 if i % 2 else 1), f"s{0 if i % 2 else i}") for i in range(60)]
-    tokens = packing.tokenize(spark.createDataFrame(rows, DOCS).repartition(4), WORD)
-    pieces = packing.pack(tokens, 64, max_queues=2).collect()
-    assert sum(r.length for r in pieces) == tokens.agg(F.sum("n")).first()[0]
-    seen = collections.defaultdict(list)
-    for r in pieces:
-        seen[r.sequence_id].append((r.offset, r.length))
-    for w, found in seen.items():
-        ends = [0] + [o + n for o, n in sorted(found)]
-        assert [o for o, _ in sorted(found)] == ends[:-1] and (ends[-1] == 64 or w == max(seen))
-    by_doc = collections.Counter()
-    for r in pieces:
-        by_doc[r.doc_id] += r.length
-    assert by_doc == {r.doc_id: r.n for r in tokens.collect()}
+        for r in sorted(found, key=lambda r: r.offset):
+            assert r.offset == at and len(r.ids) == 4 * r.length
+            at += r.length
+        assert at == window or w == max(by)
+    assert sorted(by) == list(range(len(by)))
+    whole = {r.doc_id: bytes(r.ids) for r in tokens.collect()}
+    if len(whole) == tokens.count():
+        for i, found in docs.items():
+            assert b"".join(bytes(r.ids) for r in sorted(found, key=lambda r: r.start)) == whole[i] and {r.doc_tokens for r in found} == {len(whole[i]) // 4}
+    return by
+
+
+def rows_of(n):
+    """Documents of several sources, a null one included, of 0 to 300 words, and some rows twice."""
+    rows = [(i, "word " * (i * 7 % 23 if i % 11 else 300), f"s{i * i % 3}" if i % 13 else None) for i in range(n)]
+    return [*rows, (n, None, "rare"), (n + 1, "alone", "s9")]
+
+
+@pytest.mark.parametrize(("window", "quantum", "weights"), [(32, 1, None), (32, 7, None), (64, 256, None), (100, 16, {"s0": 5.0, "s1": 1.0, "s2": 0.5, None: 3.0, "rare": 9.0, "s9": 0.01}), (4096, 256, None)])
+def test_windows_are_those_of_a_round_robin(spark, window, quantum, weights):
+    tokens = packing.tokenize(spark.createDataFrame(rows_of(90), DOCS).repartition(3), WORD)
+    lengths = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    order = [s for s, n in dealt(lengths, weights or lengths, quantum) for _ in range(n)]
+    by = checked(packing.pack(tokens, window, weights, quantum).collect(), tokens, window)
+    for w, found in by.items():
+        got = collections.Counter()
+        for r in found:
+            got[r.source] += r.length
+        assert got == collections.Counter(order[window * w : window * (w + 1)])
+        stands = [r.source for r in sorted(found, key=lambda r: r.offset)]
+        assert sum(x != y for x, y in zip(stands, stands[1:], strict=False)) == len(set(stands)) - 1  # a source stands together
+
+
+def test_repeated_rows_and_null_ids_are_packed_each(spark):
+    rows = [(None, "no id", None), (3, "word", "s1"), (3, "word", "s1"), (None, "no id", None)]
+    tokens = packing.tokenize(spark.createDataFrame(rows, DOCS).repartition(2), WORD)
+    got = collections.Counter()
+    for r in packing.pack(tokens, 4, quantum=2).collect():
+        got[r.doc_id] += r.length
+    assert got == collections.Counter({r.doc_id: r.n for r in tokens.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()})
+
+
+def test_deficits_stay_within_a_quantum(spark):
+    rows = [(i, "word " * 40, "large" if i % 8 else f"s{i % 3}") for i in range(1200)]
+    tokens = packing.tokenize(spark.createDataFrame(rows, DOCS).repartition(5), WORD)
+    lengths = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    given = collections.Counter()
+    by = checked(packing.pack(tokens, 1024, quantum=64).collect(), tokens, 1024)
+    for w in sorted(by):
+        for r in by[w]:
+            given[r.source] += r.length
+        total = sum(given.values())
+        assert all(abs(given[s] - total * n / sum(lengths.values())) <= 2 * 64 for s, n in lengths.items())
+
+
+def test_ten_thousand_sources_neither_shred_documents_nor_take_long(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words of a document "), F.expr("int(20 + id % 61)")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.expr("id % 10007"))).alias("source"))
+    tokens = packing.tokenize(docs.repartition(8), WORD)
+    begin = time.monotonic()
+    pieces = packing.pack(tokens)
+    n, length, windows, most = pieces.agg(F.count("*"), F.sum("length"), F.countDistinct("sequence_id"), F.max("sequence_id")).first()
+    assert time.monotonic() - begin < 60
+    total = tokens.agg(F.sum("n")).first()[0]
+    assert length == total and windows == most + 1 == -(-total // 4096)
+    assert n < 3 * 20_000
+    hot = pieces.where("source = 'hot'").groupBy("sequence_id").agg(F.sum("length").alias("n")).where(f"sequence_id < {windows - 1}")
+    share = tokens.where("source = 'hot'").agg(F.sum("n")).first()[0] / total
+    assert hot.where(F.abs(F.col("n") - 4096 * share) > 2 * packing.QUANTUM).count() <= windows // 10 and hot.count() == windows - 1
 
 
 def test_large_batches_give_every_document_once(spark):

@@ -1,18 +1,16 @@
 """Mixture-controlled packing of token streams into windows by deficit round-robin.
 
-Each source is a queue of documents. Windows are filled from all queues at once so that every prefix of windows has the target
-proportions of tokens to within a token: a queue of weight W is owed W*v tokens at virtual time v, its deficit is what it is
-owed less what it got, and the next token always comes from the queue that is first to be owed half a token more. An empty
-queue drops out and the others share its place. What every queue has got after w windows is therefore a function of w, the
-weights and the queue lengths alone; so any partition starts at any window with exact deficits, without passing over the windows before.
-
-Documents are cut where a window ends or their queue's share of it does. Every window but the last is full.
-
-Steps: tokens are written once, with a running count a source within each partition; one small aggregate (a row for each
-partition and source) gives where each partition's part of a queue starts; then every document finds its windows alone.
-
-Without given weights the MAX_QUEUES - 1 largest sources are queues, and all smaller ones together are one more, of their share of the tokens:
-their documents follow each other by partition, then source. Only one number a queue comes to the driver.
+Each source is a queue of documents, served in turns of `quantum` tokens (the last turn of a queue is what is left). A queue of weight W is owed W*v tokens at
+virtual time v; its deficit is what it is owed less what it got. A turn is served as soon as the deficit reaches a fixed share of the turn, a digest of the source's
+name between 0 and 1, so that queues of one turn spread over the whole sequence. Deficits thus stay within a quantum at any time, and are carried over windows and
+partitions, as a turn's time depends on its place in its queue alone. A queue that is empty drops out and the others share its place. The turns in order of
+time (then source) form one stream, of which each `window` tokens are a window; in a window the turns of one source stand together, so a document is cut only where its source's part of a
+window ends or, among very many sources, where a turn does. Every window but the last is full.
+
+Steps: tokens are written once, with a running count a source within each partition; an aggregate (a row for each partition and source) gives where each
+partition's part of a queue starts. Each document names the turns that begin in it; these slim rows are sorted by ranges of time, and running sums of their lengths give
+windows. Turns then meet the documents they touch by their number, and the places found are joined back to the ids. Sources may be as many as documents: none is listed in one place, and
+no row count depends on their number. Given weights are a table of parameters and are broadcast; of ranges only one number each comes to the driver.
 
 Defined cases: a null text is empty and gives the end token only; a null source is a queue of its own, and null ids are kept; repeated rows are
 packed each; a text of any length is cut into as many pieces as it needs; an empty table gives no pieces; columns beside id, text and source are ignored, whatever
@@ -34,102 +32,16 @@ from .word_tokens import WordTokens
 
 WINDOW = 4096
 END_ID = 2
-#: Queues are the components of a mixture; their lengths come to the driver, one number each.
-MAX_QUEUES = 10_000
+#: Tokens that a queue gives in a turn: small beside a window, so that windows keep the proportions, and large enough that many sources don't shred documents.
+QUANTUM = 256
 #: Documents that are tokenized or cut at once.
 TOGETHER = 2000
 
 
-class Shares:
-    """Tokens that each queue has given after so many windows."""
-
-    def __init__(self, lengths: np.ndarray, weights: np.ndarray, window: int = WINDOW):
-        self.lengths, self.weights, self.window = lengths.astype(np.int64), weights.astype(np.float64), window
-        self.total = int(self.lengths.sum())
-        self.windows = -(-self.total // window)
-        ends = self.lengths / self.weights
-        times = np.concatenate([[0.0], np.unique(ends)])
-        self.times, self.served = times, np.array([np.minimum(self.lengths, self.weights * t).sum() for t in times])
-
-    def _due(self, v: np.ndarray) -> np.ndarray:
-        """Tokens k of each queue with (k + 0.5) / weight <= v; the same comparison decides everywhere."""
-        v = v[:, None]
-        n = np.clip(np.floor(self.weights * v + 0.5).astype(np.int64), 0, self.lengths)
-        for _ in range(2):
-            n += (n < self.lengths) & ((n + 0.5) / self.weights <= v)
-            n -= (n > 0) & ((n - 0.5) / self.weights > v)
-        return n
-
-    def after(self, w: np.ndarray) -> np.ndarray:
-        """A row for each number of windows, a column for each queue: the first w * window tokens in the order of (k + 0.5) / weight, then queue."""
-        goal = np.minimum(np.asarray(w, np.int64) * self.window, self.total)
-        slack = len(self.lengths) + 1
-        lo = np.interp(np.maximum(goal - slack, 0), self.served, self.times)
-        hi = np.interp(np.minimum(goal + slack, self.total), self.served, self.times) + 1.0
-        lo = np.where(self._due(lo).sum(axis=1) <= goal, lo, 0.0)
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            ok = self._due(mid).sum(axis=1) <= goal
-            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
-        n = self._due(lo)
-        left = goal - n.sum(axis=1)
-        while (rows := np.flatnonzero(left > 0)).size:  # tokens due at one time: a token a queue, in their order
-            key = np.where(n[rows] < self.lengths, (n[rows] + 0.5) / self.weights, np.inf)
-            place = np.argsort(np.argsort(key, axis=1, kind="stable"), axis=1)
-            more = (place < left[rows, None]) & (key < np.inf)
-            n[rows] += more
-            left[rows] -= more.sum(axis=1)
-        return n
-
-    def deficits(self, w: np.ndarray) -> np.ndarray:
-        """Tokens that each queue is owed after so many windows, by its share of all that were given, less what it got; below zero if it got more."""
-        got = self.after(w)
-        return got.sum(axis=1)[:, None] * (self.weights / self.weights.sum()) - got
-
-    def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Document, start in its queue, length, window and offset in the window of each piece; documents are given by queue, start and length."""
-        empty = np.empty(0, np.int64)
-        if not len(queue):
-            return empty, empty, empty, empty, empty
-        first, last = self._window_of(queue, start), self._window_of(queue, start + length - 1)
-        count = last - first + 1
-        doc = np.repeat(np.arange(len(queue)), count)
-        w = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
-        known, at = np.unique(w, return_inverse=True)
-        before, behind = self.after(known), self.after(known + 1)
-        base = np.cumsum(behind - before, axis=1) - (behind - before)
-        q = queue[doc]
-        a = np.maximum(start[doc], before[at, q])
-        b = np.minimum((start + length)[doc], behind[at, q])
-        keep = b > a
-        return doc[keep], a[keep], (b - a)[keep], w[keep], (base[at, q] + a - before[at, q])[keep]
-
-    def _window_of(self, queue: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The window that token k of a queue is in."""
-        v = (k + 0.5) / self.weights[queue]
-        w = np.clip((np.interp(v, self.times, self.served) // self.window).astype(np.int64) - 1, 0, max(0, self.windows - 1))
-        rows = np.arange(len(k))
-        known, at = np.unique(np.concatenate([w + d for d in range(4)]), return_inverse=True)
-        n = self.after(known)
-        got = np.stack([n[at[d * len(k) : (d + 1) * len(k)], queue] for d in range(4)])
-        w = w + (got[1:] <= k).sum(axis=0)
-        off = np.flatnonzero((got[0] > k) | (got[3] <= k))
-        for i in rows[off]:  # the estimate was off by more than a window: search
-            lo, hi = 0, self.windows
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                if self.after(np.array([mid]))[0, queue[i]] <= k[i]:
-                    lo = mid
-                else:
-                    hi = mid
-            w[i] = lo
-        return w
-
-
 def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = END_ID) -> DataFrame:
-    """doc_id, source, part, before, n, ids (little-endian unsigned 32-bit, with the end token), written to shared storage.
+    """doc_id, source, part, row, before, n, ids (little-endian unsigned 32-bit, with the end token), written to shared storage.
 
-    part numbers the partition, before counts the tokens of the same source earlier in it.
+    part numbers the partition, row the row in it, and before counts the tokens of the same source earlier in it.
     """
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
@@ -137,6 +49,7 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
         words = WordTokens.load(path)
         part = TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
+        done = 0
         for batch in batches:
             for begin in range(0, batch.num_rows, TOGETHER):
                 rows = batch.slice(begin, TOGETHER)
@@ -155,61 +68,105 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                     seen[s] = before[-1] + n
                 offsets = pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32).tobytes())
                 ids = pa.BinaryArray.from_buffers(pa.binary(), rows.num_rows, [None, offsets, pa.py_buffer(out.tobytes())])
-                names = ["doc_id", "source", "part", "before", "n", "ids"]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("source"), pa.array(np.full(rows.num_rows, part), pa.int32()), pa.array(before, pa.int64()), pa.array(length, pa.int64()), ids], names=names)
+                names = ["doc_id", "source", "part", "row", "before", "n", "ids"]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("source"), pa.array(np.full(rows.num_rows, part), pa.int32()), pa.array(np.arange(done, done + rows.num_rows)), pa.array(before, pa.int64()), pa.array(length, pa.int64()), ids], names=names)
+                done += rows.num_rows
 
-    return written(chosen.mapInArrow(run, "doc_id long, source string, part int, before long, n long, ids binary"))
+    return written(chosen.mapInArrow(run, "doc_id long, source string, part int, row long, before long, n long, ids binary"))
 
 
-def pack(tokens: DataFrame, window: int = WINDOW, weights: dict[str | None, float] | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
-    """Pieces of the documents of tokenize(): doc_id, source, start, length, doc_tokens, sequence_id, offset, ids (of the piece).
-
-    weights: target proportions of tokens by source; None takes the proportions of the table, so that all queues end together.
-    """
-    sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    each = sums.groupBy("source").agg(F.sum("n").alias("n"))
+def _queues(tokens: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+    """_s, _p, base, total, weight: where the tokens of a source in a partition start in its queue, and the queue's length and weight."""
+    sums = tokens.groupBy(F.col("source").alias("_s"), F.col("part").alias("_p")).agg(F.sum("n").alias("m"))
+    queue = Window.partitionBy("_s")
+    base = sums.withColumns({"base": F.sum("m").over(queue.orderBy("_p")) - F.col("m"), "total": F.sum("m").over(queue)}).drop("m")
     if weights is None:
-        top = each.orderBy(F.desc("n"), F.col("source").asc_nulls_first()).limit(max_queues).collect()
-    else:
-        top = each.limit(len(weights) + 1).collect()
-        if missing := [r["source"] for r in top if not weights.get(r["source"], 0) > 0]:
-            raise ValueError(f"no weight for {missing}")
-    totals = {r["source"]: r["n"] for r in top}
-    merged = weights is None and len(totals) == max_queues
-    if merged:  # the last one of these heads the merged queue
-        totals.popitem()
-    queues = sorted(totals, key=lambda s: (s is not None, s))
-    names = tokens.sparkSession.createDataFrame([(s, i) for i, s in enumerate(queues)], "_s string, queue int")
-    lengths = [totals[s] for s in queues]
-    if merged:
-        lengths.append((each.agg(F.sum("n")).first()[0] or 0) - sum(lengths))
-    lengths = np.array(lengths, dtype=np.int64)
-    units = lengths.astype(np.float64) if weights is None else np.array([float(weights[s]) for s in queues])
-
-    # where each run of a source in a partition starts in its queue: first within partitions, then over them
-    runs = sums.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("queue", F.coalesce("queue", F.lit(len(queues)))).drop("_s")
-    parts = runs.groupBy("queue", "part").agg(F.sum("n").alias("m"))
-    parts = parts.withColumn("ahead", F.sum("m").over(Window.partitionBy("queue").orderBy("part")) - F.col("m")).drop("m")
-    inner = F.sum("n").over(Window.partitionBy("queue", "part").orderBy(F.col("source").asc_nulls_first())) - F.col("n")
-    base = runs.withColumn("inner", inner).join(parts, ["queue", "part"]).select(F.col("source").alias("_s"), F.col("part").alias("_p"), "queue", (F.col("ahead") + F.col("inner")).alias("base"))
-    placed = tokens.join(base, (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
-    placed = placed.select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+        return base.withColumn("weight", F.col("total").cast("double"))
+    given = tokens.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_w string, weight double")
+    missing = sums.join(F.broadcast(given.where("weight > 0")), F.col("_s").eqNullSafe(F.col("_w")), "left_anti").select("_s").distinct().limit(10).collect()
+    if missing:
+        raise ValueError(f"no weight for {[r['_s'] for r in missing]}")
+    return base.join(F.broadcast(given), F.col("_s").eqNullSafe(F.col("_w"))).drop("_w")
+
+
+def _in_order(turns: DataFrame) -> DataFrame:
+    """Turns (source, turn, length, due) with `at`, their place in the stream of all turns by due, source and turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares = Shares(lengths, units, window)
+        part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, TOGETHER):
-                rows = batch.slice(begin, TOGETHER)
-                queue = rows.column("queue").to_numpy().astype(np.int64)
-                at, n = rows.column("at").to_numpy(), rows.column("n").to_numpy()
-                doc, a, length, w, offset = shares.pieces(queue, at, n)
-                start = a - at[doc]
-                views = [x.as_buffer() for x in rows.column("ids")]
-                cut = [views[d][4 * s : 4 * (s + m)].to_pybytes() for d, s, m in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id").take(take), rows.column("source").take(take), pa.array(start), pa.array(length), pa.array(n[doc]), pa.array(w), pa.array(offset), pa.array(cut, pa.binary())],
-                    names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-                )
-
-    return placed.mapInArrow(run, "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+            length = batch.column("length").to_numpy()
+            ends = seen + np.cumsum(length)
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("turn"), batch.column("length"), pa.array(np.full(len(length), part), pa.int32()), pa.array(ends - length)], names=["source", "turn", "length", "range", "before"])
+            seen = int(ends[-1]) if len(ends) else seen
+
+    order = ["due", "source", "turn"]
+    ranged = written(turns.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "source string, turn long, length long, range int, before long"))
+    starts, seen = [], 0
+    for r in ranged.groupBy("range").agg(F.sum("length").alias("m")).orderBy("range").collect():  # a row a range
+        starts.append((r["range"], seen))
+        seen += r["m"]
+    base = turns.sparkSession.createDataFrame(starts, "range int, ahead long")
+    return ranged.join(F.broadcast(base), "range").select("source", "turn", "length", (F.col("ahead") + F.col("before")).alias("at"))
+
+
+def _parts(turns: DataFrame, window: int, quantum: int) -> DataFrame:
+    """source, turn, a, m, w, o: each turn in order, cut at windows: tokens a to a + m of its queue are in window w from place o on."""
+    last = F.expr(f"(at + length - 1) div {window}")
+    cut = turns.withColumn("w", F.explode(F.sequence(F.expr(f"at div {window}"), last)))
+    begin, end = F.greatest("at", F.col("w") * window), F.least(F.col("at") + F.col("length"), (F.col("w") + 1) * window)
+    cut = cut.select("source", "turn", "w", (F.col("turn") * quantum + begin - F.col("at")).alias("a"), (end - begin).alias("m"))
+    inside = Window.partitionBy("w").orderBy("source", "turn").rowsBetween(Window.unboundedPreceding, 0)  # at most a row a token of a window
+    return cut.withColumn("o", F.sum("m").over(inside) - F.col("m"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of documents; what a document has in one window is contiguous, in its queue and there, and becomes one piece."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, TOGETHER):
+            rows = batch.slice(begin, TOGETHER)
+            places = rows.column("places")
+            count = np.diff(places.offsets.to_numpy()).astype(np.int64)
+            flat = places.flatten()
+            start, length, w, offset = (flat.field(k).to_numpy() for k in range(4))
+            doc = np.repeat(np.arange(rows.num_rows), count)
+            order = np.lexsort((start, doc))
+            doc, start, length, w, offset = doc[order], start[order], length[order], w[order], offset[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (w[1:] != w[:-1])])) if len(doc) else np.empty(0, np.int64)
+            length = np.add.reduceat(length, first) if len(first) else length
+            doc, start, w, offset = doc[first], start[first], w[first], offset[first]
+            views = [x.as_buffer() for x in rows.column("ids")]
+            cut = [views[d][4 * s : 4 * (s + m)].to_pybytes() for d, s, m in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").take(take), rows.column("source").take(take), pa.array(start), pa.array(length), rows.column("n").take(take), pa.array(w), pa.array(offset), pa.array(cut, pa.binary())],
+                names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+            )
+
+
+def pack(tokens: DataFrame, window: int = WINDOW, weights: dict[str | None, float] | None = None, quantum: int = QUANTUM) -> DataFrame:
+    """Pieces of the documents of tokenize(): doc_id, source, start, length, doc_tokens, sequence_id, offset, ids (of the piece).
+
+    weights: target proportions of tokens by source; None takes the proportions of the table, so that all queues end together.
+    quantum: tokens of a turn. Smaller ones hold proportions closer, larger ones cut documents of small sources less.
+    """
+    same = (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s"))
+    docs = tokens.select("source", "part", "row", "before", "n").join(_queues(tokens, weights), same)
+    docs = docs.select("source", "part", "row", (F.col("base") + F.col("before")).alias("begin"), "n", "total", "weight")
+
+    # the turns that begin in a document, and when they are due
+    first, behind = F.expr(f"(begin + {quantum - 1}) div {quantum}"), F.expr(f"(begin + n + {quantum - 1}) div {quantum}")
+    begun = docs.where(behind > first).withColumn("turn", F.explode(F.sequence(first, behind - 1)))
+    begun = begun.withColumn("length", F.least(F.lit(quantum), F.col("total") - F.col("turn") * quantum))
+    phase = (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) + 0.5) / float(1 << 32)
+    due = ((F.col("turn") * quantum).cast("double") + phase * F.col("length")) / F.col("weight")
+    parts = _parts(_in_order(begun.select("source", "turn", "length", due.alias("due"))), window, quantum)
+
+    # turns meet the documents that they touch: at most `quantum`, as each document has a token
+    touched = docs.withColumn("_t", F.explode(F.sequence(F.expr(f"begin div {quantum}"), F.expr(f"(begin + n - 1) div {quantum}")))).select(F.col("source").alias("_s"), "_t", "part", "row", "begin", "n")
+    met = touched.join(parts, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_t") == F.col("turn")))
+    a, b = F.greatest("begin", "a"), F.least(F.col("begin") + F.col("n"), F.col("a") + F.col("m"))
+    place = F.struct((a - F.col("begin")).alias("start"), (b - a).alias("length"), "w", (F.col("o") + a - F.col("a")).alias("offset"))
+    places = met.where(b > a).groupBy(F.col("part").alias("_p"), F.col("row").alias("_r")).agg(F.collect_list(place).alias("places"))
+    found = tokens.join(places, (F.col("part") == F.col("_p")) & (F.col("row") == F.col("_r"))).select("doc_id", "source", "n", "ids", "places")
+    return found.mapInArrow(_cut, "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
