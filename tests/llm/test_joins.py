@@ -74,3 +74,26 @@ def test_large_groups_of_near_copies_are_connected(spark):
     rows = [(i, near(A, *rnd.sample(range(40), rnd.choice([0, 1])))) for i in range(900)] + [(1000 + i, near(A, i % 40) + f" tail{i} end{i}") for i in range(700)]
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0}
+
+
+def test_hashes_of_crowded_slots_are_counted_in_parts(spark):
+    rng = random.Random(3)
+    rows = [(" ".join(WORDS[:20]) + " " + " ".join(f"v{rng.randrange(300)}" for _ in range(12)),) for _ in range(400)]
+    texts = spark.createDataFrame(rows + rows[:50] + [(None,), ("",)], "text string").repartition(4)
+    plain = ngram_join._shared_lists(texts)
+    want = sorted(map(tuple, plain.collect()))
+    assert max(r[3] for r in want) > 100 and len(ngram_join._crowded(texts, 100)) < 40
+    for rows in (100, 0):  # the shared passage's slots, then every slot
+        dealt = ngram_join._shared_lists(texts, rows)
+        assert "salt" in dealt._jdf.queryExecution().toString() and "salt" not in plain._jdf.queryExecution().toString()
+        assert sorted(map(tuple, dealt.collect())) == want
+    assert ngram_join._shared_lists(texts.limit(0), 0).count() == 0
+
+
+def test_groups_are_the_same_when_slots_are_crowded(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, near(A, *rng.sample(range(40), rng.randrange(4)))) for i in range(120)] + [(200 + i, near(B, i % 40)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(map(tuple, ngram_join.near_duplicates(docs).collect()))
+    monkeypatch.setattr(ngram_join._shared_lists, "__defaults__", (0,))
+    assert sorted(map(tuple, ngram_join.near_duplicates(docs).collect())) == want

@@ -54,6 +54,10 @@ SPARE = 0.08
 BLOCK, BLOCK_SHINGLES, SHINGLES_TOGETHER = 256, 1 << 20, 1 << 19
 #: Hashes that more classes list are hot: classes with one are tied by the rarest hashes of their whole sets instead.
 HOT = 256
+#: Slots into which hashes are counted before they are shuffled, and how many times the mean, and rows at least, make a slot crowded.
+SLOTS, CROWDED, CROWDED_ROWS = 1 << 16, 4, 10_000
+#: Parts into which the classes of one hash in a crowded slot are dealt.
+SALTS = 64
 #: Cost of a step of the heap against one of a binary search: the larger, the fewer lists are long.
 MU = 0.01
 
@@ -81,10 +85,42 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["h", "c", "n"])
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, np.int64)
+    for lists in _lists(batches):
+        counts += np.bincount(lists.column("h").to_numpy() % SLOTS, minlength=SLOTS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["slot", "m"])
+
+
+def _crowded(texts: DataFrame, rows: int) -> list[int]:
+    """The slots of hashes that are listed much more often than others: at most SLOTS / CROWDED numbers, at any size of the table."""
+    counts = texts.mapInArrow(_slot_counts, "slot long, m long").groupBy("slot").agg(F.sum("m").alias("m")).collect()  # a row a slot
+    mean = sum(r["m"] for r in counts) / SLOTS
+    return sorted(r["slot"] for r in counts if r["m"] > max(CROWDED * mean, rows))
+
+
+def _shared_lists(texts: DataFrame, rows: int = CROWDED_ROWS) -> DataFrame:
+    """h, c, n, df: the hashes that at least two classes list, and how many do.
+
+    The classes of a hash in a crowded slot are dealt into parts, which are counted by themselves and then added up, so that no hash is one task's work.
+    """
+    lists, crowded = texts.mapInArrow(_lists, "h long, c long, n int"), _crowded(texts, rows)
+    if not crowded:
+        return lists.repartition("h").dropDuplicates(["h", "c"]).withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    slots = texts.sparkSession.createDataFrame([(k,) for k in crowded], "slot long")
+    dealt = lists.join(F.broadcast(slots), F.pmod("h", F.lit(SLOTS)) == F.col("slot"), "left")
+    dealt = dealt.select("h", "c", "n", F.when(F.col("slot").isNotNull(), F.pmod(F.xxhash64("c"), F.lit(SALTS))).otherwise(-1).alias("salt"))
+    own = dealt.repartition("h", "salt").dropDuplicates(["h", "salt", "c"]).withColumn("df", F.count("*").over(Window.partitionBy("h", "salt")))
+    own = written(own.where("df > 1 or salt >= 0"))
+    parts = own.where("salt >= 0").drop("df")
+    whole = parts.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    return own.where("salt < 0").select("h", "c", "n", "df").union(parts.join(whole, "h").select("h", "c", "n", "df"))
+
+
 def _rare_lists(docs: DataFrame) -> DataFrame:
     """h, c, df: the hashes by which classes are tied, after step 2, and how many classes list them."""
-    lists = docs.select("text").mapInArrow(_lists, "h long, c long, n int").repartition("h").dropDuplicates(["h", "c"])
-    shared = lists.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    shared = _shared_lists(docs.select("text"))
     spare = F.greatest(F.lit(1), F.ceil(F.col("n") * SPARE))
     of = Window.partitionBy("c")
     # a class lists a share of its own text, so its partition is bounded by the text
