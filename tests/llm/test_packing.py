@@ -2,6 +2,8 @@
 
 import collections
 import time
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -118,6 +120,31 @@ def test_large_batches_give_every_document_once(spark):
     assert tuple(pieces) == (total, 5003, (total - 1) // 64)
 
 
+def test_memory_of_tokenizing_does_not_grow_with_the_length_of_rows(spark, monkeypatch):
+    """What a worker holds at once is bounded by bytes of text, not by a number of rows, whatever their length."""
+    docs = types.SimpleNamespace(select=lambda *_: docs, mapInArrow=lambda run, _: run)
+    monkeypatch.setattr(packing, "written", lambda run: run)
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    run = packing.tokenize(docs, WORD)
+    texts = [None, "", *[f"row {i} " + "some words of a document " * 600 for i in range(800)], "one long text " * 300_000, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(["s"] * len(texts))], names=["doc_id", "text", "source"])
+    count = [len(x.column("ids")[0].as_py()) // 4 for x in run(iter([batch.slice(k, 1) for k in (0, 1, 2, 802, 803)]))]
+    rows, tracked = [], 0
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch.slice(0, 802)])):
+            rows += zip(*(out.column(c).to_pylist() for c in ("doc_id", "row", "before", "n")), strict=True)
+        tracked = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert tracked < 120e6  # twelve million bytes of text
+    before = 0
+    for k, (doc_id, row, at, n) in enumerate(rows):
+        assert (doc_id, row, at) == (k, k, before)
+        before += n
+    assert len(rows) == 802 and [r[3] for r in rows[:3]] == count[:3] and count[3] == 900_001
+
+
 def test_extra_columns_do_not_clash(spark):
     d = spark.createDataFrame([(1, "a b", "s", 5, 6, 7)], DOCS + ", n int, queue int, part int")
     assert [r.length for r in packing.pack(packing.tokenize(d, WORD)).collect()] == [3]

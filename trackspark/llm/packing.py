@@ -27,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, slices, written
 from .word_tokens import WordTokens
 
 WINDOW = 4096
 END_ID = 2
 #: Tokens that a queue gives in a turn: small beside a window, so that windows keep the proportions, and large enough that many sources don't shred documents.
 QUANTUM = 256
-#: Documents that are tokenized or cut at once.
-TOGETHER = 2000
+#: Documents that are cut at once, and bytes of text that are tokenized at once: that takes some 25 times as much memory.
+TOGETHER, BYTES_TOGETHER = 2000, 1 << 21
 
 
 def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = END_ID) -> DataFrame:
@@ -51,8 +51,7 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
         seen: dict[str | None, int] = {}
         done = 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, TOGETHER):
-                rows = batch.slice(begin, TOGETHER)
+            for rows in slices(batch, "text", BYTES_TOGETHER):
                 flat, at = words.encode(rows.column("text"))
                 length = np.diff(at) + 1
                 ends = np.cumsum(length)
@@ -71,6 +70,7 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                 names = ["doc_id", "source", "part", "row", "before", "n", "ids"]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("source"), pa.array(np.full(rows.num_rows, part), pa.int32()), pa.array(np.arange(done, done + rows.num_rows)), pa.array(before, pa.int64()), pa.array(length, pa.int64()), ids], names=names)
                 done += rows.num_rows
+            give_back()
 
     return written(chosen.mapInArrow(run, "doc_id long, source string, part int, row long, before long, n long, ids binary"))
 

@@ -86,7 +86,7 @@ class WordTokens:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.letters = _byte_letters()
-        self.runs: dict[bytes, array.array] = {}
+        self.runs: dict[bytes, bytes] = {}
         self.plain = set("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
     @classmethod
@@ -95,21 +95,19 @@ class WordTokens:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _piece(self, piece: str) -> array.array:
+    def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
-        return array.array(self.kind, [t.id for t in self.tokenizer.model.tokenize(shown)])
+        return array.array(self.kind, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
-    def run(self, raw: bytes) -> array.array:
-        """Ids of one run."""
+    def run(self, raw: bytes) -> bytes:
+        """Ids of one run, in the width of `kind`: as bytes, as the cache holds very many."""
         text = raw.decode()
         if text.isalpha() and max(text) < "ɐ" and "İ" not in text or text in self.plain:
             ids = self._piece(text.lower())
         elif max(text) < "ɐ":
-            ids = array.array(self.kind)
-            for piece in self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", text)))):
-                ids += self._piece(piece)
+            ids = b"".join([self._piece(x) for x in self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", text))))])
         else:
-            ids = array.array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids)
+            ids = array.array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.runs) < CACHE and len(raw) < 64:
             self.runs[raw] = ids
         return ids
@@ -134,7 +132,7 @@ class WordTokens:
             begin, raw, s, e = spans[int(np.searchsorted(bounds, word, side="right")) - 1]
             return raw[s[word - begin] : e[word - begin]]
 
-        ids: list[array.array] = [None] * len(distinct)  # type: ignore[list-item]
+        ids: list[bytes] = [None] * len(distinct)  # type: ignore[list-item]
         order = np.argsort(first)
         of = first[order]
         place = 0
@@ -153,8 +151,9 @@ class WordTokens:
             for w in np.flatnonzero(differ).tolist():  # another run has the same hash
                 which[w] = len(ids)
                 ids.append(self.run(raw_of(w)))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.frombuffer(b"".join(ids), dtype=f"<u{2 if self.kind == 'H' else 4}") if ids else np.empty(0, np.uint16)
+        width = 2 if self.kind == "H" else 4
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        flat = np.frombuffer(b"".join(ids), dtype=f"<u{width}") if ids else np.empty(0, np.uint16)
         begins = np.cumsum(lengths) - lengths
         n = lengths[which]
         ends = np.cumsum(n)
