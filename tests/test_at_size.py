@@ -47,3 +47,9 @@ def test_rounding_is_that_of_sql(spark):
     want = [None if v is None else duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6) + 0.0, round(CAST(? AS DOUBLE), 4) + 0.0", [v, v]).fetchone() for v in values]
     got = [tuple(r) for r in df.select(rounded(F.col("v"), 6), rounded(F.col("v"), 4)).collect()]
     assert got == [(None, None) if w is None else w for w in want]
+
+
+def test_deviations_of_equal_steps(spark, folder):
+    # steps before a row are equal but for rounding, so the ratio is as wide as the rounding is fine
+    got, want = both(spark, folder([11131, 18959, 30133, 34381, 41428, 46333, 62117]), "E-22")
+    assert got == want
