@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackspark.functions.columns import rounded
+from trackspark.operators import features as E
 from trackspark.plans.registry import ORACLE, QUERIES
 
 BASE = "/root/testdata/sf0.1"
@@ -53,3 +54,25 @@ def test_deviations_of_equal_steps(spark, folder):
     # steps before a row are equal but for rounding, so the ratio is as wide as the rounding is fine
     got, want = both(spark, folder([11131, 18959, 30133, 34381, 41428, 46333, 62117]), "E-22")
     assert got == want
+
+
+def test_local_diffusion_by_frame_ranges(spark):
+    rows = [(1, 1, f, x, 1.0) for f, x in [(1, 0.0), (2, 1.0), (3, None), (4, 4.0), (5, 2.0), (9, 3.0), (30, 1.0)]]
+    df = spark.createDataFrame(rows, "cell_id int, mol_id long, frame int, x_px double, y_px double")
+    p = E.DEFAULT
+
+    def plain(at):
+        near = [r for r in rows if abs(r[2] - at) <= p.w and r[3] is not None]
+        v = []
+        for lag in range(1, p.w + 1):
+            own = [(b[3] - a[3]) ** 2 for a in near for b in near if b[2] - a[2] == lag]
+            v.append((lag / p.frame_rate, sum(own) / len(own) * (p.px_scale / 1000) ** 2 if own else 0.0))
+        n, st, sv = len(v), sum(t for t, _ in v), sum(q for _, q in v)
+        return (n * sum(t * q for t, q in v) - st * sv) / (n * sum(t * t for t, _ in v) - st * st) / 4
+
+    out = E.local_diffusion(df)
+    assert out.columns == df.columns + ["local_d"]
+    got = {r.frame: r.local_d for r in out.collect()}
+    assert got == pytest.approx({r[2]: plain(r[2]) for r in rows}, abs=1e-12)
+    for made in (out, E.rolling_diffusion(df)):  # windows, not nested lambdas over all pairs of a window
+        assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
