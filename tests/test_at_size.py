@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.columns import rounded
 from trackspark.operators import features as E
+from trackspark.operators import stats
 from trackspark.plans.registry import ORACLE, QUERIES
 
 BASE = "/root/testdata/sf0.1"
@@ -76,3 +77,11 @@ def test_local_diffusion_by_frame_ranges(spark):
     assert got == pytest.approx({r[2]: plain(r[2]) for r in rows}, abs=1e-12)
     for made in (out, E.rolling_diffusion(df)):  # windows, not nested lambdas over all pairs of a window
         assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_deal_is_not_broadcast(spark):
+    # sorted numbers take a few bytes of a file, so of millions of rows the planner made a broadcast, and the driver ran out of memory
+    df = spark.range(2000).select(F.lit(1).alias("cell_id"), F.col("id").alias("mol_id"), F.lit(1).alias("frame"), (F.col("id") % 7).cast("double").alias("v"))
+    out = stats.shuffled(df, "v", 1, ["cell_id", "mol_id", "frame"])
+    assert sorted(r.v for r in out.collect()) == sorted(r.v for r in df.collect())
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 2
