@@ -1,12 +1,13 @@
 """Rows that only larger tables hold: users of sf0.1 with shifted keys, one by one, against DuckDB."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trackspark.functions.columns import rounded
 from trackspark.operators import features as E
-from trackspark.operators import stats
+from trackspark.operators import spatial, stats
 from trackspark.plans.registry import ORACLE, QUERIES
 
 BASE = "/root/testdata/sf0.1"
@@ -85,3 +86,20 @@ def test_a_deal_is_not_broadcast(spark):
     out = stats.shuffled(df, "v", 1, ["cell_id", "mol_id", "frame"])
     assert sorted(r.v for r in out.collect()) == sorted(r.v for r in df.collect())
     assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 2
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.3, 50.0])
+def test_linking_looks_at_few_pairs(monkeypatch, spread):
+    # all points are within reach of all tracks: near pairs are linked before far ones are listed
+    rnd = np.random.default_rng(3)
+    p, q = (np.round(20 + spread * rnd.normal(size=(n, 2)), 2) for n in (700, 800))
+    d = np.sqrt(((p[:, None] - q) ** 2).sum(axis=2))
+    want, taken = np.full(len(p), -1), set()
+    for k, j in zip(*np.unravel_index(np.argsort(d.ravel(), kind="stable"), d.shape), strict=True):
+        if want[k] < 0 and j not in taken:
+            want[k] = j
+            taken.add(j)
+    looked, real = [], spatial._candidates
+    monkeypatch.setattr(spatial, "_candidates", lambda *a: (lambda x: looked.append(len(x[1])) or x)(real(*a)))
+    assert spatial.nearest_pairs(p, q, 1000.0).tolist() == want.tolist()
+    assert sum(looked) < len(p) * len(q) / 4
