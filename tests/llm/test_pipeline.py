@@ -95,3 +95,11 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_stay_where_no_language_is_known(spark, tables):
+    folder, rows, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.keep_languages(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in rows) > 150
