@@ -9,6 +9,7 @@ from trackspark.functions.columns import rounded
 from trackspark.operators import features as E
 from trackspark.operators import spatial, stats
 from trackspark.plans.registry import ORACLE, QUERIES
+from trackspark.streaming import online
 
 BASE = "/root/testdata/sf0.1"
 
@@ -103,3 +104,13 @@ def test_linking_looks_at_few_pairs(monkeypatch, spread):
     monkeypatch.setattr(spatial, "_candidates", lambda *a: (lambda x: looked.append(len(x[1])) or x)(real(*a)))
     assert spatial.nearest_pairs(p, q, 1000.0).tolist() == want.tolist()
     assert sum(looked) < len(p) * len(q) / 4
+
+
+def test_stream_state_is_bytes(spark, tmp_path, monkeypatch):
+    # Spark hands a cell's state over with every batch of its rows: as arrays of numbers that took longer than linking
+    kinds, real = [], type(spark.range(1).groupBy("id")).applyInPandasWithState
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandasWithState", lambda self, f, out, kept, *a: kinds.append(kept) or real(self, f, out, kept, *a))
+    schema = "cell_id int, frame int, x_px double, y_px double"
+    spark.createDataFrame([(1, 1, 0.0, 0.0)], schema).write.parquet(f"{tmp_path}/in")
+    online.link_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+    assert kinds and "array" not in kinds[0]
